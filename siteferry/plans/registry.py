@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("telemetry", "sets")
+MODULES = ("telemetry", "sets", "reconcile", "credentials")
 
 
 def _gather(name: str) -> dict:
