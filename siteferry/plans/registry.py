@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("telemetry", "sets", "reconcile", "credentials")
+MODULES = ("telemetry", "sets", "reconcile", "credentials", "dump")
 
 
 def _gather(name: str) -> dict:
