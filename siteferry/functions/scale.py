@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteferry.session import cut_lineage
@@ -41,3 +41,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     kept = cut_lineage(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns through a one-row generator, so later filters and columns reuse their values.
+
+    The optimizer otherwise copies an expression into every place that names it, which for long regular
+    expression chains costs far more than this extra step.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -16,6 +16,10 @@ VALUE_DEPTH = 2
 TABLE_DEPTH = 6
 
 
+def single_quoted(dialect: str) -> str:
+    return _SINGLE[dialect]
+
+
 def quoted(dialect: str) -> str:
     """Any quoted run of the dialect."""
     return f"{_SINGLE[dialect]}|{_DOUBLE[dialect]}|{_BACKTICK}"

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteferry.functions.scale import computed_once
 from siteferry.functions.sqltext import VALUE_DEPTH, encode_string, identifier, items, parens, rewrite
 from siteferry.functions.text import grouped, measured_length, preview
 from siteferry.operators import dump_catalog as catalog
@@ -70,7 +71,7 @@ def drop_wide(rows: DataFrame, limit: int | None, unit: str = "chars") -> DataFr
 
 
 def _widths(rows: DataFrame, unit: str) -> DataFrame:
-    return rows.withColumn("width", measured_length(F.col("sql"), unit))
+    return computed_once(rows, width=measured_length(F.col("sql"), unit))
 
 
 def _limited(limit: int | None) -> bool:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteferry.functions.scale import computed_once
 from siteferry.functions.sqltext import (
     CAST_HEX,
     VALUE_DEPTH,
@@ -17,6 +18,7 @@ from siteferry.functions.sqltext import (
     keyword,
     parens,
     quoted,
+    single_quoted,
     unquote_identifier,
     values_head,
 )
@@ -62,24 +64,22 @@ def insert_heads(classified: DataFrame, dialect: str) -> DataFrame:
     `columns` is null without a column list. Statements refused for their form are left out here.
     """
     sql = F.col("sql")
-    chosen = classified.filter(
-        (F.col("kind") == "insert") & has_values(sql, dialect) & ~is_upsert(sql, dialect)
-    )
-    head = F.regexp_extract(sql, values_head(dialect), 0)
-    cut = chosen.withColumn("_head", head).withColumn(
-        "tail", F.substring(sql, F.length("_head") + 1, F.length(sql))
-    )
+    inserts = computed_once(
+        classified.filter(F.col("kind") == "insert"), _head=F.regexp_extract(sql, values_head(dialect), 0)
+    ).filter((F.col("_head") != "") & ~is_upsert(sql, dialect))
     head = js_trim(F.regexp_replace("_head", r"(?i)values\z", ""))
+    cut = inserts.withColumn("tail", F.substring(sql, F.length("_head") + 1, F.length(sql)))
+    cut = computed_once(cut.withColumn("head", head).drop("_head", "sql", "kind"), _columns=F.regexp_extract(
+        "head", rf"({parens(dialect, 0)})\s*\z", 1
+    ))
     table = first_match(F.col("head"), r"(?i)INTO\s+[`\"]?([^`\"\s(]+)")
-    listed = F.regexp_extract("head", rf"({parens(dialect, 0)})\s*\z", 1)
     columns = F.when(
-        listed != "", F.transform(items(inside(listed), dialect, 1), unquote_identifier)
+        F.col("_columns") != "", F.transform(items(inside(F.col("_columns")), dialect, 1), unquote_identifier)
     )
-    return (
-        cut.withColumn("head", head)
-        .withColumn("table", F.coalesce(table, F.lit("unknown")))
-        .withColumn("columns", columns)
-        .drop("_head", "sql", "kind")
+    return cut.select(
+        *[c for c in cut.columns if c != "_columns"],
+        F.coalesce(table, F.lit("unknown")).alias("table"),
+        columns.alias("columns"),
     )
 
 
@@ -102,32 +102,30 @@ def decode_values(rows: DataFrame, dialect: str) -> DataFrame:
 
 
 def _literal(f: Column, dialect: str) -> Column:
-    digits = F.coalesce(
-        *[
-            F.nullif(F.regexp_extract(f, p, 1), F.lit(""))
-            for p in (r"\A0[xX]([0-9a-fA-F]+)\z", r"\A[xX]'([0-9a-fA-F]+)'\z")
-        ]
+    """One value. Texts and numbers, nearly all there is, are told by their first character."""
+    text = F.lit(None).cast("string")
+    value = lambda kind, text=text, raw=F.lit(None).cast("binary"): F.struct(
+        F.lit(kind).alias("kind"), text.alias("text"), raw.alias("bytes")
     )
+    is_number = F.rlike(f, F.lit(r"\A[-+]?(?:\d++\.?\d*+|\.\d++)(?:[eE][-+]?\d++)?\z"))
+    is_text = F.rlike(f, F.lit(rf"\A(?:{single_quoted(dialect)})\z"))
     # a literal may name its character set first: _binary 'text'
-    introduced = r"\A_[0-9A-Za-z]+\s*(?=')"
-    cast = F.rlike(f, F.lit(rf"\A{CAST_HEX}\z"))
-    is_hex = digits.isNotNull() | F.rlike(f, F.lit(r"\A[xX]''\z"))
-    is_text = F.rlike(f, F.lit(r"\A(?:_[0-9A-Za-z]+\s*)?'[\s\S]*'\z"))
-    kind = (
-        F.when(F.upper(f) == "NULL", "null")
-        .when(F.rlike(f, F.lit(r"\A[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\z")), "number")
-        .when(is_hex, "hex")
-        .when(cast | is_text, "string")
-        .otherwise("expr")
-    )
-    bytes_ = F.when(is_hex, F.unhex(F.coalesce(digits, F.lit(""))))
-    text = (
-        F.when((kind == "null") | is_hex, F.lit(None).cast("string"))
-        .when(cast, F.decode(F.unhex(F.regexp_extract(f, CAST_HEX, 1)), "UTF-8"))
-        .when(is_text, decode_string(F.regexp_replace(f, introduced, ""), dialect))
-        .otherwise(f)
+    introduced = rf"\A_[0-9A-Za-z]+\s*({single_quoted(dialect)})\z"
+    digits = r"\A(?:0[xX]([0-9a-fA-F]+)|[xX]'([0-9a-fA-F]*)')\z"
+    hexed = F.concat(F.regexp_extract(f, digits, 1), F.regexp_extract(f, digits, 2))
+    cast = rf"\A{CAST_HEX}\z"
+    return (
+        F.when(F.startswith(f, F.lit("'")) & is_text, value("string", decode_string(f, dialect)))
+        .when(is_number, value("number", f))
+        .when(F.upper(f) == "NULL", value("null"))
+        .when(F.rlike(f, F.lit(digits)), value("hex", raw=F.unhex(hexed)))
+        .when(F.rlike(f, F.lit(cast)), value("string", F.decode(F.unhex(F.regexp_extract(f, cast, 1)), "UTF-8")))
+        .when(
+            F.startswith(f, F.lit("_")) & F.rlike(f, F.lit(introduced)),
+            value("string", decode_string(F.regexp_extract(f, introduced, 1), dialect)),
+        )
+        .otherwise(value("expr", f))
     )
-    return F.struct(kind.alias("kind"), text.alias("text"), bytes_.alias("bytes"))
 
 
 # The Spark type of a storage class, and of what a MySQL name says beyond it.
@@ -180,7 +178,7 @@ def statement_refusals(classified: DataFrame, dialect: str) -> DataFrame:
         .when(F.col("kind") == "unrecognised", F.lit("unrecognised statement"))
     )
     return (
-        classified.withColumn("reason", reason)
+        computed_once(classified, reason=reason)
         .filter(F.col("reason").isNotNull())
         .select("dump_id", "stmt_no", "reason", preview(sql).alias("preview"))
     )

@@ -332,6 +332,18 @@ def _strip(cutter: Cutter, text: str, state: str, out: list[str]) -> str:
     return OUTSIDE
 
 
+def _may_split(spark: SparkSession, path) -> bool:
+    """Whether some file is large enough to be read in several blocks, from the file listing alone."""
+
+    def size(key: str) -> int:
+        number, unit = re.match(r"(\d+)\s*([a-z]?)", spark.conf.get(key).lower()).groups()
+        return int(number) * 1024 ** "bkmgtp".index(unit or "b")
+
+    least = min(size("spark.sql.files.maxPartitionBytes"), size("spark.sql.files.openCostInBytes"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.filter(F.col("length") > least).select("length").limit(1).count() > 0
+
+
 def read_dump(spark: SparkSession, path, dialect: str = "mysql", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """(dump_id, stmt_no, sql): every statement of the dumps below `path`, one dump per file.
 
@@ -341,6 +353,10 @@ def read_dump(spark: SparkSession, path, dialect: str = "mysql", max_blocks: int
     """
     cutter = Cutter(dialect_of(dialect))
     lines = _lines(spark, path)
+    if not _may_split(spark, path):
+        alone = lines.withColumn("state", F.lit(OUTSIDE)).withColumn("base", F.lit(0).cast("bigint"))
+        cut = alone.select("dump_id", "start", "shared", "state", "base", "value").mapInArrow(_cut_whole(cutter), _PIECE)
+        return cut.select("dump_id", "stmt_no", "sql")
     shared = lines.filter("shared")
     maps = shared.drop("shared").mapInArrow(_map_blocks(cutter), _MAP)
     entries = cut_lineage(maps.groupBy("dump_id").applyInPandas(_compose, _ENTRY))
