@@ -26,7 +26,8 @@ def keyed_lookup(
     """Joins facts to a lookup holding one row per key, spreading each key over `salts` tasks.
 
     The salt is a hash of fact columns, so a task that is run again after an executor is lost puts
-    every row in the same place. The lookup grows by the factor `salts`; its keys are unique, so no
+    every row in the same place. The lookup grows by the factor `salts`, so it should be a list of
+    accounts, hosts or groups, not of rows; `hot_key_lookup` is for the latter. Its keys are unique, so no
     key becomes heavy on that side. Null keys find nothing and are spread like any other key.
     """
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
@@ -34,6 +35,31 @@ def keyed_lookup(
     return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_key_lookup(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    spread_by: Sequence[str],
+    hot_rows: int = 1_000_000,
+    salts: int = 64,
+) -> DataFrame:
+    """A left join to a lookup too large to be copied `salts` times: only the keys found hot are.
+
+    Facts are first counted per key, combined before the shuffle. At most one key in `hot_rows` rows can be
+    hot, which bounds the list of them.
+    """
+    on = list(on)
+    counted = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = broadcast_if_small(counted.select(*on, F.lit(True).alias("_hot")))
+    if hot.isEmpty():
+        return facts.join(lookup, on, "left")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
+    salted = facts.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(copied, [*on, "_salt"], "left").drop("_salt")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast only after counting; a larger frame is returned without the hint.
 

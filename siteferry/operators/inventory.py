@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteferry.functions.scale import keyed_lookup
+from siteferry.functions.scale import hot_key_lookup
 from siteferry.functions.text import first_match
 
 # Gzip ceilings in bytes.
@@ -54,11 +54,12 @@ def copy_plan(entries: DataFrame, source: DataFrame, target: DataFrame) -> DataF
     """(from, to, verdict, bytes, sha256) for entries (from, to) against two inventories.
 
     Verdicts are unsafe (the target path leaves the workspace), absent (no such source), create, identical
-    and overwrite. One source may be copied to very many places; it is looked up in spread copies.
+    and overwrite. One source may be copied to very many places; it is then looked up in
+    copies spread over many tasks.
     """
     have = source.select(F.col("path").alias("from"), "bytes", "sha256")
     there = target.select(F.col("path").alias("to"), F.col("sha256").alias("_there"))
-    looked = keyed_lookup(entries.select("from", "to"), have, ["from"], ["to"]).join(there, "to", "left")
+    looked = hot_key_lookup(entries.select("from", "to"), have, ["from"], ["to"]).join(there, "to", "left")
     verdict = (
         F.when(~is_safe_relative(F.col("to")), "unsafe")
         .when(F.col("sha256").isNull(), "absent")
@@ -103,15 +104,15 @@ def backup_paths(plan: DataFrame, now: dt.datetime, root: str = "") -> DataFrame
         )
     flat = F.replace(F.regexp_replace(relative, r"^/+", ""), F.lit("/"), F.lit("__"))
     saved = plan.filter(F.col("verdict") == "overwrite").select("to", F.concat(F.lit(folder), flat).alias("backup"))
-    copies = saved.groupBy("backup").agg(F.count(F.lit(1)).alias("copies"))
-    return keyed_lookup(saved, copies, ["backup"], ["to"])
+    clashes = saved.groupBy("backup").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return saved.join(clashes, "backup", "left").fillna(1, ["copies"])
 
 
 def verify_backup(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
     """Each manifest entry (set, path, backup, sha256) as ok, missing or mismatch, with the digest found."""
     found = inventory.select(F.col("path").alias("backup"), F.col("sha256").alias("found"))
     state = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "mismatch").otherwise("ok")
-    return keyed_lookup(manifest, found, ["backup"], ["set", "path"]).withColumn("state", state)
+    return hot_key_lookup(manifest, found, ["backup"], ["set", "path"]).withColumn("state", state)
 
 
 def backup_gate(verified: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from siteferry.functions import variant as V
 from siteferry.operators import telemetry
-from siteferry.plans.inputs import derive, plain
+from siteferry.plans.inputs import derive, plain, table
+from siteferry.session import staging_path
+from siteferry.streaming.telemetry import cpu_summary_stream
 
 # Captures are groups of users; every seventh capture loses its durableObject events.
 EVENTS = """
@@ -18,6 +20,30 @@ SELECT user_id % 20 AS capture,
        ts
 FROM {events}"""
 
+def _cpu_summary_stream(spark, sf_dir):
+    """The stream over the same events, run until all are read; each batch replaces the staged result."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = stream.select(
+        (F.col("user_id") % 20).alias("capture"),
+        F.when(F.col("event_type").isin("view", "click"), telemetry.STATELESS).otherwise(telemetry.DURABLE).alias("execution_model"),
+        F.when(F.col("event_id") % 11 != 0, F.col("value") * 10).alias("cpu_time"),
+        "ts",
+    )
+    path = staging_path(spark, "cpu-stream")
+    run = (
+        cpu_summary_stream(events, "1 day", "1 hour")
+        .writeStream.outputMode("complete")
+        .option("checkpointLocation", staging_path(spark, "cpu-stream-state"))
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    done = spark.read.parquet(path)
+    return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
 # A captured line per event: some with a field of the wrong type, some not an object, some broken.
 LINES = """
 SELECT CASE WHEN event_id % 13 = 0 THEN '[1, 2]' WHEN event_id % 17 = 0 THEN '<"cpuTime": 1> tail'
@@ -59,6 +85,7 @@ QUERIES = {
     "capture_verdict": _capture_verdict,
     "cpu_notes": _cpu_notes,
     "normalise_events": _normalise_events,
+    "cpu_summary_stream": _cpu_summary_stream,
 }
 
 _COUNTS = f"""
@@ -84,6 +111,12 @@ UNION ALL SELECT capture, 2, 'few-samples', NULL FROM v WHERE durable_n BETWEEN
 UNION ALL SELECT capture, 4, 'empty-capture', NULL FROM v WHERE events = 0
 UNION ALL SELECT capture, 3, 'wide-spread', execution_model FROM {plain(EVENTS)}
 GROUP BY capture, execution_model HAVING max(cpu_time) - min(cpu_time) > 400""",
+    "cpu_summary_stream": """
+SELECT strftime(ts, '%Y-%m-%d') AS window_start, capture, execution_model, count(*) AS n, median(cpu_time) AS median,
+  min(cpu_time) AS min, max(cpu_time) AS max, max(cpu_time) - min(cpu_time) AS spread
+FROM (SELECT ts, user_id % 20 AS capture, CASE WHEN event_type IN ('view', 'click') THEN 'stateless' ELSE 'durableObject' END
+  AS execution_model, CASE WHEN event_id % 11 <> 0 THEN value * 10 END AS cpu_time FROM events)
+WHERE cpu_time IS NOT NULL GROUP BY 1, 2, 3""",
     "normalise_events": """
 SELECT CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE event_type END AS execution_model,
        CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'ok' END AS outcome, count(*) AS events,

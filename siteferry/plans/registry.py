@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("telemetry", "sets", "reconcile", "credentials", "dump", "survey", "config", "probe")
+MODULES = ("telemetry", "sets", "reconcile", "credentials", "dump", "survey", "config", "probe", "inventory")
 
 
 def _gather(name: str) -> dict:
