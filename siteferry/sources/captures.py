@@ -10,12 +10,15 @@ from siteferry.functions.scale import computed_once
 from siteferry.functions.text import js_trim
 
 
-def read_captures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_captures(
+    spark: SparkSession, path: str, captures: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Records (capture, value) and files (capture, lines, bad_lines, readable); a capture is a file.
 
     Lines are parsed where they lie. Only a file that begins with `[`, or of which no line parses, is put
     together again and parsed as a whole. A blank file is readable and has no records; a file that is
-    neither is not readable. Bad lines beside good ones are counted and skipped.
+    neither is not readable. Bad lines beside good ones are counted and skipped. Spark does not list files
+    of zero bytes; `captures` (capture) names every file where those are to be reported too.
     """
     lines = (
         spark.read.option("lineSep", "\n")
@@ -53,17 +56,13 @@ def read_captures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     records = by_line.select("capture", F.col("record").alias("value")).unionByName(
         whole.select("capture", F.explode(elements).alias("value"))
     )
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(F.col("path").alias("_path"))
-        # the two readers spell a local path with one or three slashes
-        .select(F.regexp_replace("_path", r"^file:/+", "file:///").alias("capture"))
-    )
+    listed = captures
+    if listed is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        listed = files.select(F.col("_metadata.file_path").alias("capture"))
     marked = whole_names.withColumn("_whole", F.lit(True))
-    files = (
-        listed.join(seen, "capture", "left")
+    status = (
+        listed.select("capture").join(seen, "capture", "left")
         .join(marked, "capture", "left")
         .select(
             "capture",
@@ -74,4 +73,4 @@ def read_captures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
             ).alias("readable"),
         )
     )
-    return records, files
+    return records, status

@@ -19,7 +19,10 @@ MAX_FILE_BYTES = 64 * 1024 * 1024
 
 
 def list_files(spark: SparkSession, roots: Sequence[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, bytes, status, reason) for every file below the roots; contents are not read."""
+    """(path, bytes, status, reason) for every file below the roots; contents are not read.
+
+    Spark does not list files of zero bytes, in which there is nothing to find.
+    """
     frames = []
     for root in roots:
         try:
