@@ -105,7 +105,7 @@ def backup_paths(plan: DataFrame, now: dt.datetime, root: str = "") -> DataFrame
     flat = F.replace(F.regexp_replace(relative, r"^/+", ""), F.lit("/"), F.lit("__"))
     saved = plan.filter(F.col("verdict") == "overwrite").select("to", F.concat(F.lit(folder), flat).alias("backup"))
     clashes = saved.groupBy("backup").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return saved.join(clashes, "backup", "left").fillna(1, ["copies"])
+    return saved.join(clashes, "backup", "left").fillna(1, ["copies"]).select("to", "backup", "copies")
 
 
 def verify_backup(manifest: DataFrame, inventory: DataFrame) -> DataFrame:

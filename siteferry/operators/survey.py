@@ -109,9 +109,12 @@ def parse_steps(transcripts: DataFrame) -> DataFrame:
     return status.select("host", "root", "step_id", "captured_at", F.col("_error").alias("error"), parsed.alias("parsed"))
 
 
-def fold_surveys(transcripts: DataFrame) -> DataFrame:
+def fold_surveys(transcripts: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """One survey per (host, root) from rows (host, root, step_id, code, stdout, stderr, transport_error, captured_at).
 
+    A step without any row is an error of its own, whether required or not; `hosts` (host, root) adds hosts
+    that have no row at all.
+
     Rows are parsed before the shuffle and folded per step, the latest capture of a step winning, so a host
     captured very often is reduced to one small row per task first.
     """
@@ -127,13 +130,17 @@ def fold_surveys(transcripts: DataFrame) -> DataFrame:
         F.max("captured_at").alias("captured_at"),
         *[mine(step, F.col(f"parsed.{name}")).alias(f"_{name}") for name, step in field.items()],
         *[mine(step, F.col("error")).alias(f"_error_{i}") for i, (step, _) in enumerate(STEPS)],
+        *[F.bool_or(F.col("step_id") == step).alias(f"_seen_{i}") for i, (step, _) in enumerate(STEPS)],
     )
+    if hosts is not None:
+        folded = hosts.select("host", "root").distinct().join(folded, ["host", "root"], "left")
+    absent = lambda i: ~F.coalesce(f"_seen_{i}", F.lit(False))
+    detail = lambda i, step: F.when(absent(i), F.lit(f"no entry for {step}")).otherwise(F.col(f"_error_{i}"))
     errors = F.filter(
         F.array(
             *[
                 F.when(
-                    F.col(f"_error_{i}").isNotNull(),
-                    F.struct(F.lit(step).alias("id"), F.col(f"_error_{i}").alias("detail")),
+                    detail(i, step).isNotNull(), F.struct(F.lit(step).alias("id"), detail(i, step).alias("detail"))
                 )
                 for i, (step, _) in enumerate(STEPS)
             ]

@@ -124,7 +124,7 @@ _STEP = (
     "php-version php-modules drush-version drush-status modules files-kb files-count db-bytes nodes image-styles"
 ).split()
 _ERRORS = " || ".join(
-    f"""CASE WHEN (k + {i}) % 17 = 0 THEN '' WHEN (k + {i}) % 29 = 0 THEN '{s}=timeout;'
+    f"""CASE WHEN (k + {i}) % 17 = 0 THEN '{s}=no entry for {s};' WHEN (k + {i}) % 29 = 0 THEN '{s}=timeout;'
   {f"WHEN (k + {i}) % 13 = 0 THEN '{s}=exit 127: command failed;'" if i in (0, 1, 3, 4) else ''} ELSE '' END"""
     for i, s in enumerate(_STEP)
 )
