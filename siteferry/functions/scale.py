@@ -76,3 +76,12 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     expression chains costs far more than this extra step.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spreads a scan that has fewer splits than the cluster has cores, for work heavy on each row.
+
+    A scan with enough splits, which is every scan of a large table, is left as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

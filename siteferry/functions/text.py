@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ WORD_START = r"(?<![0-9A-Za-z_])"
 WORD_END = r"(?![0-9A-Za-z_])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{JS_SPACE}]+|[{JS_SPACE}]+\z", "")
 

@@ -35,11 +35,12 @@ def type_of(v: Column, path: str = "$") -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """Told by a cast that looks at the top level only, where a schema would walk the whole value."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column, path: str = "$") -> Column:
-    return F.coalesce(type_of(v, path).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
 
 
 def is_string(v: Column, path: str) -> Column:

@@ -98,7 +98,7 @@ def decode_values(rows: DataFrame, dialect: str) -> DataFrame:
     the expression; `bytes` is set for hex literals.
     """
     fields = items(inside(F.col("tuple")), dialect, VALUE_DEPTH)
-    return rows.withColumn("values", F.transform(fields, lambda f: _literal(f, dialect)))
+    return computed_once(rows, values=F.transform(fields, lambda f: _literal(f, dialect)))
 
 
 def _literal(f: Column, dialect: str) -> Column:
@@ -150,19 +150,26 @@ def dump_table(decoded: DataFrame, columns: Sequence[tuple[str, str]], table: st
     of its column's type becomes null; `dump_id`, `stmt_no` and `row_no` stay to trace it.
     """
     mine = decoded.filter(F.col("table") == table)
+    names = F.array(*[F.lit(name) for name, _ in columns])
+    by_name = F.transform(
+        names, lambda n: F.try_element_at("values", F.nullif(F.array_position("columns", n), F.lit(0)).cast("int"))
+    )
+    placed = computed_once(
+        mine.select("dump_id", "stmt_no", "row_no", "columns", "values"),
+        _placed=F.when(F.col("columns").isNull(), F.col("values")).otherwise(by_name),
+    )
     fields = []
     for i, (name, kind) in enumerate(columns):
-        at = F.when(F.col("columns").isNull(), F.lit(i)).otherwise(
-            (F.array_position("columns", name) - 1).cast("int")
-        )
-        value = F.when(at >= 0, F.get("values", at))
+        value = F.get("_placed", F.lit(i))
+        text = F.coalesce(value["text"], F.decode(value["bytes"], "UTF-8"))
         if kind == "binary":
             typed = F.coalesce(value["bytes"], F.encode(value["text"], "UTF-8"))
+        elif kind in ("string", "double", "bigint"):
+            typed = text if kind == "string" else value["text"].try_cast(kind)
         else:
-            text = F.coalesce(value["text"], F.decode(value["bytes"], "UTF-8"))
-            typed = text if kind == "string" else text.try_cast(kind)
+            typed = text.try_cast(kind)
         fields.append(typed.alias(name))
-    return mine.select("dump_id", "stmt_no", "row_no", *fields)
+    return placed.select("dump_id", "stmt_no", "row_no", *fields)
 
 
 def statement_refusals(classified: DataFrame, dialect: str) -> DataFrame:

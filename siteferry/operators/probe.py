@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siteferry.functions import variant as V
 from siteferry.functions.scale import computed_once, keyed_lookup
-from siteferry.functions.text import js_trim, when_array
+from siteferry.functions.text import js_trim, let, when_array
 
 # The header prefix, and the newest header contract that is understood.
 PREFIX = "x-cfw-"
@@ -20,28 +20,39 @@ KNOWN_HEADER_VERSION = 1
 
 def normalise_target(target: Column) -> Column:
     """Scheme, lower-cased host and path without its trailing slashes; null for a text that is no URL."""
-    raw = js_trim(target)
-    url = F.when(raw.rlike(r"(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z]+)://", 1))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#]*@)?([^/?#]*)", 1))
-    host = F.when(scheme == "https", F.regexp_replace(host, r":443\z", "")).otherwise(F.regexp_replace(host, r":80\z", ""))
-    path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
-    valid = host.rlike(r"^[^\s:]+(:\d{1,5})?\z")
-    return F.when(valid, F.concat(scheme, F.lit("://"), host, F.regexp_replace(path, r"/+\z", "")))
+    part = lambda url, group: F.regexp_extract(
+        url, r"^([A-Za-z]+)://(?:[^/?#]*@)?([^/?#]*)([^?#]*)", group
+    )
+
+    def joined(p: Column) -> Column:
+        default = F.when(p["scheme"] == "https", ":443").otherwise(":80")
+        host = F.when(
+            F.endswith(p["host"], default), F.substring(p["host"], F.lit(1), F.length(p["host"]) - F.length(default))
+        ).otherwise(p["host"])
+        valid = F.rlike(p["host"], F.lit(r"^[^\s:]+(:\d{1,5})?\z"))
+        return F.when(valid, F.concat(p["scheme"], F.lit("://"), host, F.regexp_replace(p["path"], r"/+\z", "")))
+
+    parts = lambda url: F.struct(
+        F.lower(part(url, 1)).alias("scheme"), F.lower(part(url, 2)).alias("host"), part(url, 3).alias("path")
+    )
+    with_scheme = lambda raw: F.when(F.rlike(raw, F.lit(r"(?i)^https?://")), raw).otherwise(
+        F.concat(F.lit("https://"), raw)
+    )
+    return let(js_trim(target), lambda raw: let(with_scheme(raw), lambda url: let(parts(url), joined)))
 
 
 def lower_headers(headers: Column) -> Column:
     """Headers under lower-case names; of names that differ in case only, the last stays."""
-    last = F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform(F.map_keys(headers), F.lower)),
-            lambda k: F.struct(
-                k.alias("k"),
-                F.element_at(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == k), -1)["value"].alias("v"),
-            ),
-        )
+    names = F.transform(F.map_keys(headers), F.lower)
+    distinct = F.array_distinct(names)
+    last = lambda k: F.element_at(
+        F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == k), -1
+    )["value"]
+    merged = F.map_from_arrays(distinct, F.transform(distinct, last))
+    plain = F.map_from_arrays(names, F.map_values(headers))
+    return F.when(headers.isNull(), F.create_map().cast("map<string,string>")).otherwise(
+        F.when(F.size(distinct) == F.size(names), plain).otherwise(merged)
     )
-    return F.coalesce(last, F.create_map().cast("map<string,string>"))
 
 
 def own_headers(headers: Column) -> Column:
@@ -68,19 +79,21 @@ def verdict_of(status: Column, own: Column, kind: Column, error: Column) -> Colu
     )
 
 
-def prepare(responses: DataFrame) -> DataFrame:
-    """Adds `origin`, `route`, lower-cased `headers` and the worker's `own` headers."""
-    path = F.col("path")
-    route = (
+def route_of(path: Column) -> Column:
+    return (
         F.when(path.rlike(r"^/serve(?:\?|\z)"), "serve")
         .when(path.rlike(r"^/stats(?:\?|\z)"), "stats")
         .when(path.rlike(r"^/firstrun(?:\?|\z)"), "firstrun")
         .otherwise("plain")
     )
+
+
+def prepare(responses: DataFrame, *routes: str) -> DataFrame:
+    """The responses of some routes with `origin`, `route`, lower-cased `headers` and the worker's `own` headers."""
+    routed = responses.withColumn("route", route_of(F.col("path"))).filter(F.col("route").isin(*routes))
     ready = computed_once(
-        responses.withColumnRenamed("headers", "_raw"),
+        routed.withColumnRenamed("headers", "_raw"),
         origin=normalise_target(F.col("target")),
-        route=route,
         headers=lower_headers(F.col("_raw")),
     ).drop("_raw")
     return ready.withColumn("own", own_headers(F.col("headers")))
@@ -200,11 +213,10 @@ def probe_results(responses: DataFrame) -> DataFrame:
     A probe of kind `auto` whose answer has no worker header takes the latest plain response of its origin;
     where none was captured the verdict stays null. Only those probes are joined.
     """
-    ready = prepare(responses)
     bare = (F.size("own") == 0) & F.col("error").isNull() & (F.col("kind_wanted") == "auto")
-    served = ready.filter(F.col("route") == "serve")
+    served = prepare(responses, "serve")
     direct = _worker_rows(served.filter(~F.coalesce(bare, F.lit(False)) & (F.col("kind_wanted") != "vps")))
-    plain = ready.filter(F.col("route") == "plain")
+    plain = prepare(responses, "plain")
     wanted = _plain_rows(plain.filter(F.col("kind_wanted") == "vps"), fallback=False)
     latest = plain.groupBy("origin").agg(
         F.max_by(F.struct("path", "status", "wall_ms", "headers", "error"), "at").alias("_page")
@@ -235,7 +247,7 @@ def claim_of(status: Column, body: Column) -> Column:
 
 def claims(responses: DataFrame) -> DataFrame:
     """The claim state each `/firstrun` response reports."""
-    asked = prepare(responses).filter(F.col("route") == "firstrun")
+    asked = prepare(responses, "firstrun")
     state = F.when(F.col("error").isNull(), claim_of(F.col("status"), F.col("body"))).otherwise(
         claim_of(F.lit(None).cast("int"), F.lit(None).cast("string"))
     )
@@ -248,7 +260,7 @@ def status_records(responses: DataFrame) -> DataFrame:
     Each response is reduced to a few fields and folded by its time in one aggregate, combined before the
     shuffle, so a site with very many responses is no heavier than another.
     """
-    ready = prepare(responses).filter(F.col("route") != "plain")
+    ready = prepare(responses, "serve", "stats", "firstrun")
     route, at = F.col("route"), F.col("at")
     fields = _worker_fields()
     keep = ("tier", "generation", "plan", "header_version", "php_booted")

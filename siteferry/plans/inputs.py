@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteferry.functions.scale import fill_cores
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -20,10 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, select: str, **frames: DataFrame) -> DataFrame:
-    """Runs a derivation over the given tables it names."""
+def derive(spark: SparkSession, sf_dir: str, select: str, heavy: bool = False) -> DataFrame:
+    """Runs a derivation over the given tables it names; `heavy` work on its rows gets every core."""
     named = {n: table(spark, sf_dir, n) for n in TABLES if f"{{{n}}}" in select}
-    return spark.sql(select, **named, **frames)
+    made = spark.sql(select, **named)
+    return fill_cores(made) if heavy else made
 
 
 def plain(select: str) -> str:

@@ -33,7 +33,7 @@ FROM {supplier} WHERE s_suppkey % 40 < 30"""
 
 
 def _scored(spark, sf_dir):
-    configs = derive(spark, sf_dir, CONFIGS).withColumn("text", F.translate("text", "<>", "{}"))
+    configs = derive(spark, sf_dir, CONFIGS, heavy=True).withColumn("text", F.translate("text", "<>", "{}"))
     return config_rules.score_configs(configs, derive(spark, sf_dir, PLANS))
 
 

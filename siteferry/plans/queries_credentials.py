@@ -26,22 +26,22 @@ FROM {documents}"""
 
 
 def _secret_hits(spark, sf_dir):
-    hits = credentials.scan_text(derive(spark, sf_dir, PLANTED), ["doc_id", "source"])
+    hits = credentials.scan_text(derive(spark, sf_dir, PLANTED, heavy=True), ["doc_id", "source"])
     return hits.select("doc_id", F.col("line").cast("bigint").alias("line"), "id", "redacted")
 
 
 def _secret_summary(spark, sf_dir):
-    hits = credentials.scan_text(derive(spark, sf_dir, PLANTED), ["doc_id", "source"])
+    hits = credentials.scan_text(derive(spark, sf_dir, PLANTED, heavy=True), ["doc_id", "source"])
     return credentials.secret_summary(hits, ["doc_id"], by=["source"])
 
 
 def _redact_corpus(spark, sf_dir):
-    freed = credentials.redact_corpus(derive(spark, sf_dir, PLANTED))
+    freed = credentials.redact_corpus(derive(spark, sf_dir, PLANTED, heavy=True))
     return freed.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("chars"))
 
 
 def _artifact_gate(spark, sf_dir):
-    return credentials.artifact_gate(credentials.scan_text(derive(spark, sf_dir, PLANTED), ["doc_id"]))
+    return credentials.artifact_gate(credentials.scan_text(derive(spark, sf_dir, PLANTED, heavy=True), ["doc_id"]))
 
 
 # The same shapes for RE2, whose \b is ASCII.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteferry.functions.scale import fill_cores
 from siteferry.operators import dump_catalog, dump_convert, dump_statements
 from siteferry.plans.inputs import derive, plain, table
 from siteferry.session import staging_path
@@ -13,14 +14,15 @@ from siteferry.sources.dump import read_dump
 def _written(df, name, dialect):
     """The frame written as a dump in the shared folder; the folder's path."""
     path = staging_path(df.sparkSession, f"dump-{name}")
-    dump_convert.write_dump(dump_convert.render_table(df, name, dialect), path)
+    dump_convert.write_dump(dump_convert.render_table(fill_cores(df), name, dialect), path)
     return path
 
 
 def _read_back(spark, path, dialect):
-    """Every statement of the dump, classified; the schema of its one table as read from its text."""
-    classified = dump_statements.classify(read_dump(spark, path, dialect))
-    items = dump_catalog.table_items(classified.filter(F.col("dump_id").contains("/1-definitions/")), dialect)
+    """The dump's row statements, classified; the schema of its one table as read from its definition."""
+    defined = dump_statements.classify(read_dump(spark, f"{path}/1-definitions", dialect))
+    classified = dump_statements.classify(read_dump(spark, f"{path}/2-rows", dialect))
+    items = dump_catalog.table_items(defined, dialect)
     mapped = dump_catalog.map_types(
         dump_catalog.schema_catalog(items), dialect, "mysql" if dialect == "sqlite" else "sqlite"
     )
@@ -90,7 +92,7 @@ FROM {customer}"""
 
 
 def _statements(spark, sf_dir):
-    made = derive(spark, sf_dir, STATEMENTS)
+    made = derive(spark, sf_dir, STATEMENTS, heavy=True)
     return made.withColumn("sql", F.translate("sql", "~", "'"))
 
 

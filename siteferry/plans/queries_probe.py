@@ -22,7 +22,7 @@ FROM {events}"""
 
 
 def _responses(spark, sf_dir):
-    made = derive(spark, sf_dir, RESPONSES).withColumnRenamed("seen_at", "at")
+    made = derive(spark, sf_dir, RESPONSES, heavy=True).withColumnRenamed("seen_at", "at")
     h, none = F.col("h"), F.lit(None).cast("map<string,string>")
     pairs = lambda **kw: F.create_map(*[F.lit(x) for k, v in kw.items() for x in (k.replace("_", "-"), v)])
     headers = (

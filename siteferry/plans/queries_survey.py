@@ -38,7 +38,7 @@ WHERE (c_custkey + s.n) % 17 <> 0"""
 
 
 def _transcripts(spark, sf_dir):
-    made = derive(spark, sf_dir, TRANSCRIPTS)
+    made = derive(spark, sf_dir, TRANSCRIPTS, heavy=True)
     stderr = F.translate("stderr", "~", "\n")
     return made.withColumn("stdout", F.translate("stdout", "<>~", "{}\n")).withColumn("stderr", stderr).withColumn(
         "captured_at", F.timestamp_seconds(F.col("captured"))

@@ -353,7 +353,7 @@ def read_dump(spark: SparkSession, path, dialect: str = "mysql", max_blocks: int
     """
     cutter = Cutter(dialect_of(dialect))
     lines = _lines(spark, path)
-    if not _may_split(spark, path):
+    if not _may_split(spark, path) or lines.filter("shared").limit(1).count() == 0:
         alone = lines.withColumn("state", F.lit(OUTSIDE)).withColumn("base", F.lit(0).cast("bigint"))
         cut = alone.select("dump_id", "start", "shared", "state", "base", "value").mapInArrow(_cut_whole(cutter), _PIECE)
         return cut.select("dump_id", "stmt_no", "sql")
@@ -373,8 +373,6 @@ def read_dump(spark: SparkSession, path, dialect: str = "mysql", max_blocks: int
         "value",
     ).mapInArrow(_cut_whole(cutter), _PIECE)
     statements = whole.select("dump_id", "stmt_no", "sql")
-    if blocks == 0:
-        return statements
     pieces = (
         shared.drop("shared").join(F.broadcast(entries), ["dump_id", "start"])
         .select("dump_id", "start", "state", "base", "ends", "first", "last", "value")
