@@ -1,5 +1,7 @@
 """Statements, values, definitions and whole conversions on small dumps; one file per case."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +70,8 @@ def convert_all(spark, tmp_path, cases, from_, to, **options):
     for name, text in cases.items():
         (tmp_path / name).write_text(text)
     dump = read_dump(spark, str(tmp_path), from_).withColumn("dump_id", F.regexp_extract("dump_id", r"([^/]+)$", 1))
-    return dump_convert.convert(dump, from_, to, **options)
+    done = dump_convert.convert(dump.cache(), from_, to, **options)
+    return dataclasses.replace(done, emitted=done.emitted.cache(), refusals=done.refusals.cache())
 
 
 def by_dump(df, *order):
