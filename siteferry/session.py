@@ -55,6 +55,10 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder once, so later branches read one and the same result."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Writes `df` to the shared folder once and reads it back, so later branches see one and the same result.
+
+    A written table is computed once, where a checkpoint computes its last stage twice.
+    """
+    path = staging_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

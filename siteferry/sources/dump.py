@@ -34,6 +34,9 @@ STATES = (OUTSIDE, SINGLE, DOUBLE, BACKTICK, COMMENT)
 # More blocks than this (512 TB at the default block size) need larger blocks, not a larger broadcast.
 MAX_BLOCKS = 4_000_000
 
+# One value of a row holds less than two gigabytes.
+MAX_STATEMENT_BYTES = 2_000_000_000
+
 
 def dialect_of(name: str) -> str:
     if name not in DIALECTS:
@@ -332,14 +335,23 @@ def _strip(cutter: Cutter, text: str, state: str, out: list[str]) -> str:
     return OUTSIDE
 
 
-def _may_split(spark: SparkSession, path) -> bool:
-    """Whether some file is large enough to be read in several blocks, from the file listing alone."""
+def _size_of(spark: SparkSession, key: str) -> int:
+    number, unit = re.match(r"(\d+)\s*([a-z]?)", spark.conf.get(key).lower()).groups()
+    return int(number) * 1024 ** "bkmgtp".index(unit or "b")
+
 
-    def size(key: str) -> int:
-        number, unit = re.match(r"(\d+)\s*([a-z]?)", spark.conf.get(key).lower()).groups()
-        return int(number) * 1024 ** "bkmgtp".index(unit or "b")
+def _refuse_endless(entries: DataFrame, most: int) -> None:
+    """Raises when a statement spans more blocks than one value can hold, as after a quote left open."""
+    spans = entries.filter("ends = 0").groupBy("dump_id", "base").agg(F.count(F.lit(1)).alias("blocks"))
+    endless = spans.filter(F.col("blocks") > most).limit(1).collect()
+    if endless:
+        raise ValueError(f"a statement of {endless[0].dump_id} spans {endless[0].blocks} blocks; a quote is left open")
 
-    least = min(size("spark.sql.files.maxPartitionBytes"), size("spark.sql.files.openCostInBytes"))
+
+def _may_split(spark: SparkSession, path) -> bool:
+    """Whether some file is large enough to be read in several blocks, from the file listing alone."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    least = min(_size_of(spark, key) for key in keys)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.filter(F.col("length") > least).select("length").limit(1).count() > 0
 
@@ -363,6 +375,7 @@ def read_dump(spark: SparkSession, path, dialect: str = "mysql", max_blocks: int
     blocks = entries.count()
     if blocks > max_blocks:
         raise ValueError(f"{blocks} blocks; raise spark.sql.files.maxPartitionBytes")
+    _refuse_endless(entries, max(1, MAX_STATEMENT_BYTES // _size_of(spark, "spark.sql.files.maxPartitionBytes")))
     placed = lines.join(F.broadcast(entries.select("dump_id", "start", "state", "base")), ["dump_id", "start"], "left")
     whole = placed.select(
         "dump_id",

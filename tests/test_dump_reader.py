@@ -5,6 +5,7 @@ import random
 import pytest
 
 from siteferry.functions.text import JS_SPACE_CHARS
+from siteferry.sources import dump as dump_module
 from siteferry.sources.dump import OUTSIDE, STATES, Cutter, _ends_from, _strip, read_dump
 
 
@@ -120,3 +121,14 @@ def test_block_size_does_not_matter(spark, tmp_path, dialect, block):
     for file in tmp_path.glob("*.sql"):
         got = [r.sql for r in sorted(rows, key=lambda r: r.stmt_no) if r.dump_id.endswith("/" + file.name)]
         assert got == statements_one_by_one(file.read_text(newline=""), dialect), file.name
+
+
+def test_a_quote_left_open_over_many_blocks_is_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "open.sql").write_text("SELECT 1;\nSELECT '" + "x;\n" * 2000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    monkeypatch.setattr(dump_module, "MAX_STATEMENT_BYTES", 1024)
+    try:
+        with pytest.raises(ValueError, match="left open"):
+            read_dump(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
