@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from siteferry.operators import inventory
-from siteferry.plans.inputs import derive, plain, table
+from siteferry.plans.inputs import derive, each, plain, table
 
 # Every document is a file; entries say where each goes; the target tree lacks some and differs in others.
 SOURCE = """
@@ -25,11 +25,14 @@ SELECT concat('set', doc_id % 9) AS `set`, concat('files/', doc_id % 7, '/', doc
     CASE WHEN doc_id % 10 = 1 AND doc_id % 9 < 4 THEN '.gone' ELSE '.txt' END) AS backup,
   CASE WHEN doc_id % 13 = 0 AND doc_id % 9 < 5 THEN concat(text, '?') ELSE text END AS text
 FROM {documents}"""
+each(
+    "f",
+    ("n", "file", "folder"),
+    (*((n, p, int(d)) for n, (p, d, _) in enumerate(inventory.REQUIRED_ARTIFACTS)), (8, "assets/core-other/a", 0)),
+)
 TREES = """
 SELECT n_nationkey AS site, concat(f.file, CASE WHEN f.folder = 1 AND n_nationkey % 2 = 0 THEN '/x/y' ELSE '' END) AS path
-FROM {nation} CROSS JOIN (VALUES (0, 'assets/driver.json', 0), (1, 'assets/prefill.json', 0), (2, 'assets/core', 1),
-  (3, 'assets/modules', 1), (4, 'assets/drupal-pf/core.pf.json', 0), (5, 'assets/drupal-pf/core.pf.bin', 0), (6, 'assets/drupal-sql', 1),
-  (7, 'assets/drupal/twig-bake.json', 0), (8, 'assets/core-other/a', 0)) AS f(n, file, folder)
+FROM {nation} @f@
 WHERE n_nationkey % 11 <> 5 AND (n_nationkey + f.n) % 6 <> 0"""
 LOGS = """
 SELECT p_partkey, concat('Total Upload: 11000.00 KiB / ', CASE p_partkey % 5 WHEN 0 THEN concat('gzip: ', p_partkey * 7 + 1000, '.25 KiB')

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteferry.operators import baseline, gate
-from siteferry.plans.inputs import derive, plain, table
+from siteferry.plans.inputs import derive, each, plain, table
 
 BEFORE = "SELECT event_type AS account, user_id AS name FROM {events} WHERE event_id % 4 <> 0"
 AFTER = "SELECT event_type AS account, user_id AS name FROM {events} WHERE event_id % 4 <> 1"
@@ -27,12 +27,10 @@ SELECT event_id, CASE WHEN event_type = 'error' THEN 403 WHEN event_type = 'sign
             ELSE '{{"success":true}}' END AS body
 FROM {events}"""
 
-CHECKS = """
+_EACH_CHECK = each("c", ("n", "id"), tuple(enumerate(gate.ALL_CHECKS)))
+CHECKS = f"""
 SELECT s.s_suppkey AS subject, c.id AS id, (s.s_suppkey + c.n) % 7 <> 0 AS ran, (s.s_suppkey * 3 + c.n) % 5 <> 0 AS ok
-FROM {supplier} s CROSS JOIN (SELECT r_regionkey AS n,
-  CASE r_regionkey WHEN 0 THEN 'workspace' WHEN 1 THEN 'artifacts' WHEN 2 THEN 'config' WHEN 3 THEN 'scrub'
-    ELSE 'bundle' END AS id FROM {region}) c
-WHERE (s.s_suppkey + c.n) % 11 <> 0"""
+FROM {{supplier}} s {_EACH_CHECK} WHERE (s.s_suppkey + c.n) % 11 <> 0"""
 
 
 def _baseline_diff(spark, sf_dir):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteferry.operators import survey, survey_rules
-from siteferry.plans.inputs import derive, plain
+from siteferry.plans.inputs import derive, each, plain
 
 # Ten steps per host; some are missing, some failed, some hosts were captured twice. `<>` stand for braces
 # and `~` for a new line.
+each("s", ("n", "step_id"), tuple((n, step) for n, (step, _) in enumerate(survey.STEPS)))
 TRANSCRIPTS = """
 SELECT concat('host', c_custkey) AS host, '/var/www' AS root, s.step_id AS step_id,
   CASE WHEN (c_custkey + s.n) % 13 = 0 THEN 127 ELSE 0 END AS code,
@@ -32,8 +33,7 @@ SELECT concat('host', c_custkey) AS host, '/var/www' AS root, s.step_id AS step_
     ELSE concat('', c_custkey % 10) END END AS stdout
 FROM (SELECT c_custkey, 1 AS captured FROM {customer} UNION ALL
       SELECT c_custkey, 0 AS captured FROM {customer} WHERE c_custkey % 8 = 0) c
-CROSS JOIN (VALUES (0, 'php-version'), (1, 'php-modules'), (2, 'drush-version'), (3, 'drush-status'), (4, 'modules'),
-  (5, 'files-kb'), (6, 'files-count'), (7, 'db-bytes'), (8, 'nodes'), (9, 'image-styles')) AS s(n, step_id)
+@s@
 WHERE (c_custkey + s.n) % 17 <> 0"""
 
 
