@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteferry.operators import survey, survey_rules
-from siteferry.plans.inputs import derive, each, plain
+from siteferry.plans.inputs import derive, each
 
 # Ten steps per host; some are missing, some failed, some hosts were captured twice. `<>` stand for braces
 # and `~` for a new line.
