@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from siteferry.plans import registry
 from tests.checking import compare, connect
 
 SF_DIR = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = registry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
