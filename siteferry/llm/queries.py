@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siteferry.llm.exact_dedup import exact_duplicates
 from siteferry.llm.mixing import mix
+from siteferry.llm.near_dedup import near_duplicates
 from siteferry.llm.packing import pack
 from siteferry.llm.url_filter import judge_urls, rule_table
 
@@ -34,6 +35,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op5_near_dedup": op5_near_dedup,
     "op8_mix": op8_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
