@@ -8,6 +8,7 @@ from siteferry.llm.exact_dedup import exact_duplicates
 from siteferry.llm.mixing import mix
 from siteferry.llm.near_dedup import near_duplicates
 from siteferry.llm.packing import pack
+from siteferry.llm.toxicity import score_toxicity, toxicity_model
 from siteferry.llm.url_filter import judge_urls, rule_table
 
 # Rules of the url query: host, path prefix, verdict. Fixed by its contract.
@@ -39,6 +40,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score_toxicity(documents, toxicity_model(documents, _table(spark, sf_dir, "labels")))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op5_near_dedup": op5_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_mix": op8_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
