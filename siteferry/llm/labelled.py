@@ -21,9 +21,7 @@ def labelled_sample(
 
     Of several labels of one identifier the largest counts; labels other than 0 and 1 and null identifiers do not.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
-    known = known.filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
+    known = _known(labels, label)
     order = F.xxhash64("_id")
     chosen = [known.filter(F.col("_label") == c).orderBy(order, "_id").limit(max_rows) for c in (0, 1)]
     # Both limits bound what is broadcast and what comes to the driver.
@@ -32,3 +30,15 @@ def labelled_sample(
     texts = found.groupBy("_id", "_label").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text")).collect()
     texts.sort(key=lambda row: row["_id"])
     return [(row["_text"], row["_label"]) for row in texts]
+
+
+def class_counts(labels: DataFrame, label: str) -> tuple[int, int]:
+    """How many identifiers, not held out, have label 0 and label 1; the sample above may hold them in other shares."""
+    rows = {row["_label"]: row["count"] for row in _known(labels, label).groupBy("_label").count().collect()}
+    return rows.get(0, 0), rows.get(1, 0)
+
+
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
+    known = known.filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    return known.groupBy("_id").agg(F.max("_label").alias("_label"))

@@ -9,6 +9,7 @@ from siteferry.llm.line_dedup import duplicate_lines
 from siteferry.llm.mixing import mix
 from siteferry.llm.near_dedup import near_duplicates
 from siteferry.llm.packing import pack
+from siteferry.llm.quality import quality_network, score_quality
 from siteferry.llm.toxicity import score_toxicity, toxicity_model
 from siteferry.llm.url_filter import judge_urls, rule_table
 
@@ -37,6 +38,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score_quality(documents, quality_network(documents, _table(spark, sf_dir, "labels")))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_lines(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
