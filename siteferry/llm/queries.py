@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siteferry.llm.exact_dedup import exact_duplicates
+from siteferry.llm.html_text import extract_text
 from siteferry.llm.line_dedup import duplicate_lines
 from siteferry.llm.mixing import mix
 from siteferry.llm.near_dedup import near_duplicates
@@ -56,6 +57,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, toxicity_model(documents, _table(spark, sf_dir, "labels")))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_html_text": op7_html_text,
     "op8_mix": op8_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
