@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteferry.llm.exact_dedup import exact_duplicates
 from siteferry.llm.html_text import extract_text
@@ -11,6 +12,7 @@ from siteferry.llm.mixing import mix
 from siteferry.llm.near_dedup import near_duplicates
 from siteferry.llm.packing import pack
 from siteferry.llm.quality import quality_network, score_quality
+from siteferry.llm.topk import top_k
 from siteferry.llm.toxicity import score_toxicity, toxicity_model
 from siteferry.llm.url_filter import judge_urls, rule_table
 
@@ -39,6 +41,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return score_quality(documents, quality_network(documents, _table(spark, sf_dir, "labels")))
@@ -76,6 +82,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_topk": op2_topk,
     "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_dedup": op5_near_dedup,
@@ -86,6 +93,22 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
+_OP2_SQL = """
+WITH whole AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)])::BIGINT AS score
+    FROM whole AS q JOIN whole AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 _OP9_SQL = r"""
 WITH n AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
@@ -165,6 +188,7 @@ FROM (SELECT page_id, host, path, query, coalesce(whole, false) AS whole FROM pl
 """
 
 ORACLES = {
+    "op2_topk": _OP2_SQL,
     "op9_exact_dedup": _OP9_SQL,
     "op10_url_filter": _OP10_SQL,
 }
