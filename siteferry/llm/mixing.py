@@ -160,21 +160,20 @@ def mixed_stream(documents: DataFrame, **options) -> DataFrame:
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     source_col = options.get("source_col", "source")
-    keys = ["_mix_id", "_mix_source", "_mix_chars"]
-    own = {
-        "_mix_id": F.col(id_col),
-        "_mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-        "_mix_chars": F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("bigint"),
-    }
-    places = mix(documents, **options).select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("n_chars").alias("_mix_chars"),
-        "slot", "position",
-    )
+    whole = documents.select(F.struct("*").alias("row"))
+    row = whole.select(
+        "row",
+        F.col("row")[id_col].alias("row_id"),
+        F.coalesce(F.col("row")[source_col].cast("string"), F.lit("")).alias("row_source"),
+        F.coalesce(F.length(F.col("row")[text_col]), F.lit(0)).cast("bigint").alias("row_chars"),
+    )
     # Rows that repeat identifier, source and length share the first of their places.
-    first = places.groupBy(*keys).agg(F.min(F.struct("slot", "position")).alias("_mix_at"))
-    keyed = documents.withColumns(own)
-    same = [keyed[k].eqNullSafe(first[k]) for k in keys]
-    joined = keyed.join(first, same, "left")
-    at = first["_mix_at"]
-    ordered = joined.repartitionByRange(at["slot"], at["position"]).sortWithinPartitions(at["slot"], at["position"])
-    return ordered.select(*[keyed[c] for c in documents.columns])
+    places = mix(documents, **options).groupBy("doc_id", "source", "n_chars").agg(F.min(F.struct("slot", "position")).alias("at"))
+    same = (
+        F.col("row_id").eqNullSafe(F.col("doc_id"))
+        & (F.col("row_source") == F.col("source"))
+        & (F.col("row_chars") == F.col("n_chars"))
+    )
+    placed = row.join(places, same, "left").select("row", "at.slot", "at.position")
+    ordered = placed.repartitionByRange("slot", "position").sortWithinPartitions("slot", "position")
+    return ordered.select(*[F.col("row")[c].alias(c) for c in documents.columns])

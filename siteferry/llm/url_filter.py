@@ -127,7 +127,7 @@ def judge_urls(
     url = F.col(url_col)
     found = alias_edges(pages, url_col, html_col)
     found = cut_lineage(found if edges is None else found.unionByName(edges.select("a", "b")).distinct())
-    kept = [c for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict", "rule_verdict", "_resource")]
+    kept = [c for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict", "rule_verdict", "_resource", "_spread")]
     rows = pages.select(
         *kept, host_of(url).alias("host"), path_of(url).alias("path"), resource_of(url).alias("_resource")
     )
