@@ -48,9 +48,12 @@ def _laid_out(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return data, first
 
 
-def _hop_maxima(net: Network, data: np.ndarray, hops: int, places: bool) -> tuple[np.ndarray, np.ndarray | None]:
+def _hop_maxima(net: Network, data: np.ndarray, first: np.ndarray, places: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """The greatest rectified output of each filter in each hop, and where it is."""
     width, filters = net.tables.shape[0], net.tables.shape[2]
+    hops = int(first[-1])
+    final = np.zeros(hops, dtype=bool)
+    final[first[1:] - 1] = True
     best = np.empty((hops, filters), dtype=np.float32)
     at = np.empty((hops, filters), dtype=np.int64) if places else None
     step = max(1, _SLICE_BYTES // HOP)
@@ -61,6 +64,7 @@ def _hop_maxima(net: Network, data: np.ndarray, hops: int, places: bool) -> tupl
         for k in range(1, width):
             out += net.tables[k][data[low + k : low + k + n * HOP]]
         shaped = out.reshape(n, HOP, filters)
+        shaped[final[h : h + n], HOP - width + 1 :] = -np.inf  # these lie in the zeros and reach into the next text
         if places:
             where = shaped.argmax(axis=1)
             at[h : h + n] = where + (low + HOP * np.arange(n))[:, None]
@@ -89,7 +93,7 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     data, first = _laid_out(texts, net.tables.shape[0])
-    maxima, _ = _hop_maxima(net, data, int(first[-1]), places=False)
+    maxima, _ = _hop_maxima(net, data, first, places=False)
     features = _features(_chunked(maxima, first)[1], first)
     return 1 / (1 + np.exp(-np.clip(features.astype(np.float64) @ net.weights + net.bias, -30, 30)))
 
@@ -129,7 +133,7 @@ def train(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None, se
             steps += 1
             batch = order[low : low + BATCH_ROWS]
             data, first = _laid_out([texts[i] for i in batch], WIDTH)
-            maxima, at = _hop_maxima(net, data, int(first[-1]), places=True)
+            maxima, at = _hop_maxima(net, data, first, places=True)
             nxt, pooled = _chunked(maxima, first)
             features = _features(pooled, first)
             score = 1 / (1 + np.exp(-np.clip(features @ net.weights + net.bias, -30, 30)))
