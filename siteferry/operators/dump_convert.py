@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteferry.functions.scale import computed_once
-from siteferry.functions.sqltext import VALUE_DEPTH, encode_string, identifier, items, parens, rewrite
+from siteferry.functions.sqltext import encode_string, identifier, rewrite, tuples
 from siteferry.functions.text import grouped, measured_length, preview
 from siteferry.operators import dump_catalog as catalog
 from siteferry.operators import dump_statements as statements
@@ -35,12 +35,12 @@ def render_inserts(classified: DataFrame, from_: str, to: str, split_rows: bool)
     """INSERTs for the target, one per row or one per source statement: (.., table, sql, tuples)."""
     heads = statements.insert_heads(classified, from_).withColumn("head", rewrite(F.col("head"), from_, to))
     if split_rows:
-        tuples = F.regexp_extract_all("tail", F.lit(parens(from_, VALUE_DEPTH)), 0)
-        rows = heads.select("dump_id", "stmt_no", "table", "head", F.posexplode(tuples).alias("part_no", "tuple"))
+        each = F.posexplode(tuples(F.col("tail"), from_)).alias("part_no", "tuple")
+        rows = heads.select("dump_id", "stmt_no", "table", "head", each)
         text, count = rewrite(F.col("tuple"), from_, to), F.lit(1).cast("bigint")
     else:
-        groups = items(F.col("tail"), from_, VALUE_DEPTH + 1)
-        rows = heads.withColumn("part_no", F.lit(0)).withColumn("_groups", groups)
+        listed = heads.withColumn("part_no", F.lit(0))
+        rows = computed_once(listed, _groups=tuples(F.col("tail"), from_)).filter(F.size("_groups") > 0)
         text, count = rewrite(F.array_join("_groups", ", "), from_, to), F.size("_groups").cast("bigint")
     return rows.select(
         "dump_id",
@@ -138,6 +138,7 @@ def convert(
         emitted = opening.unionByName(emitted)
     refusals = (
         statements.statement_refusals(classified, from_)
+        .unionByName(statements.tail_refusals(classified, from_))
         .unionByName(catalog.definition_refusals(classified, mapped, from_, to))
         .unionByName(_wide_refusals(rows, limit, unit))
     )
@@ -146,14 +147,17 @@ def convert(
         width_audit(rows, limit, unit),
         refusals,
         catalog.lossy_report(mapped, keys, to),
-        convert_summary(emitted, rows, refusals, unit),
+        convert_summary(emitted, rows, refusals, unit, classified.select("dump_id")),
     )
 
 
-def convert_summary(emitted: DataFrame, rows: DataFrame, refusals: DataFrame, unit: str = "chars") -> DataFrame:
+def convert_summary(
+    emitted: DataFrame, rows: DataFrame, refusals: DataFrame, unit: str = "chars", dumps: DataFrame | None = None
+) -> DataFrame:
     """Per dump: statements, tables, indexes, rows, skipped, and the widest INSERT, kept or not.
 
-    The three inputs are folded to one small row per task and dump before anything is shuffled.
+    A dump listed in `dumps` has a row of zeros where nothing of it was emitted or refused. The inputs are
+    folded to one small row per task and dump before anything is shuffled.
     """
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
     kind = F.col("kind")
@@ -181,6 +185,9 @@ def convert_summary(emitted: DataFrame, rows: DataFrame, refusals: DataFrame, un
             )
         )
     )
+    if dumps is not None:
+        zeros = [zero.alias(c) for c in ("statements", "tables", "indexes", "rows", "skipped")]
+        parts = parts.unionByName(dumps.select("dump_id").distinct().select("dump_id", *zeros, none.alias("widest")))
     sums = [F.sum(c).alias(c) for c in ("statements", "tables", "indexes", "rows", "skipped")]
     return parts.groupBy("dump_id").agg(*sums, F.coalesce(F.max("widest"), zero).alias("widest"))
 
@@ -192,16 +199,20 @@ def assert_none(refusals: DataFrame) -> None:
         raise ValueError(f"{first[0]['reason']}: {first[0]['preview']}")
 
 
-def emitted_counts(lines: DataFrame, sql: str = "sql") -> DataFrame:
-    """Rows per table counted off the emitted one-row INSERTs, not off any counter."""
-    name = F.regexp_extract(sql, r'^INSERT INTO (?:"((?:[^"]|"")+)"|`(?:[^`]|``)+`)', 1)
-    tick = F.regexp_extract(sql, r"^INSERT INTO `((?:[^`]|``)+)`", 1)
+def emitted_counts(lines: DataFrame, sql: str = "sql", by: Sequence[str] = ("dump_id",)) -> DataFrame:
+    """Rows per dump and table counted off the emitted one-row INSERTs, not off any counter.
+
+    Rows that keep the word REPLACE count too. `by` names the columns that tell dumps apart; none for bare lines.
+    """
+    verb = r"(?i)^(?:INSERT|REPLACE)\s+INTO\s+"
+    name = F.regexp_extract(sql, verb + r'"((?:[^"]|"")+)"', 1)
+    tick = F.regexp_extract(sql, verb + r"`((?:[^`]|``)+)`", 1)
     table = F.when(name != "", F.replace(name, F.lit('""'), F.lit('"'))).otherwise(
         F.replace(tick, F.lit("``"), F.lit("`"))
     )
     return (
-        lines.filter(F.col(sql).startswith("INSERT INTO "))
-        .groupBy(table.alias("table"))
+        lines.filter(F.col(sql).rlike(verb))
+        .groupBy(*by, table.alias("table"))
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("table") != "")
     )
@@ -222,10 +233,15 @@ def structure_only(
     return emitted.filter(~(regenerable & (F.col("kind") == "row"))), names
 
 
-def export_envelope(emitted: DataFrame, limit: int = STATEMENT_CHARS, unit: str = "chars") -> DataFrame:
-    """Per dump: statements, characters with one newline between statements, widest, and `replayable`."""
+def export_envelope(
+    emitted: DataFrame, limit: int = STATEMENT_CHARS, unit: str = "chars", dumps: DataFrame | None = None
+) -> DataFrame:
+    """Per dump: statements, characters with one newline between statements, widest, and `replayable`.
+
+    A dump listed in `dumps` of which nothing was emitted has zeros and is replayable.
+    """
     width = measured_length(F.col("sql"), unit)
-    return (
+    found = (
         emitted.groupBy("dump_id")
         .agg(
             F.count(F.lit(1)).alias("statements"),
@@ -235,15 +251,20 @@ def export_envelope(emitted: DataFrame, limit: int = STATEMENT_CHARS, unit: str
         )
         .withColumn("replayable", F.col("max_statement_chars") <= limit)
     )
+    if dumps is None:
+        return found
+    nothing = {c: 0 for c in ("statements", "chars", "rows", "max_statement_chars")}
+    return dumps.select("dump_id").distinct().join(found, "dump_id", "left").fillna({**nothing, "replayable": True})
 
 
 def write_dump(emitted: DataFrame, path: str) -> None:
     """Writes a dump as text: the charset line, then definitions, then rows in one folder per table.
 
-    Rows stay in the tasks that made them, so a table holding most of the dump is written by many tasks.
+    The folder of a dump is the last part of its name and a digest of the whole name, so dumps of one base name
+    in different places stay apart. Rows stay in the tasks that made them, so a table holding most of the dump is written by many tasks.
     Read in the order of the folder names, the files replay.
     """
-    dump = F.regexp_extract("dump_id", r"([^/]+)/*$", 1)
+    dump = F.concat(F.regexp_extract("dump_id", r"([^/]*)/*$", 1), F.lit("-"), F.md5("dump_id"))
     named = emitted.withColumn("dump", dump)
     opening = named.filter(F.col("kind") == "charset")
     opening.select("dump", "sql").write.partitionBy("dump").text(f"{path}/0-charset")

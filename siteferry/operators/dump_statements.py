@@ -12,6 +12,7 @@ from siteferry.functions.scale import computed_once
 from siteferry.functions.sqltext import (
     CAST_HEX,
     VALUE_DEPTH,
+    after_tuples,
     decode_string,
     inside,
     items,
@@ -19,6 +20,7 @@ from siteferry.functions.sqltext import (
     parens,
     quoted,
     single_quoted,
+    tuples,
     unquote_identifier,
     values_head,
 )
@@ -84,11 +86,28 @@ def insert_heads(classified: DataFrame, dialect: str) -> DataFrame:
 
 
 def insert_rows(classified: DataFrame, dialect: str) -> DataFrame:
-    """One row per tuple of a VALUES list: (dump_id, stmt_no, table, columns, head, row_no, tuple)."""
+    """One row per tuple of a VALUES list: (dump_id, stmt_no, table, columns, head, row_no, tuple).
+
+    The first text that is no whole tuple ends the list; `tail_refusals` reports it.
+    """
     heads = insert_heads(classified, dialect)
-    tuples = F.regexp_extract_all("tail", F.lit(parens(dialect, VALUE_DEPTH)), 0)
     rest = [c for c in heads.columns if c != "tail"]
-    return heads.select(*rest, F.posexplode(tuples).alias("row_no", "tuple"))
+    return heads.select(*rest, F.posexplode(tuples(F.col("tail"), dialect)).alias("row_no", "tuple"))
+
+
+def tail_refusals(classified: DataFrame, dialect: str) -> DataFrame:
+    """What a VALUES list holds beside whole tuples: (dump_id, stmt_no, reason, preview).
+
+    A dump cut off while it was written, a clause after the rows, and nesting beyond what is read all end here.
+    """
+    heads = insert_heads(classified, dialect).select("dump_id", "stmt_no", "table", "tail")
+    cut = computed_once(heads, rest=after_tuples(F.col("tail"), dialect))
+    empty = js_trim(F.col("tail")) == ""
+    left = cut.filter(empty | (F.col("rest") != ""))
+    reason = F.when(empty, "INSERT with an empty VALUES list").otherwise(
+        F.concat(F.lit("text that is no row in the VALUES list of "), F.col("table"))
+    )
+    return left.select("dump_id", "stmt_no", reason.alias("reason"), preview(F.col("rest")).alias("preview"))
 
 
 def decode_values(rows: DataFrame, dialect: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,8 +113,9 @@ def diff_rows(
         changed = F.broadcast(changed)
     hexed = lambda df, name: df.select(
         *key, F.struct(*[F.hex(_binary(df, c)).alias(c) for c in cols]).alias(name)
-    ).join(changed, key)
-    pair = hexed(expected, "_e").join(hexed(actual, "_a"), key)
+    )
+    ours = _join_keys(hexed(expected, "_e"), changed, key)
+    pair = _join_keys(ours, _join_keys(hexed(actual, "_a"), changed, key), key)
     cells = F.array(
         *[
             F.when(
@@ -132,6 +134,17 @@ def diff_rows(
     return whole.unionByName(detail)
 
 
+def _join_keys(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equality join in which a null key part equals a null one."""
+    named = right.withColumnsRenamed({k: f"_of_{k}" for k in key})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key])
+    joined = left.join(named, same, how)
+    if how != "full_outer":
+        return joined.drop(*[f"_of_{k}" for k in key])
+    rest = [c for c in joined.columns if c not in key and c not in {f"_of_{k}" for k in key}]
+    return joined.select(*[F.coalesce(k, f"_of_{k}").alias(k) for k in key], *rest)
+
+
 def _binary(df: DataFrame, c: str) -> Column:
     kind = dict(df.dtypes)[c]
     return F.col(c) if kind == "binary" else F.col(c).cast("string").cast("binary")
@@ -168,21 +181,27 @@ def diff_numeric(
     return found.select(*key, "column", shown("expected").alias("expected"), shown("actual").alias("actual"))
 
 
-def diff_counts(expected: DataFrame, actual: DataFrame, table: str = "table", n: str = "n") -> DataFrame:
-    """Rows per table on both sides, where they differ; a table one side lacks counts 0 there."""
-    joined = expected.select(table, F.col(n).alias("_e")).join(
-        actual.select(table, F.col(n).alias("_a")), table, "full_outer"
+def diff_counts(
+    expected: DataFrame, actual: DataFrame, on: Sequence[str] = ("table",), n: str = "n"
+) -> DataFrame:
+    """Rows per table, or per dump and table, on both sides where they differ; what one side lacks counts 0 there."""
+    on = list(on)
+    joined = _join_keys(
+        expected.select(*on, F.col(n).alias("_e")), actual.select(*on, F.col(n).alias("_a")), on, "full_outer"
     )
     return joined.select(
-        table,
+        *on,
         F.coalesce("_e", F.lit(0)).cast("bigint").alias("expected"),
         F.coalesce("_a", F.lit(0)).cast("bigint").alias("actual"),
     ).filter(F.col("expected") != F.col("actual"))
 
 
-def violating_structure_only(structure_only: DataFrame, counts: DataFrame, table: str = "table", n: str = "n") -> DataFrame:
-    """Tables promised as schema only that still carry rows."""
-    return structure_only.select(table).distinct().join(counts.select(table, n), table).filter(F.col(n) > 0)
+def violating_structure_only(
+    structure_only: DataFrame, counts: DataFrame, on: Sequence[str] = ("table",), n: str = "n"
+) -> DataFrame:
+    """Tables promised as schema only that still carry rows; `on` holds the dump too where there are several."""
+    on = list(on)
+    return _join_keys(counts.select(*on, n).filter(F.col(n) > 0), structure_only.select(*on).distinct(), on)
 
 
 def diff_three(declared: DataFrame, source: DataFrame, target: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -80,7 +80,8 @@ SELECT c_mktsegment AS dump_id, c_custkey AS stmt_no, CASE c_custkey % 9
     '`name` varchar(255) COLLATE utf8mb4_bin NOT NULL, `price` decimal(10,2) DEFAULT NULL, ',
     CASE WHEN c_custkey % 2 = 0 THEN '`shape` geometry, ' ELSE '' END,
     'PRIMARY KEY (`id`), UNIQUE KEY `nm` (`name`(191)), FULLTEXT KEY `ft` (`name`)) ENGINE=InnoDB')
-  WHEN 2 THEN concat('INSERT INTO `t', c_nationkey, '` VALUES (', c_custkey, ',~x;y~),(NULL,~(a,b)~)')
+  WHEN 2 THEN concat('INSERT INTO `t', c_nationkey, '` VALUES (', c_custkey, ',~x;y~),(NULL,~(a,b)~)',
+    CASE c_custkey % 5 WHEN 1 THEN ', (f(g(h(i(j(1))))),2)' WHEN 2 THEN ',(2,~b' WHEN 3 THEN ' AS new' ELSE '' END)
   WHEN 3 THEN concat('replace into `t', c_nationkey, '` (`id`) values (0x0F)')
   WHEN 4 THEN concat('DROP TABLE IF EXISTS `t', c_custkey, '`')
   WHEN 5 THEN concat('CREATE UNIQUE INDEX `i', c_custkey, '` ON `t1` (`name`(20), `id` DESC)')
@@ -191,7 +192,7 @@ def _convert_summary(spark, sf_dir):
 
 # An export of the documents, one table per source; two sources are regenerable tables.
 EXPORT = """
-SELECT 'site' AS dump_id, doc_id AS stmt_no, 0 AS part_no, 'row' AS kind,
+SELECT CASE WHEN doc_id % 7 = 0 THEN 'b/site.sql' ELSE 'a/site.sql' END AS dump_id, doc_id AS stmt_no, 0 AS part_no, 'row' AS kind,
   CASE WHEN doc_id % 10 < 3 THEN concat('cache_', source) WHEN doc_id % 10 = 3 THEN 'sessions' ELSE source END AS table,
   concat('INSERT INTO "', CASE WHEN doc_id % 10 < 3 THEN concat('cache_', source) WHEN doc_id % 10 = 3 THEN 'sessions'
     ELSE source END, '" VALUES (', doc_id, ', ', chr(39), replace(text, chr(39), concat(chr(39), chr(39))), chr(39), ');') AS sql,
@@ -203,7 +204,7 @@ WIDE = 20_000
 
 
 def _width_audit(spark, sf_dir):
-    return dump_convert.width_audit(derive(spark, sf_dir, EXPORT), WIDE).drop("dump_id")
+    return dump_convert.width_audit(derive(spark, sf_dir, EXPORT), WIDE)
 
 
 def _drop_wide(spark, sf_dir):
@@ -212,13 +213,13 @@ def _drop_wide(spark, sf_dir):
 
 
 def _emitted_counts(spark, sf_dir):
-    return dump_convert.emitted_counts(derive(spark, sf_dir, EXPORT))
+    return dump_convert.emitted_counts(derive(spark, sf_dir, EXPORT))  # of two dumps
 
 
 def _structure_only(spark, sf_dir):
     kept, spared = dump_convert.structure_only(derive(spark, sf_dir, EXPORT))
-    counts = kept.groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
-    return counts.unionByName(spared.select("table", F.lit(0).cast("bigint").alias("rows")))
+    counts = kept.groupBy("dump_id", "table").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.unionByName(spared.select("dump_id", "table", F.lit(0).cast("bigint").alias("rows")))
 
 
 def _violating(spark, sf_dir):
@@ -226,7 +227,7 @@ def _violating(spark, sf_dir):
 
     export = derive(spark, sf_dir, EXPORT)
     _, spared = dump_convert.structure_only(export)
-    return violating_structure_only(spared, dump_convert.emitted_counts(export))
+    return violating_structure_only(spared, dump_convert.emitted_counts(export), ["dump_id", "table"])
 
 
 def _export_envelope(spark, sf_dir):
@@ -265,8 +266,10 @@ _KIND = """CASE f WHEN 0 THEN 'noise' WHEN 1 THEN 'create_table' WHEN 2 THEN 'in
   ELSE 'insert' END END"""
 _ROWS = f"""
 SELECT s.dump_id, s.stmt_no, 't' || c_nationkey AS "table", CASE f WHEN 3 THEN 'id' END AS columns, r.n AS row_no, f,
-  CASE WHEN f = 3 THEN '(0x0F)' WHEN r.n = 0 THEN '(' || s.stmt_no || ',''x;y'')' ELSE '(NULL,''(a,b)'')' END AS tuple
-FROM {_S} s JOIN customer ON c_custkey = s.stmt_no, (VALUES (0), (1)) r(n) WHERE f = 2 OR (f = 3 AND r.n = 0)"""
+  CASE WHEN f = 3 THEN '(0x0F)' WHEN r.n = 0 THEN '(' || s.stmt_no || ',''x;y'')' WHEN r.n = 1 THEN '(NULL,''(a,b)'')'
+    ELSE '(f(g(h(i(j(1))))),2)' END AS tuple
+FROM {_S} s JOIN customer ON c_custkey = s.stmt_no, (VALUES (0), (1), (2)) r(n)
+WHERE (f = 2 AND (r.n < 2 OR s.stmt_no % 5 = 1)) OR (f = 3 AND r.n = 0)"""
 _COLUMNS = f"""
 SELECT s.dump_id, s.stmt_no, 't' || stmt_no AS "table", c.* FROM {_S} s, (VALUES
   (0, 'id', 'int(11)', 'INTEGER', true, true, CAST(NULL AS VARCHAR)), (1, 'name', 'varchar(255)', 'TEXT', true, false, NULL),
@@ -277,7 +280,10 @@ _EMITTED_ROWS = f"""
 SELECT dump_id, stmt_no, row_no AS part_no, CASE WHEN f = 3 THEN 'replace into "' || "table" || '" ("id") VALUES (x''0F'');'
   ELSE 'INSERT INTO "' || "table" || '" VALUES ' || tuple || ';' END AS sql FROM ({_ROWS})"""
 _REFUSALS = f"""
-SELECT dump_id, stmt_no, CASE WHEN f = 6 THEN 'VIEW is not converted' WHEN f = 7 THEN 'ALTER TABLE is not converted'
+SELECT dump_id, stmt_no, 'text that is no row in the VALUES list of t' || c_nationkey AS reason,
+  CASE stmt_no % 5 WHEN 2 THEN '(2,''b' ELSE 'AS new' END AS preview
+FROM {_S} JOIN customer ON c_custkey = stmt_no WHERE f = 2 AND stmt_no % 5 IN (2, 3)
+UNION ALL SELECT dump_id, stmt_no, CASE WHEN f = 6 THEN 'VIEW is not converted' WHEN f = 7 THEN 'ALTER TABLE is not converted'
   WHEN f = 1 THEN 'no sqlite class for the type geometry' WHEN stmt_no % 2 = 0 THEN 'unrecognised statement'
   ELSE 'INSERT with no VALUES list' END AS reason,
   CASE WHEN f = 6 THEN replace(sql, '   ', ' ') WHEN f = 1 THEN '`shape` geometry' ELSE sql END AS preview
@@ -309,9 +315,11 @@ SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linen
     "insert_rows": f'SELECT dump_id, stmt_no, "table", columns, CAST(row_no AS BIGINT) AS row_no, tuple FROM ({_ROWS})',
     "decode_values": f"""
 SELECT stmt_no, CAST(row_no AS BIGINT) AS row_no, CAST(0 AS BIGINT) AS position, CASE WHEN f = 3 THEN 'hex' WHEN row_no = 0
-  THEN 'number' ELSE 'null' END AS kind, CASE WHEN f = 2 AND row_no = 0 THEN CAST(stmt_no AS VARCHAR) END AS text,
+  THEN 'number' WHEN row_no = 1 THEN 'null' ELSE 'expr' END AS kind, CASE WHEN f = 2 AND row_no = 0
+  THEN CAST(stmt_no AS VARCHAR) WHEN row_no = 2 THEN 'f(g(h(i(j(1)))))' END AS text,
   CASE f WHEN 3 THEN '0F' END AS bytes FROM ({_ROWS})
-UNION ALL SELECT stmt_no, row_no, 1, 'string', CASE row_no WHEN 0 THEN 'x;y' ELSE '(a,b)' END, NULL FROM ({_ROWS}) WHERE f = 2""",
+UNION ALL SELECT stmt_no, row_no, 1, CASE row_no WHEN 2 THEN 'number' ELSE 'string' END,
+  CASE row_no WHEN 0 THEN 'x;y' WHEN 1 THEN '(a,b)' ELSE '2' END, NULL FROM ({_ROWS}) WHERE f = 2""",
     "schema_catalog": f"""
 SELECT stmt_no, "table", CAST(ordinal AS BIGINT) AS ordinal, "column", declared, type, type IS NULL AS refused, not_null,
   auto_increment, "default" FROM ({_COLUMNS})""",
@@ -339,17 +347,19 @@ SELECT d.dump_id, (SELECT count(*) FROM ({_DDL}) x WHERE x.dump_id = d.dump_id)
 FROM (SELECT DISTINCT dump_id FROM {_S}) d
 JOIN (SELECT dump_id, count(*) AS n, max(length(sql)) AS widest FROM ({_EMITTED_ROWS}) GROUP BY 1) r USING (dump_id)""",
     "width_audit": f"""
-SELECT "table", count(*) AS rows, max(length(sql)) AS widest FROM {plain(EXPORT_SQL)} WHERE length(sql) > {WIDE} GROUP BY 1""",
+SELECT dump_id, "table", count(*) AS rows, max(length(sql)) AS widest FROM {plain(EXPORT_SQL)} WHERE length(sql) > {WIDE}
+GROUP BY 1, 2""",
     "drop_wide": f"""
 SELECT "table", count(*) AS rows FROM {plain(EXPORT_SQL)}
 WHERE length(sql) + length(regexp_replace(sql, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) <= {WIDE} GROUP BY 1""",
-    "emitted_counts": f'SELECT "table", count(*) AS n FROM {plain(EXPORT_SQL)} GROUP BY 1',
+    "emitted_counts": f'SELECT dump_id, "table", count(*) AS n FROM {plain(EXPORT_SQL)} GROUP BY 1, 2',
     "structure_only": f"""
-SELECT "table", count(*) FILTER (WHERE NOT regexp_matches("table", '^cache(_|$)|^sessions$')) AS rows
-FROM {plain(EXPORT_SQL)} GROUP BY 1""",
+SELECT dump_id, "table", count(*) FILTER (WHERE NOT regexp_matches("table", '^cache(_|$)|^sessions$')) AS rows
+FROM {plain(EXPORT_SQL)} GROUP BY 1, 2""",
     "violating_structure_only": f"""
-SELECT "table", count(*) AS n FROM {plain(EXPORT_SQL)} WHERE regexp_matches("table", '^cache(_|$)|^sessions$') GROUP BY 1""",
+SELECT dump_id, "table", count(*) AS n FROM {plain(EXPORT_SQL)} WHERE regexp_matches("table", '^cache(_|$)|^sessions$')
+GROUP BY 1, 2""",
     "export_envelope": f"""
-SELECT 'site' AS dump_id, count(*) AS statements, CAST(sum(length(sql)) + count(*) - 1 AS BIGINT) AS chars, count(*) AS rows,
-  max(length(sql)) AS max_statement_chars, max(length(sql)) <= 100000 AS replayable FROM {plain(EXPORT_SQL)}""",
+SELECT dump_id, count(*) AS statements, CAST(sum(length(sql)) + count(*) - 1 AS BIGINT) AS chars, count(*) AS rows,
+  max(length(sql)) AS max_statement_chars, max(length(sql)) <= 100000 AS replayable FROM {plain(EXPORT_SQL)} GROUP BY 1""",
 }
