@@ -84,7 +84,7 @@ PATTERNS = (
     Pattern(
         "owner-token",
         "site owner token",
-        rf"{WORD_START}[A-Z][A-Z0-9]*_OWNER_TOKEN\s*[=:]\s*['\"]?[A-Za-z0-9_-]{{30,}}",
+        rf"{WORD_START}[A-Z][A-Z0-9_]*_OWNER_TOKEN\s*[=:]\s*['\"]?[A-Za-z0-9_-]{{30,}}",
         ("_OWNER_TOKEN",),
         "exports the whole site and resets its administrator",
     ),

@@ -54,7 +54,7 @@ _RE2 = {
     "pem": r"-----BEGIN (?:RSA |EC |OPENSSH |PGP )?PRIVATE KEY-----",
     "aws-key": r"\bAKIA[0-9A-Z]{16}\b",
     "cf-token": r"\b(?:CLOUDFLARE_API_TOKEN|CF_EMAIL_TOKEN)\s*[=:]\s*[''\"]?[A-Za-z0-9_-]{30,}",
-    "owner-token": r"\b[A-Z][A-Z0-9]*_OWNER_TOKEN\s*[=:]\s*[''\"]?[A-Za-z0-9_-]{30,}",
+    "owner-token": r"\b[A-Z][A-Z0-9_]*_OWNER_TOKEN\s*[=:]\s*[''\"]?[A-Za-z0-9_-]{30,}",
 }
 
 

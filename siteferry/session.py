@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # of a key written twice in one JSON object the last counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -44,18 +44,22 @@ def read_captures(
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "value"))), lambda p: p["value"]), "\n"
     )
+    gathered = lines.join(doubtful.select("capture"), "capture", "left_semi").groupBy("capture").agg(joined.alias("raw"))
+    trimmed = gathered.select("capture", js_trim(F.col("raw")).alias("text"))
+    # An array is taken apart as text and its elements are parsed one by one, so its size does not matter.
     whole = computed_once(
-        lines.join(doubtful.select("capture"), "capture", "left_semi").groupBy("capture").agg(joined.alias("text")),
-        record=V.parse_strict(F.col("text")),
-    ).filter(F.col("record").isNotNull())
+        trimmed, elements=V.array_texts(F.col("text")), record=F.when(~F.startswith("text", F.lit("[")), V.parse_strict(F.col("text")))
+    ).filter(F.col("record").isNotNull() | F.col("elements").isNotNull())
     whole_names = whole.select("capture")
     by_line = parsed.filter(F.col("record").isNotNull()).join(whole_names, "capture", "left_anti")
-    elements = F.when(V.is_array(F.col("record")), F.try_variant_get("record", "$", "array<variant>")).otherwise(
-        F.array("record")
-    )
-    records = by_line.select("capture", F.col("record").alias("value")).unionByName(
-        whole.select("capture", F.explode(elements).alias("value"))
+    # An element that is no JSON text by itself is a string that came without its quotes.
+    text = F.coalesce("element", F.lit("null"))
+    as_string = F.try_variant_get(F.try_parse_json(F.to_json(F.array(text))), "$[0]", "variant")
+    of_array = whole.select("capture", F.explode("elements").alias("element")).select(
+        "capture", F.coalesce(V.parse_strict(text), as_string).alias("value")
     )
+    single = whole.filter(F.col("record").isNotNull()).select("capture", F.col("record").alias("value"))
+    records = by_line.select("capture", F.col("record").alias("value")).unionByName(single).unionByName(of_array)
     listed = captures
     if listed is None:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -52,8 +52,16 @@ def list_files(spark: SparkSession, roots: Sequence[str], max_bytes: int = MAX_F
 
 def read_corpus(spark: SparkSession, roots: Sequence[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, text) of every file up to `max_bytes`; the size filter reaches the scan, before contents."""
-    frames = [_files(spark, root).filter(F.col("length") <= max_bytes) for root in roots]
-    return reduce(DataFrame.unionByName, frames).select("path", F.decode("content", "UTF-8").alias("text"))
+    found = []
+    for root in roots:
+        try:
+            files = _files(spark, root)
+        except AnalysisException as error:  # `list_files` reports a root that is not there
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        found.append(files.filter(F.col("length") <= max_bytes).select("path", F.decode("content", "UTF-8").alias("text")))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "path string, text string")
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
