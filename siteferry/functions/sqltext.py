@@ -68,9 +68,25 @@ def inside(text: Column) -> Column:
     return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
-def unquote_identifier(text: Column) -> Column:
-    text = F.regexp_replace(text, r"\A`|`\z", "")
-    return F.regexp_replace(text, r'\A"|"\z', "")
+# A name: quoted, with its quote doubled inside, or bare.
+NAME = r"""(?:`(?:[^`]|``)+`|"(?:[^"]|"")+"|[^\s`"'(),.;]+)"""
+
+
+def tokens(text: Column, dialect: str) -> Column:
+    """The text as names and words, whole parentheses, literals and single marks, without the white space between."""
+    return F.regexp_extract_all(text, F.lit(rf"{NAME}|{parens(dialect, TABLE_DEPTH)}|{_SINGLE[dialect]}|\S"), 0)
+
+
+def plain_name(token: Column) -> Column:
+    """The name that a token stands for: its quotes taken off and those inside halved."""
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    of = lambda q: F.replace(inner, F.lit(q + q), F.lit(q))
+    closed = lambda q: F.startswith(token, F.lit(q)) & F.endswith(token, F.lit(q)) & (F.length(token) > 2)
+    return F.when(closed("`"), of("`")).when(closed('"'), of('"')).otherwise(token)
+
+
+def parenthesised(token: Column) -> Column:
+    return F.startswith(token, F.lit("("))
 
 
 def identifier(name: Column, dialect: str) -> Column:

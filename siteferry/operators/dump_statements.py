@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siteferry.functions.scale import computed_once
 from siteferry.functions.sqltext import (
     CAST_HEX,
+    NAME,
     VALUE_DEPTH,
     after_tuples,
     decode_string,
@@ -18,10 +19,10 @@ from siteferry.functions.sqltext import (
     items,
     keyword,
     parens,
+    plain_name,
     quoted,
     single_quoted,
     tuples,
-    unquote_identifier,
     values_head,
 )
 from siteferry.functions.text import first_match, js_trim, preview
@@ -74,9 +75,10 @@ def insert_heads(classified: DataFrame, dialect: str) -> DataFrame:
     cut = computed_once(cut.withColumn("head", head).drop("_head", "sql", "kind"), _columns=F.regexp_extract(
         "head", rf"({parens(dialect, 0)})\s*\z", 1
     ))
-    table = first_match(F.col("head"), r"(?i)INTO\s+[`\"]?([^`\"\s(]+)")
+    # of a name with its database before it, the last part
+    table = plain_name(first_match(F.col("head"), rf"(?i)\bINTO\s+(?:{NAME}\s*\.\s*)*({NAME})"))
     columns = F.when(
-        F.col("_columns") != "", F.transform(items(inside(F.col("_columns")), dialect, 1), unquote_identifier)
+        F.col("_columns") != "", F.transform(items(inside(F.col("_columns")), dialect, 1), plain_name)
     )
     return cut.select(
         *[c for c in cut.columns if c != "_columns"],
