@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteferry.functions.text import WORD_END, WORD_START
+from siteferry.functions.scale import computed_once
+from siteferry.functions.text import WORD_END, WORD_START, when_array
 
 
 @dataclass(frozen=True)
@@ -22,63 +25,63 @@ class Pattern:
     risk: str
 
 
-# The shapes looked for. Each matches a value, never a mere name. Boundaries are ASCII.
+# Ids, kinds and the shapes looked for. A name that no value follows does not count. Boundaries are ASCII.
 PATTERNS = (
     Pattern(
         "bcrypt",
         "password hash",
         r"\$2[aby]\$\d{2}\$[./A-Za-z0-9]{53}",
         ("$2",),
-        "a user's password hash, open to offline guessing",
+        "whoever has it can try passwords against it at leisure",
     ),
     Pattern(
         "hash-salt",
         "Drupal hash_salt",
         r"\$settings\['hash_salt'\]\s*=\s*'[^']+'",
         ("hash_salt",),
-        "signs login links and form tokens",
+        "one-time logins can be forged with it",
     ),
     Pattern(
         "private-key",
         "system.private_key",
         r"system\.private_key[\s\S]{0,120}s:\d{2,}:",
         ("system.private_key",),
-        "signs internal tokens",
+        "tokens of the site can be forged with it",
     ),
     Pattern(
         "db-password",
         "database password",
         r"'password'\s*=>\s*'[^']+'",
         ("'password'",),
-        "opens the source database",
+        "lets its reader into the database",
     ),
     Pattern(
         "database-url",
         "database URL with a password",
         rf"(?i){WORD_START}(mysql|mariadb|pgsql|postgres(ql)?)://[^:@\s/]+:[^@\s/]+@",
         ("://",),
-        "a whole connection string with user and password",
+        "names server, user and password at once",
     ),
     Pattern(
         "pem",
         "private key",
         r"-----BEGIN (?:RSA |EC |OPENSSH |PGP )?PRIVATE KEY-----",
         ("PRIVATE KEY-----",),
-        "a private key in clear text",
+        "whoever has it is taken for its owner",
     ),
     Pattern(
         "aws-key",
         "AWS access key id",
         rf"{WORD_START}AKIA[0-9A-Z]{{16}}{WORD_END}",
         ("AKIA",),
-        "names a cloud account; its secret is often near",
+        "half of a pair; look for the other half close by",
     ),
     Pattern(
         "cf-token",
         "Cloudflare API token",
         rf"{WORD_START}(?:CLOUDFLARE_API_TOKEN|CF_EMAIL_TOKEN)\s*[=:]\s*['\"]?[A-Za-z0-9_-]{{30,}}",
         ("CLOUDFLARE_API_TOKEN", "CF_EMAIL_TOKEN"),
-        "acts on the account it belongs to",
+        "can change what the account runs",
     ),
     # any variable whose name ends in _OWNER_TOKEN
     Pattern(
@@ -86,7 +89,7 @@ PATTERNS = (
         "site owner token",
         rf"{WORD_START}[A-Z][A-Z0-9_]*_OWNER_TOKEN\s*[=:]\s*['\"]?[A-Za-z0-9_-]{{30,}}",
         ("_OWNER_TOKEN",),
-        "exports the whole site and resets its administrator",
+        "hands over the site and all its data",
     ),
 )
 
@@ -97,43 +100,29 @@ REPORT_WIDTH = 200
 MULTILINE_ID = "private-key"
 MULTILINE_START = r"system\.private_key"
 
-# Unicode noncharacters; one that a text does not hold marks where a multi-line match begins.
-MARKS = [chr(c) for c in range(0xFDD0, 0xFDD8)]
-
-
-def _table(patterns: Sequence[Pattern]) -> Column:
-    """The patterns as one constant array, ordered by id."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(p.id).alias("id"),
-                F.lit(p.kind).alias("kind"),
-                F.lit(p.risk).alias("risk"),
-                F.lit(p.regex).alias("regex"),
-                F.array(*[F.lit(n) for n in p.needles]).alias("needles"),
-            )
-            for p in sorted(patterns, key=lambda p: p.id)
-        ]
-    )
-
 
-def _near(text: Column, needles: Column) -> Column:
-    return F.exists(needles, lambda n: F.contains(text, n))
+def _near(text: Column, needles: Sequence[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(n)) for n in needles])
 
 
-def _matches(text: Column, p: Column) -> Column:
+def _matches(text: Column, p: Pattern) -> Column:
     """Whether one pattern matches; a plain substring search spares most texts the regex."""
-    return _near(text, p["needles"]) & F.rlike(text, p["regex"])
+    return _near(text, p.needles) & text.rlike(p.regex)
+
+
+def _needles(patterns: Sequence[Pattern]) -> list[str]:
+    return sorted({n for p in patterns for n in p.needles})
 
 
 def any_holds(text: Column, patterns: Sequence[Pattern] = PATTERNS) -> Column:
-    return F.exists(_table(patterns), lambda p: _matches(text, p))
+    return reduce(or_, [_matches(text, p) for p in patterns])
 
 
 def redact(text: Column, patterns: Sequence[Pattern] = PATTERNS) -> Column:
-    """Every match of every pattern replaced by `***`, trying only patterns whose needle is there."""
-    needed = F.filter(_table(patterns), lambda p: _near(text, p["needles"]))
-    return F.reduce(needed, text, lambda freed, p: F.regexp_replace(freed, p["regex"], F.lit("***")))
+    """Every match of every pattern replaced by `***`; a text without any needle is passed through."""
+    by_id = sorted(patterns, key=lambda p: p.id)
+    freed = reduce(lambda freed, p: F.regexp_replace(freed, p.regex, "***"), by_id, text)
+    return F.when(_near(text, _needles(patterns)), freed).otherwise(text)
 
 
 def _cut(line: Column) -> Column:
@@ -154,26 +143,24 @@ def scan_text(
     body = F.col(text)
     found = df.filter(any_holds(body, patterns)).select(*key, body.alias("_body"))
     spanning = next((p for p in patterns if p.id == MULTILINE_ID), None)
-    if spanning is None:
-        marked = found.withColumn("_mark", F.lit(None).cast("string"))
-    else:
-        mark = F.coalesce(*[F.when(~F.contains("_body", F.lit(m)), F.lit(m)) for m in MARKS])
-        tail = spanning.regex.removeprefix(MULTILINE_START)
-        begins = F.regexp_replace("_body", rf"{MULTILINE_START}(?={tail})", F.concat("_mark", F.lit("$0")))
-        marked = found.withColumn("_mark", F.when(any_holds(F.col("_body"), [spanning]), mark)).withColumn(
-            "_body", F.coalesce(begins, F.col("_body"))
-        )
-    needles = F.array(*[F.lit(n) for n in sorted({n for p in patterns for n in p.needles})])
+    begins = F.array().cast("array<int>") if spanning is None else _first_lines(F.col("_body"), spanning)
     numbered = F.transform(
-        F.split("_body", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))
+        F.split("_body", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("_line"))
     )
-    lines = marked.select(*key, "_mark", F.inline(F.filter(numbered, lambda l: _near(l["text"], needles))))
-    starts = F.coalesce(F.contains("text", F.col("_mark")), F.lit(False))
-    clean = F.when(F.col("_mark").isNotNull(), F.replace("text", F.col("_mark"), F.lit(""))).otherwise(
-        F.col("text")
-    )
-    lines = lines.select(*key, "line", clean.alias("_line"), starts.alias("_starts"))
-    return _hits(lines, key, patterns)
+    near = F.filter(numbered, lambda l: _near(l["_line"], _needles(patterns)))
+    lines = computed_once(found, _begins=begins).select(*key, "_begins", F.inline(near))
+    starts = F.array_contains("_begins", F.col("line"))
+    return _hits(lines.select(*key, "line", "_line", starts.alias("_starts")), key, patterns)
+
+
+def _first_lines(body: Column, spanning: Pattern) -> Column:
+    """The numbers of the lines on which matches of the one shape that spans lines begin."""
+    tail = spanning.regex.removeprefix(MULTILINE_START)
+    pieces = F.split(body, rf"{MULTILINE_START}(?={tail})", -1)
+    feeds = F.transform(pieces, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    before = lambda i: F.aggregate(F.slice(feeds, F.lit(1), i), F.lit(0), lambda a, n: a + n)
+    lines = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: before(i) + 1)
+    return F.when(_matches(body, spanning) & (F.size(pieces) > 1), lines).otherwise(F.array().cast("array<int>"))
 
 
 def scan_lines(
@@ -188,13 +175,13 @@ def scan_lines(
 
 def _hits(lines: DataFrame, key: Sequence[str], patterns: Sequence[Pattern]) -> DataFrame:
     line = F.col("_line")
-    found = F.filter(
-        _table(patterns), lambda p: _matches(line, p) | (F.col("_starts") & (p["id"] == MULTILINE_ID))
-    )
+    held = lambda p: _matches(line, p) | F.col("_starts") if p.id == MULTILINE_ID else _matches(line, p)
+    named = lambda p: F.struct(F.lit(p.id).alias("id"), F.lit(p.kind).alias("kind"), F.lit(p.risk).alias("risk"))
+    found = when_array(*[(held(p), named(p)) for p in sorted(patterns, key=lambda p: p.id)])
     freed = redact(line, patterns)
     freed = F.when(F.col("_starts"), F.regexp_replace(freed, rf"{MULTILINE_START}.*", "***")).otherwise(freed)
-    named = lines.select(*key, "line", _cut(freed).alias("redacted"), F.explode(found).alias("_p"))
-    return named.select(*key, "line", "redacted", "_p.id", "_p.kind", "_p.risk")
+    told = lines.select(*key, "line", _cut(freed).alias("redacted"), F.explode(found).alias("_p"))
+    return told.select(*key, "line", "redacted", "_p.id", "_p.kind", "_p.risk")
 
 
 def redact_corpus(df: DataFrame, text: str = "text", patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:

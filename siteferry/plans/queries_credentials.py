@@ -44,7 +44,7 @@ def _artifact_gate(spark, sf_dir):
     return credentials.artifact_gate(credentials.scan_text(derive(spark, sf_dir, PLANTED, heavy=True), ["doc_id"]))
 
 
-# The same shapes for RE2, whose \b is ASCII.
+# The same shapes for RE2, whose \b is ASCII.
 _RE2 = {
     "bcrypt": r"\$2[aby]\$\d{2}\$[./A-Za-z0-9]{53}",
     "hash-salt": r"\$settings\[''hash_salt''\]\s*=\s*''[^'']+''",

@@ -85,3 +85,10 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.text for r in sorted(numbered, key=lambda r: r.line)] == lines
     assert sorted(r.line for r in hits) == [50, 100, 150, 200, 250, 300]
+
+
+def test_key_over_lines_in_a_text_with_odd_characters(spark):
+    odd = "".join(chr(c) for c in range(0xFDD0, 0xFDF0))
+    text = f"{odd}\none\nx system.private_key\n;s:55:abc\nlast system.private_key s:10:z"
+    hits = credentials.scan_text(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).collect()
+    assert sorted((h.line, h.id, h.redacted) for h in hits) == [(3, "private-key", "x ***"), (5, "private-key", "last ***z")]
