@@ -6,6 +6,8 @@ the route: `/serve` is the worker's own, `/stats` and `/firstrun` report its sta
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,7 +212,8 @@ def _worker_rows(rows: DataFrame) -> DataFrame:
 def probe_results(responses: DataFrame) -> DataFrame:
     """One result per probe: kind, verdict, fields and notes.
 
-    A probe of kind `auto` whose answer has no worker header takes the latest plain response of its origin;
+    A probe of kind `auto` whose answer has no worker header takes the latest plain response of its origin (of
+    several of one time, the one with the greatest path and status);
     where none was captured the verdict stays null. Only those probes are joined.
     """
     bare = (F.size("own") == 0) & F.col("error").isNull() & (F.col("kind_wanted") == "auto")
@@ -219,7 +222,7 @@ def probe_results(responses: DataFrame) -> DataFrame:
     plain = prepare(responses, "plain")
     wanted = _plain_rows(plain.filter(F.col("kind_wanted") == "vps"), fallback=False)
     latest = plain.groupBy("origin").agg(
-        F.max_by(F.struct("path", "status", "wall_ms", "headers", "error"), "at").alias("_page")
+        F.max_by(F.struct("path", "status", "wall_ms", "headers", "error"), F.struct("at", "path", "status", "wall_ms")).alias("_page")
     )
     again = keyed_lookup(served.filter(bare).select("origin", "site", "at"), latest, ["origin"], ["site", "at"])
     seen = again.filter(F.col("_page").isNotNull()).select("origin", "site", "at", "_page.*")
@@ -316,10 +319,11 @@ def health_gate(results: DataFrame) -> DataFrame:
     )
 
 
-def latest_probe(results: DataFrame) -> DataFrame:
-    """The latest result of each (origin, site)."""
+def latest_probe(results: DataFrame, order: Sequence[str] = ("at", "path", "kind", "verdict")) -> DataFrame:
+    """The latest result of each (origin, site); columns of `order` after the time decide between results of one time."""
     rest = [c for c in results.columns if c not in ("origin", "site")]
-    return results.groupBy("origin", "site").agg(F.max_by(F.struct(*rest), "at").alias("_r")).select("origin", "site", "_r.*")
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")
+    return results.groupBy("origin", "site").agg(last).select("origin", "site", "_r.*")
 
 
 def health_counts(results: DataFrame, window: str = "1 hour") -> DataFrame:
