@@ -1,10 +1,11 @@
 """Exact dedup by a sort of the contents.
 
 Texts are normalised, dealt into ranges between sampled splitters, and sorted, so equal texts lie side by side; the
-comparison of each row with its neighbour, on the whole text, starts a new run wherever they differ. A text that
-very many rows share would fill one range, so a hash of the identifier is part of the sort key: such a text makes
-up to `salts` runs, spread over as many ranges. Runs are then put together by the digest of their text, on rows
-that no longer carry it.
+comparison of each row with its neighbour, on the whole text, starts a new run wherever they differ. The splitters
+are made of the first characters and a hash of the text, so the sample of them stays small however long the texts
+are. A text that very many rows share would fill one range, so a hash of the identifier is part of the sort key too: such a
+text makes up to `salts` runs, spread over as many ranges. Runs are then put together by the digest of their text,
+on rows that no longer carry it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from siteferry.session import cut_lineage
 SPACE = r"[\x20\x09-\x0D]+"
 
 DEFAULT_SALTS = 64
+HEAD_CHARS = 32
 
 
 def normalised(text: Column) -> Column:
@@ -38,8 +40,11 @@ def exact_duplicates(
     """
     salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int")
     rows = documents.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text"), salt.alias("_salt"))
-    run = W.partitionBy("_text", "_salt").orderBy(F.col("doc_id").asc_nulls_last())
-    compared = rows.repartitionByRange("_text", "_salt").select(
+    split = ["_head", "_hash", "_salt"]
+    keyed = rows.withColumn("_head", F.substring("_text", 1, HEAD_CHARS)).withColumn("_hash", F.xxhash64("_text"))
+    # The sort is by all of these; the ranges satisfy it, so the texts are shuffled once.
+    run = W.partitionBy(*split, "_text").orderBy(F.col("doc_id").asc_nulls_last())
+    compared = keyed.repartitionByRange(*split).select(
         "doc_id",
         "_salt",
         F.sha2("_text", 256).alias("text_sha256"),
