@@ -24,9 +24,9 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteferry.llm.labelled import held_out, labelled_sample
+from siteferry.llm.labelled import class_counts, held_out, labelled_sample
 
-MAX_ROWS = 4_000  # labelled rows of each class
+MAX_ROWS = 3_000  # labelled rows of each class
 THRESHOLD = 0.3
 
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 16_384
@@ -115,15 +115,18 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, slope * self.strength(text) + shift))))
 
 
-def train(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows; without rows of both classes, one that scores all texts by the base rate."""
+def train(rows: list[tuple[str, int]], counts: tuple[int, int] | None = None) -> Model:
+    """A model from (text, label) rows; without rows of both classes, one that scores all texts by the base rate.
+
+    `counts` are the true numbers of rows of label 0 and 1: where a class was sampled, its rows weigh more.
+    """
     sides = [[text for text, label in rows if label == c] for c in (0, 1)]
     if min(map(len, sides)) < 4:
         return Model(base_rate=len(sides[1]) / len(rows) if rows else 0.0)
     fit, check = [[s[::2] for s in sides], [s[1::2] for s in sides]]
-    counts = [Counter(w for text in side for w in set(windows(text))) for side in fit]
-    often = lambda w: counts[1][w] / len(fit[1]) / ((counts[0][w] + 0.5) / len(fit[0]))
-    marked = {w for w, n in counts[1].items() if n >= MIN_DOCUMENTS and often(w) >= MIN_RATIO}
+    held = [Counter(w for text in side for w in set(windows(text))) for side in fit]
+    often = lambda w: held[1][w] / len(fit[1]) / ((held[0][w] + 0.5) / len(fit[0]))
+    marked = {w for w, n in held[1].items() if n >= MIN_DOCUMENTS and often(w) >= MIN_RATIO}
     toxic = [" ".join(["", *(w for w in windows(text) if w in marked), ""]).encode() for text in fit[1]]
     plain = [" ".join(["", *windows(text), ""]).encode() for text in fit[0]]
     cut = [t[i : i + SAMPLE_BYTES] for t in plain for i in range(0, len(t), SAMPLE_BYTES)]
@@ -143,19 +146,24 @@ def train(rows: list[tuple[str, int]]) -> Model:
     model.evidence = {c: odds(seen[1][c], seen[0][c]) for c in seen[0].keys() | seen[1].keys()}
     model.unseen = min(0.0, odds(0, 0))
     strengths = [(scorer.strength(text), label) for label, side in enumerate(check) for text in side]
-    model.curve = _curve(np.array([s for s, _ in strengths]), np.array([y for _, y in strengths]))
+    y = np.array([label for _, label in strengths])
+    share = [count / len(side) for count, side in zip(counts or map(len, sides), sides)]
+    model.curve = _curve(np.array([s for s, _ in strengths]), y, np.where(y == 1, share[1], share[0]))
     return model
 
 
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps on the ridge likelihood of the scaled values."""
+def _curve(
+    x: np.ndarray, y: np.ndarray, weigh: np.ndarray, ridge: float = 1.0, steps: int = 50
+) -> tuple[float, float]:
+    """Slope and shift of a logistic curve, by Newton steps on the weighted ridge likelihood of the scaled values."""
+    weigh = weigh * len(weigh) / weigh.sum()
     middle, spread = x.mean(), x.std() or 1.0
     design = np.column_stack([(x - middle) / spread, np.ones(len(x))])
     weights, penalty = np.zeros(2), np.diag([ridge, 1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        slope = design.T @ (y - p) - penalty @ weights
-        bend = (design * (p * (1 - p))[:, None]).T @ design + penalty
+        slope = design.T @ (weigh * (y - p)) - penalty @ weights
+        bend = (design * (weigh * p * (1 - p))[:, None]).T @ design + penalty
         weights = weights + np.linalg.solve(bend, slope)
     return float(weights[0] / spread), float(weights[1] - weights[0] * middle / spread)
 
@@ -199,7 +207,7 @@ def drop_toxic(documents: DataFrame, model: Model, text_col: str = "text", thres
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """The model from at most `max_rows` labelled rows of each class that are not held out."""
-    return train(labelled_sample(documents, labels, "toxic", max_rows))
+    return train(labelled_sample(documents, labels, "toxic", max_rows), class_counts(labels, "toxic"))
 
 
 register_pickle_by_value(sys.modules[__name__])
