@@ -155,24 +155,27 @@ def signatures(source: DataFrame, words: int, coordinates: int) -> DataFrame:
 
 
 def _meetings(items: DataFrame, matches: int) -> DataFrame:
-    """(item, hub) for items that can match another: the smallest item of each posting list of its prefix."""
-    posted = items.select("item", F.posexplode("signature").alias("place", "value")).select(
-        "item", (F.shiftleft(F.col("place").cast("bigint"), 32) + F.col("value")).alias("pair")
+    """(number, hub) for items that can match another: the smallest item with the same pair in its prefix."""
+    posted = items.select("number", F.posexplode("signature").alias("place", "value")).select(
+        "number", (F.shiftleft(F.col("place").cast("bigint"), 32) + F.col("value")).alias("pair")
     )
-    lists = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("hub")).filter("n > 1")
+    lists = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = posted.join(lists, "pair")
-    own = W.partitionBy("item")  # at most one row for each coordinate
+    own = W.partitionBy("number")  # at most one row for each coordinate
     rank, count = F.row_number().over(own.orderBy("n", "pair")), F.count(F.lit(1)).over(own)
-    prefix = shared.select("item", "hub", rank.alias("rank"), count.alias("shared"))
-    return prefix.filter(F.col("rank") <= F.col("shared") - matches + 1).select("item", "hub").distinct()
+    ranked = shared.select("number", "pair", rank.alias("rank"), count.alias("shared"))
+    prefix = cut_lineage(ranked.filter(F.col("rank") <= F.col("shared") - matches + 1).select("number", "pair"))
+    # Two items that match meet in the prefix of both, so the lists of prefixes hold them together.
+    hubs = prefix.groupBy("pair").agg(F.min("number").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return prefix.join(hubs, "pair").select("number", "hub").distinct()
 
 
 def _block_linker(matches: int, numerator: int, denominator: int):
     """Links within one pair of blocks of a cluster, as a spanning forest: rows (a, b)."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("item").sort_values("item")
-        items, block = rows["item"].tolist(), rows["block"].to_numpy()
+        rows = rows.drop_duplicates("number").sort_values("number")
+        items, block = rows["number"].tolist(), rows["block"].to_numpy()
         sets = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         distinct, dense = np.unique(np.concatenate(sets), return_inverse=True)
@@ -218,7 +221,7 @@ def _links(
     block_shingles: int,
 ) -> DataFrame:
     """Confirmed links (a, b) between items that span every component; documents have doc_id and text."""
-    members = cut_lineage(heads.join(clusters, "item").select("item", "cluster", "first_id", "n_shingles"))
+    members = cut_lineage(heads.join(clusters, "number").select("number", "item", "cluster", "first_id", "n_shingles"))
     wanted = members.select(F.col("first_id").alias("doc_id")).distinct()
     if members.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -243,14 +246,14 @@ def _links(
     sets = texts.mapInArrow(shingles, "item binary, shingles binary, marks binary")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
     blocks = F.greatest(F.ceil(F.col("_n") / block_items), F.ceil(F.col("_s") / block_shingles)).cast("int")
-    block = F.pmod(F.xxhash64("item"), F.col("_blocks")).cast("int")
+    block = F.pmod(F.xxhash64("number"), F.col("_blocks")).cast("int")
     placed = members.join(sizes.filter("_n > 1").select("cluster", blocks.alias("_blocks")), "cluster")
-    placed = placed.select("item", "cluster", block.alias("block"), "_blocks")
+    placed = placed.select("number", "item", "cluster", block.alias("block"), "_blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     paired = placed.join(sets, "item").select("*", other.alias("_other"))
     low, high = F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")
-    grouped = paired.select("item", "cluster", "block", low, high, "shingles", "marks").groupBy("cluster", "low", "high")
-    return grouped.applyInPandas(_block_linker(matches, numerator, denominator), "a binary, b binary")
+    grouped = paired.select("number", "cluster", "block", low, high, "shingles", "marks").groupBy("cluster", "low", "high")
+    return grouped.applyInPandas(_block_linker(matches, numerator, denominator), "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -277,19 +280,21 @@ def near_duplicates(
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut_lineage(signatures(source, words, coordinates))
     filled = signed.filter("item is not null")
-    heads = filled.groupBy("item").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"))
-    heads = cut_lineage(heads)
-    meetings = _meetings(filled.select("item", "signature").dropDuplicates(["item"]), matches)
-    clusters = connected_components(meetings, "item", "hub").select(
-        F.col("node").alias("item"), F.col("component").alias("cluster")
+    heads = filled.groupBy("item").agg(
+        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+    )
+    # Numbers take half the room of digests in all that follows; the written table keeps them as they are.
+    heads = cut_lineage(heads.withColumn("number", F.monotonically_increasing_id()))
+    clusters = connected_components(_meetings(heads, matches), "number", "hub").select(
+        F.col("node").alias("number"), F.col("component").alias("cluster")
     )
     links = _links(
         source, heads, clusters, words, coordinates, matches, numerator, denominator, block_items, block_shingles
     )
-    joined = cut_lineage(connected_components(links).select(F.col("node").alias("item"), "component"))
-    smallest = heads.join(joined, "item").groupBy("component").agg(F.min("first_id").alias("least_id"))
-    classes = joined.join(smallest, "component").select("item", "least_id")
-    named = heads.join(classes, "item", "left").select("item", F.coalesce("least_id", "first_id").alias("least_id"))
+    joined = cut_lineage(connected_components(links).select(F.col("node").alias("number"), "component"))
+    smallest = heads.join(joined, "number").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    classes = joined.join(smallest, "component").select("number", "least_id")
+    named = heads.join(classes, "number", "left").select("item", F.coalesce("least_id", "first_id").alias("least_id"))
     # Many rows may share one item; the join is one row to many, so its skewed side can be split.
     placed = signed.select("doc_id", "n_shingles", "item").join(named, "item", "left")
     component = F.when(F.col("item").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
