@@ -6,7 +6,7 @@ shares matter. Two items match if they agree in at least `matches` coordinates,
 cannot; for the others it is enough to look at their rarest `shared - matches + 1` pairs (the prefix), since any
 match meets one of them, and the long posting lists behind it are skipped. Items that meet in a prefix list
 form one cluster. Within it, collisions are counted block against block, and pairs at the threshold or above are
-confirmed on full shingle sets in the same place. A block pair returns only a spanning forest of its links, never
+confirmed on full shingle sets in the same place. A block pair returns only its components, a row for each member, never
 the pairs, so a group of very many near copies costs blocks, not rows.
 """
 
@@ -171,7 +171,7 @@ def _meetings(items: DataFrame, matches: int) -> DataFrame:
 
 
 def _block_linker(matches: int, numerator: int, denominator: int):
-    """Links within one pair of blocks of a cluster, as a spanning forest: rows (a, b)."""
+    """The components within one pair of blocks of a cluster: rows (a, b) of each member and the smallest one."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("number").sort_values("number")
@@ -186,7 +186,6 @@ def _block_linker(matches: int, numerator: int, denominator: int):
         right = np.flatnonzero(block == rows["high"].iloc[0])
         component = np.arange(len(items))
         member = np.zeros(len(distinct), dtype=bool)
-        found = []
         for i in left.tolist():
             near = right if across else right[right > i]
             near = near[component[near] != component[i]]
@@ -202,7 +201,9 @@ def _block_linker(matches: int, numerator: int, denominator: int):
             for j in near[denominator * both >= numerator * (sizes[i] + sizes[near] - both)].tolist():
                 if component[j] != component[i]:
                     component[component == component[j]] = component[i]
-                    found.append((items[i], items[j]))
+        # Items are sorted, so the first of a component is its smallest; stars settle in fewer rounds than trees.
+        _, first, label = np.unique(component, return_index=True, return_inverse=True)
+        found = [(items[first[c]], item) for c, item in zip(label, items) if items[first[c]] != item]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return link
@@ -220,7 +221,7 @@ def _links(
     block_items: int,
     block_shingles: int,
 ) -> DataFrame:
-    """Confirmed links (a, b) between items that span every component; documents have doc_id and text."""
+    """Pairs (a, b) of items joined by confirmed links, enough to span every component; documents have doc_id and text."""
     members = cut_lineage(heads.join(clusters, "number").select("number", "item", "cluster", "first_id", "n_shingles"))
     wanted = members.select(F.col("first_id").alias("doc_id")).distinct()
     if members.count() <= BROADCAST_ROWS:
