@@ -4,7 +4,8 @@ A page is read as text nodes, each with the path of tags from the root to it. Fo
 its punctuation are summed and set against its number of nodes; both ratios are fused, less the share that is
 link text. The value of each node's path is smoothed along the page, and paths most of whose text lies above a
 threshold are content. The smallest element that holds nearly all of that content is the article: within it, what is not a
-list of links and does not name itself as something beside the text is returned, headings and short lines too.
+list of links and does not name itself as something beside the text is returned, headings and short lines too. A name in
+a class or an identifier, or a form, is a sign only: an element that holds the text of the page stays.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ _CLOSES = {
 _P_ENDS_AT = frozenset(["body", "div", "td", "th", "li", "article", "section", "blockquote", "button", "table"])
 # Elements that are never the text of an article.
 _BESIDE = frozenset(
-    "head nav footer aside form button select fieldset dialog menu input datalist audio video canvas map".split()
+    "head nav footer aside button select fieldset dialog menu input datalist audio video canvas map".split()
 )
 _BESIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar status".split()
@@ -64,6 +65,8 @@ _BESIDE_WORDS = frozenset(
     "navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus reply replies respond "
     "share sharing social related recommended recommendations trending widget pagination pager toolbar search tags".split()
 )
+# First words of a class that tell how a page is laid out, not what the element is: has-sidebar, no-comments.
+_LAYOUT = frozenset("has have no not with without is".split())
 _WHOLE = frozenset(["html", "body", "main", "article"])
 
 SELECTED_SHARE = 0.8
@@ -71,27 +74,30 @@ LINK_SHARE = 0.5
 WIDENED_SHARE = 1.25
 
 
-def _beside(name: str, attributes: str, within: bool) -> bool:
-    """Whether an element says of itself that it holds something other than the article."""
+def _beside(name: str, attributes: str, within: bool) -> tuple[bool, bool]:
+    """Whether an element holds something other than the article: for certain, or by what its names or a form suggest."""
     if name in _BESIDE or (name == "header" and not within):
-        return True
+        return True, False
+    suggested = name == "form"
     if not attributes or attributes.isspace() or name in _WHOLE:
-        return False
+        return False, suggested
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
+            named = [[w.lower() for w in _WORD.findall(token)] for token in value.split()]
+            words = {w for token in named if token and token[0] not in _LAYOUT for w in token}
             if words & _BESIDE_WORDS:
-                return True
+                suggested = True
             if "header" in words and not within and not words & {"article", "post", "entry", "content"}:
-                return True
+                suggested = True
         elif key == "role" and value.lower() in _BESIDE_ROLES:
-            return True
+            if name != "form":
+                return True, False
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, suggested
 
 
 class _Page:
@@ -99,6 +105,7 @@ class _Page:
 
     def __init__(self, source: str):
         self.names, self.parents = ["#page"], [0]
+        self.marked: list[int] = []  # elements whose names suggest that they are beside the article
         self.nodes: list[tuple[str, int, int, tuple, bool]] = []
         stack = [0]  # open elements
         paths: list[tuple] = [()]
@@ -143,8 +150,12 @@ class _Page:
             stack.append(len(self.names) - 1)
             paths.append((*paths[-1], name))
             links += name == "a"
-            if not hidden and _beside(name, found["attributes"], within > 0):
-                hidden = len(stack)
+            if not hidden:
+                certain, suggested = _beside(name, found["attributes"], within > 0)
+                if certain:
+                    hidden = len(stack)
+                elif suggested:
+                    self.marked.append(stack[-1])
             within += name in ("article", "main")
             if found["attributes"].endswith("/") and name not in _INLINE and ":" in name:
                 close(len(stack) - 1)
@@ -208,10 +219,51 @@ def _widened(page: _Page, filled: list[tuple], lengths: np.ndarray, root: int) -
     return root
 
 
+def _dropped(page: _Page) -> list[bool]:
+    """For each element whether it lies in a marked one that does not hold the text of the page.
+
+    A marked element stays if it holds `main`, or most of the running text while no other element says that it is the
+    article; with less of the text it also needs the only heading or article.
+    """
+    prose = [0] * len(page.names)
+    for text, element, _, _, link in page.nodes:
+        prose[element] += 0 if link else len(text.strip())
+    holds = [{name} & {"main", "article", "h1"} for name in page.names]
+    for element in range(len(prose) - 1, 0, -1):
+        prose[page.parents[element]] += prose[element]
+        holds[page.parents[element]] = holds[page.parents[element]] | holds[element]
+    under = [False] * len(page.names)  # whether in a marked element
+    for element in page.marked:
+        under[element] = True
+    for element in range(1, len(under)):
+        under[element] = under[element] or under[page.parents[element]]
+    # Articles and headings outside of marked elements: on the page, and around each element.
+    articles, titles = [0] * len(page.names), [0] * len(page.names)
+    for element in range(1, len(under)):
+        told = prose[element] > 0 and not under[element]
+        articles[element] = articles[page.parents[element]] + (told and page.names[element] in ("main", "article"))
+        titles[element] = titles[page.parents[element]] + (told and page.names[element] == "h1")
+    every = [e for e in range(1, len(under)) if prose[e] and not under[e]]
+    all_articles = sum(page.names[e] in ("main", "article") for e in every)
+    all_titles = sum(page.names[e] == "h1" for e in every)
+    dropped = [False] * len(page.names)
+    for element in page.marked:
+        alone = articles[element] == all_articles
+        whole = alone and prose[element] >= SELECTED_SHARE * prose[0]
+        most = alone and titles[element] == all_titles and holds[element] and 2 * prose[element] > prose[0]
+        dropped[element] = not (prose[element] and ("main" in holds[element] or whole or most))
+    for element in range(1, len(dropped)):
+        dropped[element] = dropped[element] or dropped[page.parents[element]]
+    return dropped
+
+
 def main_text(source: str) -> str:
     """The article of a page: its blocks in order, joined by an empty line."""
     page = _Page(source)
     nodes = [n for n in page.nodes if n[0]]
+    if page.marked:
+        dropped = _dropped(page)
+        nodes = [n for n in nodes if not dropped[n[1]]]
     filled = [n for n in nodes if n[0].strip()]
     if not filled:
         return ""

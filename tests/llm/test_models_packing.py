@@ -210,6 +210,24 @@ def test_page_texts(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("open_tag, close_tag", [
+    ("<div class='content has-sidebar'>", "</div>"), ("<div id=page class='header-fixed'>", "</div>"), ("<form id=aspnetForm>", "</form>"),
+    ("<div class='post no-comments'>", "</div>"), ("<div class='sidebar layout'><div class=widget>", "</div></div>"),
+    ("<article><div class='post related'>", "</div></article>"), ("<h1>T</h1><div class='sidebar-left'>", "</div>"),
+])
+def test_page_text_in_a_wrapper_with_a_listed_word(open_tag, close_tag):
+    story = [f"Sentence {i} of the story, which goes on. And on." for i in range(12)]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    text = main_text(f"<body><nav><a href=/>Home</a></nav>{open_tag}{body}<div class=share>Share it.</div>{close_tag}<footer>f</footer></body>")
+    assert text.removeprefix("T\n\n") == "\n\n".join(story)
+
+
+def test_page_text_without_long_comments():
+    talk = "".join(f"<article class=comment><p>I say, number {i}. Yes, indeed.</p></article>" for i in range(40))
+    page = f"<body><article><h1>T</h1><p>Short, but whole.</p></article><div id=comments>{talk}</div></body>"
+    assert main_text(page) == "T\n\nShort, but whole."
+
+
 def test_page_text_is_linear_and_whole():
     body = "".join(f"<p>Paragraph {i}, which says something. Again.</p>" for i in range(20_000))
     text = main_text(f"<html><body><nav>{'<a>x</a>' * 500}</nav><article>{body}</article></body></html>")
