@@ -12,6 +12,7 @@ from siteferry.llm.mixing import mix
 from siteferry.llm.near_dedup import near_duplicates
 from siteferry.llm.packing import pack
 from siteferry.llm.quality import quality_network, score_quality
+from siteferry.llm.spelling import spelling_variants, word_counts
 from siteferry.llm.topk import top_k
 from siteferry.llm.toxicity import score_toxicity, toxicity_model
 from siteferry.llm.url_filter import judge_urls, rule_table
@@ -80,6 +81,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_topk": op2_topk,
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op13_spelling": op13_spelling,
 }
 
 _OP2_SQL = """
