@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteferry.llm.conversation_repair import conversation_key, damage, repair_conversations, repair_summary
 from siteferry.llm.exact_dedup import exact_duplicates
 from siteferry.llm.html_text import extract_text
 from siteferry.llm.line_dedup import duplicate_lines
@@ -81,6 +84,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    summary = repair_summary(repair_conversations(damage(conversations)))
+    ids = conversations.select("conv_id").distinct().withColumn("key", conversation_key(F.col("conv_id")))
+    counts = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    # of a conversation that lost every row nothing is left to repair
+    nothing = {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
+    return ids.join(summary, "key", "left").drop("key").fillna(counts | nothing)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(_table(spark, sf_dir, "documents")))
 
@@ -96,6 +109,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_conversations": op11_conversations,
     "op13_spelling": op13_spelling,
 }
 
