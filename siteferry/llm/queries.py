@@ -15,6 +15,7 @@ from siteferry.llm.mixing import mix
 from siteferry.llm.near_dedup import near_duplicates
 from siteferry.llm.packing import pack
 from siteferry.llm.quality import quality_network, score_quality
+from siteferry.llm.repeated_spans import remove_repeats
 from siteferry.llm.spelling import spelling_variants, word_counts
 from siteferry.llm.topk import top_k
 from siteferry.llm.toxicity import score_toxicity, toxicity_model
@@ -94,6 +95,17 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(summary, "key", "left").drop("key").fillna(counts | nothing)
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.transform("spans", lambda s: s["end"] - s["start"])
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(spans, F.lit(0).cast("bigint"), lambda total, n: total + n).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(_table(spark, sf_dir, "documents")))
 
@@ -110,6 +122,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_conversations": op11_conversations,
+    "op12_repeats": op12_repeats,
     "op13_spelling": op13_spelling,
 }
 
@@ -207,8 +220,146 @@ SELECT page_id, host, path, rule,
 FROM (SELECT page_id, host, path, query, coalesce(whole, false) AS whole FROM placed) AS p LEFT JOIN ruled USING (host, path)
 """
 
+# The remainders of the sixteen half bytes, fixed values of the checksum.
+_CRC_STEPS = (
+    "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, "
+    "3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+)
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes as a SQL expression."""
+    half = f"xor({{0}} >> 4, ({_CRC_STEPS})[({{0}} & 15) + 1])"
+    taken = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: ('0x' || substr(hex({text}), i, 2))::BIGINT)"
+    step = half.format(half.format("xor(c, b)"))
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {taken}), lambda c, b: {step}), 4294967295)"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _edits(state: str, keeps: dict[str, str], to: str) -> str:
+    """The cheapest edit of a turn in SQL: cost in nine digits, then the initials of this and all later edits."""
+    put = lambda edit, cost, after: (
+        f"printf('%09d', substr(v.{after}, 1, 9)::BIGINT + {cost}) || '{edit}' || substr(v.{after}, 10)"
+    )
+    cases = "".join(f" WHEN r.initial = '{role}' THEN {put('K', 'r.truncated', after)}" for role, after in keeps.items())
+    free = f"CASE WHEN r.gone THEN NULL ELSE {put('R', '2 + r.truncated', to)} END"
+    kept = f"CASE WHEN r.gone THEN NULL{cases} END"
+    return f"least({put('D', 3, state)}, {free}, {kept}) AS {state}"
+
+
+_INSERT = "least({0}, printf('%09d', substr({1}, 1, 9)::BIGINT + 2) || 'I' || substr({1}, 10)) AS {0}"
+_INSERTS = ", ".join(_INSERT.format(s, to) for s, to in (("z", "u"), ("s", "u"), ("u", "a"), ("a", "u")))
+
+_OP11_SQL = rf"""
+WITH RECURSIVE shown AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+    FROM conversations
+), kinds AS (
+    SELECT *, {_crc32("name")} % 20 AS kind FROM shown
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM kinds
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || ':' || text)) AS i,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ending
+    FROM damaged
+), faults AS (
+    SELECT *, ending = '' AS blank,
+        ending <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+        left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM placed
+), r AS (
+    SELECT *, blank OR duplicate AS gone, (NOT blank AND NOT duplicate AND right(ending, 1) NOT IN ('.', '!', '?'))::BIGINT AS truncated
+    FROM faults
+), sizes AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, sum(truncated)::BIGINT AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM r GROUP BY conv_id
+), v AS (
+    SELECT conv_id, n AS i, '000000000' AS z, '000000004II' AS s, '000000002I' AS u, '000000000' AS a FROM sizes
+    UNION ALL
+    SELECT conv_id, i, {_INSERTS} FROM (
+        SELECT conv_id, i, {_INSERTS} FROM (
+            SELECT v.conv_id, v.i - 1 AS i,
+                {_edits("z", {"s": "s", "u": "u"}, "u")}, {_edits("s", {"u": "u"}, "u")},
+                {_edits("u", {"a": "a"}, "a")}, {_edits("a", {"u": "u"}, "u")}
+            FROM v JOIN r ON v.conv_id IS NOT DISTINCT FROM r.conv_id AND v.i = r.i
+        )
+    )
+), best AS (
+    SELECT conv_id, substr(z, 1, 9)::BIGINT AS cost, substr(z, 10) AS audit FROM v WHERE i = 0
+), letters AS (
+    SELECT conv_id, j, substr(audit, j, 1) AS edit
+    FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM best)
+), steps AS (
+    SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS k
+    FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+), joined AS (
+    SELECT s.conv_id, s.edit, s.k, r.role, r.text, coalesce(max((s.edit = 'K' AND s.k = 1 AND r.initial = 's')::INT)
+        OVER (PARTITION BY s.conv_id), 0) AS ahead
+    FROM steps s LEFT JOIN r ON s.edit <> 'I' AND s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.i = r.i
+), lines AS (
+    SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - ahead) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS lines
+    FROM joined WHERE edit <> 'D' GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+    coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN sizes ON c.conv_id IS NOT DISTINCT FROM sizes.conv_id
+LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+LEFT JOIN lines ON c.conv_id IS NOT DISTINCT FROM lines.conv_id
+"""
+
+_OP13_SQL = rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+    FROM documents
+), counted AS (
+    SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS name, run, count(*) AS n FROM runs GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, n, {_crc32("name")} AS h FROM counted
+), damaged AS (
+    SELECT n, CASE WHEN h % 97 = 0
+        THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS (
+    SELECT word, n, unnest(range(length(word))) AS i FROM words
+), cuts AS (
+    SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM places
+), near AS (
+    SELECT a.word, b.word AS other, b.n FROM cuts AS a JOIN cuts AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT cuts.word, words.word, words.n FROM cuts JOIN words ON cuts.rest = words.word
+    UNION SELECT words.word, cuts.word, cuts.n FROM cuts JOIN words ON cuts.rest = words.word
+), ranked AS (
+    SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near,
+        row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place
+    FROM near
+), formed AS (
+    SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.other END AS form,
+        CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+    FROM words AS w LEFT JOIN ranked AS r ON w.word = r.word AND r.place = 1
+), ways AS (
+    SELECT word, word AS root FROM formed
+    UNION ALL SELECT ways.word, formed.form FROM ways JOIN formed ON ways.root = formed.word WHERE formed.form IS NOT NULL
+)
+SELECT formed.word, formed.form, ways.root, formed.n, formed.n_near, formed.form_n
+FROM formed JOIN ways ON formed.word = ways.word JOIN formed AS ends ON ends.word = ways.root AND ends.form IS NULL
+"""
+
 ORACLES = {
     "op2_topk": _OP2_SQL,
     "op9_exact_dedup": _OP9_SQL,
     "op10_url_filter": _OP10_SQL,
+    "op11_conversations": _OP11_SQL,
+    "op13_spelling": _OP13_SQL,
 }
