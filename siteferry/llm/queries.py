@@ -318,6 +318,35 @@ LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
 LEFT JOIN lines ON c.conv_id IS NOT DISTINCT FROM lines.conv_id
 """
 
+_OP12_SQL = """
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+    SELECT id, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400
+), strings AS (
+    SELECT id, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM starts
+), repeated AS (
+    SELECT id, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)
+), begun AS (
+    SELECT id, i, coalesce(i > 200 + lag(i) OVER (PARTITION BY id ORDER BY i), true)::INT AS new FROM repeated
+), numbered AS (
+    SELECT id, i, sum(new) OVER (PARTITION BY id ORDER BY i) AS span FROM begun
+), spans AS (
+    SELECT id, span, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY id, span
+), totals AS (
+    SELECT id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY id
+), between_spans AS (
+    SELECT spans.id, a, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY spans.id ORDER BY a), 0) + 1,
+        2 * (a - coalesce(lag(b) OVER (PARTITION BY spans.id ORDER BY a), 0))) AS piece
+    FROM spans JOIN d ON spans.id = d.id
+), kept AS (
+    SELECT id, string_agg(piece, '' ORDER BY a) AS pieces FROM between_spans GROUP BY id
+)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN totals ON d.id = totals.id LEFT JOIN kept ON d.id = kept.id
+"""
+
 _OP13_SQL = rf"""
 WITH RECURSIVE runs AS (
     SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
@@ -361,5 +390,6 @@ ORACLES = {
     "op9_exact_dedup": _OP9_SQL,
     "op10_url_filter": _OP10_SQL,
     "op11_conversations": _OP11_SQL,
+    "op12_repeats": _OP12_SQL,
     "op13_spelling": _OP13_SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -31,6 +32,7 @@ def damaged(rows):
 
 def repaired(turns):
     """The result row of one conversation from its damaged (turn, role, text)."""
+    sys.setrecursionlimit(20_000)
     turns = sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, hashlib.md5(f"{t[1]}:{t[2]}".encode()).hexdigest()))
     seen, faults = set(), []
     for _, role, text in turns:
