@@ -11,9 +11,9 @@ _SINGLE = {"mysql": r"'(?:[^'\\]++|\\[\s\S]|'')*+'", "sqlite": r"'(?:[^']++|'')*
 _DOUBLE = {"mysql": r'"(?:[^"\\]++|\\[\s\S]|"")*+"', "sqlite": r'"(?:[^"]++|"")*+"'}
 _BACKTICK = r"`(?:[^`]++|``)*+`"
 
-# Parentheses nest this deep at most. A pattern has to be written out to its depth; what nests deeper is left over,
-# and what is left over is refused.
-VALUE_DEPTH = TABLE_DEPTH = 24
+# Parentheses of a table definition nest this deep at most: a pattern has to be written out to its depth. Rows of
+# values, which may nest without limit, are not read by patterns.
+TABLE_DEPTH = 24
 
 
 def single_quoted(dialect: str) -> str:
@@ -52,17 +52,6 @@ def items(text: Column, dialect: str, depth: int) -> Column:
     return F.filter(F.transform(found, js_trim), lambda x: x != "")
 
 
-def tuples(tail: Column, dialect: str) -> Column:
-    """The parenthesised rows that a VALUES tail begins with, one after another with nothing but commas between."""
-    return F.regexp_extract_all(tail, F.lit(rf"\G\s*+,?\s*+({parens(dialect, VALUE_DEPTH)})"), 1)
-
-
-def after_tuples(tail: Column, dialect: str) -> Column:
-    """What follows those rows: empty in a statement that is whole."""
-    rest = F.regexp_replace(tail, rf"\G\s*+,?\s*+{parens(dialect, VALUE_DEPTH)}", "")
-    return js_trim(F.regexp_replace(js_trim(rest), r"\A[,\s]+|;\z", ""))
-
-
 def inside(text: Column) -> Column:
     """A parenthesised text without its outer parentheses."""
     return F.substring(text, F.lit(2), F.length(text) - 2)

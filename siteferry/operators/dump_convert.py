@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteferry.functions.scale import computed_once
-from siteferry.functions.sqltext import encode_string, identifier, rewrite, tuples
+from siteferry.functions.sqltext import encode_string, identifier, rewrite
 from siteferry.functions.text import grouped, measured_length, preview
 from siteferry.operators import dump_catalog as catalog
 from siteferry.operators import dump_statements as statements
+from siteferry.session import cut_lineage
 from siteferry.sources.dump import dialect_of
 
 # The longest statement text the SQLite target takes, and tables exported without rows.
@@ -22,7 +23,7 @@ STRUCTURE_ONLY = (r"^cache(_|$)", r"^sessions$", r"^watchdog$", r"^cfw_page$")
 
 @dataclass(frozen=True)
 class Conversion:
-    """The frames of one conversion; each is lazy and can be used alone."""
+    """The frames of one conversion, over what it staged; each is lazy and can be used alone."""
 
     emitted: DataFrame  # dump_id, stmt_no, part_no, kind, table, sql, tuples
     over_limit: DataFrame  # dump_id, table, rows, widest
@@ -31,28 +32,6 @@ class Conversion:
     summary: DataFrame  # one row per dump
 
 
-def render_inserts(classified: DataFrame, from_: str, to: str, split_rows: bool) -> DataFrame:
-    """INSERTs for the target, one per row or one per source statement: (.., table, sql, tuples)."""
-    heads = statements.insert_heads(classified, from_).withColumn("head", rewrite(F.col("head"), from_, to))
-    if split_rows:
-        each = F.posexplode(tuples(F.col("tail"), from_)).alias("part_no", "tuple")
-        rows = heads.select("dump_id", "stmt_no", "table", "head", each)
-        text, count = rewrite(F.col("tuple"), from_, to), F.lit(1).cast("bigint")
-    else:
-        listed = heads.withColumn("part_no", F.lit(0))
-        rows = computed_once(listed, _groups=tuples(F.col("tail"), from_)).filter(F.size("_groups") > 0)
-        text, count = rewrite(F.array_join("_groups", ", "), from_, to), F.size("_groups").cast("bigint")
-    return rows.select(
-        "dump_id",
-        "stmt_no",
-        F.col("part_no").cast("int").alias("part_no"),
-        F.lit("row").alias("kind"),
-        "table",
-        F.concat("head", F.lit(" VALUES "), text, F.lit(";")).alias("sql"),
-        count.alias("tuples"),
-    )
-
-
 def width_audit(rows: DataFrame, limit: int | None, unit: str = "chars") -> DataFrame:
     """Rows wider than the limit and the widest, per dump and table, widest first."""
     wide = _widths(rows, unit).filter(F.col("width") > limit if _limited(limit) else F.lit(False))
@@ -102,6 +81,9 @@ def convert(
 
     Rows are split and held to the statement ceiling by default into SQLite; a limit of 0 or less turns
     the ceiling off. What is not converted becomes a refusal row; `assert_none` makes that strict.
+
+    The dump is read, classified and cut once, here: statements, rendered rows and what is left over are written to the
+    shared folder, and every frame of the result reads them there.
     """
     from_, to = dialect_of(from_), dialect_of(to)
     if from_ == to:
@@ -109,11 +91,25 @@ def convert(
     split_rows = to == "sqlite" if split_rows is None else split_rows
     if limit is None:
         limit = STATEMENT_CHARS if to == "sqlite" else 0
-    classified = statements.classify(dump)
+    scanned = statements.scan_statements(statements.classify(dump), from_, split=split_rows)
+    rendered = computed_once(
+        scanned,
+        rendered=F.when(
+            F.col("row_no").isNotNull(),
+            F.concat(rewrite(F.col("head"), from_, to), F.lit(" VALUES "), rewrite(F.col("tuple"), from_, to), F.lit(";")),
+        ),
+    )
+    staged = cut_lineage(rendered.drop("columns", "head", "tuple", "values"))
+    classified = staged.filter(F.col("sql").isNotNull() | F.col("fault").isNotNull()).select(
+        "dump_id", "stmt_no", "kind", "sql", "fault"
+    )
+    rows = staged.filter(F.col("row_no").isNotNull()).select(
+        "dump_id", "stmt_no", F.col("row_no").alias("part_no"), F.lit("row").alias("kind"), "table",
+        F.col("rendered").alias("sql"), "tuples",
+    )
     items_ = catalog.table_items(classified, from_)
     mapped = catalog.map_types(catalog.schema_catalog(items_), from_, to)
     keys = catalog.key_catalog(items_, classified, from_)
-    rows = render_inserts(classified, from_, to, split_rows)
     drops = classified.filter(F.col("kind") == "drop").select(
         "dump_id",
         "stmt_no",
@@ -126,7 +122,7 @@ def convert(
     emitted = ddl.unionByName(drop_wide(rows, limit, unit))
     if to == "mysql":
         kept = F.col("kind").isin("create_table", "insert", "drop", "create_index")
-        opening = classified.filter(kept).select("dump_id").distinct().select(
+        opening = staged.filter(kept).select("dump_id").distinct().select(
             "dump_id",
             F.lit(-1).cast("bigint").alias("stmt_no"),
             F.lit(0).alias("part_no"),
@@ -138,7 +134,7 @@ def convert(
         emitted = opening.unionByName(emitted)
     refusals = (
         statements.statement_refusals(classified, from_)
-        .unionByName(statements.tail_refusals(classified, from_))
+        .unionByName(statements.scanned_tails(staged))
         .unionByName(catalog.definition_refusals(classified, mapped, from_, to))
         .unionByName(_wide_refusals(rows, limit, unit))
     )
@@ -147,7 +143,7 @@ def convert(
         width_audit(rows, limit, unit),
         refusals,
         catalog.lossy_report(mapped, keys, to),
-        convert_summary(emitted, rows, refusals, unit, classified.select("dump_id")),
+        convert_summary(emitted, rows, refusals, unit, staged.select("dump_id")),
     )
 
 

@@ -3,29 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from siteferry.functions import schema
 from siteferry.functions.scale import computed_once
-from siteferry.functions.sqltext import (
-    CAST_HEX,
-    NAME,
-    VALUE_DEPTH,
-    after_tuples,
-    decode_string,
-    inside,
-    items,
-    keyword,
-    parens,
-    plain_name,
-    quoted,
-    single_quoted,
-    tuples,
-    values_head,
-)
-from siteferry.functions.text import first_match, js_trim, preview
+from siteferry.functions.sqltext import CAST_HEX, MYSQL_ESCAPES, NAME, keyword, quoted, single_quoted, values_head
+from siteferry.functions.text import JS_SPACE_CHARS, preview
 
 # The kinds of statements, in the order they are tried.
 KINDS = (
@@ -61,54 +53,68 @@ def has_values(sql: Column, dialect: str) -> Column:
     return sql.rlike(values_head(dialect))
 
 
-def insert_heads(classified: DataFrame, dialect: str) -> DataFrame:
-    """Convertible INSERT statements as (.., table, columns, head, tail): before and after VALUES.
+_LITERAL = schema.columns("kind string, text string, bytes binary")
+_SCANNED = (
+    schema.columns(
+        "dump_id string, stmt_no bigint, kind string, sql string, fault string, table string, columns array<string>, "
+        "head string, row_no int, tuple string, tuples bigint"
+    )
+    .add("values", T.ArrayType(_LITERAL))
+    .add("rest", T.StringType())
+)
+
+
+def scan_statements(
+    classified: DataFrame, dialect: str, texts: bool = True, values: bool = False, split: bool = True
+) -> DataFrame:
+    """Statements with every VALUES list cut into its rows, in one pass and at any length and nesting.
 
-    `columns` is null without a column list. Statements refused for their form are left out here.
+    One row per tuple (row_no, tuple as text, its decoded values if asked for), one row with `rest` for what such a list
+    holds beside whole tuples, and any other statement as it is, with `sql`. Without `split` the tuples of a statement
+    are one row, joined by commas, and `tuples` counts them. A tuple ends where its parentheses are balanced outside
+    quotes; the first text that is no whole tuple ends the list.
     """
-    sql = F.col("sql")
-    inserts = computed_once(
-        classified.filter(F.col("kind") == "insert"), _head=F.regexp_extract(sql, values_head(dialect), 0)
-    ).filter((F.col("_head") != "") & ~is_upsert(sql, dialect))
-    head = js_trim(F.regexp_replace("_head", r"(?i)values\z", ""))
-    cut = inserts.withColumn("tail", F.substring(sql, F.length("_head") + 1, F.length(sql)))
-    cut = computed_once(cut.withColumn("head", head).drop("_head", "sql", "kind"), _columns=F.regexp_extract(
-        "head", rf"({parens(dialect, 0)})\s*\z", 1
-    ))
-    # of a name with its database before it, the last part
-    table = plain_name(first_match(F.col("head"), rf"(?i)\bINTO\s+(?:{NAME}\s*\.\s*)*({NAME})"))
-    columns = F.when(
-        F.col("_columns") != "", F.transform(items(inside(F.col("_columns")), dialect, 1), plain_name)
-    )
-    return cut.select(
-        *[c for c in cut.columns if c != "_columns"],
-        F.coalesce(table, F.lit("unknown")).alias("table"),
-        columns.alias("columns"),
-    )
+    fault = F.col("fault") if "fault" in classified.columns else F.lit(None).cast("string").alias("fault")
+    given = classified.select("dump_id", F.col("stmt_no").cast("bigint").alias("stmt_no"), "kind", "sql", fault)
+    return given.mapInArrow(lambda batches: _scan(batches, Scanner(dialect), texts, values, split), _SCANNED)
 
 
 def insert_rows(classified: DataFrame, dialect: str) -> DataFrame:
     """One row per tuple of a VALUES list: (dump_id, stmt_no, table, columns, head, row_no, tuple).
 
-    The first text that is no whole tuple ends the list; `tail_refusals` reports it.
+    `columns` is null without a column list. The first text that is no whole tuple ends the list; `tail_refusals`
+    reports it. Statements refused for their form have no rows.
     """
-    heads = insert_heads(classified, dialect)
-    rest = [c for c in heads.columns if c != "tail"]
-    return heads.select(*rest, F.posexplode(tuples(F.col("tail"), dialect)).alias("row_no", "tuple"))
+    scanned = scan_statements(_inserts(classified), dialect)
+    return scanned.filter(F.col("row_no").isNotNull()).select(*_ROW, "tuple")
+
+
+_ROW = ("dump_id", "stmt_no", "table", "columns", "head", "row_no")
+
+
+def insert_values(classified: DataFrame, dialect: str) -> DataFrame:
+    """Like `insert_rows`, with the decoded `values` in place of the tuple's text: both are read in one pass."""
+    scanned = scan_statements(_inserts(classified), dialect, texts=False, values=True)
+    return scanned.filter(F.col("row_no").isNotNull()).select(*_ROW, "values")
+
+
+def _inserts(classified: DataFrame) -> DataFrame:
+    return classified.filter(F.col("kind") == "insert")
 
 
 def tail_refusals(classified: DataFrame, dialect: str) -> DataFrame:
     """What a VALUES list holds beside whole tuples: (dump_id, stmt_no, reason, preview).
 
-    A dump cut off while it was written, a clause after the rows, and nesting beyond what is read all end here.
+    A dump cut off while it was written and a clause after the rows both end here.
     """
-    heads = insert_heads(classified, dialect).select("dump_id", "stmt_no", "table", "tail")
-    cut = computed_once(heads, rest=after_tuples(F.col("tail"), dialect))
-    empty = js_trim(F.col("tail")) == ""
-    left = cut.filter(empty | (F.col("rest") != ""))
-    reason = F.when(empty, "INSERT with an empty VALUES list").otherwise(
+    return scanned_tails(scan_statements(_inserts(classified), dialect, texts=False))
+
+
+def scanned_tails(scanned: DataFrame) -> DataFrame:
+    reason = F.when(F.col("rest") == "", "INSERT with an empty VALUES list").otherwise(
         F.concat(F.lit("text that is no row in the VALUES list of "), F.col("table"))
     )
+    left = scanned.filter(F.col("rest").isNotNull())
     return left.select("dump_id", "stmt_no", reason.alias("reason"), preview(F.col("rest")).alias("preview"))
 
 
@@ -118,39 +124,269 @@ def decode_values(rows: DataFrame, dialect: str) -> DataFrame:
     Kinds are null, number, string, hex and expr. `text` is the decoded text, the digits of a number or
     the expression; `bytes` is set for hex literals.
     """
-    fields = items(inside(F.col("tuple")), dialect, VALUE_DEPTH)
-    return computed_once(rows, values=F.transform(fields, lambda f: _literal(f, dialect)))
-
-
-def _literal(f: Column, dialect: str) -> Column:
-    """One value. Texts and numbers, nearly all there is, are told by their first character."""
-    text = F.lit(None).cast("string")
-    value = lambda kind, text=text, raw=F.lit(None).cast("binary"): F.struct(
-        F.lit(kind).alias("kind"), text.alias("text"), raw.alias("bytes")
-    )
-    is_number = F.rlike(f, F.lit(r"\A[-+]?(?:\d++\.?\d*+|\.\d++)(?:[eE][-+]?\d++)?\z"))
-    is_text = F.rlike(f, F.lit(rf"\A(?:{single_quoted(dialect)})\z"))
-    # a literal may name its character set first: _binary 'text'
-    introduced = rf"\A_[0-9A-Za-z]+\s*({single_quoted(dialect)})\z"
-    digits = r"\A(?:0[xX]([0-9a-fA-F]+)|[xX]'([0-9a-fA-F]*)')\z"
-    hexed = F.concat(F.regexp_extract(f, digits, 1), F.regexp_extract(f, digits, 2))
-    cast = rf"\A{CAST_HEX}\z"
-    return (
-        F.when(F.startswith(f, F.lit("'")) & is_text, value("string", decode_string(f, dialect)))
-        .when(is_number, value("number", f))
-        .when(F.upper(f) == "NULL", value("null"))
-        .when(F.rlike(f, F.lit(digits)), value("hex", raw=F.unhex(hexed)))
-        .when(F.rlike(f, F.lit(cast)), value("string", F.decode(F.unhex(F.regexp_extract(f, cast, 1)), "UTF-8")))
-        .when(
-            F.startswith(f, F.lit("_")) & F.rlike(f, F.lit(introduced)),
-            value("string", decode_string(F.regexp_extract(f, introduced, 1), dialect)),
+    decoded_rows = T.StructType([*rows.schema.fields, _SCANNED["values"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(dialect)
+        for batch in batches:
+            literals = Literals()
+            for text in batch.column(batch.schema.get_field_index("tuple")).to_pylist():
+                literals.end(missing=True) if text is None else scanner.values(text, literals)
+            yield pa.RecordBatch.from_arrays([*batch.columns, literals.array()], names=[*batch.schema.names, "values"])
+
+    return rows.mapInArrow(run, decoded_rows)
+
+
+# Statements and batches of about this many characters are sent on at once.
+_BATCH_CHARS = 8_000_000
+_SPACE = r"[ \t\n\x0b\f\r]"
+
+
+class Scanner:
+    """Cuts VALUES lists and tuples with one pass over their characters, counting parentheses outside quotes."""
+
+    def __init__(self, dialect: str):
+        string, any_quote = single_quoted(dialect), quoted(dialect)
+        self.dialect = dialect
+        self.head = re.compile(values_head(dialect))
+        self.list_at_end = re.compile(rf"\(((?:[^'\"`()]++|{any_quote})*+)\){_SPACE}*\Z")
+        self.into = re.compile(rf"(?i)\bINTO\s+(?:{NAME}\s*\.\s*)*({NAME})")
+        self.upsert = re.compile(r"(?i)\bON\s+DUPLICATE\s+KEY\b")
+        self.quoted = re.compile(any_quote)
+        self.between = re.compile(rf"{_SPACE}*+,?{_SPACE}*+")
+        # nearly all tuples hold no parentheses, nearly all values are one of these
+        self.flat = re.compile(rf"\((?:[^'\"`()]++|{any_quote})*+\)")
+        self.token = re.compile(rf"[^'\"`(),]++|{any_quote}|[(),]")
+        self.plain = re.compile(
+            rf"{_SPACE}*+(?:({string})|([-+]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][-+]?[0-9]++)?)|([Nn][Uu][Ll][Ll])"
+            rf"|(0[xX][0-9a-fA-F]++|[xX]'[0-9a-fA-F]*+')){_SPACE}*+(?:,|\Z)"
         )
-        .otherwise(value("expr", f))
-    )
-
-
-# The Spark type of a storage class, and of what a MySQL name says beyond it.
-CLASS_TYPES = {"INTEGER": "bigint", "REAL": "double", "BLOB": "binary", "TEXT": "string", "NUMERIC": "decimal(30,10)"}
+        self.number = re.compile(r"[-+]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:[eE][-+]?[0-9]++)?")
+        self.string = re.compile(string)
+        self.hexed = re.compile(r"0[xX]([0-9a-fA-F]+)|[xX]'([0-9a-fA-F]*)'")
+        self.cast = re.compile(CAST_HEX)
+        # a literal may name its character set first: _binary 'text'
+        self.introduced = re.compile(rf"_[0-9A-Za-z]+\s*(?:({string})|(0[xX][0-9a-fA-F]+|[xX]'[0-9a-fA-F]*'))")
+        self.escape = re.compile(r"\\([\s\S])|''")
+        self.heads: dict[str, tuple] = {}
+
+    def read_head(self, text: str) -> tuple[str, str, list[str] | None]:
+        """(head without VALUES, table, columns) of the text before a list; most statements of a dump share theirs."""
+        if text not in self.heads:
+            if len(self.heads) > 1000:
+                self.heads.clear()
+            head = text[: -len("values")].strip(JS_SPACE_CHARS)
+            table = self.into.search(head)
+            listed = self.list_at_end.search(head)
+            columns = [_plain_name(c) for c in self.items(listed[1])] if listed else None
+            self.heads[text] = (head, _plain_name(table[1]) if table else "unknown", columns)
+        return self.heads[text]
+
+    def is_upsert(self, sql: str) -> bool:
+        return "duplicate" in sql.lower() and bool(self.upsert.search(self.quoted.sub("''", sql)))
+
+    def tuples(self, sql: str, at: int) -> Iterator[tuple[int, int]]:
+        """(from, to) of each tuple from `at` on."""
+        while True:
+            begin = self.between.match(sql, at).end()
+            flat = self.flat.match(sql, begin)
+            to = flat.end() if flat else self.balanced(sql, begin)
+            if to < 0:
+                return
+            yield begin, to
+            at = to
+
+    def balanced(self, text: str, at: int) -> int:
+        """Behind the parenthesis that closes the one at `at`; -1 where there is none."""
+        if text[at : at + 1] != "(":
+            return -1
+        depth = 0
+        while token := self.token.match(text, at):
+            at = token.end()
+            first = token[0]
+            depth += (first == "(") - (first == ")")
+            if depth == 0:
+                return at
+        return -1
+
+    def rest(self, sql: str, at: int) -> str | None:
+        """What is left behind the tuples; None in a statement that is whole."""
+        left = sql[at:].strip(JS_SPACE_CHARS).lstrip(", \t\n\x0b\f\r")
+        left = (left[:-1] if left.endswith(";") else left).strip(JS_SPACE_CHARS)
+        return left or None
+
+    def items(self, text: str) -> list[str]:
+        """The trimmed, non-empty items of a list, split at commas outside quotes and parentheses."""
+        found, depth, start, at = [], 0, 0, 0
+        while token := self.token.match(text, at):
+            first = token[0]
+            if first == "," and depth == 0:
+                found.append(text[start:at])
+                start = token.end()
+            depth += (first == "(") - (first == ")")
+            at = token.end()
+        found.append(text[start:])
+        return [item for item in (f.strip(JS_SPACE_CHARS) for f in found) if item]
+
+    def values(self, text: str, into: Literals) -> None:
+        """Adds the literals of a tuple."""
+        kinds, texts, raws = into.kinds, into.texts, into.raws
+        at, inner = 1, text[:-1]
+        step = self.plain.scanner(inner, 1).match
+        while found := step():
+            kind = found.lastindex
+            at = found.end()
+            if kind == 1:
+                kinds.append("string")
+                texts.append(self.decode(found[1]))
+                raws.append(None)
+            elif kind == 2:
+                kinds.append("number")
+                texts.append(found[2])
+                raws.append(None)
+            elif kind == 3:
+                kinds.append("null")
+                texts.append(None)
+                raws.append(None)
+            else:
+                into.add(*self.hex_value(self.hexed.fullmatch(found[4])))
+        if at < len(inner):
+            # the rest of the tuple holds something else: it is cut with care
+            for item in self.items(inner[at:]):
+                into.add(*self.literal(item))
+        into.end()
+
+    def literal(self, text: str) -> tuple:
+        if self.string.fullmatch(text):
+            return "string", self.decode(text), None
+        if self.number.fullmatch(text):
+            return "number", text, None
+        if text.upper() == "NULL":
+            return "null", None, None
+        if hexed := self.hexed.fullmatch(text):
+            return self.hex_value(hexed)
+        if cast := self.cast.fullmatch(text):
+            raw = bytes.fromhex(cast[1])
+            try:
+                return "string", raw.decode(), None
+            except UnicodeDecodeError:
+                return "hex", None, raw
+        if introduced := self.introduced.fullmatch(text):
+            if introduced[1] is not None:
+                return "string", self.decode(introduced[1]), None
+            return self.hex_value(self.hexed.fullmatch(introduced[2]))
+        return "expr", text, None
+
+    @staticmethod
+    def hex_value(found: re.Match) -> tuple:
+        digits = found[1] or found[2] or ""
+        return "hex", None, bytes.fromhex("0" * (len(digits) % 2) + digits)
+
+    def decode(self, literal: str) -> str:
+        inner = literal[1:-1]
+        if self.dialect == "mysql" and "\\" in inner:
+            return self.escape.sub(lambda e: MYSQL_ESCAPES.get(e[1], e[1]) if e[1] else "'", inner)
+        return inner.replace("''", "'") if "'" in inner else inner
+
+
+def _plain_name(token: str) -> str:
+    q = token[:1]
+    return token[1:-1].replace(q + q, q) if q in "`\"" and len(token) > 2 and token.endswith(q) else token
+
+
+class Literals:
+    """Lists of literals by columns, which is far faster than row by row."""
+
+    def __init__(self):
+        self.kinds: list[str] = []
+        self.texts: list[str | None] = []
+        self.raws: list[bytes | None] = []
+        self.offsets, self.missing = [0], []
+
+    def add(self, kind: str, text: str | None, raw: bytes | None) -> None:
+        self.kinds.append(kind)
+        self.texts.append(text)
+        self.raws.append(raw)
+
+    def end(self, missing: bool = False) -> None:
+        self.offsets.append(len(self.kinds))
+        self.missing.append(missing)
+
+    def array(self) -> pa.Array:
+        fields = [pa.array(self.kinds, pa.string()), pa.array(self.texts, pa.string()), pa.array(self.raws, pa.binary())]
+        struct = pa.StructArray.from_arrays(fields, ["kind", "text", "bytes"])
+        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), struct, mask=pa.array(self.missing, pa.bool_()))
+
+
+def _batch(rows: list[tuple], literals: Literals | None, schema: pa.Schema) -> pa.RecordBatch:
+    """Rows in the order of the schema without `values`, which lies apart."""
+    by_column = iter(zip(*rows))
+    arrays = []
+    for field in schema:
+        if field.name != "values":
+            arrays.append(pa.array(next(by_column), field.type))
+        elif literals is not None:
+            arrays.append(literals.array())
+        else:
+            arrays.append(pa.nulls(len(rows), field.type))
+    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+
+def _scan(
+    batches: Iterator[pa.RecordBatch], scanner: Scanner, texts: bool, values: bool, split: bool
+) -> Iterator[pa.RecordBatch]:
+    shape = to_arrow_schema(_SCANNED)
+    rows: list[tuple] = []
+    literals = Literals() if values else None
+    chars = 0
+    for batch in batches:
+        for dump, number, kind, sql, fault in zip(*[c.to_pylist() for c in batch.columns]):
+            head = scanner.head.match(sql) if kind == "insert" and sql is not None else None
+            if head is None or scanner.is_upsert(sql):
+                rows.append((dump, number, kind, sql, fault, None, None, None, None, None, None, None))
+                if values:
+                    literals.end(missing=True)
+                chars += 64 + len(sql or "")
+            else:
+                before, table, columns = scanner.read_head(head[0])
+                start = at = head.end()
+                row_no, joined = 0, []
+                for begin, to in scanner.tuples(sql, at):
+                    text = sql[begin:to]
+                    if split:
+                        shown = text if texts else None
+                        rows.append((dump, number, kind, None, None, table, columns, before, row_no, shown, 1, None))
+                        if values:
+                            scanner.values(text, literals)
+                        chars += 64 + to - begin
+                    else:
+                        joined.append(text)
+                    row_no, at = row_no + 1, to
+                    if chars > _BATCH_CHARS:
+                        yield _batch(rows, literals, shape)
+                        rows, literals, chars = [], Literals() if values else None, 0
+                if joined:
+                    rows.append((dump, number, kind, None, None, table, columns, before, 0, ", ".join(joined), len(joined), None))
+                    chars += at
+                rest = scanner.rest(sql, at) if at < len(sql) else None
+                if at == start and rest is None:
+                    rest = ""
+                if rest is not None:
+                    rows.append((dump, number, kind, None, None, table, columns, before, None, None, None, rest))
+                    chars += len(rest)
+                if values:
+                    for _ in range(bool(joined) + (rest is not None)):
+                        literals.end(missing=True)
+            if chars > _BATCH_CHARS:
+                yield _batch(rows, literals, shape)
+                rows, literals, chars = [], Literals() if values else None, 0
+    if rows:
+        yield _batch(rows, literals, shape)
+
+
+# The Spark type of a storage class, and of what a MySQL name says beyond it. A number of no declared
+# size, or of more digits than a decimal holds, is read as its text, which loses nothing.
+CLASS_TYPES = {"INTEGER": "bigint", "REAL": "double", "BLOB": "binary", "TEXT": "string", "NUMERIC": "string"}
 
 
 def spark_type(declared: str, storage_class: str | None) -> str:
@@ -164,33 +400,105 @@ def spark_type(declared: str, storage_class: str | None) -> str:
     return CLASS_TYPES.get(storage_class or "TEXT", "string")
 
 
-def dump_table(decoded: DataFrame, columns: Sequence[tuple[str, str]], table: str) -> DataFrame:
-    """One table's rows with typed columns; `columns` gives (name, Spark type) in table order.
+_NUMBER = r"\A\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?\s*\z"
+
+
+def _typed(value: Column, kind: str) -> tuple[Column, Column]:
+    """(value of the Spark type, reason why there is none); a null has neither."""
+    text, raw = value["text"], value["bytes"]
+    none = F.lit(None).cast("string")
+    if kind == "binary":
+        return F.coalesce(raw, F.encode(text, "UTF-8")), F.when(value["kind"] == "expr", "an expression")
+    decoded = F.try_validate_utf8(raw.cast("string"))
+    shown = F.coalesce(text, decoded)
+    if kind == "string":
+        expr = F.when(value["kind"] == "expr", "an expression")
+        return F.when(expr.isNull(), shown), expr.when(shown.isNull() & raw.isNotNull(), "bytes that are no text")
+    is_number = F.coalesce(shown.rlike(_NUMBER), F.lit(False))
+    given = (shown if kind.startswith("decimal") else text).try_cast(kind)
+    expression = F.when(value["kind"] == "expr", "an expression")
+    missing = given.isNull() & (shown.isNotNull() | raw.isNotNull())
+    beyond, places = F.lit(f"out of the range of {kind}"), F.lit(f"more decimal places than {kind} has")
+    wrong = F.lit(f"not a {kind.split('(')[0]}")
+    if kind == "double":
+        # what no double is near becomes an infinite one
+        endless = F.coalesce((F.abs(given) == float("inf")) & is_number, F.lit(False))
+        reason = expression.when(missing, F.when(is_number, beyond).otherwise(wrong)).when(endless, beyond)
+        return F.when(~endless, given), reason
+    if kind.startswith("decimal"):
+        # digits behind the point that the type has no place for would be rounded away
+        scale = int(kind[:-1].split(",")[1])
+        behind = F.length(F.regexp_extract(shown, r"\.(\d*[1-9])0*\s*\z", 1)) > scale
+        scaled = shown.rlike("[eE]") & (shown.try_cast("double") != given.cast("double"))
+        rounded = F.coalesce(given.isNotNull() & (behind | scaled), F.lit(False))
+        reason = expression.when(missing, F.when(is_number, beyond).otherwise(wrong)).when(rounded, places)
+        return F.when(~rounded, given), reason
+    # a whole number may be written with a point or an exponent
+    wide = shown.try_cast("decimal(38,10)")
+    whole = F.coalesce(given, F.when((wide == F.floor(wide)) & text.isNotNull(), wide.try_cast(kind)))
+    fraction = F.coalesce(wide != F.floor(wide), F.lit(False))
+    reason = expression.when(
+        missing & whole.isNull(), F.when(~is_number, wrong).when(fraction, places).otherwise(beyond)
+    )
+    return whole, reason
+
+
+@dataclass(frozen=True)
+class Load:
+    """A table's rows, and the values among them that are not of their column's type."""
+
+    rows: DataFrame  # dump_id, stmt_no, row_no, then the columns
+    failed: DataFrame  # dump_id, stmt_no, row_no, table, column, raw, reason
+
 
-    Values follow the statement's column list where it has one, else their position. A value that is not
-    of its column's type becomes null; `dump_id`, `stmt_no` and `row_no` stay to trace it.
+def load_table(decoded: DataFrame, columns: Sequence[tuple[str, str]], table: str) -> Load:
+    """One table's rows with typed columns, and every value that could not be one; `columns` gives (name, Spark type).
+
+    Values follow the statement's column list where it has one, else their position; a value that belongs to no column of
+    the table is listed too. What is listed in `failed` is null in `rows`: nothing is rounded,
+    cut or lost unreported. `raw` is the value's text, or the digits of its bytes.
     """
     mine = decoded.filter(F.col("table") == table)
-    names = F.array(*[F.lit(name) for name, _ in columns])
-    by_name = F.transform(
-        names, lambda n: F.try_element_at("values", F.nullif(F.array_position("columns", n), F.lit(0)).cast("int"))
+    whole_row = F.col("columns").isNull()
+
+    def value(i: int) -> Column:
+        named = F.array_position("columns", F.lit(columns[i][0])).cast("int") - 1
+        return F.get("values", F.when(whole_row, F.lit(i)).otherwise(named))
+
+    rows = mine.select(
+        "dump_id", "stmt_no", "row_no", *[_typed(value(i), kind)[0].alias(name) for i, (name, kind) in enumerate(columns)]
     )
-    placed = computed_once(
-        mine.select("dump_id", "stmt_no", "row_no", "columns", "values"),
-        _placed=F.when(F.col("columns").isNull(), F.col("values")).otherwise(by_name),
+    raw = lambda v: F.coalesce(v["text"], F.hex(v["bytes"]))
+    checks = [
+        F.struct(F.lit(name).alias("column"), raw(value(i)).alias("raw"), _typed(value(i), kind)[1].alias("reason"))
+        for i, (name, kind) in enumerate(columns)
+    ]
+    wrong = F.filter(F.array(*checks), lambda c: c["reason"].isNotNull())
+    # values for which the row, or the statement's list, names no column of the table
+    known = F.array(*[F.lit(name) for name, _ in columns])
+    homeless = F.filter(
+        F.transform("values", lambda v, i: F.struct(
+            F.get("columns", i).alias("column"), raw(v).alias("raw"),
+            F.when(F.when(whole_row, i >= len(columns)).otherwise(
+                ~F.coalesce(F.array_contains(known, F.get("columns", i)), F.lit(False))
+            ), "no column for it").alias("reason"),
+        )),
+        lambda c: c["reason"].isNotNull(),
+    )
+    failed = mine.select("dump_id", "stmt_no", "row_no", F.lit(table).alias("table"), F.inline(F.concat(wrong, homeless)))
+    return Load(rows, failed)
+
+
+def failed_counts(failed: DataFrame) -> DataFrame:
+    """(dump_id, table, column, reason, values, example): failures folded, with the least raw text of each kind."""
+    return failed.groupBy("dump_id", "table", "column", "reason").agg(
+        F.count(F.lit(1)).alias("values"), F.min("raw").alias("example")
     )
-    fields = []
-    for i, (name, kind) in enumerate(columns):
-        value = F.get("_placed", F.lit(i))
-        text = F.coalesce(value["text"], F.decode(value["bytes"], "UTF-8"))
-        if kind == "binary":
-            typed = F.coalesce(value["bytes"], F.encode(value["text"], "UTF-8"))
-        elif kind in ("string", "double", "bigint"):
-            typed = text if kind == "string" else value["text"].try_cast(kind)
-        else:
-            typed = text.try_cast(kind)
-        fields.append(typed.alias(name))
-    return placed.select("dump_id", "stmt_no", "row_no", *fields)
+
+
+def dump_table(decoded: DataFrame, columns: Sequence[tuple[str, str]], table: str) -> DataFrame:
+    """The rows of `load_table` alone; `dump_id`, `stmt_no` and `row_no` trace a value that is null in them."""
+    return load_table(decoded, columns, table).rows
 
 
 def statement_refusals(classified: DataFrame, dialect: str) -> DataFrame:
@@ -198,8 +506,10 @@ def statement_refusals(classified: DataFrame, dialect: str) -> DataFrame:
     sql = F.col("sql")
     is_insert = F.col("kind") == "insert"
     named = F.upper(F.regexp_extract(sql, r"(?i)(TRIGGER|VIEW|PROCEDURE|FUNCTION|EVENT)", 1))
+    fault = F.col("fault") if "fault" in classified.columns else F.lit(None).cast("string")
     reason = (
-        F.when(is_insert & ~has_values(sql, dialect), F.lit("INSERT with no VALUES list"))
+        F.when(fault.isNotNull(), fault)
+        .when(is_insert & ~has_values(sql, dialect), F.lit("INSERT with no VALUES list"))
         .when(is_insert & is_upsert(sql, dialect), F.lit("INSERT ... ON DUPLICATE KEY UPDATE is not converted"))
         .when(F.col("kind") == "object", F.concat(named, F.lit(" is not converted")))
         .when(F.col("kind") == "alter", F.lit("ALTER TABLE is not converted"))
@@ -208,5 +518,8 @@ def statement_refusals(classified: DataFrame, dialect: str) -> DataFrame:
     return (
         computed_once(classified, reason=reason)
         .filter(F.col("reason").isNotNull())
-        .select("dump_id", "stmt_no", "reason", preview(sql).alias("preview"))
+        .select("dump_id", "stmt_no", "reason", F.coalesce(preview(sql), F.lit("")).alias("preview"))
     )
+
+
+register_pickle_by_value(sys.modules[__name__])

@@ -36,7 +36,7 @@ def _read_back(spark, path, dialect):
 
 def _roundtrip(spark, df, name, dialect):
     classified, schema = _read_back(spark, _written(df, name, dialect), dialect)
-    rows = dump_statements.decode_values(dump_statements.insert_rows(classified, dialect), dialect)
+    rows = dump_statements.insert_values(classified, dialect)
     return dump_statements.dump_table(rows, schema, name).drop("dump_id", "stmt_no", "row_no")
 
 
@@ -72,6 +72,118 @@ def _roundtrip_documents_mysql(spark, sf_dir):
     return _documents(spark, sf_dir, "mysql")
 
 
+def _folders(lines, name, files=16):
+    """Lines (dump, ord, line) written as one folder per dump, whose files follow each other in the order of `ord`."""
+    path = staging_path(lines.sparkSession, f"files-{name}")
+    dealt = lines.repartitionByRange(files, "dump", "ord").sortWithinPartitions("dump", "ord")
+    dealt.select("dump", F.col("line").alias("value")).write.partitionBy("dump").text(path)
+    return path
+
+
+def _dump_name():
+    return F.regexp_extract("dump_id", "/dump=([^/]*)$", 1).alias("dump")
+
+
+# One dump per source of the documents. All its rows are one statement over many files; its table is defined in the
+# first file, its index in the last.
+FILE_LINES = """
+SELECT source AS dump, doc_id + 10 AS ord, concat(',(', doc_id, ',', chr(39), replace(text, chr(39), concat(chr(39), chr(39))),
+  chr(39), ',', chr(39), lang, chr(39), ')') AS line FROM {documents}
+UNION ALL SELECT DISTINCT source, 0, 'CREATE TABLE "doc" ("id" INTEGER, "body" TEXT, "lang" TEXT);' FROM {documents}
+UNION ALL SELECT DISTINCT source, 1, concat('INSERT INTO "doc" ("id", "body", "lang") VALUES (-1, ', chr(39), chr(39), ', NULL)')
+  FROM {documents}
+UNION ALL SELECT DISTINCT source, 1000000000000, '; /* the end' FROM {documents}
+UNION ALL SELECT DISTINCT source, 1000000000001, 'of rows; */ CREATE INDEX "by_lang" ON "doc" ("lang");' FROM {documents}"""
+
+
+def _file_dump(spark, sf_dir):
+    path = _folders(derive(spark, sf_dir, FILE_LINES), "documents")
+    return read_dump(spark, path, "sqlite", per="folder")
+
+
+def _dump_files(spark, sf_dir):
+    rows = dump_statements.insert_values(dump_statements.classify(_file_dump(spark, sf_dir)), "sqlite")
+    typed = dump_statements.dump_table(rows, [("id", "bigint"), ("body", "string"), ("lang", "string")], "doc")
+    return typed.select(_dump_name(), "id", F.md5("body").alias("digest"), "lang")
+
+
+def _dump_files_index(spark, sf_dir):
+    done = dump_convert.convert(_file_dump(spark, sf_dir), "sqlite", "mysql")
+    indexes = done.emitted.filter(F.col("kind") == "index").select(_dump_name(), F.lit("index").alias("what"), "sql")
+    lossy = done.lossy.select(_dump_name(), F.lit("lossy").alias("what"), F.concat_ws(": ", "subject", "change").alias("sql"))
+    return indexes.unionByName(lossy)
+
+
+def _dump_bytes(spark, sf_dir):
+    """Raw bytes in quotes, as a dump of binary columns has them, read back and written for the other dialect."""
+    documents = table(spark, sf_dir, "documents")
+    raw = F.unhex(F.concat(F.md5("text"), F.sha2("text", 256))).cast("string")
+    for plain_, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\0", "\\0")):
+        raw = F.replace(raw, F.lit(plain_), F.lit(escaped))
+    line = F.concat(F.lit("INSERT INTO `raw` VALUES ("), "doc_id", F.lit(", _binary '"), raw, F.lit("');"))
+    path = _folders(documents.select(F.lit("one").alias("dump"), F.col("doc_id").alias("ord"), line.alias("line")), "bytes")
+    emitted = dump_convert.convert(read_dump(spark, path, "mysql", per="folder"), "mysql", "sqlite").emitted
+    back = dump_statements.classify(emitted.withColumn("stmt_no", F.col("stmt_no") * 2))
+    rows = dump_statements.insert_values(back, "sqlite")
+    typed = dump_statements.dump_table(rows, [("doc_id", "bigint"), ("raw", "binary")], "raw")
+    return typed.select("doc_id", F.lower(F.hex("raw")).alias("digits"))
+
+
+# Ten dumps; in one a quote is left open before its rows, which hold no other quote.
+OPEN_LINES = """
+SELECT concat('d', doc_id % 10) AS dump, doc_id + 10 AS ord,
+  concat('INSERT INTO `t` VALUES (', doc_id, ', 0x', md5(text), md5(source), md5(lang), ');') AS line FROM {documents}
+UNION ALL SELECT DISTINCT concat('d', doc_id % 10), 1, CASE doc_id % 10 WHEN 3 THEN concat('SELECT ', chr(39))
+  ELSE 'SET NAMES utf8mb4;' END FROM {documents}"""
+
+OPEN_BYTES = 1500
+
+
+def _dump_open_quote(spark, sf_dir):
+    path = _folders(derive(spark, sf_dir, OPEN_LINES), "open")
+    done = dump_convert.convert(
+        read_dump(spark, path, "mysql", per="folder", max_statement_bytes=OPEN_BYTES), "mysql", "sqlite"
+    )
+    refused = done.refusals.groupBy("dump_id").agg(F.min("reason").alias("reason"))
+    summary = done.summary.join(refused, "dump_id", "left")
+    return summary.select(_dump_name(), "rows", "skipped", "reason")
+
+
+# Rows of which most hold a value that is not of its column's type.
+LOADED = """
+SELECT c_mktsegment AS dump_id, c_custkey AS stmt_no, concat('INSERT INTO `t` VALUES (', CASE c_custkey % 8
+  WHEN 0 THEN concat(c_custkey, ',1.50,0.5,~ok~,12')
+  WHEN 1 THEN '9223372036854775808,1.50,0.5,~a~,1234567890123456789012345678901234567890'
+  WHEN 2 THEN concat(c_custkey, ',~12.345~,1e400,~b~,0.1')
+  WHEN 3 THEN '~abc~,123456789012.10,~x~,~c~,NULL'
+  WHEN 4 THEN concat(c_custkey, ',NULL,NULL,0xFF,NULL')
+  WHEN 5 THEN concat(c_custkey, ',5e-1,2,now(),-0.00')
+  WHEN 6 THEN concat(c_custkey, '.0,12.3400,2,~d~,NULL,~extra~')
+  ELSE concat(c_custkey, '.5,-7,2,~e~,1),(', c_custkey) END, ')') AS sql
+FROM {customer}"""
+LOADED_COLUMNS = [("id", "bigint"), ("price", "decimal(10,2)"), ("ratio", "double"), ("note", "string"), ("wide", "string")]
+
+
+def _load(spark, sf_dir):
+    made = derive(spark, sf_dir, LOADED).withColumn("sql", F.translate("sql", "~", "'"))
+    rows = dump_statements.insert_values(dump_statements.classify(made), "mysql")
+    return dump_statements.load_table(rows, LOADED_COLUMNS, "t")
+
+
+def _load_rows(spark, sf_dir):
+    rows = _load(spark, sf_dir).rows
+    return rows.withColumn("row_no", F.col("row_no").cast("bigint")).withColumn("price", F.col("price").cast("string"))
+
+
+def _load_failures(spark, sf_dir):
+    failed = _load(spark, sf_dir).failed
+    return failed.withColumn("row_no", F.col("row_no").cast("bigint"))
+
+
+def _load_failure_counts(spark, sf_dir):
+    return dump_statements.failed_counts(_load(spark, sf_dir).failed)
+
+
 # One dump per customer segment; every customer adds one statement of one of nine forms.
 STATEMENTS = """
 SELECT c_mktsegment AS dump_id, c_custkey AS stmt_no, CASE c_custkey % 9
@@ -241,6 +353,13 @@ QUERIES = {
     "dump_roundtrip_lineitem": _roundtrip_lineitem,
     "dump_roundtrip_documents_sqlite": _roundtrip_documents_sqlite,
     "dump_roundtrip_documents_mysql": _roundtrip_documents_mysql,
+    "dump_files": _dump_files,
+    "dump_files_index": _dump_files_index,
+    "dump_bytes": _dump_bytes,
+    "dump_open_quote": _dump_open_quote,
+    "load_rows": _load_rows,
+    "load_failures": _load_failures,
+    "load_failure_counts": _load_failure_counts,
     "dump_classify": _classify,
     "insert_rows": _insert_rows,
     "decode_values": _decode_values,
@@ -298,7 +417,42 @@ UNION ALL SELECT dump_id, stmt_no, 'drop', 'DROP TABLE IF EXISTS "t' || stmt_no
 UNION ALL SELECT dump_id, stmt_no, 'index', 'CREATE UNIQUE INDEX "i' || stmt_no || '" ON "t1" ("name", "id");'
 FROM {_S} WHERE f = 5"""
 
+_FAILED = f"""
+SELECT c_mktsegment AS dump_id, c_custkey AS stmt_no, CAST(0 AS BIGINT) AS row_no, 't' AS "table", f."column",
+  CASE WHEN f.raw = '?' THEN c_custkey || '.5' ELSE f.raw END AS raw, f.reason
+FROM customer JOIN (VALUES
+  (1, 'id', '9223372036854775808', 'out of the range of bigint'), (2, 'price', '12.345', 'more decimal places than decimal(10,2) has'),
+  (2, 'ratio', '1e400', 'out of the range of double'), (3, 'id', 'abc', 'not a bigint'),
+  (3, 'price', '123456789012.10', 'out of the range of decimal(10,2)'), (3, 'ratio', 'x', 'not a double'),
+  (4, 'note', 'FF', 'bytes that are no text'), (5, 'note', 'now()', 'an expression'), (6, NULL, 'extra', 'no column for it'),
+  (7, 'id', '?', 'more decimal places than bigint has')) f(k, "column", raw, reason) ON c_custkey % 8 = f.k"""
+
 ORACLES = {
+    "dump_files": """
+SELECT source AS dump, doc_id AS id, md5(text) AS digest, lang FROM documents
+UNION ALL SELECT DISTINCT source, -1, md5(''), NULL FROM documents""",
+    "dump_files_index": """
+SELECT dump, x.* FROM (SELECT DISTINCT source AS dump FROM documents), (VALUES
+  ('index', 'CREATE INDEX `by_lang` ON `doc` (`lang`(191));'), ('lossy', 'lang: key narrowed to 191 characters')) x(what, sql)""",
+    "dump_bytes": "SELECT doc_id, md5(text) || sha256(text) AS digits FROM documents",
+    "dump_open_quote": f"""
+SELECT 'd' || doc_id % 10 AS dump, CASE doc_id % 10 WHEN 3 THEN 0 ELSE count(*) END AS rows,
+  CAST(doc_id % 10 = 3 AS BIGINT) AS skipped, CASE doc_id % 10 WHEN 3 THEN
+  'a statement of more than {OPEN_BYTES} bytes; a quote or a comment may be left open' END AS reason
+FROM documents GROUP BY doc_id % 10""",
+    "load_rows": """
+SELECT c_mktsegment AS dump_id, c_custkey AS stmt_no, CAST(0 AS BIGINT) AS row_no,
+  CASE WHEN k NOT IN (1, 3, 7) THEN c_custkey END AS id,
+  CASE k WHEN 0 THEN '1.50' WHEN 1 THEN '1.50' WHEN 5 THEN '0.50' WHEN 6 THEN '12.34' WHEN 7 THEN '-7.00' END AS price,
+  CAST(CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 WHEN 5 THEN 2 WHEN 6 THEN 2 WHEN 7 THEN 2 END AS DOUBLE) AS ratio,
+  CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'c' WHEN 6 THEN 'd' WHEN 7 THEN 'e' END AS note,
+  CASE k WHEN 0 THEN '12' WHEN 1 THEN '1234567890123456789012345678901234567890' WHEN 2 THEN '0.1' WHEN 5 THEN '-0.00'
+    WHEN 7 THEN '1' END AS wide
+FROM (SELECT *, c_custkey % 8 AS k FROM customer)
+UNION ALL SELECT c_mktsegment, c_custkey, 1, c_custkey, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 8 = 7""",
+    "load_failures": _FAILED,
+    "load_failure_counts": f"""
+SELECT dump_id, "table", "column", reason, count(*) AS "values", min(raw) AS example FROM ({_FAILED}) GROUP BY ALL""",
     "dump_roundtrip_nation": """
 SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""",
     "dump_roundtrip_customer": """

@@ -1,11 +1,15 @@
-"""SQL dumps of any size read as one row per statement.
-
-Whether a `;` ends a statement depends on every quote and comment before it, so a plain parallel split is
-wrong. The reader works in two passes over the blocks of each file. The first works out, for every state a
-block could be entered in, the state it is left in and how many statements end inside. These small maps
-are composed per file in block order, which gives each block its true entry state and statement number; the
-second pass then cuts the text. Files are cut into blocks at line ends, so only five entry states exist:
-outside everything, inside one of three quotes, inside a block comment.
+"""SQL dumps of any size and of any number of files, read as one row per statement.
+
+Whether a `;` ends a statement depends on every quote and comment before it, so a plain parallel split is wrong. The
+reader works in two passes over the blocks of a dump. The first works out, for every state a block could be entered in,
+the state it is left in and how many statements end inside. These small maps are folded as a tree in the order of files
+and blocks (`functions.scan`), which gives each block its true entry state and statement number; the second pass then
+cuts the text. Files are cut into blocks at line ends, so only five entry states exist: outside everything, inside one
+of three quotes, inside a block comment.
+
+Dumps are bytes. What is no text in UTF-8 stands in literals, where a dump of binary columns has it: such a literal is
+rewritten as hexadecimal digits, so no byte is lost. Any other statement that is no text, or that is longer than one
+value may be, is a row with a `fault` in place of its text, and the rest of the dump is read on.
 """
 
 from __future__ import annotations
@@ -14,26 +18,24 @@ import re
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siteferry.functions.text import JS_SPACE_CHARS, js_trim
+from siteferry.functions.scale import BROADCAST_ROWS, broadcast_if_small
+from siteferry.functions.schema import columns
+from siteferry.functions.scan import PART_PIECES, entry_states
+from siteferry.functions.text import JS_SPACE_CHARS
 from siteferry.session import cut_lineage
 
 DIALECTS = {"mysql": "mysql", "mariadb": "mysql", "sqlite": "sqlite"}
 
-# Entry states of a block.
-OUTSIDE, SINGLE, DOUBLE, BACKTICK, COMMENT = "N", "'", '"', "`", "*"
+# Entry states of a block, by their number in the maps.
+OUTSIDE, SINGLE, DOUBLE, BACKTICK, COMMENT = b"N", b"'", b'"', b"`", b"*"
 STATES = (OUTSIDE, SINGLE, DOUBLE, BACKTICK, COMMENT)
 
-# More blocks than this (512 TB at the default block size) need larger blocks, not a larger broadcast.
-MAX_BLOCKS = 4_000_000
-
 # One value of a row holds less than two gigabytes.
 MAX_STATEMENT_BYTES = 2_000_000_000
 
@@ -44,30 +46,37 @@ def dialect_of(name: str) -> str:
     return DIALECTS[name]
 
 
+# What a backslash escape stands for; any other escaped byte is itself.
+_ESCAPES = {b"0": b"\0", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"Z": b"\x1a"}
+
+
 class Cutter:
-    """Regular expressions that cut text of one dialect; small enough to be sent with each task."""
+    """Regular expressions that cut bytes of one dialect; small enough to be sent with each task."""
 
     def __init__(self, dialect: str):
+        self.dialect = dialect
         escaped = dialect == "mysql"
         inner = {
-            SINGLE: r"(?:[^'\\]++|\\.|'')*+" if escaped else r"(?:[^']++|'')*+",
-            DOUBLE: r'(?:[^"\\]++|\\.|"")*+' if escaped else r'(?:[^"]++|"")*+',
-            BACKTICK: r"(?:[^`]++|``)*+",
+            SINGLE: rb"(?:[^'\\]++|\\.|'')*+" if escaped else rb"(?:[^']++|'')*+",
+            DOUBLE: rb'(?:[^"\\]++|\\.|"")*+' if escaped else rb'(?:[^"]++|"")*+',
+            BACKTICK: rb"(?:[^`]++|``)*+",
         }
-        quoted = "|".join(f"{q}{body}{q}" for q, body in inner.items())
+        quoted = b"|".join(q + body + q for q, body in inner.items())
         # the longest stretch without a statement end, a comment or an open quote
-        self.stretch = re.compile(rf"(?:[^;#'\"`/-]++|-(?!-)|/(?!\*)|{quoted})*+", re.S)
+        self.stretch = re.compile(rb"(?:[^;#'\"`/-]++|-(?!-)|/(?!\*)|" + quoted + rb")*+", re.S)
         self.rest_of_quote = {q: re.compile(body + q, re.S) for q, body in inner.items()}
+        self.literal = re.compile(rb"(?:\b_[0-9A-Za-z]+\s*)?'(" + inner[SINGLE] + rb")'|" + quoted, re.S)
+        self.escape = re.compile(rb"\\(.)|''" if escaped else rb"''()", re.S)
 
-    def resume(self, text: str, state: str) -> int:
+    def resume(self, text: bytes, state: bytes) -> int:
         """Where an open quote or comment ends in `text`, or -1 when it does not."""
         if state == COMMENT:
-            at = text.find("*/")
+            at = text.find(b"*/")
             return -1 if at < 0 else at + 2
         found = self.rest_of_quote[state].match(text)
         return -1 if found is None else found.end()
 
-    def walk(self, text: str, at: int) -> Iterator[tuple[str, int, int]]:
+    def walk(self, text: bytes, at: int) -> Iterator[tuple]:
         """From outside at `at`: ('text', from, to), ('end', position, next) and last (state, from, to)."""
         size = len(text)
         while True:
@@ -77,17 +86,17 @@ class Cutter:
             if stop == size:
                 yield OUTSIDE, size, size
                 return
-            mark = text[stop]
-            if mark == ";":
+            mark = text[stop : stop + 1]
+            if mark == b";":
                 yield "end", stop, stop + 1
                 at = stop + 1
-            elif mark in "#-":
-                at = text.find("\n", stop)
+            elif mark in b"#-":
+                at = text.find(b"\n", stop)
                 if at < 0:
                     yield OUTSIDE, size, size
                     return
-            elif mark == "/":
-                closed = text.find("*/", stop + 2)
+            elif mark == b"/":
+                closed = text.find(b"*/", stop + 2)
                 if closed < 0:
                     yield COMMENT, size, size
                     return
@@ -97,14 +106,37 @@ class Cutter:
                 yield mark, size, size
                 return
 
-
-def _texts(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, str, bool]]:
-    """Runs of lines of one block as (block columns, text, whether the block goes on after it)."""
+    def as_text(self, sql: bytes) -> tuple[str | None, str | None]:
+        """(text, None), with literals of bytes that are no text in hexadecimal; or (None, fault)."""
+        try:
+            return sql.decode().strip(JS_SPACE_CHARS), None
+        except UnicodeDecodeError:
+            pass
+
+        def respell(found: re.Match) -> bytes:
+            try:
+                found[0].decode()
+                return found[0]
+            except UnicodeDecodeError:
+                if found[1] is None:
+                    return found[0]
+            value = self.escape.sub(lambda e: _ESCAPES.get(e[1], e[1]) if e[1] else b"'", found[1])
+            digits = value.hex().upper().encode()
+            return b"0x" + digits if self.dialect == "mysql" else b"x'" + digits + b"'"
+
+        try:
+            return self.literal.sub(respell, sql).decode().strip(JS_SPACE_CHARS), None
+        except UnicodeDecodeError as wrong:
+            return None, f"bytes outside a literal are no text: {wrong.object[wrong.start : wrong.start + 8].hex()}"
+
+
+def _texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, bytes, bool]]:
+    """Runs of lines of one block as (block columns, bytes, whether the block goes on after it)."""
     held = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
+        values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
         lines = batch.column(batch.schema.get_field_index("value")).to_pylist()
         start = 0
         marks = list(zip(*values))
@@ -112,66 +144,63 @@ def _texts(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tu
             if i == len(lines) or marks[i] != marks[start]:
                 if held is not None:
                     yield held[0], held[1], held[0] == marks[start]
-                held = (marks[start], "\n".join(lines[start:i]) + "\n")
+                held = (marks[start], b"\n".join(lines[start:i]) + b"\n")
                 start = i
     if held is not None:
         yield held[0], held[1], False
 
 
-def _lines(spark: SparkSession, path) -> DataFrame:
-    return (
+def _lines(spark: SparkSession, path, per: str) -> DataFrame:
+    """(dump_id, place, shared, value): lines with the place of their block in the dump, in bytes."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")]
+    lines = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .text(path)
         .select(
-            F.col("_metadata.file_path").alias("dump_id"),
+            *meta,
             F.col("_metadata.file_block_start").alias("start"),
-            (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("shared"),
-            "value",
+            F.col("_metadata.file_block_length").alias("length"),
+            F.col("value").cast("binary").alias("value"),
         )
     )
+    if per == "file":
+        return lines.select(F.col("file").alias("dump_id"), F.col("start").alias("place"), (F.col("length") < F.col("size")).alias("shared"), "value")
+    # the files of a folder, by name, are one text
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(*meta)
+    dump = F.regexp_replace("file", "/[^/]*$", "")
+    before = Window.partitionBy("dump_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = listed.withColumn("dump_id", dump).select(
+        "file", "dump_id", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"),
+        F.sum("size").over(Window.partitionBy("dump_id")).alias("total"),
+    )
+    # a listing is small beside its files; beyond what may be broadcast, lines are put back in order by their number
+    files = broadcast_if_small(ordered)
+    if files.count() > BROADCAST_ROWS:
+        lines = lines.withColumn("line", F.monotonically_increasing_id())
+    placed = lines.join(files, "file").select(
+        "dump_id", (F.col("base") + F.col("start")).alias("place"), (F.col("length") < F.col("total")).alias("shared"), "value",
+        *([F.col("line")] if "line" in lines.columns else []),
+    )
+    return placed
 
 
-_MAP = T.StructType(
-    [
-        T.StructField("dump_id", T.StringType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("leaves", T.ArrayType(T.StringType())),
-        T.StructField("ends", T.ArrayType(T.LongType())),
-        T.StructField("first", T.ArrayType(T.LongType())),
-        T.StructField("last", T.ArrayType(T.LongType())),
-    ]
-)
-
-_ENTRY = T.StructType(
-    [
-        T.StructField("dump_id", T.StringType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("state", T.StringType()),
-        T.StructField("base", T.LongType()),
-        T.StructField("ends", T.LongType()),
-        T.StructField("first", T.LongType()),
-        T.StructField("last", T.LongType()),
-    ]
-)
-
-_PIECE = T.StructType(
-    [
-        T.StructField("dump_id", T.StringType()),
-        T.StructField("stmt_no", T.LongType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("sql", T.StringType()),
-    ]
+_MAP = columns(
+    "key string, place bigint, to array<int>, add array<bigint>, first array<bigint>, last array<bigint>, size bigint"
 )
+_PIECE = columns("dump_id string, stmt_no bigint, place bigint, sql binary")
+_STATEMENT = columns("dump_id string, stmt_no bigint, sql string, fault string")
 
 
 def _map_blocks(cutter: Cutter):
     """First pass: per block, what each entry state leads to."""
 
     def run(batches):
-        states, ends, first, last, done = list(STATES), [0] * 5, [-1] * 5, [-1] * 5, 0
-        for mark, text, more in _texts(batches, ["dump_id", "start"]):
-            seen: dict[str, tuple[str, list[int]]] = {}
+        fresh = True
+        for mark, text, more in _texts(batches, ["dump_id", "place"]):
+            if fresh:
+                states, ends, first, last, done, fresh = list(STATES), [0] * 5, [-1] * 5, [-1] * 5, 0, False
+            seen: dict[bytes, tuple[bytes, list[int]]] = {}
             plain = _ends_from(cutter, text, 0, None)
             seen[OUTSIDE] = plain
             for s in set(states) - {OUTSIDE}:
@@ -187,25 +216,15 @@ def _map_blocks(cutter: Cutter):
                 states[i] = left
             done += len(text)
             if not more:
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            "dump_id": mark[0],
-                            "start": mark[1],
-                            "leaves": states,
-                            "ends": ends,
-                            "first": first,
-                            "last": last,
-                        }
-                    ],
-                    schema=to_arrow_schema(_MAP),
-                )
-                states, ends, first, last, done = list(STATES), [0] * 5, [-1] * 5, [-1] * 5, 0
+                to = [STATES.index(s) for s in states]
+                row = {"key": mark[0], "place": mark[1], "to": to, "add": ends, "first": first, "last": last, "size": done}
+                yield pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(_MAP))
+                fresh = True
 
     return run
 
 
-def _ends_from(cutter: Cutter, text: str, at: int, known: tuple[str, list[int]] | None) -> tuple[str, list[int]]:
+def _ends_from(cutter: Cutter, text: bytes, at: int, known: tuple[bytes, list[int]] | None) -> tuple[bytes, list[int]]:
     """(state left in, positions of statement ends) from outside at `at`.
 
     Once a walk ends a statement where the known walk also ended one, the two go on alike.
@@ -222,36 +241,47 @@ def _ends_from(cutter: Cutter, text: str, at: int, known: tuple[str, list[int]]
     return OUTSIDE, found
 
 
-def _compose(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Entry state and first statement number of each block of one file, from the maps in block order."""
-    state, base, rows = OUTSIDE, 0, []
-    for b in blocks.sort_values("start").itertuples(index=False):
-        i = STATES.index(state)
-        rows.append((b.dump_id, b.start, state, base, b.ends[i], b.first[i], b.last[i]))
-        state, base = b.leaves[i], base + b.ends[i]
-    return pd.DataFrame(rows, columns=_ENTRY.fieldNames())
+_EMIT_BYTES = 16_000_000
 
 
-def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[], [], [], []]
-    schema = to_arrow_schema(_PIECE)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+class _Rows:
+    """Statements gathered into batches of bounded size."""
 
+    def __init__(self, cutter: Cutter, most: int):
+        self.cutter, self.most = cutter, most
+        self.rows, self.weight = [], 0
 
-_EMIT_CHARS = 16_000_000
+    def add(self, dump: str, number: int, parts: list[bytes]) -> None:
+        sql = b"".join(parts)
+        if len(sql) > self.most:
+            text, fault = None, _too_long(self.most)
+        else:
+            text, fault = self.cutter.as_text(sql)
+        if text or fault:
+            self.rows.append((dump, number, text, fault))
+            self.weight += len(sql)
 
+    def batch(self) -> pa.RecordBatch:
+        schema = to_arrow_schema(_STATEMENT)
+        values = list(zip(*self.rows))
+        self.rows, self.weight = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, schema)], schema=schema)
 
-def _cut_whole(cutter: Cutter):
+
+def _too_long(most: int) -> str:
+    return f"a statement of more than {most} bytes; a quote or a comment may be left open"
+
+
+def _cut_whole(cutter: Cutter, most: int):
     """Second pass: the statements that lie within one block."""
 
     def run(batches):
-        rows, weight, parts, state, number, opened = [], 0, [], OUTSIDE, 0, False
-        fresh = True
-        for mark, text, more in _texts(batches, ["dump_id", "start", "shared", "state", "base"]):
+        out, parts, state, number, opened, fresh = _Rows(cutter, most), [], OUTSIDE, 0, False, True
+        for (dump, place, shared, entered, base), text, more in _texts(batches, ["dump_id", "place", "shared", "state", "base"]):
             if fresh:
-                state, number, parts = mark[3], mark[4], []
+                state, number, parts = STATES[entered], base, []
                 # the statement a shared block begins in belongs to the block before as well
-                opened = mark[2] and mark[1] > 0
+                opened = shared and place > 0
                 fresh = False
             at = 0
             if state != OUTSIDE:
@@ -263,24 +293,19 @@ def _cut_whole(cutter: Cutter):
                     if kind == "text":
                         parts.append(text[start:stop])
                     elif kind == "end":
-                        sql = "".join(parts).strip(JS_SPACE_CHARS)
-                        if sql and not opened:
-                            rows.append((mark[0], number, mark[1], sql))
-                            weight += len(sql)
+                        if not opened:
+                            out.add(dump, number, parts)
                         parts, opened, number = [], False, number + 1
-                        if weight > _EMIT_CHARS:
-                            yield _emit(rows)
-                            rows, weight = [], 0
+                        if out.weight > _EMIT_BYTES:
+                            yield out.batch()
                     else:
                         state = kind
             if not more:
-                sql = "".join(parts).strip(JS_SPACE_CHARS)
-                if sql and not mark[2]:
-                    rows.append((mark[0], number, mark[1], sql))
-                    weight += len(sql)
+                if not shared:
+                    out.add(dump, number, parts)
                 fresh = True
-        if rows:
-            yield _emit(rows)
+        if out.rows:
+            yield out.batch()
 
     return run
 
@@ -289,11 +314,12 @@ def _cut_shared(cutter: Cutter):
     """Second pass: what stands in a block before its first and after its last statement end."""
 
     def run(batches):
+        schema = to_arrow_schema(_PIECE)
         done, fresh, state, head, tail = 0, True, OUTSIDE, [], []
-        for mark, text, more in _texts(batches, ["dump_id", "start", "state", "base", "ends", "first", "last"]):
-            name, start, entered, base, ends, first, last = mark
+        for mark, text, more in _texts(batches, ["dump_id", "place", "state", "base", "ends", "first", "last"]):
+            name, place, entered, base, ends, first, last = mark
             if fresh:
-                done, state, head, tail, fresh = 0, entered, [], [], False
+                done, state, head, tail, fresh = 0, STATES[entered], [], [], False
             whole = ends == 0
             if whole or done <= first:
                 piece = text if whole or first >= done + len(text) else text[: first - done]
@@ -305,18 +331,19 @@ def _cut_shared(cutter: Cutter):
             done += len(text)
             if not more:
                 rows = []
-                # the first statement of a file is whole when it ends within the first block
-                if start > 0 or whole:
-                    rows.append((name, base, start, "".join(head)))
+                # the first statement of a dump is whole when it ends within the first block
+                if place > 0 or whole:
+                    rows.append((name, base, place, b"".join(head)))
                 if not whole:
-                    rows.append((name, base + ends, start, "".join(tail)))
-                yield _emit([r for r in rows if r[3]])
+                    rows.append((name, base + ends, place, b"".join(tail)))
+                values = list(zip(*[r for r in rows if r[3]])) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, schema)], schema=schema)
                 fresh = True
 
     return run
 
 
-def _strip(cutter: Cutter, text: str, state: str, out: list[str]) -> str:
+def _strip(cutter: Cutter, text: bytes, state: bytes, out: list[bytes]) -> bytes:
     """Appends `text` without comments, for a stretch in which no statement ends; the state after it."""
     if not text:
         return state
@@ -335,19 +362,27 @@ def _strip(cutter: Cutter, text: str, state: str, out: list[str]) -> str:
     return OUTSIDE
 
 
+def _stitch(cutter: Cutter, most: int):
+    """Statements from their pieces, which lie in the order of blocks."""
+
+    def run(batches):
+        out = _Rows(cutter, most)
+        for batch in batches:
+            for row in batch.to_pylist():
+                out.add(row["dump_id"], row["stmt_no"], [p["sql"] for p in row["pieces"]])
+                if out.weight > _EMIT_BYTES:
+                    yield out.batch()
+        if out.rows:
+            yield out.batch()
+
+    return run
+
+
 def _size_of(spark: SparkSession, key: str) -> int:
     number, unit = re.match(r"(\d+)\s*([a-z]?)", spark.conf.get(key).lower()).groups()
     return int(number) * 1024 ** "bkmgtp".index(unit or "b")
 
 
-def _refuse_endless(entries: DataFrame, most: int) -> None:
-    """Raises when a statement spans more blocks than one value can hold, as after a quote left open."""
-    spans = entries.filter("ends = 0").groupBy("dump_id", "base").agg(F.count(F.lit(1)).alias("blocks"))
-    endless = spans.filter(F.col("blocks") > most).limit(1).collect()
-    if endless:
-        raise ValueError(f"a statement of {endless[0].dump_id} spans {endless[0].blocks} blocks; a quote is left open")
-
-
 def _may_split(spark: SparkSession, path) -> bool:
     """Whether some file is large enough to be read in several blocks, from the file listing alone."""
     keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
@@ -356,46 +391,82 @@ def _may_split(spark: SparkSession, path) -> bool:
     return files.filter(F.col("length") > least).select("length").limit(1).count() > 0
 
 
-def read_dump(spark: SparkSession, path, dialect: str = "mysql", max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """(dump_id, stmt_no, sql): every statement of the dumps below `path`, one dump per file.
-
-    `;` inside quotes does not split; `--`, `#` and block comments vanish; the last statement needs no
-    `;`; an open quote or comment runs to the end. Statement numbers grow along a file and may have gaps,
-    since empty statements are dropped.
+def read_dump(
+    spark: SparkSession,
+    path,
+    dialect: str = "mysql",
+    per: str = "file",
+    max_statement_bytes: int = MAX_STATEMENT_BYTES,
+    part_pieces: int = PART_PIECES,
+) -> DataFrame:
+    """(dump_id, stmt_no, sql, fault): every statement of the dumps below `path`.
+
+    `per` is "file" for one dump per file, or "folder" for one dump per folder, whose files follow each other by name: a
+    statement, quote or comment may begin in one file and end in another. `;` inside quotes does not split; `--`, `#`
+    and block comments vanish; the last statement needs no `;`; an open quote or comment runs to the end. Statement
+    numbers grow along a dump and may have gaps, since empty statements are dropped. A statement longer than
+    `max_statement_bytes`, as after a quote left open, and one whose bytes are no text have a fault and no sql.
     """
+    if per not in ("file", "folder"):
+        raise ValueError(f"per is {per}; expected file or folder")
     cutter = Cutter(dialect_of(dialect))
-    lines = _lines(spark, path)
-    if not _may_split(spark, path) or lines.filter("shared").limit(1).count() == 0:
-        alone = lines.withColumn("state", F.lit(OUTSIDE)).withColumn("base", F.lit(0).cast("bigint"))
-        cut = alone.select("dump_id", "start", "shared", "state", "base", "value").mapInArrow(_cut_whole(cutter), _PIECE)
-        return cut.select("dump_id", "stmt_no", "sql")
-    shared = lines.filter("shared")
-    maps = shared.drop("shared").mapInArrow(_map_blocks(cutter), _MAP)
-    entries = cut_lineage(maps.groupBy("dump_id").applyInPandas(_compose, _ENTRY))
-    blocks = entries.count()
-    if blocks > max_blocks:
-        raise ValueError(f"{blocks} blocks; raise spark.sql.files.maxPartitionBytes")
-    _refuse_endless(entries, max(1, MAX_STATEMENT_BYTES // _size_of(spark, "spark.sql.files.maxPartitionBytes")))
-    placed = lines.join(F.broadcast(entries.select("dump_id", "start", "state", "base")), ["dump_id", "start"], "left")
-    whole = placed.select(
+    lines = _lines(spark, path, per)
+    if per == "file" and (not _may_split(spark, path) or lines.filter("shared").limit(1).count() == 0):
+        alone = lines.withColumn("state", F.lit(0)).withColumn("base", F.lit(0).cast("bigint"))
+        return alone.select("dump_id", "place", "shared", "state", "base", "value").mapInArrow(
+            _cut_whole(cutter, max_statement_bytes), _STATEMENT
+        )
+    ordered = "line" in lines.columns
+    blocks = _in_order(lines) if ordered else lines
+    shared = blocks.filter("shared")
+    maps = cut_lineage(shared.select("dump_id", "place", "value").mapInArrow(_map_blocks(cutter), _MAP))
+    at_state = lambda c: F.get(c, F.col("state"))
+    entries = broadcast_if_small(
+        maps.join(entry_states(maps, 0, part_pieces), ["key", "place"]).select(
+            F.col("key").alias("dump_id"), "place", "state", "base", at_state("add").alias("ends"),
+            at_state("first").alias("first"), at_state("last").alias("last"), "size",
+        )
+    )
+    # a statement that fills block after block without an end is refused before any of it is brought together
+    endless = broadcast_if_small(
+        entries.filter("ends = 0")
+        .groupBy("dump_id", F.col("base").alias("stmt_no"))
+        .agg(F.sum("size").alias("_bytes"))
+        .filter(F.col("_bytes") > max_statement_bytes)
+        .drop("_bytes")
+    )
+    if not ordered and entries.count() > BROADCAST_ROWS:
+        lines, ordered = lines.withColumn("line", F.monotonically_increasing_id()), True
+    back = (lambda df: _in_order(df)) if ordered else (lambda df: df)
+    known = entries.select("dump_id", "place", "state", "base")
+    placed = back(lines.join(known, ["dump_id", "place"], "left")).select(
         "dump_id",
-        "start",
+        "place",
         "shared",
-        F.coalesce("state", F.lit(OUTSIDE)).alias("state"),
+        F.coalesce("state", F.lit(0)).alias("state"),
         F.coalesce("base", F.lit(0)).alias("base"),
         "value",
-    ).mapInArrow(_cut_whole(cutter), _PIECE)
-    statements = whole.select("dump_id", "stmt_no", "sql")
-    pieces = (
-        shared.drop("shared").join(F.broadcast(entries), ["dump_id", "start"])
-        .select("dump_id", "start", "state", "base", "ends", "first", "last", "value")
-        .mapInArrow(_cut_shared(cutter), _PIECE)
     )
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("start", "sql"))), lambda p: p["sql"]), ""
+    whole = placed.mapInArrow(_cut_whole(cutter, max_statement_bytes), _STATEMENT)
+    pieces = back(lines.filter("shared").join(entries, ["dump_id", "place"])).select(
+        "dump_id", "place", "state", "base", "ends", "first", "last", "value"
     )
-    stitched = pieces.groupBy("dump_id", "stmt_no").agg(js_trim(joined).alias("sql")).filter(F.col("sql") != "")
-    return statements.unionByName(stitched)
+    joined = (
+        pieces.mapInArrow(_cut_shared(cutter), _PIECE)
+        .join(endless, ["dump_id", "stmt_no"], "left_anti")
+        .groupBy("dump_id", "stmt_no")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "sql"))).alias("pieces"))
+    )
+    stitched = joined.mapInArrow(_stitch(cutter, max_statement_bytes), _STATEMENT)
+    refused = endless.select(
+        "dump_id", "stmt_no", F.lit(None).cast("string").alias("sql"), F.lit(_too_long(max_statement_bytes)).alias("fault")
+    )
+    return whole.unionByName(stitched).unionByName(refused)
+
+
+def _in_order(lines: DataFrame) -> DataFrame:
+    """Lines of a block together and in their order again, after a join that shuffled them."""
+    return lines.repartition("dump_id", "place").sortWithinPartitions("dump_id", "place", "line")
 
 
 # Tasks get this module's functions with the job, so executors need no copy of the package.

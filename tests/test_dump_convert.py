@@ -1,6 +1,7 @@
 """Statements, values, definitions and whole conversions on small dumps; one file per case."""
 
 import dataclasses
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,6 +240,105 @@ def test_large_statement(spark, tmp_path):
     assert dump_statements.tail_refusals(classified, "mysql").count() == 0
 
 
+def test_nesting_and_length_without_limit(spark):
+    deep = "(" * 1000 + "7, ')'" + ")" * 1000
+    long = ",".join(f"({i},'{'v' * 990}')" for i in range(100_000))
+    rows = [("d", 0, f"INSERT INTO t VALUES (1,{deep}),(2,3), f(4)"), ("d", 1, f"INSERT INTO t VALUES {long};")]
+    frame = spark.createDataFrame(rows, "dump_id string, stmt_no long, sql string")
+    classified = dump_statements.classify(frame)
+    got = dump_statements.insert_values(classified, "mysql").groupBy("stmt_no").agg(
+        F.count("*").alias("n"), F.max(F.size("values")).alias("k"), F.max(F.length(F.get("values", F.lit(1))["text"])).alias("w")
+    )
+    assert len(long) > 99_000_000
+    assert [tuple(r) for r in got.orderBy("stmt_no").collect()] == [(0, 2, 2, len(deep)), (1, 100_000, 2, 990)]
+    assert [r.preview for r in dump_statements.tail_refusals(classified, "mysql").collect()] == ["f(4)"]
+
+
+def test_scanner_equals_a_slow_one():
+    """Tuples and values of random lists against a reader of one character at a time."""
+    rng = random.Random(21)
+
+    def slow(text, dialect):
+        tuples, depth, quote, start, items, item, i = [], 0, None, 0, [], "", 0
+        while i < len(text):
+            c = text[i]
+            item += c
+            if quote:
+                if dialect == "mysql" and quote != "`" and c == "\\" and i + 1 < len(text):
+                    item, i = item + text[i + 1], i + 1
+                elif c == quote:
+                    quote = None
+            elif c in "'\"`":
+                quote = c
+            elif c == "(":
+                depth += 1
+                if depth == 1:
+                    start, items, item = i, [], ""
+            elif c == ")":
+                depth -= 1
+                if depth < 0:
+                    break
+                if depth == 0:
+                    items.append(item[:-1])
+                    tuples.append((text[start : i + 1], [x.strip() for x in items if x.strip()]))
+                    item = ""
+            elif depth == 0 and c not in ", ":
+                break
+            elif depth == 1 and c == ",":
+                items.append(item[:-1])
+                item = ""
+            i += 1
+        return tuples
+
+    pieces = ["(", ")", ",", " ", "1", "-2.5", "'a'", "'b,('", "'it''s'", "NULL", "x'0F'", "f(1,2)", "`q`", "'\\\\'", "(1,'z')", "0xAb"]
+    for dialect in ("mysql", "sqlite"):
+        scanner = dump_statements.Scanner(dialect)
+        for _ in range(3000):
+            text = "(" + "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+            wanted = slow(text, dialect)
+            got = [text[a:b] for a, b in scanner.tuples(text, 0)]
+            # two tuples may stand without a comma between; a comma may not be doubled
+            assert got == [t for t, _ in wanted][: len(got)], text
+            for tuple_, items in wanted[: len(got)]:
+                into = dump_statements.Literals()
+                scanner.values(tuple_, into)
+                alone = dump_statements.Literals()
+                for item in items:
+                    alone.add(*scanner.literal(item))
+                assert (into.kinds, into.texts, into.raws) == (alone.kinds, alone.texts, alone.raws), tuple_
+
+
+def test_a_conversion_reads_its_dump_once(to_sqlite, spark, tmp_path):
+    (tmp_path / "d.sql").write_text(SHELF)
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    dump = read_dump(spark, str(tmp_path)).mapInArrow(seen, "dump_id string, stmt_no long, sql string, fault string")
+    done = dump_convert.convert(dump, "mysql", "sqlite")
+    for frame in (done.emitted, done.over_limit, done.refusals, done.lossy, done.summary):
+        frame.collect()
+    assert reads.value == 3
+
+
+def test_failed_casts_are_listed(spark):
+    rows = [("d", 0, "INSERT INTO t (b, a, z) VALUES ('12x', 99999999999999999999, 1), (0x41, 1e2, 2)")]
+    classified = dump_statements.classify(spark.createDataFrame(rows, "dump_id string, stmt_no long, sql string"))
+    load = dump_statements.load_table(
+        dump_statements.insert_values(classified, "mysql"), [("a", "bigint"), ("b", "decimal(4,1)"), ("c", "binary")], "t"
+    )
+    assert [(r.a, r.b, r.c) for r in load.rows.orderBy("row_no").collect()] == [(None, None, None), (100, None, None)]
+    failed = {(r.row_no, r.column, r.raw, r.reason) for r in load.failed.collect()}
+    assert failed == {
+        (0, "a", "99999999999999999999", "out of the range of bigint"), (0, "b", "12x", "not a decimal"),
+        (1, "b", "41", "not a decimal"), (0, "z", "1", "no column for it"), (1, "z", "2", "no column for it"),
+    }
+    assert dump_statements.failed_counts(load.failed).count() == 4
+
+
 def test_write_and_count(spark, tmp_path, to_sqlite):
     kept, spared = dump_convert.structure_only(to_sqlite.emitted, (r"^(shelf|member)$",))
     assert {r.table for r in spared.collect()} == {"shelf", "member"}

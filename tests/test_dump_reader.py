@@ -62,10 +62,11 @@ def test_walk_equals_the_slow_reader():
         cutter = Cutter(dialect)
         for _ in range(4000):
             text = random_text(rng, rng.randrange(1, 80)) + "\n"
+            raw = text.encode()
             out, parts = [], []
-            for kind, start, stop in cutter.walk(text, 0):
+            for kind, start, stop in cutter.walk(raw, 0):
                 if kind == "text":
-                    parts.append(text[start:stop])
+                    parts.append(raw[start:stop].decode())
                 elif kind == "end":
                     out.append("".join(parts))
                     parts = []
@@ -78,7 +79,7 @@ def test_maps_compose_at_every_line_end():
     for dialect in ("mysql", "sqlite"):
         cutter = Cutter(dialect)
         for _ in range(2000):
-            first, second = (random_text(rng, rng.randrange(0, 40)) + "\n" for _ in range(2))
+            first, second = ((random_text(rng, rng.randrange(0, 40)) + "\n").encode() for _ in range(2))
             state, ends = _ends_from(cutter, first, 0, None)
             whole_state, whole_ends = _ends_from(cutter, first + second, 0, None)
             known = _ends_from(cutter, second, 0, None)
@@ -93,8 +94,8 @@ def test_maps_compose_at_every_line_end():
 
 def test_strip_drops_comments_only():
     out = []
-    assert _strip(Cutter("mysql"), "a /* x */ b -- c\n d", OUTSIDE, out) == OUTSIDE
-    assert "".join(out) == "a  b \n d"
+    assert _strip(Cutter("mysql"), b"a /* x */ b -- c\n d", OUTSIDE, out) == OUTSIDE
+    assert b"".join(out) == b"a  b \n d"
 
 
 @pytest.mark.parametrize(("text", "dialect", "count"), CASES)
@@ -123,12 +124,73 @@ def test_block_size_does_not_matter(spark, tmp_path, dialect, block):
         assert got == statements_one_by_one(file.read_text(newline=""), dialect), file.name
 
 
-def test_a_quote_left_open_over_many_blocks_is_refused(spark, tmp_path, monkeypatch):
-    (tmp_path / "open.sql").write_text("SELECT 1;\nSELECT '" + "x;\n" * 2000)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
-    monkeypatch.setattr(dump_module, "MAX_STATEMENT_BYTES", 1024)
+@pytest.fixture(params=["256", "128m"])
+def block(spark, request):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_quote_left_open_is_a_refusal_and_the_rest_is_read(spark, tmp_path, block):
+    (tmp_path / "bad.sql").write_text("SELECT 1;\nSELECT '" + "x;\n" * 2000)
+    for i in range(3):
+        (tmp_path / f"good{i}.sql").write_text(f"SELECT {i};\nINSERT INTO t VALUES ('{'y;' * 300}');\n" * (1 + 5 * i))
+    rows = read_dump(spark, str(tmp_path), max_statement_bytes=2000).collect()
+    bad = [(r.stmt_no, r.sql, r.fault is None) for r in rows if r.dump_id.endswith("bad.sql")]
+    assert sorted(bad) == [(0, "SELECT 1", True), (1, None, False)]
+    assert sum(r.fault is not None for r in rows) == 1 and len(rows) == 2 + 2 * (1 + 6 + 11)
+
+
+def test_files_of_a_folder_are_one_dump(spark, tmp_path, block):
+    """Statements, quotes and comments begin in one file and end in another; one file is empty."""
+    rng = random.Random(13)
+    whole = {}
+    for folder in ("a", "b/c"):
+        (tmp_path / folder).mkdir(parents=True)
+        text = "".join(f"INSERT INTO t VALUES ('{i};\n{'x' * rng.randrange(60)}');\n/* {i};\n */ SELECT `{i}\n`;\n" for i in range(60))
+        lines = text.split("\n")
+        cuts = sorted(rng.sample(range(1, len(lines)), 4))
+        for n, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(lines)])):
+            (tmp_path / folder / f"part-{n}.sql").write_text("\n".join(lines[i:j]) + "\n" * (j < len(lines)), newline="")
+        (tmp_path / folder / "part-1a.sql").write_text("")
+        whole[folder] = statements_one_by_one(text, "mysql")
+    rows = read_dump(spark, str(tmp_path), per="folder", part_pieces=8).collect()
+    for folder, wanted in whole.items():
+        got = sorted((r.stmt_no, r.sql) for r in rows if r.dump_id.endswith("/" + folder))
+        assert [sql for _, sql in got] == wanted
+    assert len({(r.dump_id, r.stmt_no) for r in rows}) == len(rows) == sum(map(len, whole.values()))
+
+
+def test_lines_are_put_in_order_where_nothing_may_be_broadcast(spark, tmp_path, monkeypatch):
+    from siteferry.functions import scale
+
+    text = "".join(f"INSERT INTO t VALUES ('{i};\n{'x' * (i % 90)}');\n" for i in range(300))
+    lines = text.split("\n")
+    for n in range(5):
+        (tmp_path / f"p{n}.sql").write_text("\n".join(lines[n * 120 : n * 120 + 120]) + "\n" * (n < 4))
+    monkeypatch.setattr(dump_module, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(dump_module, "broadcast_if_small", lambda df: scale.broadcast_if_small(df, 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        with pytest.raises(ValueError, match="left open"):
-            read_dump(spark, str(tmp_path))
+        rows = read_dump(spark, str(tmp_path), per="folder").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.sql for r in sorted(rows, key=lambda r: r.stmt_no)] == statements_one_by_one(text, "mysql")
+
+
+@pytest.mark.parametrize("dialect", ["mysql", "sqlite"])
+def test_bytes_that_are_no_text(spark, tmp_path, dialect, block):
+    every = bytes(range(256)) * 2
+    quoted = every.replace(b"\\", b"\\\\").replace(b"\0", b"\\0") if dialect == "mysql" else every
+    quoted = quoted.replace(b"'", b"''")
+    (tmp_path / "d.sql").write_bytes(
+        b"INSERT INTO t VALUES (1, '" + quoted + b"', 'gr\xc3\xbc\xc3\x9fe');\nSELECT \xff 1;\n-- \xfe\nSELECT 2"
+    )
+    rows = sorted(read_dump(spark, str(tmp_path), dialect).collect(), key=lambda r: r.stmt_no)
+    digits = every.hex().upper()
+    literal = f"0x{digits}" if dialect == "mysql" else f"x'{digits}'"
+    assert [r.sql for r in rows] == [f"INSERT INTO t VALUES (1, {literal}, 'gr\u00fc\u00dfe')", None, "SELECT 2"]
+    assert [r.fault is not None for r in rows] == [False, True, False]
