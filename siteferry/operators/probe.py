@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteferry.functions import variant as V
-from siteferry.functions.scale import computed_once, keyed_lookup
+from siteferry.functions.asof import carry_last
+from siteferry.functions.scale import computed_once
 from siteferry.functions.text import js_trim, let, when_array
 
 # The header prefix, and the newest header contract that is understood.
@@ -101,8 +102,8 @@ def prepare(responses: DataFrame, *routes: str) -> DataFrame:
     return ready.withColumn("own", own_headers(F.col("headers")))
 
 
-def _plain_fields(headers: str = "headers") -> dict[str, Column]:
-    of = lambda name: F.try_element_at(F.col(headers), F.lit(name))
+def _plain_fields(headers: Column) -> dict[str, Column]:
+    of = lambda name: F.try_element_at(headers, F.lit(name))
     return {
         "generator": of("x-generator"),
         "drupal_cache": of("x-drupal-cache"),
@@ -110,45 +111,6 @@ def _plain_fields(headers: str = "headers") -> dict[str, Column]:
     }
 
 
-def _plain_rows(rows: DataFrame, fallback: bool) -> DataFrame:
-    """Responses of plain hosts as results; without any Drupal header the kind is unknown."""
-    fields = _plain_fields()
-    drupal = F.coalesce(*fields.values()).isNotNull()
-    none = F.create_map().cast("map<string,string>")
-    notes = when_array(
-        (~drupal, F.lit("no Drupal header")),
-        (F.lit(fallback), F.lit("no worker headers; read as a plain host")),
-    )
-    empty = {c: F.lit(None).cast(t) for c, t in _WORKER_FIELDS.items()}
-    return rows.select(
-        "origin",
-        "site",
-        "path",
-        "at",
-        F.when(drupal, "vps").otherwise("unknown").alias("kind"),
-        verdict_of(F.col("status"), none, F.lit("vps"), F.col("error")).alias("verdict"),
-        "status",
-        "wall_ms",
-        *[c.alias(n) for n, c in empty.items()],
-        *[c.alias(n) for n, c in fields.items()],
-        notes.alias("notes"),
-    )
-
-
-_WORKER_FIELDS = {
-    "tier": "string",
-    "edge_tier": "string",
-    "generation": "double",
-    "render_ms": "double",
-    "serve_ms": "double",
-    "worker_ms": "double",
-    "php_booted": "boolean",
-    "queue_depth": "double",
-    "header_version": "double",
-    "plan": "string",
-}
-
-
 def _worker_fields() -> dict[str, Column]:
     own = F.col("own")
     of = lambda name: F.try_element_at(own, F.lit(PREFIX + name))
@@ -166,18 +128,16 @@ def _worker_fields() -> dict[str, Column]:
     }
 
 
-def _worker_rows(rows: DataFrame) -> DataFrame:
-    own = F.col("own")
-    of = lambda name: F.try_element_at(own, F.lit(PREFIX + name))
-    verdict = verdict_of(F.col("status"), own, F.lit("worker"), F.col("error"))
-    read = computed_once(rows, verdict=verdict, **_worker_fields())
-    answered = F.col("verdict") != "unreachable"
-    edge = F.coalesce(F.col("tier") == "EDGE", F.lit(False))
-    version = F.col("header_version")
-    notes = when_array(
-        (F.col("verdict") == "not-worker", F.lit("no worker headers: not a worker")),
+def _worker_notes(verdict: Column, diagnostics: Column) -> Column:
+    """Notes of a worker's answer, from its own headers and the fields read from them."""
+    of = lambda name: F.try_element_at(F.col("own"), F.lit(PREFIX + name))
+    fields = _worker_fields()
+    edge = F.coalesce(fields["tier"] == "EDGE", F.lit(False))
+    version = fields["header_version"]
+    return when_array(
+        (verdict == "not-worker", F.lit("no worker headers: not a worker")),
         (edge, F.lit("answered by the edge cache")),
-        ((F.col("php_booted") == F.lit(False)) & ~edge, F.lit("no interpreter booted")),
+        ((fields["php_booted"] == F.lit(False)) & ~edge, F.lit("no interpreter booted")),
         (
             of("migrate").isNotNull(),
             F.concat(
@@ -188,50 +148,86 @@ def _worker_rows(rows: DataFrame) -> DataFrame:
                 F.lit(")"),
             ),
         ),
-        (answered & version.isNull(), F.lit("no header version")),
+        ((verdict != "unreachable") & version.isNull(), F.lit("no header version")),
         (version > KNOWN_HEADER_VERSION, F.lit("header version is newer than known")),
-    )
-    fields = _plain_fields()
-    return read.select(
-        "origin",
-        "site",
-        "path",
-        "at",
-        F.lit("worker").alias("kind"),
-        "verdict",
-        "status",
-        "wall_ms",
-        *_WORKER_FIELDS,
-        fields["generator"].alias("generator"),
-        F.lit(None).cast("string").alias("drupal_cache"),
-        F.lit(None).cast("string").alias("drupal_dynamic_cache"),
-        notes.alias("notes"),
+        (diagnostics == "open", F.lit("the diagnostic routes answered the probe")),
     )
 
 
-def probe_results(responses: DataFrame) -> DataFrame:
-    """One result per probe: kind, verdict, fields and notes.
+def _stats_state() -> Column:
+    """What an answer of `/stats` says about the diagnostic routes; null where there was none."""
+    reached = F.col("error").isNull() & F.col("status").isNotNull()
+    return F.when((F.col("route") == "stats") & reached, F.when(F.col("status") == 404, "gated").otherwise("open"))
+
 
-    A probe of kind `auto` whose answer has no worker header takes the latest plain response of its origin (of
-    several of one time, the one with the greatest path and status);
-    where none was captured the verdict stays null. Only those probes are joined.
+def probe_results(responses: DataFrame, time: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """One result per probe: kind, verdict, fields, own headers, diagnostics and notes; `keep` names further columns.
+
+    A probe of kind `auto` whose answer has no worker header is paired with the last plain response of its origin at
+    or before it (of several of one time, the one with the greatest path, status and wall time), so a later page never
+    changes it; where there was none the verdict stays null. `diagnostics` of a worker's answer is what the last
+    `/stats` of its site up to then said: open, gated, or off where it was not asked. Both are carried forward in one
+    sorted pass. `time` is the time of a response where `at` is not a timestamp.
     """
-    bare = (F.size("own") == 0) & F.col("error").isNull() & (F.col("kind_wanted") == "auto")
-    served = prepare(responses, "serve")
-    direct = _worker_rows(served.filter(~F.coalesce(bare, F.lit(False)) & (F.col("kind_wanted") != "vps")))
-    plain = prepare(responses, "plain")
-    wanted = _plain_rows(plain.filter(F.col("kind_wanted") == "vps"), fallback=False)
-    latest = plain.groupBy("origin").agg(
-        F.max_by(F.struct("path", "status", "wall_ms", "headers", "error"), F.struct("at", "path", "status", "wall_ms")).alias("_page")
+    ready = prepare(responses, "serve", "plain", "stats")
+    route, own, error = F.col("route"), F.col("own"), F.col("error")
+    bare = (route == "serve") & (F.size(own) == 0) & error.isNull() & (F.col("kind_wanted") == "auto")
+    bare = F.coalesce(bare, F.lit(False))
+    as_worker = (route == "serve") & ~bare & F.coalesce(F.col("kind_wanted") != "vps", F.lit(False))
+    as_plain = (route == "plain") & F.coalesce(F.col("kind_wanted") == "vps", F.lit(False))
+    page_fields = _plain_fields(F.col("headers"))
+    page = F.struct("path", "status", "wall_ms", "error", *[c.alias(n) for n, c in page_fields.items()])
+    fields = _worker_fields()
+    small = ready.select(
+        "origin", "site", "path", "at", "status", "wall_ms", "error", "headers", "own", *keep,
+        (F.col("at") if time is None else time).alias("_time"),
+        F.when(bare, "bare").when(as_worker, "worker").when(as_plain, "vps").alias("_as"),
+        F.when(route == "plain", page).alias("_page"),
+        _stats_state().alias("_stats"),
+        # pages meet the probes of their origin, answers of /stats those of their site
+        F.when((route == "plain") | bare, F.lit("")).otherwise(F.concat(F.lit("="), F.coalesce("site", F.lit("")))).alias("_lane"),
+        F.when((route == "plain") | (route == "stats"), 0).otherwise(1).alias("_turn"),
+    ).filter(F.col("_as").isNotNull() | F.col("_page").isNotNull() | F.col("_stats").isNotNull())
+    order = ["_time", "at", "_turn", "path", "status", "wall_ms"]
+    carried = carry_last(small, ["origin", "_lane"], F.col("_time"), order, ["_page", "_stats"])
+    probes = carried.filter(F.col("_as").isNotNull())
+    kind = F.col("_as")
+    # a plain result is read from its own page, or from the page that a bare answer is paired with
+    seen = F.when(kind != "worker", F.when(kind == "vps", F.col("_page")).otherwise(F.col("last__page")))
+    read = computed_once(probes, _seen=seen)
+    seen, worker = F.col("_seen"), kind == "worker"
+    unseen = (kind == "bare") & seen.isNull()
+    of_page = {n: seen[n] for n in ("generator", "drupal_cache", "drupal_dynamic_cache")}
+    drupal = F.coalesce(*of_page.values()).isNotNull()
+    none = F.create_map().cast("map<string,string>")
+    diagnostics = F.when(worker, F.coalesce("last__stats", F.lit("off"))).otherwise("off")
+    verdict = F.when(worker, verdict_of(F.col("status"), own, F.lit("worker"), error)).when(
+        seen.isNotNull(), verdict_of(seen["status"], none, F.lit("vps"), seen["error"])
     )
-    again = keyed_lookup(served.filter(bare).select("origin", "site", "at"), latest, ["origin"], ["site", "at"])
-    seen = again.filter(F.col("_page").isNotNull()).select("origin", "site", "at", "_page.*")
-    unseen = again.filter(F.col("_page").isNull()).select("origin", "site", "at")
-    results = direct.unionByName(wanted).unionByName(_plain_rows(seen, fallback=True))
-    lost = unseen.withColumn("kind", F.lit("unknown")).withColumn(
-        "notes", F.array(F.lit("no worker headers, and no plain response was captured"))
+    told = computed_once(read, verdict=verdict, diagnostics=diagnostics)
+    plain_notes = when_array(
+        (~drupal & ~unseen, F.lit("no Drupal header")),
+        ((kind == "bare") & ~unseen, F.lit("no worker headers; read as a plain host")),
+        (unseen, F.lit("no worker headers, and no plain response was captured")),
+    )
+    of = lambda name: F.when(worker, F.col(name)).otherwise(seen[name])
+    return told.select(
+        "origin",
+        "site",
+        of("path").alias("path"),
+        "at",
+        F.when(worker, "worker").when(drupal, "vps").otherwise("unknown").alias("kind"),
+        "verdict",
+        of("status").alias("status"),
+        of("wall_ms").alias("wall_ms"),
+        *[F.when(worker, c).alias(n) for n, c in fields.items()],
+        F.when(worker, _plain_fields(F.col("headers"))["generator"]).otherwise(of_page["generator"]).alias("generator"),
+        *[of_page[n].alias(n) for n in ("drupal_cache", "drupal_dynamic_cache")],
+        F.when(worker, own).otherwise(none).alias("own"),
+        "diagnostics",
+        F.when(worker, _worker_notes(F.col("verdict"), F.col("diagnostics"))).otherwise(plain_notes).alias("notes"),
+        *keep,
     )
-    return results.unionByName(lost, allowMissingColumns=True)
 
 
 def claim_of(status: Column, body: Column) -> Column:
@@ -258,7 +254,7 @@ def claims(responses: DataFrame) -> DataFrame:
 
 
 def status_records(responses: DataFrame) -> DataFrame:
-    """One record per (origin, site): the latest `/serve`, `/stats` and `/firstrun` answers together.
+    """One record per (origin, site): the latest `/serve`, `/stats` and `/firstrun` answers together, with the notes of all.
 
     Each response is reduced to a few fields and folded by its time in one aggregate, combined before the
     shuffle, so a site with very many responses is no heavier than another.
@@ -268,13 +264,17 @@ def status_records(responses: DataFrame) -> DataFrame:
     fields = _worker_fields()
     keep = ("tier", "generation", "plan", "header_version", "php_booted")
     reached = F.col("error").isNull() & F.col("status").isNotNull()
+    verdict = verdict_of(F.col("status"), F.col("own"), F.lit("worker"), F.col("error"))
     small = ready.select(
         "origin",
         "site",
         "route",
         "at",
-        F.when(route == "serve", F.struct(reached.alias("reachable"), *[fields[k].alias(k) for k in keep])).alias("_serve"),
-        F.when((route == "stats") & reached, F.when(F.col("status") == 404, "gated").otherwise("open")).alias("_stats"),
+        F.when(
+            route == "serve",
+            F.struct(reached.alias("reachable"), _worker_notes(verdict, F.lit("off")).alias("notes"), *[fields[k].alias(k) for k in keep]),
+        ).alias("_serve"),
+        _stats_state().alias("_stats"),
         F.when((route == "firstrun") & reached, claim_of(F.col("status"), F.col("body"))).alias("_claim"),
     )
     last = lambda name, which: F.max_by(name, F.when(route == which, at))
@@ -289,6 +289,7 @@ def status_records(responses: DataFrame) -> DataFrame:
         F.coalesce("_claim.state", F.lit("unknown")).alias("claimed"),
         F.col("_claim.first_run_at").alias("first_run_at"),
         F.coalesce("_stats", F.lit("off")).alias("diagnostics"),
+        F.coalesce("_serve.notes", F.array().cast("array<string>")).alias("_notes"),
     )
     notes = when_array(
         (F.col("claimed") == "unclaimed", F.lit("nobody has claimed this site")),
@@ -304,7 +305,7 @@ def status_records(responses: DataFrame) -> DataFrame:
         .when(F.col("diagnostics") == "open", "diagnostics-open")
         .when(F.col("claimed") == "unclaimed", "unclaimed")
     )
-    return read.withColumn("notes", notes).withColumn("finding", finding)
+    return read.withColumn("notes", F.concat("_notes", notes)).drop("_notes").withColumn("finding", finding)
 
 
 def health_gate(results: DataFrame) -> DataFrame:
