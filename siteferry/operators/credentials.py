@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteferry.functions.scale import computed_once
+from siteferry.functions.scale import broadcast_if_small, computed_once
 from siteferry.functions.text import WORD_END, WORD_START, when_array
+from siteferry.session import cut_lineage
+from siteferry.sources.corpus import list_files, read_corpus_lines
 
 
 @dataclass(frozen=True)
@@ -163,14 +169,122 @@ def _first_lines(body: Column, spanning: Pattern) -> Column:
     return F.when(_matches(body, spanning) & (F.size(pieces) > 1), lines).otherwise(F.array().cast("array<int>"))
 
 
+# What may lie between the first line of a spanning match and its end, and how much of a block's beginning is looked at
+# for the end of a match that begins in the block before. Both go on to the end of a run of digits.
+HALO = 160
+
+
 def scan_lines(
     lines: DataFrame, key: Sequence[str], text: str = "text", patterns: Sequence[Pattern] = PATTERNS
 ) -> DataFrame:
     """The same hits from a frame with one row per line (`line` is its number), for files of any size.
 
-    Lines are looked at one by one, so a match that runs over several lines is not seen here.
+    Where `lines` has the `block` of each line, as `read_lines` gives it, a match over several lines is found as well,
+    within a block and across the border of two; else lines are looked at one by one.
+    """
+    spanning = next((p for p in patterns if p.id == MULTILINE_ID), None)
+    near = _near(F.col(text), _needles(patterns))
+    if spanning is None or "block" not in lines.columns:
+        return _hits(lines.select(*key, "line", F.col(text).alias("_line"), F.lit(False).alias("_starts")), key, patterns)
+    starts = _spanning_lines(lines, key, text, spanning).withColumn("_starts", F.lit(True))
+    held = lines.filter(near).select(*key, "line", F.col(text).alias("_line"))
+    marked = held.join(broadcast_if_small(starts), [*key, "line"], "left").fillna({"_starts": False})
+    return _hits(marked, key, patterns)
+
+
+def _spanning_lines(lines: DataFrame, key: Sequence[str], text: str, pattern: Pattern) -> DataFrame:
+    """(key, line) of the lines on which matches of a shape begin that may run over lines and blocks.
+
+    One pass over the lines decides all that begins and ends in a block. What is still open at its end is joined to the
+    beginning of the blocks after it; of each block that is a line or two.
     """
-    return _hits(lines.select(*key, "line", F.col(text).alias("_line"), F.lit(False).alias("_starts")), key, patterns)
+    # of the key, blocks need its text alone
+    named = lines.select(F.to_json(F.struct(*key)).alias("_key"), *key, "block", "line", F.col(text).alias("_line"))
+    seen = cut_lineage(
+        named.select("_key", "block", "line", "_line").mapInArrow(
+            lambda batches: _read_blocks(batches, pattern.regex), "_key string, block bigint, line bigint, what string, text string"
+        )
+    )
+    # each block has a character at least, so this many after it hold the end of any match
+    following = Window.partitionBy("_key").orderBy("block").rowsBetween(1, HALO)
+    heads = seen.filter("what = 'head'").select(
+        "_key", "block", F.array_join(F.collect_list("text").over(following), "\n").alias("_after")
+    )
+    open_ = seen.filter("what = 'open'").join(heads, ["_key", "block"])
+    ended = open_.filter(F.concat("text", F.lit("\n"), "_after").rlike(rf"\A(?:{pattern.regex})")).select("_key", "line")
+    found = seen.filter("what = 'match'").select("_key", "line").unionByName(ended).distinct()
+    return found.select(F.from_json("_key", lines.select(*key).schema).alias("_k"), "line").select("_k.*", "line")
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch], regex: str) -> Iterator[pa.RecordBatch]:
+    """Per block its beginning, the lines on which matches begin, and matches still open at its end."""
+    shape, start = re.compile(regex), re.compile(MULTILINE_START)
+    rows: list[tuple] = []
+    now, head, open_ = None, [], []
+
+    def enough(text: str) -> bool:
+        return len(text) > HALO and not text[-1].isdigit()
+
+    def end() -> None:
+        rows.append((*now, None, "head", "\n".join(head)))
+        for line, text in open_:
+            rows.append((*now, line, "match" if shape.match(text) else "open", text))
+
+    for batch in batches:
+        for key, block, line, text in zip(*[c.to_pylist() for c in batch.columns]):
+            if now != (key, block):
+                if now is not None:
+                    end()
+                now, head, open_ = (key, block), [], []
+            if not head or not enough("\n".join(head)):
+                head.append(_beginning(text))
+            still = []
+            for begun, before in open_:
+                longer = f"{before}\n{_beginning(text)}"
+                if shape.match(longer):
+                    rows.append((*now, begun, "match", None))
+                elif not enough(longer):
+                    still.append((begun, longer))
+            open_ = still
+            for found in start.finditer(text):
+                rest = text[found.start() :]
+                if shape.match(rest):
+                    rows.append((*now, line, "match", None))
+                elif not enough(rest):
+                    open_.append((line, rest))
+        if len(rows) > 10_000:
+            yield _block_rows(rows)
+            rows = []
+    if now is not None:
+        end()
+    if rows:
+        yield _block_rows(rows)
+
+
+def _beginning(text: str) -> str:
+    """The first characters of a line, to the end of a run of digits."""
+    to = HALO + 1
+    while to < len(text) and text[to - 1].isdigit():
+        to += 1
+    return text[:to]
+
+
+def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["_key", "block", "line", "what", "text"]
+    )
+
+
+def scan_corpus(
+    spark: SparkSession, roots: Sequence[str], patterns: Sequence[Pattern] = PATTERNS
+) -> tuple[DataFrame, DataFrame]:
+    """(report, hits) of file trees: one row per file with its number of hits, and the hits; no file is too large."""
+    hits = scan_lines(read_corpus_lines(spark, roots), ["path"], patterns=patterns)
+    files = list_files(spark, roots, max_bytes=None)
+    # listings name local paths in another spelling than readers do
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    return scan_report(files.withColumn("path", plain), hits.withColumn("path", plain)), hits
 
 
 def _hits(lines: DataFrame, key: Sequence[str], patterns: Sequence[Pattern]) -> DataFrame:
@@ -207,3 +321,6 @@ def scan_report(files: DataFrame, hits: DataFrame) -> DataFrame:
 def artifact_gate(hits: DataFrame) -> DataFrame:
     """One row: `clean` is false as soon as a single hit exists."""
     return hits.limit(1).agg((F.count(F.lit(1)) == 0).alias("clean"))
+
+
+register_pickle_by_value(sys.modules[__name__])

@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteferry.functions.scale import fill_cores
+from siteferry.session import staging_path
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -59,3 +61,15 @@ def derive(spark: SparkSession, sf_dir: str, select: str, heavy: bool = False) -
 def plain(select: str) -> str:
     """The same derivation with bare table names, in parentheses."""
     return "(" + re.sub(r"\{(\w+)\}", r"\1", _filled(select, 1)) + ")"
+
+
+def folders(lines: DataFrame, name: str, files: int | None = 16) -> str:
+    """Lines (dump, ord, line) written as one folder per dump; the folder's path.
+
+    The files of a folder follow each other in the order of `ord`; without a number of them a folder holds one file.
+    """
+    path = staging_path(lines.sparkSession, f"files-{name}")
+    dealt = lines.repartitionByRange(files, "dump", "ord") if files else lines.repartition("dump")
+    ordered = dealt.sortWithinPartitions("dump", "ord").select("dump", F.col("line").alias("value"))
+    ordered.write.partitionBy("dump").text(path)
+    return path

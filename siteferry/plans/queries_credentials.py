@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteferry.operators import credentials
-from siteferry.plans.inputs import derive, plain
+from siteferry.plans.inputs import derive, folders, plain
 
 # Every document gets one more line: one of nine shapes, near misses, or several at once. `~` is a quote.
 PLANTED = """
@@ -40,6 +40,26 @@ def _redact_corpus(spark, sf_dir):
     return freed.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("chars"))
 
 
+def _corpus(spark, sf_dir):
+    """The same texts as files, one per source, read back as lines."""
+    lines = derive(spark, sf_dir, PLANTED).select(F.col("source").alias("dump"), F.col("doc_id").alias("ord"), F.col("text").alias("line"))
+    return credentials.scan_corpus(spark, [folders(lines, "corpus", files=None)])
+
+
+def _file():
+    return F.regexp_extract("path", "/dump=([^/]*)/", 1).alias("file")
+
+
+def _corpus_scan(spark, sf_dir):
+    _, hits = _corpus(spark, sf_dir)
+    return hits.select(_file(), "line", "id", "redacted")
+
+
+def _corpus_report(spark, sf_dir):
+    report, _ = _corpus(spark, sf_dir)
+    return report.select(_file(), "bytes", "status", "reason", "hits")
+
+
 def _artifact_gate(spark, sf_dir):
     return credentials.artifact_gate(credentials.scan_text(derive(spark, sf_dir, PLANTED, heavy=True), ["doc_id"]))
 
@@ -75,10 +95,16 @@ h AS (SELECT n.*, p.id FROM n, p WHERE CASE p.id
 f AS (SELECT doc_id, source, line, id, CASE WHEN split_key THEN 'x ***' ELSE {_freed("t")} END AS f FROM h)
 SELECT doc_id, source, line, id, CASE WHEN length(f) > 200 THEN left(f, 200) || '...' ELSE f END AS redacted FROM f"""
 
+_OFFSETS = f"""
+SELECT doc_id, CAST(coalesce(sum(len(string_split(text, chr(10)))) OVER (PARTITION BY source ORDER BY doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM {plain(PLANTED)}"""
+
 QUERIES = {
     "secret_hits": _secret_hits,
     "secret_summary": _secret_summary,
     "redact_corpus": _redact_corpus,
+    "corpus_scan": _corpus_scan,
+    "corpus_report": _corpus_report,
     "artifact_gate": _artifact_gate,
 }
 
@@ -88,5 +114,10 @@ ORACLES = {
 SELECT source, id, count(*) AS hits, count(DISTINCT doc_id) AS texts FROM ({_HITS}) GROUP BY source, id""",
     "redact_corpus": f"""
 SELECT doc_id, md5(f) AS digest, length(f) AS chars FROM (SELECT doc_id, {_freed("text")} AS f FROM {plain(PLANTED)})""",
+    "corpus_scan": f"""
+SELECT h.source AS file, h.line + o.before AS line, id, redacted FROM ({_HITS}) h JOIN ({_OFFSETS}) o USING (doc_id)""",
+    "corpus_report": f"""
+SELECT source AS file, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, 'scanned' AS status, NULL AS reason,
+  (SELECT count(*) FROM ({_HITS}) h WHERE h.source = p.source) AS hits FROM {plain(PLANTED)} p GROUP BY source""",
     "artifact_gate": f"SELECT count(*) = 0 AS clean FROM ({_HITS})",
 }

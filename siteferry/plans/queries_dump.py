@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siteferry.functions.scale import fill_cores
 from siteferry.operators import dump_catalog, dump_convert, dump_statements
-from siteferry.plans.inputs import derive, plain, table
+from siteferry.plans.inputs import derive, folders, plain, table
 from siteferry.session import staging_path
 from siteferry.sources.dump import read_dump
 
@@ -72,14 +72,6 @@ def _roundtrip_documents_mysql(spark, sf_dir):
     return _documents(spark, sf_dir, "mysql")
 
 
-def _folders(lines, name, files=16):
-    """Lines (dump, ord, line) written as one folder per dump, whose files follow each other in the order of `ord`."""
-    path = staging_path(lines.sparkSession, f"files-{name}")
-    dealt = lines.repartitionByRange(files, "dump", "ord").sortWithinPartitions("dump", "ord")
-    dealt.select("dump", F.col("line").alias("value")).write.partitionBy("dump").text(path)
-    return path
-
-
 def _dump_name():
     return F.regexp_extract("dump_id", "/dump=([^/]*)$", 1).alias("dump")
 
@@ -97,7 +89,7 @@ UNION ALL SELECT DISTINCT source, 1000000000001, 'of rows; */ CREATE INDEX "by_l
 
 
 def _file_dump(spark, sf_dir):
-    path = _folders(derive(spark, sf_dir, FILE_LINES), "documents")
+    path = folders(derive(spark, sf_dir, FILE_LINES), "documents")
     return read_dump(spark, path, "sqlite", per="folder")
 
 
@@ -121,7 +113,7 @@ def _dump_bytes(spark, sf_dir):
     for plain_, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\0", "\\0")):
         raw = F.replace(raw, F.lit(plain_), F.lit(escaped))
     line = F.concat(F.lit("INSERT INTO `raw` VALUES ("), "doc_id", F.lit(", _binary '"), raw, F.lit("');"))
-    path = _folders(documents.select(F.lit("one").alias("dump"), F.col("doc_id").alias("ord"), line.alias("line")), "bytes")
+    path = folders(documents.select(F.lit("one").alias("dump"), F.col("doc_id").alias("ord"), line.alias("line")), "bytes")
     emitted = dump_convert.convert(read_dump(spark, path, "mysql", per="folder"), "mysql", "sqlite").emitted
     back = dump_statements.classify(emitted.withColumn("stmt_no", F.col("stmt_no") * 2))
     rows = dump_statements.insert_values(back, "sqlite")
@@ -140,7 +132,7 @@ OPEN_BYTES = 1500
 
 
 def _dump_open_quote(spark, sf_dir):
-    path = _folders(derive(spark, sf_dir, OPEN_LINES), "open")
+    path = folders(derive(spark, sf_dir, OPEN_LINES), "open")
     done = dump_convert.convert(
         read_dump(spark, path, "mysql", per="folder", max_statement_bytes=OPEN_BYTES), "mysql", "sqlite"
     )

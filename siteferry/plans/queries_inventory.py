@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from siteferry.operators import inventory
-from siteferry.plans.inputs import derive, each, plain, table
+from siteferry.plans.inputs import derive, each, folders, plain, table
+from siteferry.sources.inventory import read_inventory
 
 # Every document is a file; entries say where each goes; the target tree lacks some and differs in others.
 SOURCE = """
@@ -112,7 +113,15 @@ FROM {_SHA(_sql(MANIFEST))} m LEFT JOIN {_SHA(_sql(SOURCE))} s ON s.path = m.bac
 _NEEDED = """(VALUES ('assets/driver.json', 0), ('assets/prefill.json', 0), ('assets/core', 1), ('assets/modules', 1),
   ('assets/drupal-pf/core.pf.json', 0), ('assets/drupal-pf/core.pf.bin', 0), ('assets/drupal-sql', 1), ('assets/drupal/twig-bake.json', 0)) r(path, folder)"""
 
+def _inventory_files(spark, sf_dir):
+    """Files made of the documents, read back with their digests."""
+    lines = derive(spark, sf_dir, "SELECT concat(source, '-', doc_id % 20) AS dump, doc_id AS ord, text AS line FROM {documents}")
+    found = read_inventory(spark, folders(lines, "inventory", files=None))
+    return found.select(F.regexp_extract("path", "/dump=([^/]*)/", 1).alias("file"), "bytes", "sha256")
+
+
 QUERIES = {
+    "inventory_files": _inventory_files,
     "inventory": _inventory,
     "copy_plan": _plan,
     "change_set": _change_set,
@@ -126,6 +135,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "inventory_files": """
+SELECT source || '-' || doc_id % 20 AS file, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes,
+  sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1""",
     "inventory": f"SELECT path, strlen(text) AS bytes, sha256(text) AS sha256 FROM {_sql(SOURCE)}",
     "copy_plan": f"SELECT * FROM {_PLAN}",
     "change_set": f"""

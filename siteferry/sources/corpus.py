@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from siteferry.functions.scale import BROADCAST_ROWS
 from siteferry.session import cut_lineage
 
-# Folders that are not looked into, and the largest file read whole.
+# Folders that are not looked into, and the largest file read whole. Larger ones are read as lines.
 SKIP_DIRS = ("node_modules", ".git", "vendor", "coverage", "dist", ".wrangler", "typedoc")
 MAX_FILE_BYTES = 64 * 1024 * 1024
 
 
-def list_files(spark: SparkSession, roots: Sequence[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def list_files(spark: SparkSession, roots: Sequence[str], max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """(path, bytes, status, reason) for every file below the roots; contents are not read.
 
+    Without `max_bytes` no file is skipped for its size, as where the corpus is read with `read_corpus_lines`.
     Spark does not list files of zero bytes, in which there is nothing to find.
     """
     frames = []
@@ -39,7 +40,7 @@ def list_files(spark: SparkSession, roots: Sequence[str], max_bytes: int = MAX_F
                 )
             )
             continue
-        large = F.col("bytes") > max_bytes
+        large = F.col("bytes") > max_bytes if max_bytes is not None else F.lit(False)
         frames.append(
             files.select(
                 "*",
@@ -64,36 +65,55 @@ def read_corpus(spark: SparkSession, roots: Sequence[str], max_bytes: int = MAX_
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "path string, text string")
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
+def _outside(root: str):
+    """Whether a path below the root lies in no folder that is left out."""
     root = root.rstrip("/") or "/"
-    inside = rf"^.*?{re.escape(root)}(?:/[^/]+)*?/(?:{'|'.join(map(re.escape, SKIP_DIRS))})/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.filter(~F.col("path").rlike(inside))
+    return ~F.col("path").rlike(rf"^.*?{re.escape(root)}(?:/[^/]+)*?/(?:{'|'.join(map(re.escape, SKIP_DIRS))})/")
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/") or "/")
+    return files.filter(_outside(root))
+
+
+def read_corpus_lines(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """(path, block, line, text): the lines of all files below the roots, of any size, with their numbers."""
+    found = []
+    for root in roots:
+        try:
+            found.append(read_lines(spark, root.rstrip("/") or "/").filter(_outside(root)))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    empty = "path string, block bigint, line bigint, text string"
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], empty)
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, line, text): every line of the files with its 1-based number, in parallel within a file.
+    """(path, block, line, text): every line of the files with its 1-based number, in parallel within a file.
 
     Lines are numbered inside each block of a file; the blocks before it are counted in a first pass whose
-    result has one row per block.
+    result has one row per block. `block` is the byte at which the line's block begins. Lines of a block lie together,
+    in their order.
     """
     lines = (
         spark.read.option("lineSep", "\n")
+        .option("recursiveFileLookup", "true")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("_start"),
+            F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("_id"),
             F.col("value").alias("text"),
         )
     )
-    blocks = lines.groupBy("path", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut_lineage(
-        blocks.select("path", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+        blocks.select("path", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
+    line = (F.col("_id") + F.col("_shift") + 1).alias("line")
     if offsets.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    return lines.join(offsets, ["path", "_start"]).select(
-        "path", (F.col("_id") + F.col("_shift") + 1).alias("line"), "text"
-    )
+        return lines.join(F.broadcast(offsets), ["path", "block"]).select("path", "block", line, "text")
+    joined = lines.join(offsets, ["path", "block"]).select("path", "block", line, "text")
+    return joined.repartition("path", "block").sortWithinPartitions("path", "block", "line")

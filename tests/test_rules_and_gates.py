@@ -1,7 +1,9 @@
 """Configs, entitlements, API answers, baselines, checks, probes and inventories on small literal cases."""
 
 import datetime as dt
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +184,20 @@ def test_sizes_and_files(spark, tmp_path):
     assert (row.bytes, row.sha256[:12]) == (3, "ba7816bf8f01")
     normal = spark.createDataFrame([("./a/../b//c",), ("../x",)], "p string").select(inventory.normalise_path(F.col("p")).alias("n"))
     assert [r.n for r in normal.collect()] == ["b/c", "x"]
+
+
+def test_digests_of_files_in_any_number_of_blocks(spark, tmp_path):
+    rng = random.Random(2)
+    files = {"a/one": b"\n", "a/two": b"\n\n", "none": b"", "b": b"x", "c": b"x\n", "d": b"\nx", "e": bytes(range(256)) * 40}
+    files |= {f"r{i}": bytes(rng.choice(b"\n\xff\0ab\r") for _ in range(rng.randrange(1, 900))) for i in range(20)}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    wanted = sorted((name.split("/")[-1], len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items())
+    for size in ("64", "1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = sorted((r.path.split("/")[-1], r.bytes, r.sha256) for r in read_inventory(spark, str(tmp_path)).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == [w for w in wanted if w[1]]
