@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from siteferry.functions import variant as V
 from siteferry.operators import telemetry
-from siteferry.plans.inputs import derive, plain, table
+from siteferry.plans.inputs import derive, folders, plain, table
 from siteferry.session import staging_path
+from siteferry.sources.captures import read_captures
 from siteferry.streaming.telemetry import cpu_summary_stream
 
 # Captures are groups of users; every seventh capture loses its durableObject events.
@@ -87,7 +88,45 @@ def _normalise_events(spark, sf_dir):
     )
 
 
+# Files of captured events: lines with broken ones between, arrays, one object, and what is no capture.
+CAPTURE_LINES = """
+SELECT concat('lines-', user_id % 5) AS dump, event_id + 10 AS ord, concat('<"executionModel":"', event_type, '","cpuTime":',
+  event_id % 1000, ',"note":<"t":"> \\\\", [">>') AS line FROM {events}
+UNION ALL SELECT concat('lines-', user_id % 5), event_id + 10, 'broken <' FROM {events} WHERE event_id % 9 = 0
+UNION ALL SELECT concat('array-', user_id % 3), event_id + 10, concat(CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END,
+  '<"executionModel":"', event_type, '",', chr(10), '"cpuTime":', event_id % 1000, ',"note":"> \\\\", [">,') FROM {events}
+UNION ALL SELECT DISTINCT concat('array-', user_id % 3), 1, '[' FROM {events}
+UNION ALL SELECT DISTINCT concat('array-', user_id % 3), 1000000000000, '7]' FROM {events}
+UNION ALL SELECT DISTINCT concat('object-', user_id % 10), 1, concat('<', chr(10), '"executionModel": "view",', chr(10), '"cpuTime": 3>')
+  FROM {events}
+UNION ALL SELECT DISTINCT 'junk', user_id % 10, 'neither' FROM {events}"""
+
+
+def _captures(spark, sf_dir):
+    lines = derive(spark, sf_dir, CAPTURE_LINES).withColumn("line", F.translate("line", "<>", "{}"))
+    return read_captures(spark, folders(lines, "captures", files=None))
+
+
+def _capture_name():
+    return F.regexp_extract("capture", "/dump=([^/]*)/", 1).alias("file")
+
+
+def _read_captures(spark, sf_dir):
+    records, _ = _captures(spark, sf_dir)
+    events = telemetry.normalise_events(records)
+    return events.groupBy(_capture_name(), "execution_model").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("cpu_time").alias("cpu_time")
+    )
+
+
+def _capture_files(spark, sf_dir):
+    _, status = _captures(spark, sf_dir)
+    return status.select(_capture_name(), "lines", "bad_lines", "readable")
+
+
 QUERIES = {
+    "read_captures": _read_captures,
+    "capture_files": _capture_files,
     "cpu_summary": _cpu_summary,
     "capture_verdict": _capture_verdict,
     "cpu_notes": _cpu_notes,
@@ -102,6 +141,16 @@ SELECT c.capture, count(e.capture) AS events,
 FROM {plain(CAPTURES)} c LEFT JOIN {plain(EVENTS)} e USING (capture) GROUP BY c.capture"""
 
 ORACLES = {
+    "read_captures": """
+SELECT k || '-' || user_id % CASE k WHEN 'lines' THEN 5 ELSE 3 END AS file, event_type AS execution_model, count(*) AS events,
+  CAST(sum(event_id % 1000) AS DOUBLE) AS cpu_time FROM events, (VALUES ('lines'), ('array')) x(k) GROUP BY 1, 2
+UNION ALL SELECT DISTINCT 'object-' || user_id % 10, 'view', 1, 3.0 FROM events""",
+    "capture_files": """
+SELECT 'lines-' || user_id % 5 AS file, count(*) + count(*) FILTER (event_id % 9 = 0) AS lines,
+  count(*) FILTER (event_id % 9 = 0) AS bad_lines, true AS readable FROM events GROUP BY 1
+UNION ALL SELECT 'array-' || user_id % 3, count(*) + 1, 0, true FROM events GROUP BY 1
+UNION ALL SELECT DISTINCT 'object-' || user_id % 10, 3, 0, true FROM events
+UNION ALL SELECT 'junk', count(DISTINCT user_id % 10), count(DISTINCT user_id % 10), false FROM events""",
     "cpu_summary": f"""
 SELECT capture, execution_model, count(*) AS n, median(cpu_time) AS median, min(cpu_time) AS min,
        max(cpu_time) AS max, max(cpu_time) - min(cpu_time) AS spread

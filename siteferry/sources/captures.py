@@ -1,72 +1,285 @@
-"""Saved event captures: one JSON record per line, one JSON array, or one JSON object per file."""
+"""Saved event captures: one JSON record per line, one JSON array, or one JSON object per file, of any size.
+
+A file is read in pieces that end with a brace, so neither a long line nor one array has to fit into a value. Blocks of
+pieces are cut on their own: a first pass reduces each block to a map (in a string or not when entered -> when left, and
+how much deeper); the maps are folded in the order of blocks (`functions.scan`), which gives each block the depth it
+begins at; a second pass cuts lines at newlines and the elements of an array at the commas of its top level. What a
+block holds before its first and after its last border is put together with the blocks beside it.
+"""
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siteferry.functions import variant as V
-from siteferry.functions.scale import computed_once
+from siteferry.functions.scale import BROADCAST_ROWS, broadcast_if_small, computed_once
+from siteferry.functions.scan import PART_PIECES, entry_states
+from siteferry.functions.schema import columns
 from siteferry.functions.text import js_trim
+from siteferry.session import cut_lineage
+
+# A record larger than this is none: no single JSON value may be.
+MAX_RECORD_CHARS = 128 * 1024 * 1024
+
+_STRING = re.compile(rb'"(?:[^"\\]++|\\.)*+"', re.S)
+_REST = re.compile(rb'(?:[^"\\]++|\\.)*+"', re.S)
+_TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+(?:"|\Z)|[\[\]{},]', re.S)
+_SPACE = b" \t\n\r"
+
+_MAP = columns("key string, place bigint, to array<int>, add array<bigint>, opening string, bytes bigint")
+_UNIT = columns("capture string, place bigint, number bigint, mode string, what string, text string")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, bytes]]:
+    """(columns of a block, its bytes); the last piece of a file gets a brace too, whether it had one or not."""
+    now, held = None, []
+    for batch in batches:
+        marks = list(zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]))
+        for mark, piece in zip(marks, batch.column(batch.schema.get_field_index("value")).to_pylist()):
+            if mark != now:
+                if now is not None:
+                    yield now, b"}".join(held) + b"}"
+                now, held = mark, []
+            held.append(piece)
+    if now is not None:
+        yield now, b"}".join(held) + b"}"
+
+
+def _after(text: bytes) -> tuple[int, int]:
+    """(state, depth) behind a text that begins outside a string."""
+    plain = _STRING.sub(b"", text)
+    open_ = plain.find(b'"')
+    counted = plain if open_ < 0 else plain[:open_]
+    deeper = counted.count(b"[") + counted.count(b"{") - counted.count(b"]") - counted.count(b"}")
+    return int(open_ >= 0), deeper
+
+
+def _map_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (capture, place), text in _blocks(batches, ["capture", "place"]):
+        ways = [_after(text)]
+        rest = _REST.match(text)
+        ways.append(_after(text[rest.end() :]) if rest else (1, 0))
+        first = text.lstrip(_SPACE)[:1].decode("latin-1") or None
+        row = {"key": capture, "place": place, "to": [w[0] for w in ways], "add": [w[1] for w in ways], "opening": first, "bytes": len(text)}
+        yield pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(_MAP))
+
+
+def _lines_of(text: bytes, first: bool) -> Iterator[tuple[str, bytes]]:
+    """Lines of a block, and the parts of lines at its ends."""
+    pieces = text.split(b"\n")
+    if len(pieces) == 1:
+        yield "tail" if first else "middle", text
+        return
+    yield "whole" if first else "head", pieces[0]
+    for piece in pieces[1:-1]:
+        yield "whole", piece
+    yield "tail", pieces[-1]
+
+
+def _elements_of(text: bytes, state: int, depth: int) -> Iterator[tuple[str, bytes]]:
+    """Elements of the array that a block holds or is part of; `end` where it ends, `fault` beside what is no array."""
+    at, begin, inside = 0, 0 if depth > 0 else None, depth > 0
+    if state:
+        rest = _REST.match(text)
+        if rest is None:
+            yield "middle", text
+            return
+        at = rest.end()
+    elif depth <= 0 and not text.strip(_SPACE):
+        return
+    kind = "head"
+    for token in _TOKEN.finditer(text, at):
+        mark = token[0]
+        if mark[:1] == b'"':
+            if begin is None:
+                break
+            continue
+        if mark in (b"[", b"{"):
+            depth += 1
+            if depth == 1:
+                if inside or mark == b"{" or text[: token.start()].strip(_SPACE):
+                    yield "fault", b""
+                    return
+                begin, kind, inside = token.end(), "whole", True
+        elif mark == b",":
+            if depth == 1:
+                yield kind, text[begin : token.start()]
+                begin, kind = token.end(), "whole"
+        else:
+            depth -= 1
+            if depth == 0 and begin is not None:
+                yield kind, text[begin : token.start()]
+                yield "end" if mark == b"]" else "fault", b""
+                begin, kind = None, "whole"
+                if text[token.end() :].strip(_SPACE):
+                    yield "fault", b""
+                return
+            if depth < 0:
+                yield "fault", b""
+                return
+    if begin is None:
+        yield "fault", b""
+    else:
+        yield "middle" if kind == "head" else "tail", text[begin:]
+
+
+def _cut(lines_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(_UNIT)
+        rows, weight = [], 0
+        names = ["capture", "place", "shared", "size", "state", "depth", "opening", "surplus", "begins"]
+        for (capture, place, shared, size, state, depth, opening, surplus, begins), text in _blocks(batches, names):
+            if not shared:
+                opening, surplus, begins = text.lstrip(_SPACE)[:1].decode("latin-1"), len(text) > size, True
+            text = text[:-1] if surplus else text
+            mode = "array" if opening == "[" and not lines_only else "lines"
+            cut = _elements_of(text, state, depth) if mode == "array" else _lines_of(text, begins)
+            for number, (what, part) in enumerate(cut):
+                # the last line of a file that no block follows is a whole one
+                what = "whole" if mode == "lines" and what == "tail" and not shared else what
+                rows.append((capture, place, number, mode, what, part.decode("utf-8", "replace")))
+                weight += len(part) + 32
+                if weight > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, weight = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _stitched(units: DataFrame, part_pieces: int) -> DataFrame:
+    """Units cut by block borders put together; what would be too large for a value becomes a fault."""
+    parts = units.filter(F.col("what").isin("head", "middle", "tail"))
+    heads = parts.groupBy("capture", "place").agg(F.max(F.when(F.col("what") == "head", 1).otherwise(0)).alias("_head"))
+    steps = heads.select(
+        F.col("capture").alias("key"), "place", F.array(F.lit(0)).alias("to"), F.array(F.col("_head")).alias("add")
+    )
+    before = entry_states(steps, 0, part_pieces).select(F.col("key").alias("capture"), "place", F.col("base").alias("_before"))
+    grouped = parts.join(before, ["capture", "place"]).join(heads, ["capture", "place"])
+    unit = F.col("_before") + F.when(F.col("what") == "tail", F.col("_head")).otherwise(0)
+    named = cut_lineage(grouped.select("capture", "place", "number", "mode", "text", unit.alias("_unit")))
+    large = named.groupBy("capture", "_unit").agg(F.sum(F.length("text").cast("bigint")).alias("_chars"))
+    large = broadcast_if_small(large.filter(F.col("_chars") > MAX_RECORD_CHARS).select("capture", "_unit"))
+    whole = (
+        named.join(large, ["capture", "_unit"], "left_anti")
+        .groupBy("capture", "_unit", "mode")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "number", "text"))).alias("_parts"))
+        .select(
+            "capture", F.get("_parts", F.lit(0))["place"].alias("place"), F.get("_parts", F.lit(0))["number"].alias("number"), "mode",
+            F.lit("whole").alias("what"), F.array_join(F.transform("_parts", lambda p: p["text"]), "").alias("text"),
+        )
+    )
+    refused = named.join(large, ["capture", "_unit"], "left_semi").groupBy("capture", "_unit", "mode").agg(F.min("place").alias("place"))
+    refused = refused.select(
+        "capture", "place", F.lit(0).cast("bigint").alias("number"), "mode", F.lit("fault").alias("what"), F.lit("").alias("text")
+    )
+    return units.filter(~F.col("what").isin("head", "middle", "tail")).unionByName(whole).unionByName(refused)
+
+
+def _units(pieces: DataFrame, lines_only: bool, part_pieces: int) -> DataFrame:
+    """(capture, place, number, mode, what, text): lines or elements of each file, `end` and `fault` of arrays."""
+    shared = pieces.filter("shared")
+    nothing = {"state": "int", "depth": "bigint", "opening": "string", "surplus": "boolean", "begins": "boolean"}
+    names = ["capture", "place", "shared", "size", *nothing, "value"]
+    alone = pieces.filter("not shared").withColumns({n: F.lit(None).cast(k) for n, k in nothing.items()})
+    alone = alone.fillna({"state": 0, "depth": 0}).select(names)
+    if shared.limit(1).count() == 0:
+        return cut_lineage(alone.mapInArrow(_cut(lines_only), _UNIT))
+    maps = cut_lineage(shared.select("capture", "place", "value").mapInArrow(_map_blocks, _MAP))
+    files = maps.groupBy("key").agg(
+        F.min_by("opening", F.when(F.col("opening").isNotNull(), F.col("place"))).alias("opening"),
+        F.min("place").alias("_first"), F.max("place").alias("_last"), F.sum("bytes").alias("_bytes"),
+    )
+    entries = broadcast_if_small(
+        entry_states(maps, 0, part_pieces).join(files, "key").select(
+            F.col("key").alias("capture"), "place", "state", F.col("base").alias("depth"), "opening", "_last", "_bytes",
+            (F.col("place") == F.col("_first")).alias("begins"),
+        )
+    )
+    many = entries.count() > BROADCAST_ROWS
+    placed = shared.withColumn("_id", F.monotonically_increasing_id()).join(entries, ["capture", "place"])
+    if many:
+        placed = placed.repartition("capture", "place").sortWithinPartitions("capture", "place", "_id")
+    surplus = (F.col("place") == F.col("_last")) & (F.col("_bytes") > F.col("size"))
+    parts = placed.withColumn("surplus", surplus).select(names)
+    return _stitched(cut_lineage(alone.unionByName(parts).mapInArrow(_cut(lines_only), _UNIT)), part_pieces)
 
 
 def read_captures(
-    spark: SparkSession, path: str, captures: DataFrame | None = None
+    spark: SparkSession, path: str, captures: DataFrame | None = None, part_pieces: int = PART_PIECES
 ) -> tuple[DataFrame, DataFrame]:
     """Records (capture, value) and files (capture, lines, bad_lines, readable); a capture is a file.
 
-    Lines are parsed where they lie. Only a file that begins with `[`, or of which no line parses, is put
-    together again and parsed as a whole. A blank file is readable and has no records; a file that is
-    neither is not readable. Bad lines beside good ones are counted and skipped. Spark does not list files
-    of zero bytes; `captures` (capture) names every file where those are to be reported too.
+    A file that is one JSON array gives its elements, any other the JSON values on its lines; a file of which no line
+    parses is one value, if it is one. A blank file is readable and has no records; a file that is none of these is not
+    readable. Bad lines beside good ones are counted and skipped; `lines` counts lines that are not blank, of an array
+    its elements. Spark does not list files of zero bytes; `captures` (capture) names every file where those are to be
+    reported too.
     """
-    lines = (
-        spark.read.option("lineSep", "\n")
+    pieces = (
+        spark.read.option("lineSep", "}")
         .option("recursiveFileLookup", "true")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("capture"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("id"),
-            js_trim(F.col("value")).alias("text"),
-            "value",
+            F.col("_metadata.file_block_start").alias("place"),
+            (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("shared"),
+            F.col("_metadata.file_size").alias("size"),
+            F.col("value").cast("binary").alias("value"),
         )
-        .filter(F.col("text") != "")
     )
-    parsed = computed_once(lines, record=V.parse_strict(F.col("text")))
-    at = F.struct("start", "id")
-    seen = parsed.groupBy("capture").agg(
+    units = cut_lineage(_parsed(_units(pieces, False, part_pieces)))
+    arrays = units.filter("mode = 'array'").groupBy("capture").agg(
+        F.count_if(F.col("what") == "end").alias("_ends"),
+        F.count_if(F.col("what") == "fault").alias("_faults"),
+        F.count_if(F.col("what") == "whole").alias("_elements"),
+        F.count_if((F.col("what") == "whole") & (F.col("text") == "")).alias("_blank"),
+        F.count_if((F.col("what") == "whole") & (F.col("text") != "") & F.col("record").isNull()).alias("_bad"),
+    )
+    sound = (F.col("_ends") == 1) & (F.col("_faults") + F.col("_bad") == 0) & ((F.col("_blank") == 0) | (F.col("_elements") == 1))
+    broken = broadcast_if_small(arrays.filter(~sound).select("capture"))
+    by_line = units.filter("mode = 'lines'")
+    if not broken.isEmpty():
+        # what looks like an array and is none is read by its lines
+        again = _units(pieces.join(broken, "capture", "left_semi"), True, part_pieces)
+        by_line = by_line.unionByName(cut_lineage(_parsed(again)))
+    lines = by_line.filter("what = 'fault' OR text <> ''")
+    seen = lines.groupBy("capture").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("record").isNull()).alias("bad_lines"),
-        F.min_by(F.substring("text", 1, 1), at).alias("opening"),
+        F.count_if(F.col("what") == "fault").alias("_faults"),
+        F.sum(F.length("raw").cast("bigint")).alias("_chars"),
     )
-    doubtful = seen.filter((F.col("opening") == "[") | (F.col("bad_lines") == F.col("lines")))
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "value"))), lambda p: p["value"]), "\n"
-    )
-    gathered = lines.join(doubtful.select("capture"), "capture", "left_semi").groupBy("capture").agg(joined.alias("raw"))
-    trimmed = gathered.select("capture", js_trim(F.col("raw")).alias("text"))
-    # An array is taken apart as text and its elements are parsed one by one, so its size does not matter.
-    whole = computed_once(
-        trimmed, elements=V.array_texts(F.col("text")), record=F.when(~F.startswith("text", F.lit("[")), V.parse_strict(F.col("text")))
-    ).filter(F.col("record").isNotNull() | F.col("elements").isNotNull())
-    whole_names = whole.select("capture")
-    by_line = parsed.filter(F.col("record").isNotNull()).join(whole_names, "capture", "left_anti")
-    # An element that is no JSON text by itself is a string that came without its quotes.
-    text = F.coalesce("element", F.lit("null"))
-    as_string = F.try_variant_get(F.try_parse_json(F.to_json(F.array(text))), "$[0]", "variant")
-    of_array = whole.select("capture", F.explode("elements").alias("element")).select(
-        "capture", F.coalesce(V.parse_strict(text), as_string).alias("value")
+    doubtful = seen.filter((F.col("bad_lines") == F.col("lines")) & (F.col("_faults") == 0) & (F.col("_chars") <= MAX_RECORD_CHARS))
+    gathered = by_line.join(doubtful.select("capture"), "capture", "left_semi").groupBy("capture").agg(
+        F.array_sort(F.collect_list(F.struct("place", "number", "raw"))).alias("_lines")
     )
+    whole = computed_once(gathered, record=V.parse_strict(js_trim(F.array_join(F.transform("_lines", lambda p: p["raw"]), "\n"))))
     single = whole.filter(F.col("record").isNotNull()).select("capture", F.col("record").alias("value"))
-    records = by_line.select("capture", F.col("record").alias("value")).unionByName(single).unionByName(of_array)
+    good = F.col("record").isNotNull()
+    of_lines = lines.filter(good).select("capture", F.col("record").alias("value"))
+    elements = units.filter("mode = 'array' AND what = 'whole' AND text <> ''").join(broken, "capture", "left_anti")
+    of_arrays = elements.select("capture", F.col("record").alias("value"))
+    records = of_lines.unionByName(of_arrays).unionByName(single)
     listed = captures
     if listed is None:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         listed = files.select(F.col("_metadata.file_path").alias("capture"))
-    marked = whole_names.withColumn("_whole", F.lit(True))
+    counted = seen.select("capture", "lines", "bad_lines").unionByName(
+        elements.groupBy("capture").agg(F.count(F.lit(1)).alias("lines")).withColumn("bad_lines", F.lit(0).cast("bigint"))
+    )
+    marked = single.select("capture").withColumn("_whole", F.lit(True))
     status = (
-        listed.select("capture").join(seen, "capture", "left")
+        listed.select("capture").join(counted, "capture", "left")
         .join(marked, "capture", "left")
         .select(
             "capture",
@@ -78,3 +291,13 @@ def read_captures(
         )
     )
     return records, status
+
+
+def _parsed(units: DataFrame) -> DataFrame:
+    """Adds `raw`, the trimmed `text` and the `record` it is, or null."""
+    trimmed = computed_once(units.withColumnRenamed("text", "raw"), text=js_trim(F.col("raw")))
+    record = F.when((F.col("what") == "whole") & (F.col("text") != ""), V.parse_strict(F.col("text")))
+    return computed_once(trimmed, record=record)
+
+
+register_pickle_by_value(sys.modules[__name__])

@@ -1,5 +1,7 @@
 """Captures, CPU summaries, guards and notes."""
 
+import json
+import random
 import statistics
 
 import pytest
@@ -101,6 +103,68 @@ def test_captures_of_every_form(spark, tmp_path):
     assert own.filter("bad_lines > 0").count() == 3 and own.count() == 6
 
 
+def slow_capture(text):
+    """(records, readable) of a capture as a plain reader has them."""
+    def parse(t):
+        try:
+            return [json.loads(t, parse_constant=lambda c: 1 / 0)]
+        except (ValueError, ZeroDivisionError):
+            return []
+
+    raw = text.strip(" \t\n\r")
+    if not raw:
+        return [], True
+    if raw.startswith("[") and (whole := parse(raw)):
+        return whole[0], True
+    lines = [r for line in raw.split("\n") for r in parse(line.strip(" \t\n\r"))]
+    return (lines, True) if lines else (parse(raw), bool(parse(raw)))
+
+
+def test_captures_cut_anywhere_have_the_same_records(spark, tmp_path):
+    """Arrays, lines and objects with braces, quotes and backslashes in strings, against a plain reader at every block size."""
+    rng = random.Random(31)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind < 3:
+            return rng.choice(["}", "],[", '"', "\\", "é{", "plain", '\\"', ","])
+        if kind == 3:
+            return rng.randrange(99)
+        if kind == 4:
+            return rng.choice([None, True, 1.5, {}, []])
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 5 else {f"k{i}}}": value(depth - 1) for i in range(rng.randrange(4))}
+
+    dump = lambda v: json.dumps(v, ensure_ascii=False, indent=rng.choice([None, None, 1]))
+    texts = {}
+    for i in range(6):
+        values = [value(3) for _ in range(rng.randrange(12))]
+        texts[f"array{i}"] = dump(values) + rng.choice(["", "\n", " \n"])
+        texts[f"lines{i}"] = "\n".join(rng.choice(["", "bad }{", json.dumps(v)]) if rng.random() < 0.2 else json.dumps(v) for v in values)
+        text = dump({"a": values})
+        texts[f"object{i}"] = text
+        broken = dump(values) + "."
+        texts[f"broken{i}"] = broken[: rng.randrange(len(broken))] + rng.choice(["", "}", "]", "]}", '"', "[1]"])
+    texts["one-line"] = json.dumps([{"n": i, "s": "}" * (i % 5)} for i in range(150)])
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    listing = spark.createDataFrame([(f"file:{tmp_path}/{n}",) for n in texts], "capture string")
+    expected = {name: slow_capture(text) for name, text in texts.items()}
+    show = lambda v: json.dumps(v, sort_keys=True)
+    for size in ("150", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            records, status = read_captures(spark, str(tmp_path), listing, part_pieces=50)
+            got = {name: [] for name in texts}
+            for r in records.select("capture", F.to_json(F.struct("value")).alias("v")).collect():
+                got[r.capture.split("/")[-1]].append(json.loads(r.v).get("value"))
+            readable = {r.capture.split("/")[-1]: r.readable for r in status.collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        for name, (values, ok) in expected.items():
+            assert sorted(map(show, got[name])) == sorted(map(show, values)), (size, name, texts[name])
+            assert readable[name] == ok, (size, name, texts[name])
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(f"2026-01-01 00:0{i % 7}:00", "a", "m" if i % 3 else "k", float(i * i)) for i in range(40)]
     df = spark.createDataFrame(rows, "ts string, capture string, execution_model string, cpu_time double").withColumn(
