@@ -124,10 +124,10 @@ def test_rule_edges(spark):
     ids = lambda h: set(found[h]) - {"cron"}
     assert set(found["empty"]) == {"drush-absent", "cron"}
     assert [found[h]["db-driver"][0] for h in ("my", "lite", "pg")] == ["note", "note", "blocker"]
-    assert found["my"]["db-driver"][1] == "mysql converts to SQLite"
+    assert found["my"]["db-driver"][1] == "tables come out of mysql through the converter"
     assert "20,000" in found["images"]["image-transforms"][1]
     assert not ids("few") and not ids("edge") and not ids("huge")
-    assert found["big"]["files-payload"][1] == "public files are 40 MiB"
+    assert found["big"]["files-payload"][1] == "uploads take 40 MiB"
     assert not ids("small") and ids("over") == {"files-payload"}
     assert ids("db") == {"database-size"} and not ids("dbless")
     assert not ids("n500") and found["n2000"]["regeneration-ceiling"][0] == "note"
@@ -135,7 +135,7 @@ def test_rule_edges(spark):
     assert ids("mods") == {"incompatible-modules", "service-modules", "shellout-undetectable"}
     assert found["mods"]["incompatible-modules"][1].startswith("2 ")
     assert found["mods"]["incompatible-modules"][2] == "imagemagick: starts a process; redis: needs a raw TCP socket"
-    assert found["zip"]["ext-archive"][1] == "the source loads Phar and zip"
+    assert found["zip"]["ext-archive"][1] == "archive support in use: Phar, zip"
     assert ids("old") == {"php-version"} and "8.5 (assumed)" in found["old"]["php-version"][2]
     assert not ids("same") and not ids("newer") and ids("odd") == {"php-version"}
     counts = {r.host: (r.blocker, r.warning, r.note) for r in survey_rules.severity_counts(scored).collect()}
@@ -152,6 +152,6 @@ def test_other_direction_and_steps(spark):
     order = [r.severity for r in survey_rules.ordered_findings(survey_rules.findings(scored)).collect()]
     assert order == ["blocker", "blocker", "note", "note", "note"]
     steps = survey_rules.plan_steps(scored, "to-vps").orderBy("n").collect()
-    assert len(steps) == 6 and steps[3].command == "ssh a 'cd /r && drush sql:cli < vps.sql'" and steps[4].command is None
+    assert len(steps) == 6 and steps[3].command == "ssh a drush --root=/r sql:query --file=- < a/tables.mysql.sql" and steps[4].command is None
     with pytest.raises(ValueError):
         survey_rules.score(scored, "sideways")
