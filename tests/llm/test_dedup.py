@@ -166,15 +166,6 @@ def test_line_dedup_sees_text_beyond_the_eighth_character_of_a_word(spark):
     assert found == {i: i for i in range(len(apart))} | {50: 50, 51: 50, 52: 50, 60: 60, 61: 60}
 
 
-def test_line_dedup_sees_text_beyond_the_eighth_character_of_a_word(spark):
-    apart = ["https://one.example/a/b/c", "https://two.example/x/y/z", "2024-01-15", "2024-01-17", "andththwhes.", "andththwhwh."]
-    apart += ["那天下午我们一起去了海边看日落", "那天下午我们一起读完了那本旧书", "ab", "abc", "🙂👍🏽🙂👍🏽🙂👍🏽x", "🙂👍🏽🙂👍🏽🙂👍🏽y"]
-    long = "".join(chr(0x4E00 + 7 * i) for i in range(300))
-    rows = [*enumerate(apart), (50, long), (51, "始" + long), (52, long[:150] + "中" + long[150:])]
-    found = {r.doc_id: r.keep_doc_id for r in duplicate_lines(documents(spark, rows)).collect()}
-    assert found == {i: i for i in range(len(apart))} | {50: 50, 51: 50, 52: 50}
-
-
 RULES = (("org", "/", "allow"), ("bad.org", "/x", "block"), ("com", "/de/", "block"), ("evil.com", "/", "block"))
 URLS = [
     (1, "https://Sub.BAD.org/x/1?q#f", None, "sub.bad.org", "/x/1", "bad.org/x", "block"),
