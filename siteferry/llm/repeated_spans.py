@@ -372,8 +372,10 @@ def remove_repeats(
     rows = spark.table(name)
 
     marks = rows.select("text").mapInArrow(_mark_rows(length), "mark bigint").groupBy("mark").count().filter("count > 1")
+    # written first, so that the join reads a plain shuffle on either side and a landmark of very many rows is split
+    marks = cut_lineage(marks.select("mark"))
     stretches = rows.select("id", "text").mapInArrow(_stretch_rows(length), _STRETCHES)
-    live = cut_lineage(stretches.join(marks.select("mark"), "mark", "left_semi"))
+    live = cut_lineage(stretches.join(marks, "mark", "left_semi"))
     kinds = cut_lineage(
         live.groupBy("mark", "digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start", "size", "offset")).alias("_one"))
