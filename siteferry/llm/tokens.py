@@ -1,7 +1,7 @@
-"""Token ids of whole texts by a public tokenizer file, with a cache of words.
+"""Token ids of whole texts by a public tokenizer file, with a cache of parts.
 
 The tokenizer of this file kind lower-cases, splits at white space and at letter, digit and symbol borders, and
-then merges within each such part. So a text of plain Latin letters is looked up word by word, and only new words
+then merges within each such part. So a text of plain Latin letters is looked up part by part, and only new parts
 are merged. Any other text, and any other tokenizer, goes through the library whole.
 """
 
@@ -15,15 +15,20 @@ import types
 import numpy as np
 from pyspark.cloudpickle import register_pickle_by_value
 
-# Characters that composition leaves alone, and whose lower case does not depend on what stands around them.
-_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ]")
+# Characters that composition leaves alone, whose lower case does not depend on what stands around them, and of which
+# Python and the tokenizer agree whether they are letters, digits or neither.
+_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]")
 
-# How a tokenizer file must normalise and split for the word cache to hold.
+# The parts of such a text, as `_SPLIT` has them.
+_PARTS = re.compile(r"[^\W\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
+
+# How a tokenizer file must normalise and split for the cache of parts to hold.
 _NORMALIZER = ["NFC", ("Replace", "\\s+", " "), "Lowercase"]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-# Words kept by a worker; at this many the cache starts anew, so its memory is bounded.
-CACHE_WORDS = 400_000
+# Bytes of parts and ids that the cache holds, with what Python adds to an entry.
+CACHE_BYTES = 96 << 20
+_ENTRY_BYTES = 200
 
 END_ID = 0
 
@@ -33,33 +38,48 @@ def _held() -> dict:
     return sys.modules.setdefault("_siteferry_worker", types.ModuleType("_siteferry_worker")).__dict__
 
 
-class _Words(dict):
-    """Word to its ids as little-endian unsigned 32-bit bytes, filled on demand."""
+class _Parts(dict):
+    """Part to its ids as little-endian unsigned 32-bit bytes, filled on demand.
+
+    When half of the room is taken, what is held becomes the older half; of that only what is asked for again stays.
+    """
 
     def __init__(self, make):
         super().__init__()
         self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = self.make(word)
+        self.forget()
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
+        if found is None:
+            found = self.make(part)
+        # a very long part would take the room of many
+        if len(part) < 100:
+            self.held += _ENTRY_BYTES + len(part) + len(found)
+            if self.held > CACHE_BYTES // 2:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+            self[part] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
 
 class TokenIds:
     """Encodes texts to the bytes of their ids."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.by_word = _splits_into_words(spec)
+        self.by_part = _splits_into_parts(spec)
         self.marks = [token["content"].lower() for token in spec.get("added_tokens", [])]
-        parts = regex.compile(_SPLIT)
         letters = _byte_letters()
         model = self.whole.model
 
@@ -67,14 +87,17 @@ class TokenIds:
             shown = part.encode().decode("latin-1").translate(letters)
             return np.array([t.id for t in model.tokenize(shown)], dtype="<u4").tobytes()
 
-        self.parts = _Words(merge)
-        self.words = _Words(lambda word: b"".join([self.parts[p] for p in parts.findall(word)]))
+        self.parts = _Parts(merge)
+
+    def forget(self) -> None:
+        """Empties the cache, as at the end of a task: the next may be of another job."""
+        self.parts.forget()
 
     def __call__(self, text: str) -> bytes:
-        if self.by_word and (text.isascii() or _PLAIN.search(text) is None) and not _CONTROL.search(text):
+        if self.by_part and (text.isascii() or _PLAIN.search(text) is None) and not _CONTROL.search(text):
             lower = text.lower()
             if not any(mark in lower for mark in self.marks):
-                return b"".join(map(self.words.__getitem__, lower.split()))
+                return b"".join(map(self.parts.__getitem__, _PARTS.findall(lower)))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
@@ -82,7 +105,7 @@ class TokenIds:
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 
 
-def _splits_into_words(spec: dict) -> bool:
+def _splits_into_parts(spec: dict) -> bool:
     normalizers = (spec.get("normalizer") or {}).get("normalizers", [])
     steps = [
         (n["type"], n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else n["type"] for n in normalizers

@@ -35,7 +35,7 @@ SAMPLE_BYTES = 512
 # A word of the toxic dictionary: in so many toxic documents, and so many times as often as in ordinary ones.
 MIN_DOCUMENTS, MIN_RATIO = 3, 20
 STRONGEST = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 # The compressor looks for no match that starts in the last 8 bytes of its input, so a window is followed by bytes

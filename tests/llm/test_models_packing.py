@@ -36,7 +36,7 @@ ODD_TEXTS = [
 
 def test_token_ids_equal_the_library():
     whole, own = Tokenizer.from_file(VOCAB), TokenIds(VOCAB)
-    assert own.by_word
+    assert own.by_part
     for text in ODD_TEXTS + ["".join(chr(c) for c in range(32, 0x250)), " ".join(chr(c) for c in range(0x180))]:
         wanted = np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert own(text) == wanted == own(text)
