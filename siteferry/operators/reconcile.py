@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteferry.functions.scale import BROADCAST_ROWS
+from siteferry.functions.scale import BROADCAST_ROWS, broadcast_if_small
 from siteferry.session import cut_lineage
 
 
@@ -58,26 +58,35 @@ def compare_keys(expected: DataFrame, actual: DataFrame, key: Sequence[str], col
     Only keys, counts and digests are shuffled, and copies of one key are folded before the shuffle, so a
     key carrying very many rows is counted like any other.
     """
-    key = list(key)
-    kinds, others = dict(expected.dtypes), dict(actual.dtypes)
-    values = [F.col(c) if kinds[c] == others[c] else F.col(c).cast("string") for c in cols]
-    side = lambda df, mark: df.select(*key, F.lit(mark).alias("_side"), _digest(values).alias("_d"))
-    both = side(expected, 0).unionByName(side(actual, 1))
-    digest_of = lambda mark, part: F.max(F.when(F.col("_side") == mark, F.col(f"_d.{part}")))
-    merged = both.groupBy(*key).agg(
-        F.count_if(F.col("_side") == 0).alias("expected_rows"),
-        F.count_if(F.col("_side") == 1).alias("actual_rows"),
-        *[digest_of(m, p).alias(f"_{p}{m}") for m in (0, 1) for p in "ab"],
+    folded, state = _fold([expected, actual], key, cols)
+    return folded.select(*key, F.col("_n0").alias("expected_rows"), F.col("_n1").alias("actual_rows"), state(0, 1).alias("state"))
+
+
+def _fold(sides: Sequence[DataFrame], key: Sequence[str], cols: Sequence[str]) -> tuple[DataFrame, Callable[[int, int], Column]]:
+    """Rows and digest of each key on every side in one aggregate, and the state of one side held against another."""
+    kinds = [dict(df.dtypes) for df in sides]
+    alike = {c: len({k[c] for k in kinds}) == 1 for c in cols}
+    values = [F.col(c) if alike[c] else F.col(c).cast("string") for c in cols]
+    marked = [df.select(*key, F.lit(n).alias("_side"), _digest(values).alias("_d")) for n, df in enumerate(sides)]
+    of = lambda n, part: F.max(F.when(F.col("_side") == n, F.col(f"_d.{part}")))
+    folded = reduce(DataFrame.unionByName, marked).groupBy(*key).agg(
+        *[F.count_if(F.col("_side") == n).alias(f"_n{n}") for n in range(len(sides))],
+        *[of(n, part).alias(f"_{part}{n}") for n in range(len(sides)) for part in "ab"],
     )
-    equal = (F.col("_a0") == F.col("_a1")) & (F.col("_b0") == F.col("_b1"))
-    state = (
-        F.when((F.col("expected_rows") > 1) | (F.col("actual_rows") > 1), "duplicate")
-        .when(F.col("actual_rows") == 0, "missing")
-        .when(F.col("expected_rows") == 0, "unexpected")
-        .when(equal, "same")
-        .otherwise("changed")
-    )
-    return merged.select(*key, "expected_rows", "actual_rows", state.alias("state"))
+
+    def state(expected: int, actual: int) -> Column:
+        rows, others = F.col(f"_n{expected}"), F.col(f"_n{actual}")
+        equal = (F.col(f"_a{expected}") == F.col(f"_a{actual}")) & (F.col(f"_b{expected}") == F.col(f"_b{actual}"))
+        return (
+            F.when((rows > 1) | (others > 1), "duplicate")
+            .when((rows == 0) & (others == 0), "same")
+            .when(others == 0, "missing")
+            .when(rows == 0, "unexpected")
+            .when(equal, "same")
+            .otherwise("changed")
+        )
+
+    return folded, state
 
 
 def diff_rows(
@@ -95,27 +104,34 @@ def diff_rows(
     """
     key, cols = list(key), list(cols)
     differing = cut_lineage(compare_keys(expected, actual, key, cols).filter(F.col("state") != "same"))
-    text = lambda value: F.lit(value)
-    copies = lambda n: F.concat(n.cast("string"), F.lit(" rows"))
-    reports = F.array(
-        _whole_row(F.col("state") == "missing", text("present"), text("missing")),
-        _whole_row(F.col("state") == "unexpected", text("absent"), text("unexpected row")),
-        _whole_row(
-            (F.col("state") == "duplicate") & (F.col("expected_rows") > 1), text("unique"), copies(F.col("expected_rows"))
-        ),
-        _whole_row(
-            (F.col("state") == "duplicate") & (F.col("actual_rows") > 1), text("unique"), copies(F.col("actual_rows"))
-        ),
-    )
-    whole = differing.select(*key, F.inline(F.filter(reports, lambda r: r.isNotNull())))
     changed = differing.filter(F.col("state") == "changed").select(*key)
     if changed.count() <= broadcast_rows:
         changed = F.broadcast(changed)
-    hexed = lambda df, name: df.select(
-        *key, F.struct(*[F.hex(_binary(df, c)).alias(c) for c in cols]).alias(name)
+    ours = _join_keys(_hexed(expected, "_e", key, cols), changed, key)
+    theirs = _join_keys(_hexed(actual, "_a", key, cols), changed, key)
+    return _whole_rows(differing, key).unionByName(_cells(_join_keys(ours, theirs, key), key, cols))
+
+
+def _whole_rows(differing: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Reports of keys that one side lacks or holds more than once."""
+    text = lambda value: F.lit(value)
+    copies = lambda n: F.concat(n.cast("string"), F.lit(" rows"))
+    state = F.col("state")
+    reports = F.array(
+        _whole_row(state == "missing", text("present"), text("missing")),
+        _whole_row(state == "unexpected", text("absent"), text("unexpected row")),
+        _whole_row((state == "duplicate") & (F.col("expected_rows") > 1), text("unique"), copies(F.col("expected_rows"))),
+        _whole_row((state == "duplicate") & (F.col("actual_rows") > 1), text("unique"), copies(F.col("actual_rows"))),
     )
-    ours = _join_keys(hexed(expected, "_e"), changed, key)
-    pair = _join_keys(ours, _join_keys(hexed(actual, "_a"), changed, key), key)
+    return differing.select(*key, F.inline(F.filter(reports, lambda r: r.isNotNull())))
+
+
+def _hexed(df: DataFrame, name: str, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    return df.select(*key, F.struct(*[F.hex(_binary(df, c)).alias(c) for c in cols]).alias(name))
+
+
+def _cells(pair: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Reports of the columns in which `_e` and `_a` differ."""
     cells = F.array(
         *[
             F.when(
@@ -130,8 +146,7 @@ def diff_rows(
             for c in cols
         ]
     )
-    detail = pair.select(*key, F.inline(F.filter(cells, lambda r: r.isNotNull())))
-    return whole.unionByName(detail)
+    return pair.select(*key, F.inline(F.filter(cells, lambda r: r.isNotNull())))
 
 
 def _join_keys(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
@@ -205,10 +220,29 @@ def violating_structure_only(
 
 
 def diff_three(declared: DataFrame, source: DataFrame, target: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Both sides held against a declared expectation, so two readers wrong in the same way are seen."""
-    return diff_rows(declared, source, key, cols).withColumn("side", F.lit("source")).unionByName(
-        diff_rows(declared, target, key, cols).withColumn("side", F.lit("target"))
+    """Both sides held against a declared expectation, so two readers wrong in the same way are seen.
+
+    (key, column, expected, actual, is_truncated, side). The three are folded by one aggregate; the values of the
+    declared side are read again once, for keys that either side has changed.
+    """
+    key, cols = list(key), list(cols)
+    folded, state = _fold([declared, source, target], key, cols)
+    states = [state(0, n).alias(f"_state{n}") for n in (1, 2)]
+    differing = cut_lineage(
+        folded.select(*key, "_n0", "_n1", "_n2", *states).filter("_state1 <> 'same' OR _state2 <> 'same'")
     )
+    altered = differing.filter("_state1 = 'changed' OR _state2 = 'changed'").select(*key)
+    ours = cut_lineage(_join_keys(_hexed(declared, "_e", key, cols), broadcast_if_small(altered), key))
+    reports = []
+    for n, (df, side) in enumerate(((source, "source"), (target, "target")), 1):
+        mine = differing.select(
+            *key, F.col("_n0").alias("expected_rows"), F.col(f"_n{n}").alias("actual_rows"), F.col(f"_state{n}").alias("state")
+        )
+        changed = broadcast_if_small(mine.filter("state = 'changed'").select(*key))
+        theirs = _join_keys(_hexed(df, "_a", key, cols), changed, key)
+        found = _whole_rows(mine, key).unionByName(_cells(_join_keys(theirs, ours, key), key, cols))
+        reports.append(found.withColumn("side", F.lit(side)))
+    return reports[0].unionByName(reports[1])
 
 
 def table_counts(frames: Mapping[str, DataFrame]) -> DataFrame:

@@ -282,6 +282,33 @@ def _render_values(spark, sf_dir):
     return rows.select("dump_id", "stmt_no", F.col("part_no").cast("bigint").alias("part_no"), "sql")
 
 
+# Statements of SQLite dumps, one per part, for the way back.
+LITE = r"""
+SELECT concat('d', p_size % 5) AS dump_id, p_partkey AS stmt_no, CASE p_partkey % 5
+  WHEN 0 THEN concat('CREATE TABLE "t', p_partkey, '" ("id" INTEGER PRIMARY KEY AUTOINCREMENT, "name" TEXT NOT NULL, "n" NUMERIC, "raw" BLOB, ',
+    'UNIQUE ("name"))')
+  WHEN 1 THEN concat('CREATE INDEX "i', p_partkey, '" ON "elsewhere" ("a" DESC, "b")')
+  WHEN 2 THEN concat('INSERT INTO "t" ("a", "b") VALUES (', p_partkey, ', ~it~~s C:|ok~), (NULL, x~0fA0~)')
+  WHEN 3 THEN concat('INSERT INTO "o""dd" VALUES (CAST(x~6100~ AS TEXT), X~~, -1.5, ~', p_partkey, '~)')
+  ELSE concat('DROP TABLE IF EXISTS "t', p_partkey, '"') END AS sql
+FROM {part}"""
+
+
+def _lite(spark, sf_dir):
+    made = derive(spark, sf_dir, LITE).withColumn("sql", F.translate("sql", "~|", "'\\"))
+    return dump_convert.convert(made, "sqlite", "mysql")
+
+
+def _render_ddl_mysql(spark, sf_dir):
+    ddl = _lite(spark, sf_dir).emitted.filter("kind <> 'row'")
+    return ddl.select("dump_id", "stmt_no", "kind", "sql")
+
+
+def _render_values_mysql(spark, sf_dir):
+    rows = _lite(spark, sf_dir).emitted.filter("kind = 'row'")
+    return rows.select("dump_id", "stmt_no", F.col("part_no").cast("bigint").alias("part_no"), "tuples", "sql")
+
+
 def _refusals(spark, sf_dir):
     return _conversion(spark, sf_dir).refusals.select("dump_id", "stmt_no", "reason", "preview")
 
@@ -360,6 +387,8 @@ QUERIES = {
     "key_catalog": _key_catalog,
     "render_ddl": _render_ddl,
     "render_values": _render_values,
+    "render_ddl_mysql": _render_ddl_mysql,
+    "render_values_mysql": _render_values_mysql,
     "refusals": _refusals,
     "lossy_report": _lossy_report,
     "convert_summary": _convert_summary,
@@ -481,6 +510,21 @@ UNION ALL SELECT stmt_no, 't' || stmt_no, 'unique', 't' || stmt_no || '__nm', tr
 UNION ALL SELECT stmt_no, 't1', 'unique', 'i' || stmt_no, true, 'name,id', true FROM {_S} WHERE f = 5""",
     "render_ddl": _DDL,
     "render_values": f"SELECT dump_id, stmt_no, CAST(part_no AS BIGINT) AS part_no, sql FROM ({_EMITTED_ROWS})",
+    "render_ddl_mysql": r"""
+WITH p AS (SELECT 'd' || p_size % 5 AS dump_id, p_partkey AS stmt_no, p_partkey % 5 AS f FROM part)
+SELECT DISTINCT dump_id, CAST(-1 AS BIGINT) AS stmt_no, 'charset' AS kind, 'SET NAMES utf8mb4;' AS sql FROM p
+UNION ALL SELECT dump_id, stmt_no, 'table', 'CREATE TABLE `t' || stmt_no || '` (' || chr(10) || chr(9) ||
+  '`id` BIGINT PRIMARY KEY AUTO_INCREMENT,' || chr(10) || chr(9) || '`name` LONGTEXT NOT NULL,' || chr(10) || chr(9) ||
+  '`n` DECIMAL(30,10),' || chr(10) || chr(9) || '`raw` LONGBLOB' || chr(10) || ') ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;' FROM p WHERE f = 0
+UNION ALL SELECT dump_id, stmt_no, 'index', 'CREATE UNIQUE INDEX `t' || stmt_no || '__name` ON `t' || stmt_no || '` (`name`(191));'
+FROM p WHERE f = 0
+UNION ALL SELECT dump_id, stmt_no, 'index', 'CREATE INDEX `i' || stmt_no || '` ON `elsewhere` (`a`, `b`);' FROM p WHERE f = 1
+UNION ALL SELECT dump_id, stmt_no, 'drop', 'DROP TABLE IF EXISTS `t' || stmt_no || '`;' FROM p WHERE f = 4""",
+    "render_values_mysql": r"""
+SELECT 'd' || p_size % 5 AS dump_id, p_partkey AS stmt_no, CAST(0 AS BIGINT) AS part_no, CAST(4 - p_partkey % 5 AS BIGINT) AS tuples,
+  CASE p_partkey % 5 WHEN 2 THEN 'INSERT INTO `t` (`a`, `b`) VALUES (' || p_partkey || ', ''it''''s C:\\ok''), (NULL, 0x0fA0);'
+  ELSE 'INSERT INTO `o"dd` VALUES (0x6100, '''', -1.5, ''' || p_partkey || ''');' END AS sql
+FROM part WHERE p_partkey % 5 IN (2, 3)""",
     "refusals": _REFUSALS,
     "lossy_report": f"""
 SELECT dump_id, c.change, count(*) AS times FROM {_S}, (VALUES ('index dropped'), ('prefix length dropped'),

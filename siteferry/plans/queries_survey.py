@@ -67,6 +67,14 @@ def _survey_fold(spark, sf_dir):
     )
 
 
+def _survey_whitelist(spark, sf_dir):
+    """Whether a survey still holds anything that a status page or a stale capture showed beside the fields read."""
+    surveys = _surveys(spark, sf_dir)
+    leaks = F.to_json(F.struct(*surveys.columns)).rlike("s3cret|db-password|stale")
+    fields = ",".join(sorted(surveys.select("drupal.*", "database.*").columns))
+    return surveys.select("host", leaks.alias("leaks"), F.lit(fields).alias("status_fields"))
+
+
 def _scored(spark, sf_dir):
     return survey_rules.score(_surveys(spark, sf_dir), "to-worker")
 
@@ -164,6 +172,7 @@ _FIELDS = (
 
 QUERIES = {
     "survey_fold": _survey_fold,
+    "survey_whitelist": _survey_whitelist,
     "findings": _findings,
     "findings_to_vps": _findings_to_vps,
     "severity_counts": _severity_counts,
@@ -176,6 +185,8 @@ QUERIES = {
 
 ORACLES = {
     "survey_fold": f"SELECT * EXCLUDE (k) FROM {_SURVEYS}",
+    "survey_whitelist": """
+SELECT 'host' || c_custkey AS host, false AS leaks, 'bytes,driver,name,profile,uri,version' AS status_fields FROM customer""",
     "findings": f"SELECT host, id, severity FROM ({_RULES})",
     "findings_to_vps": """
 SELECT r.id, r.severity, count(*) AS hosts FROM customer, (VALUES ('export-gated', 'blocker'), ('export-structure-only', 'note'),
