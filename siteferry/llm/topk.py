@@ -27,7 +27,7 @@ CELLS = 256
 BLOCK_VECTORS = 16_384
 BLOCK_QUERIES = 1_024
 
-_BOUNDS = "query_id bigint, vec_id bigint, low double, high double"
+_BOUNDS = "query_id bigint, query_row bigint, vec_id bigint, row bigint, low double, high double"
 _FOUND = "query_id bigint, rank int, vec_id bigint, score bigint"
 
 
@@ -82,12 +82,14 @@ def _bounder(cells: dict[int, np.ndarray], k: int):
 
     def bound(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or items.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "low": [], "high": []})
+            return pd.DataFrame({c: [] for c in ("query_id", "query_row", "vec_id", "row", "low", "high")})
         grid = cells[int(queries["dim"].iloc[0])]
-        # Of equal vectors only the k + 1 with the smallest identifiers can count, one of which may be the query's own.
-        items = items.sort_values("vec_id")
-        items = items[items.groupby("digest").cumcount() <= k]
-        ids = items["vec_id"].to_numpy()
+        # Of equal vectors only those of the k + 1 smallest identifiers can count, one of which may be the query's own, and
+        # of each identifier k rows.
+        items = items.sort_values(["vec_id", "row"])
+        items = items[items.groupby(["digest", "vec_id"]).cumcount() < k]
+        items = items[items.groupby("digest")["vec_id"].rank(method="dense") <= k + 1]
+        ids, rows = items["vec_id"].to_numpy(), items["row"].to_numpy()
         codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in items["codes"]]).astype(np.int64)
         places = np.arange(grid.shape[0])
         least = grid[places, codes].astype(np.float64)
@@ -98,12 +100,13 @@ def _bounder(cells: dict[int, np.ndarray], k: int):
         plus, minus = np.maximum(asked, 0), np.minimum(asked, 0)
         low, high = plus @ least.T + minus @ most.T, plus @ most.T + minus @ least.T
         out = []
-        for row, query in enumerate(queries["vec_id"].to_numpy()):
+        for at, (query, query_row) in enumerate(zip(queries["vec_id"].to_numpy(), queries["row"].to_numpy())):
             other = ids != query
-            lows = low[row][other]
+            lows = low[at][other]
             edge = np.partition(lows, len(lows) - k)[len(lows) - k] if len(lows) > k else -np.inf
-            kept = np.flatnonzero(other & (high[row] >= edge))
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[kept], "low": low[row][kept], "high": high[row][kept]}))
+            kept = np.flatnonzero(other & (high[at] >= edge))
+            found = {"query_id": query, "query_row": query_row, "vec_id": ids[kept], "row": rows[kept]}
+            out.append(pd.DataFrame(found | {"low": low[at][kept], "high": high[at][kept]}))
         return pd.concat(out)
 
     return bound
@@ -116,12 +119,11 @@ def _reader(k: int):
         found = []
         for query, own in rows.groupby("query_id"):
             own = own.sort_values(["high", "vec_id"], ascending=[False, True])
-            asked = np.asarray(own["asked"].iloc[0], dtype=np.int64)
             best: list[tuple[int, int]] = []  # (-score, vec_id)
-            for high, vec_id, vector in zip(own["high"], own["vec_id"], own["vector"]):
+            for high, vec_id, vector, asked in zip(own["high"], own["vec_id"], own["vector"], own["asked"]):
                 if len(best) == k and high < -best[-1][0]:
                     break
-                score = int(np.asarray(vector, dtype=np.int64) @ asked)
+                score = int(np.asarray(vector, dtype=np.int64) @ np.asarray(asked, dtype=np.int64))
                 best = sorted([*best, (-score, vec_id)])[:k]
             found += [(query, rank, vec_id, -score) for rank, (score, vec_id) in enumerate(best, 1)]
         return pd.DataFrame(found, columns=["query_id", "rank", "vec_id", "score"])
@@ -142,12 +144,13 @@ def top_k(
 
     `is_query` is a condition on the identifier, as column vec_id. Ties go to the smaller vec_id. Vectors that are null or
     empty, or hold null or non-finite parts, and null identifiers take no part; vectors meet only those of their own
-    length. Rows that repeat the query's identifier are its own and no candidates; other repeated identifiers count once
-    for each row. A query with fewer than k others has them all, one without any has no row. An empty table gives no
+    length. Rows that repeat the query's identifier are its own and no candidates, and their vectors are asked for together:
+    the best scores of any of them count. Other repeated identifiers count once for each row. A query with fewer than k others has them all, one without any has no row. An empty table gives no
     rows. Other columns are not read.
     """
     spark = embeddings.sparkSession
-    vectors = cut_lineage(whole_vectors(embeddings, id_col, vector_col))
+    # rows are told apart by number, since an identifier may stand on several
+    vectors = cut_lineage(whole_vectors(embeddings, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
     cells = fit_cells(vectors)
     if not cells:
         return spark.createDataFrame([], _FOUND)
@@ -155,21 +158,20 @@ def top_k(
     vector_blocks = -(-vectors.count() // block_vectors)
     query_blocks = max(1, -(-queries.count() // block_queries))
     digest = F.unhex(F.md5(F.array_join("vector", ",")))
-    approximations = vectors.select("vec_id", "dim", _coded(cells)("vector").alias("codes"), digest.alias("digest"))
+    approximations = vectors.select("vec_id", "row", "dim", _coded(cells)("vector").alias("codes"), digest.alias("digest"))
     approximations = cut_lineage(approximations)
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "dim", "vector", block(query_blocks).alias("qb")).select("*", every(vector_blocks).alias("vb"))
+    left = queries.select("vec_id", "row", "dim", "vector", block(query_blocks).alias("qb")).select("*", every(vector_blocks).alias("vb"))
     right = approximations.select("*", block(vector_blocks).alias("vb")).select("*", every(query_blocks).alias("qb"))
     keys = ["dim", "qb", "vb"]
     bounds = cut_lineage(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_bounder(cells, k), _BOUNDS))
     # The k-th best lower bound over all blocks rules out more than each block could.
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("low").desc()))
     edges = bounds.withColumn("_rank", rank).filter(F.col("_rank") == k).select("query_id", F.col("low").alias("_edge"))
-    kept = bounds.join(edges, "query_id", "left").filter("_edge is null or high >= _edge").select("query_id", "vec_id", "high")
-    asked = queries.select(F.col("vec_id").alias("query_id"), "dim", F.col("vector").alias("asked")).dropDuplicates(["query_id"])
-    joined = kept.join(vectors.select("vec_id", "vector"), "vec_id").join(asked, "query_id")
-    joined = joined.filter(F.size("vector") == F.col("dim")).drop("dim")
+    kept = bounds.join(edges, "query_id", "left").filter("_edge is null or high >= _edge").select("query_id", "query_row", "vec_id", "row", "high")
+    asked = queries.select(F.col("row").alias("query_row"), F.col("vector").alias("asked"))
+    joined = kept.join(vectors.select("row", "vector"), "row").join(asked, "query_row").drop("row", "query_row")
     part = F.pmod(F.xxhash64("query_id"), F.lit(16 * query_blocks)).alias("_part")
     return joined.select("*", part).groupBy("_part").applyInPandas(_reader(k), _FOUND)
 

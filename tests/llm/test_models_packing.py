@@ -1,5 +1,6 @@
 """Packing, mixing, classifiers, page texts and search, against plain versions and on edge rows."""
 
+import math
 import random
 import re
 import zlib
@@ -276,5 +277,20 @@ def test_top_k(spark, blocks):
     assert top_k(frame.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_top_k_with_repeated_identifiers(spark):
+    draw = random.Random(16)
+    rows = [(i % 40, [draw.gauss(0, 0.3) for _ in range(6)]) for i in range(160)]
+    rows += [(5, rows[0][1])] * 4 + [(41, rows[0][1]), (10, rows[10][1])]
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows]
+    wanted = set()
+    for query in {i for i, _ in rows if i % 10 == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(q, v)), i) for n, q in whole if n == query for i, v in whole if i != query)
+        wanted |= {(query, rank, i, -score) for rank, (score, i) in enumerate(scores[:5], 1)}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for blocks in ((1000, 1000), (30, 2)):
+        got = top_k(frame, F.col("vec_id") % 10 == 0, block_vectors=blocks[0], block_queries=blocks[1]).collect()
+        assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+
+
 def test_word_pattern_is_one_word():
     assert toxicity.windows("Don't go, Ünï_co 12ab") == re.findall("[a-zäöüï]+", "don t go ünï co ab")
