@@ -223,10 +223,11 @@ def _links(
 ) -> DataFrame:
     """Pairs (a, b) of items joined by confirmed links, enough to span every component; documents have doc_id and text."""
     members = cut_lineage(heads.join(clusters, "number").select("number", "item", "cluster", "first_id", "n_shingles"))
-    wanted = members.select(F.col("first_id").alias("doc_id")).distinct()
+    wanted = members.select(F.col("first_id").alias("_wanted")).distinct()
     if members.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = documents.join(wanted, "doc_id", "left_semi").select("text")
+    # an item of which no row has an identifier is looked up among the rows without one
+    texts = documents.join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

@@ -96,6 +96,10 @@ def test_near_dedup_edges(spark, corpus):
     got = sorted(str((r.doc_id, r.component_id, r.kept)) for r in near_duplicates(documents(spark, rows)).collect())
     wanted = [(4, 4, True), (4, 4, True), (9, 4, False), (None, 4, False), (None, None, True), (2, 2, True)]
     assert got == sorted(map(str, wanted))
+    long = " ".join(f"w{i}" for i in range(120))
+    rows = [(None, long), (7, long.replace("w60", "other")), (None, "alone in all of this")]
+    got = sorted(str((r.doc_id, r.component_id, r.kept)) for r in near_duplicates(documents(spark, rows)).collect())
+    assert got == sorted(map(str, [(None, 7, False), (7, 7, True), (None, None, True)]))
     left = drop_near_duplicates(documents(spark, corpus), words=5)
     kept = {i for i, (_, c) in brute.near_classes(corpus, 5).items() if i == c}
     assert {r.doc_id for r in left.collect()} == kept and left.columns == documents(spark, []).columns
