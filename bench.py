@@ -27,6 +27,9 @@ HEADLINE = (
     "dump_roundtrip_orders",
     "dump_roundtrip_lineitem",
     "dump_roundtrip_documents_mysql",
+    "dump_files",
+    "dump_bytes",
+    "load_failures",
     "dump_classify",
     "render_values",
     "width_audit",
@@ -35,6 +38,9 @@ HEADLINE = (
     "config_findings",
     "probe_verdict",
     "status_record",
+    "read_captures",
+    "corpus_scan",
+    "inventory_files",
     "copy_plan",
     "verify_backup",
     "missing_required",
