@@ -25,16 +25,6 @@ def parse_strict(text: Column) -> Column:
     return F.when(as_array.isNotNull() & single & whole, F.try_variant_get(as_array, "$[0]", "variant"))
 
 
-def array_texts(text: Column) -> Column:
-    """The elements of a text that is exactly one JSON array, each as its JSON text; else null.
-
-    The array as a whole never becomes a VARIANT, whose size is limited. A string comes without its quotes.
-    """
-    as_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    as_member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v: array<string>>")["v"]
-    return F.when(F.startswith(text, F.lit("[")) & (F.size(as_array) == 1) & as_member.isNotNull(), as_member)
-
-
 def member(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
