@@ -20,7 +20,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tab
 def test_queries_are_registered():
     names = entry_points.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLES) <= set(entry_points.oracle_sql())
 
 
