@@ -51,12 +51,8 @@ def near_classes(rows, words, numerator=80, denominator=100):
 
 
 def line_sets(text, size=8):
-    """The characters from the start of each word on, and in a longer word from each place until its end is in one."""
-    found = set()
-    for word in re.finditer(r"\S+", text):
-        for at in range(word.start(), max(word.end() - size, word.start()) + 1):
-            found.add(text[at : at + size])
-    return frozenset(found)
+    """The `size` characters from each position on; a shorter line is one."""
+    return frozenset(text[at : at + size] for at in range(max(len(text) - size, 0) + 1))
 
 
 def line_classes(rows, threshold=0.8):

@@ -8,7 +8,7 @@ import pytest
 
 from siteferry.llm.components import connected_components
 from siteferry.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from siteferry.llm.line_dedup import drop_duplicate_lines, duplicate_lines
+from siteferry.llm.line_dedup import drop_duplicate_lines, duplicate_lines, line_classes
 from siteferry.llm.near_dedup import drop_near_duplicates, near_duplicates
 from siteferry.llm.url_filter import judge_urls, rule_table
 from tests.llm import brute
@@ -170,6 +170,37 @@ def test_line_dedup_sees_text_beyond_the_eighth_character_of_a_word(spark):
     assert found == {i: i for i in range(len(apart))} | {50: 50, 51: 50, 52: 50, 60: 60, 61: 60}
 
 
+def test_line_dedup_finds_the_links_of_one_template(spark):
+    """Lines that share buckets with very many lines that are not near them, in blocks smaller than the buckets."""
+    draw = random.Random(11)
+    template = sentence(draw, 50).split()
+    lines = []
+    for _ in range(300):
+        words = list(template)
+        for at in draw.sample(range(50), 6):
+            words[at] = "w%05d" % draw.randint(0, 99999)
+        lines.append(" ".join(words))
+        words[draw.randrange(50)] = "v%05d" % draw.randint(0, 99999)
+        lines.append(" ".join(words))
+    draw.shuffle(lines)
+    rows = list(enumerate(lines))
+    sets = [brute.line_sets(x) for x in lines]
+    links = [
+        (a, b)
+        for a in range(len(sets))
+        for b in range(a + 1, len(sets))
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+    wanted = brute.line_classes(rows)
+    for block_lines in (512, 64):
+        classes = line_classes(documents(spark, rows), block_lines=block_lines)
+        keys = {hashlib.md5(x.encode()).digest(): i for i, x in rows}
+        found = {i: i for i, _ in rows} | {keys[bytes(r.key)]: r.keep_doc_id for r in classes.collect()}
+        joined = sum(found[a] == found[b] for a, b in links)
+        assert len(links) > 250 and joined >= 0.97 * len(links)
+        assert all(wanted[i, 0] == wanted[found[i], 0] for i in found)
+
+
 RULES = (("org", "/", "allow"), ("bad.org", "/x", "block"), ("com", "/de/", "block"), ("evil.com", "/", "block"))
 URLS = [
     (1, "https://Sub.BAD.org/x/1?q#f", None, "sub.bad.org", "/x/1", "bad.org/x", "block"),
