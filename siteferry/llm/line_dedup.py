@@ -40,7 +40,7 @@ BLOCK_LINES = 512
 _HASH_BITS = 50
 _RANGE_BITS = _HASH_BITS - (BANDS * ROWS - 1).bit_length()
 _LINES_AT_ONCE = 1 << 13
-_BYTES_AT_ONCE = 1 << 20
+_BYTES_AT_ONCE = 1 << 18
 # Fixed odd multipliers of the hashes.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -82,15 +82,18 @@ def _shingles(lines: pa.Array) -> np.ndarray:
     """The distinct shingles of all lines, sorted: the line's place above `_HASH_BITS` bits of hash."""
     pad = SHINGLE - 1
     lengths = pc.utf8_length(lines).to_numpy().astype(np.int64)
-    joined = b"".join([line + b"\0" * pad for line in lines.cast(pa.binary()).to_pylist()])
-    codes = np.frombuffer(joined.decode("utf-8").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    text = pa.large_string()
+    padded = pc.binary_join_element_wise(lines.cast(text), pa.scalar("\0" * pad, text), pa.scalar("", text))
+    size = int(np.frombuffer(padded.buffers()[1], dtype=np.int64)[len(padded)])
+    joined = padded.buffers()[2].slice(0, size).to_pybytes().decode("utf-8")
+    codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     starts = np.cumsum(lengths + pad) - (lengths + pad)
     # Past its end a line reads as zeros, which no character is, so short lines of different lengths differ.
     codes[((starts + lengths)[:, None] + np.arange(pad)).ravel()] = 0
-    power, total, width = _BASE, codes, 1
+    power, total, width = int(_BASE), codes, 1
     while width < SHINGLE:  # a window twice as wide from two windows side by side
-        total = total[: len(total) - width] * power + total[width:]
-        power, width = power * power, 2 * width
+        total = total[: len(total) - width] * np.uint64(power) + total[width:]
+        power, width = power * power % 2**64, 2 * width
     counts = np.maximum(lengths - pad, 1)
     owner = np.repeat(np.arange(len(lengths)), counts)
     place = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
