@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siteferry.functions import variant as V
+from siteferry.functions.batches import sliced
 from siteferry.functions.scale import BROADCAST_ROWS, broadcast_if_small, computed_once
 from siteferry.functions.scan import PART_PIECES, entry_states
 from siteferry.functions.schema import columns
@@ -33,24 +34,32 @@ _STRING = re.compile(rb'"(?:[^"\\]++|\\.)*+"', re.S)
 _REST = re.compile(rb'(?:[^"\\]++|\\.)*+"', re.S)
 _TOKEN = re.compile(rb'"(?:[^"\\]++|\\.)*+(?:"|\Z)|[\[\]{},]', re.S)
 _SPACE = b" \t\n\r"
+# Units are sent on at once when they hold about this many characters.
+_BATCH_CHARS = 2_000_000
 
 _MAP = columns("key string, place bigint, to array<int>, add array<bigint>, opening string, bytes bigint")
 _UNIT = columns("capture string, place bigint, number bigint, mode string, what string, text string")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, bytes]]:
-    """(columns of a block, its bytes); the last piece of a file gets a brace too, whether it had one or not."""
-    now, held = None, []
-    for batch in batches:
+def _chunks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, bytes, bool]]:
+    """(columns of a block, some of its bytes, whether the block goes on after them), never a whole block at once.
+
+    Each piece gets back the brace it was cut at; the last piece of a file gets one too, whether it had one or not. So a
+    chunk ends with a brace, and no escape in a string is cut.
+    """
+    held = None
+    for batch in sliced(batches):
         marks = list(zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]))
-        for mark, piece in zip(marks, batch.column(batch.schema.get_field_index("value")).to_pylist()):
-            if mark != now:
-                if now is not None:
-                    yield now, b"}".join(held) + b"}"
-                now, held = mark, []
-            held.append(piece)
-    if now is not None:
-        yield now, b"}".join(held) + b"}"
+        pieces = batch.column(batch.schema.get_field_index("value")).to_pylist()
+        start = 0
+        for i in range(1, len(pieces) + 1):
+            if i == len(pieces) or marks[i] != marks[start]:
+                if held is not None:
+                    yield held[0], held[1], held[0] == marks[start]
+                held = (marks[start], b"}".join(pieces[start:i]) + b"}")
+                start = i
+    if held is not None:
+        yield held[0], held[1], False
 
 
 def _after(text: bytes) -> tuple[int, int]:
@@ -63,91 +72,131 @@ def _after(text: bytes) -> tuple[int, int]:
 
 
 def _map_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (capture, place), text in _blocks(batches, ["capture", "place"]):
-        ways = [_after(text)]
+    to, add, first, size = [0, 1], [0, 0], None, 0
+    for (capture, place), text, more in _chunks(batches, ["capture", "place"]):
         rest = _REST.match(text)
-        ways.append(_after(text[rest.end() :]) if rest else (1, 0))
-        first = text.lstrip(_SPACE)[:1].decode("latin-1") or None
-        row = {"key": capture, "place": place, "to": [w[0] for w in ways], "add": [w[1] for w in ways], "opening": first, "bytes": len(text)}
-        yield pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(_MAP))
+        ways = [_after(text), _after(text[rest.end() :]) if rest else (1, 0)]
+        add = [n + ways[s][1] for s, n in zip(to, add)]
+        to = [ways[s][0] for s in to]
+        first = first or text.lstrip(_SPACE)[:1].decode("latin-1") or None
+        size += len(text)
+        if not more:
+            row = {"key": capture, "place": place, "to": to, "add": add, "opening": first, "bytes": size}
+            yield pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(_MAP))
+            to, add, first, size = [0, 1], [0, 0], None, 0
+
+
+def _lines_of(chunks: Iterable[bytes], first: bool) -> Iterator[tuple[str, bytes]]:
+    """Lines of a block, and the parts of lines at its ends."""
+    kind, held = "whole" if first else "head", []
+    for text in chunks:
+        pieces = text.split(b"\n")
+        for piece in pieces[:-1]:
+            yield kind, b"".join([*held, piece])
+            kind, held = "whole", []
+        held.append(pieces[-1])
+    yield "middle" if kind == "head" else "tail", b"".join(held)
 
 
-def _lines_of(text: bytes, first: bool) -> Iterator[tuple[str, bytes]]:
-    """Lines of a block, and the parts of lines at its ends."""
-    pieces = text.split(b"\n")
-    if len(pieces) == 1:
-        yield "tail" if first else "middle", text
-        return
-    yield "whole" if first else "head", pieces[0]
-    for piece in pieces[1:-1]:
-        yield "whole", piece
-    yield "tail", pieces[-1]
-
-
-def _elements_of(text: bytes, state: int, depth: int) -> Iterator[tuple[str, bytes]]:
-    """Elements of the array that a block holds or is part of; `end` where it ends, `fault` beside what is no array."""
-    at, begin, inside = 0, 0 if depth > 0 else None, depth > 0
-    if state:
-        rest = _REST.match(text)
-        if rest is None:
-            yield "middle", text
-            return
-        at = rest.end()
-    elif depth <= 0 and not text.strip(_SPACE):
-        return
-    kind = "head"
-    for token in _TOKEN.finditer(text, at):
-        mark = token[0]
-        if mark[:1] == b'"':
-            if begin is None:
-                break
+def _elements_of(chunks: Iterable[bytes], state: int, depth: int) -> Iterator[tuple[str, bytes]]:
+    """Elements of the array that a block holds or is part of; `end` where it ends, `fault` beside what is no array.
+
+    Of the block only the element that is open is kept.
+    """
+    inside = depth > 0
+    # an array that is open goes on with the first byte; `held` is what the element has so far
+    open_, held, kind, closed, seen = inside, [], "head", False, inside or bool(state)
+    for text in chunks:
+        at, begin = 0, 0
+        if closed:
+            if text.strip(_SPACE):
+                yield "fault", b""
+                return
             continue
-        if mark in (b"[", b"{"):
-            depth += 1
-            if depth == 1:
-                if inside or mark == b"{" or text[: token.start()].strip(_SPACE):
+        if state:
+            rest = _REST.match(text)
+            if rest is None:
+                held.append(text)
+                continue
+            at, state = rest.end(), 0
+            held = held if open_ else []
+        for token in _TOKEN.finditer(text, at):
+            mark = token[0]
+            if mark[:1] == b'"':
+                if not open_:
                     yield "fault", b""
                     return
-                begin, kind, inside = token.end(), "whole", True
-        elif mark == b",":
-            if depth == 1:
-                yield kind, text[begin : token.start()]
-                begin, kind = token.end(), "whole"
-        else:
-            depth -= 1
-            if depth == 0 and begin is not None:
-                yield kind, text[begin : token.start()]
-                yield "end" if mark == b"]" else "fault", b""
-                begin, kind = None, "whole"
-                if text[token.end() :].strip(_SPACE):
+                state = int(_STRING.fullmatch(mark) is None)
+                continue
+            if mark in (b"[", b"{"):
+                depth += 1
+                if depth == 1:
+                    if inside or mark == b"{" or seen or text[: token.start()].strip(_SPACE):
+                        yield "fault", b""
+                        return
+                    begin, kind, inside, open_ = token.end(), "whole", True, True
+            elif mark == b",":
+                if depth == 1:
+                    yield kind, b"".join([*held, text[begin : token.start()]])
+                    begin, held, kind = token.end(), [], "whole"
+            else:
+                depth -= 1
+                if depth == 0 and open_:
+                    yield kind, b"".join([*held, text[begin : token.start()]])
+                    yield "end" if mark == b"]" else "fault", b""
+                    held, open_, closed = [], False, True
+                    if text[token.end() :].strip(_SPACE):
+                        yield "fault", b""
+                        return
+                    break
+                if depth < 0:
                     yield "fault", b""
-                return
-            if depth < 0:
-                yield "fault", b""
-                return
-    if begin is None:
+                    return
+        if open_:
+            held.append(text[begin:])
+        seen = seen or bool(text.strip(_SPACE))
+    if open_ or held:
+        yield "middle" if kind == "head" else "tail", b"".join(held)
+    elif not closed and seen:
         yield "fault", b""
-    else:
-        yield "middle" if kind == "head" else "tail", text[begin:]
 
 
 def _cut(lines_only: bool):
+    names = ["capture", "place", "shared", "size", "state", "depth", "opening", "surplus", "begins"]
+
+    def block(mark: tuple, text: bytes, more: bool, chunks: Iterator[tuple[tuple, bytes, bool]]):
+        """Rows of the block that begins with `text`, taking its further chunks."""
+        capture, place, shared, size, state, depth, opening, surplus, begins = mark
+        if not shared:
+            opening, begins = text.lstrip(_SPACE)[:1].decode("latin-1"), True
+
+        def texts() -> Iterator[bytes]:
+            now, on, length = text, more, len(text)
+            while on:
+                yield now
+                _, now, on = next(chunks)
+                length += len(now)
+            yield now[:-1] if (surplus if shared else length > size) else now
+
+        mode = "array" if opening == "[" and not lines_only else "lines"
+        rest = texts()
+        cut = _elements_of(rest, state, depth) if mode == "array" else _lines_of(rest, begins)
+        for number, (what, part) in enumerate(cut):
+            # the last line of a file that no block follows is a whole one
+            what = "whole" if mode == "lines" and what == "tail" and not shared else what
+            yield capture, place, number, mode, what, part.decode("utf-8", "replace")
+        for _ in rest:
+            pass
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(_UNIT)
         rows, weight = [], 0
-        names = ["capture", "place", "shared", "size", "state", "depth", "opening", "surplus", "begins"]
-        for (capture, place, shared, size, state, depth, opening, surplus, begins), text in _blocks(batches, names):
-            if not shared:
-                opening, surplus, begins = text.lstrip(_SPACE)[:1].decode("latin-1"), len(text) > size, True
-            text = text[:-1] if surplus else text
-            mode = "array" if opening == "[" and not lines_only else "lines"
-            cut = _elements_of(text, state, depth) if mode == "array" else _lines_of(text, begins)
-            for number, (what, part) in enumerate(cut):
-                # the last line of a file that no block follows is a whole one
-                what = "whole" if mode == "lines" and what == "tail" and not shared else what
-                rows.append((capture, place, number, mode, what, part.decode("utf-8", "replace")))
-                weight += len(part) + 32
-                if weight > 8_000_000:
+        chunks = _chunks(batches, names)
+        for mark, text, more in chunks:
+            for row in block(mark, text, more, chunks):
+                rows.append(row)
+                weight += len(row[-1]) + 32
+                if weight > _BATCH_CHARS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows, weight = [], 0
         if rows:

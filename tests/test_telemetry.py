@@ -181,3 +181,31 @@ def test_stream_equals_batch(spark, tmp_path):
     columns = ["window_start", "execution_model", "n", "median", "min", "max", "spread"]
     key = lambda d: sorted(tuple(r) for r in d.select(*columns).collect())
     assert key(spark.table("cpu_stream")) == key(batch)
+
+
+def test_a_block_of_captures_is_never_held_whole():
+    """Lines and elements come out of a block while its later rows are still to come."""
+    import pyarrow as pa
+
+    from siteferry.sources import captures
+
+    record = b'{"executionModel":"view","note":"x", "cpuTime":1'
+    columns = {"capture": "f", "place": 0, "shared": False, "size": 10**9, "state": 0, "depth": 0, "opening": None, "surplus": None, "begins": None}
+    for first, between, last, kinds in ((b"[", b",", b"]", {"head", "whole", "end"}), (b"", b"\n", b"", {"whole"})):
+        taken = 0
+
+        def batches():
+            nonlocal taken
+            for taken in range(1, 41):
+                values = [(b"" if i else first if taken == 1 else between) + (between if i else b"") + record for i in range(10_000)]
+                yield pa.RecordBatch.from_pydict({**{n: [v] * len(values) for n, v in columns.items()}, "value": values})
+            taken = 41
+            yield pa.RecordBatch.from_pydict({**{n: [v] for n, v in columns.items()}, "value": [last or b" "]})
+
+        rows, early = 0, None
+        for batch in captures._cut(False)(batches()):
+            early = taken if early is None else early
+            assert batch.nbytes < 16_000_000
+            rows += sum(w == "whole" for w in batch.column("what").to_pylist())
+            assert set(batch.column("what").to_pylist()) <= kinds | {"fault"}
+        assert early < 20 and rows >= 399_999
