@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from siteferry.functions.batches import sliced
 from siteferry.functions.scale import BROADCAST_ROWS, broadcast_if_small
 from siteferry.functions.schema import columns
 from siteferry.functions.scan import PART_PIECES, entry_states
@@ -133,9 +134,7 @@ class Cutter:
 def _texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, bytes, bool]]:
     """Runs of lines of one block as (block columns, bytes, whether the block goes on after it)."""
     held = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for batch in sliced(batches):
         values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
         lines = batch.column(batch.schema.get_field_index("value")).to_pylist()
         start = 0
@@ -241,7 +240,7 @@ def _ends_from(cutter: Cutter, text: bytes, at: int, known: tuple[bytes, list[in
     return OUTSIDE, found
 
 
-_EMIT_BYTES = 16_000_000
+_EMIT_BYTES = 2_000_000
 
 
 class _Rows:
@@ -277,25 +276,30 @@ def _cut_whole(cutter: Cutter, most: int):
 
     def run(batches):
         out, parts, state, number, opened, fresh = _Rows(cutter, most), [], OUTSIDE, 0, False, True
-        for (dump, place, shared, entered, base), text, more in _texts(batches, ["dump_id", "place", "shared", "state", "base"]):
+        names = ["dump_id", "place", "shared", "state", "base", "ends"]
+        for (dump, place, shared, entered, base, ends), text, more in _texts(batches, names):
             if fresh:
                 state, number, parts = STATES[entered], base, []
                 # the statement a shared block begins in belongs to the block before as well
                 opened = shared and place > 0
                 fresh = False
+            # what belongs to other blocks as well is not kept: the statement a block is entered in and the one it is left in
+            beyond = opened or (shared and number == base + ends)
             at = 0
             if state != OUTSIDE:
                 at = cutter.resume(text, state)
-                if state != COMMENT:
+                if state != COMMENT and not beyond:
                     parts.append(text if at < 0 else text[:at])
             if at >= 0:
                 for kind, start, stop in cutter.walk(text, at):
                     if kind == "text":
-                        parts.append(text[start:stop])
+                        if not beyond:
+                            parts.append(text[start:stop])
                     elif kind == "end":
-                        if not opened:
+                        if not beyond:
                             out.add(dump, number, parts)
                         parts, opened, number = [], False, number + 1
+                        beyond = shared and number == base + ends
                         if out.weight > _EMIT_BYTES:
                             yield out.batch()
                     else:
@@ -367,7 +371,7 @@ def _stitch(cutter: Cutter, most: int):
 
     def run(batches):
         out = _Rows(cutter, most)
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 out.add(row["dump_id"], row["stmt_no"], [p["sql"] for p in row["pieces"]])
                 if out.weight > _EMIT_BYTES:
@@ -412,8 +416,9 @@ def read_dump(
     cutter = Cutter(dialect_of(dialect))
     lines = _lines(spark, path, per)
     if per == "file" and (not _may_split(spark, path) or lines.filter("shared").limit(1).count() == 0):
-        alone = lines.withColumn("state", F.lit(0)).withColumn("base", F.lit(0).cast("bigint"))
-        return alone.select("dump_id", "place", "shared", "state", "base", "value").mapInArrow(
+        none = F.lit(0).cast("bigint")
+        alone = lines.select("dump_id", "place", "shared", F.lit(0).alias("state"), none.alias("base"), none.alias("ends"), "value")
+        return alone.mapInArrow(
             _cut_whole(cutter, max_statement_bytes), _STATEMENT
         )
     ordered = "line" in lines.columns
@@ -438,13 +443,14 @@ def read_dump(
     if not ordered and entries.count() > BROADCAST_ROWS:
         lines, ordered = lines.withColumn("line", F.monotonically_increasing_id()), True
     back = (lambda df: _in_order(df)) if ordered else (lambda df: df)
-    known = entries.select("dump_id", "place", "state", "base")
+    known = entries.select("dump_id", "place", "state", "base", "ends")
     placed = back(lines.join(known, ["dump_id", "place"], "left")).select(
         "dump_id",
         "place",
         "shared",
         F.coalesce("state", F.lit(0)).alias("state"),
         F.coalesce("base", F.lit(0)).alias("base"),
+        F.coalesce("ends", F.lit(0)).alias("ends"),
         "value",
     )
     whole = placed.mapInArrow(_cut_whole(cutter, max_statement_bytes), _STATEMENT)

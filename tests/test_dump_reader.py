@@ -194,3 +194,35 @@ def test_bytes_that_are_no_text(spark, tmp_path, dialect, block):
     literal = f"0x{digits}" if dialect == "mysql" else f"x'{digits}'"
     assert [r.sql for r in rows] == [f"INSERT INTO t VALUES (1, {literal}, 'gr\u00fc\u00dfe')", None, "SELECT 2"]
     assert [r.fault is not None for r in rows] == [False, True, False]
+
+
+def test_a_statement_that_other_blocks_share_is_not_kept(spark):
+    """A task holds slices of a batch; of a block it keeps no more than the statement that it gives out itself."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    row = b",(1, '" + b"x" * 400 + b"')"
+    names = {"dump_id": "d", "place": 10, "shared": True, "state": 0, "base": 5, "ends": 1}
+
+    def batches():
+        for n in range(30):
+            values = [b";" if (n, i) == (15, 0) else row for i in range(2_000)]
+            yield pa.RecordBatch.from_pydict({**{k: [v] * len(values) for k, v in names.items()}, "value": values})
+
+    tracemalloc.start()
+    given = [b.num_rows for b in dump_module._cut_whole(Cutter("mysql"), 10**9)(batches())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert given == [] and peak < 8_000_000
+
+
+def test_batches_are_taken_in_slices_of_bounded_size():
+    import pyarrow as pa
+
+    from siteferry.functions.batches import sliced
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1000)), "text": ["x" * 50_000] * 1000})
+    slices = list(sliced([batch.slice(0, 0), batch]))
+    assert [n for s in slices for n in s.column("n").to_pylist()] == list(range(1000))
+    assert max(s.num_rows for s in slices) <= 20
