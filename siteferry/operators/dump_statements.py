@@ -73,10 +73,11 @@ def scan_statements(
     One row per tuple (row_no, tuple as text, its decoded values if asked for), one row with `rest` for what such a list
     holds beside whole tuples, and any other statement as it is, with `sql`. Without `split` the tuples of a statement
     are one row, joined by commas, and `tuples` counts them. A tuple ends where its parentheses are balanced outside
-    quotes; the first text that is no whole tuple ends the list.
+    quotes; the first text that is no whole tuple ends the list. Rows are counted on from `first_row`, if there is one.
     """
+    first = F.col("first_row") if "first_row" in classified.columns else F.lit(0).cast("bigint").alias("first_row")
     fault = F.col("fault") if "fault" in classified.columns else F.lit(None).cast("string").alias("fault")
-    given = classified.select("dump_id", F.col("stmt_no").cast("bigint").alias("stmt_no"), "kind", "sql", fault)
+    given = classified.select("dump_id", F.col("stmt_no").cast("bigint").alias("stmt_no"), "kind", "sql", fault, first)
     return given.mapInArrow(lambda batches: _scan(batches, Scanner(dialect), texts, values, split), _SCANNED)
 
 
@@ -341,7 +342,7 @@ def _scan(
     literals = Literals() if values else None
     chars = 0
     for batch in sliced(batches):
-        for dump, number, kind, sql, fault in zip(*[c.to_pylist() for c in batch.columns]):
+        for dump, number, kind, sql, fault, first in zip(*[c.to_pylist() for c in batch.columns]):
             head = scanner.head.match(sql) if kind == "insert" and sql is not None else None
             if head is None or scanner.is_upsert(sql):
                 rows.append((dump, number, kind, sql, fault, None, None, None, None, None, None, None))
@@ -356,7 +357,7 @@ def _scan(
                     text = sql[begin:to]
                     if split:
                         shown = text if texts else None
-                        rows.append((dump, number, kind, None, None, table, columns, before, row_no, shown, 1, None))
+                        rows.append((dump, number, kind, None, None, table, columns, before, first + row_no, shown, 1, None))
                         if values:
                             scanner.values(text, literals)
                         chars += 64 + to - begin
@@ -367,7 +368,7 @@ def _scan(
                         yield _batch(rows, literals, shape)
                         rows, literals, chars = [], Literals() if values else None, 0
                 if joined:
-                    rows.append((dump, number, kind, None, None, table, columns, before, 0, ", ".join(joined), len(joined), None))
+                    rows.append((dump, number, kind, None, None, table, columns, before, first, ", ".join(joined), len(joined), None))
                     chars += at
                 rest = scanner.rest(sql, at) if at < len(sql) else None
                 if at == start and rest is None:

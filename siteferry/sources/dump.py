@@ -10,6 +10,10 @@ of three quotes, inside a block comment.
 Dumps are bytes. What is no text in UTF-8 stands in literals, where a dump of binary columns has it: such a literal is
 rewritten as hexadecimal digits, so no byte is lost. Any other statement that is no text, or that is longer than one
 value may be, is a row with a `fault` in place of its text, and the rest of the dump is read on.
+
+A list of rows may fill a dump. Where an INSERT spans blocks, its pieces are small and carry what each depth of
+parentheses they could be entered at leads to; sums over them tell where rows end, and the list is cut there into
+statements of some rows each. A list that holds anything but whole rows before its end is left in one piece.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from siteferry.functions.batches import sliced
 from siteferry.functions.scale import BROADCAST_ROWS, broadcast_if_small
 from siteferry.functions.schema import columns
 from siteferry.functions.scan import PART_PIECES, entry_states
+from siteferry.functions.sqltext import values_head
 from siteferry.functions.text import JS_SPACE_CHARS
+from siteferry.operators.dump_statements import Scanner
 from siteferry.session import cut_lineage
 
 DIALECTS = {"mysql": "mysql", "mariadb": "mysql", "sqlite": "sqlite"}
@@ -40,6 +46,12 @@ STATES = (OUTSIDE, SINGLE, DOUBLE, BACKTICK, COMMENT)
 # One value of a row holds less than two gigabytes.
 MAX_STATEMENT_BYTES = 2_000_000_000
 
+# A list of more bytes, in a statement that spans blocks, is cut at its rows; its pieces are about an eighth of that.
+LIST_BYTES = 8_000_000
+
+# Depths of parentheses at which a piece of a list that is cut may begin.
+DEPTHS = 8
+
 
 def dialect_of(name: str) -> str:
     if name not in DIALECTS:
@@ -68,6 +80,10 @@ class Cutter:
         self.rest_of_quote = {q: re.compile(body + q, re.S) for q, body in inner.items()}
         self.literal = re.compile(rb"(?:\b_[0-9A-Za-z]+\s*)?'(" + inner[SINGLE] + rb")'|" + quoted, re.S)
         self.escape = re.compile(rb"\\(.)|''" if escaped else rb"''()", re.S)
+        # parentheses, and quoted runs to skip; the last of them may go on in the next piece
+        self.marks = re.compile(rb"[()]|" + b"|".join(q + body + rb"(?:" + q + rb"|\Z)" for q, body in inner.items()), re.S)
+        self.insert = re.compile(rb"(?i)[ \t\n\x0b\f\r]*+(?:INSERT|REPLACE)(?![0-9A-Za-z_])")
+        self.list_head = re.compile(values_head(dialect).encode())
 
     def resume(self, text: bytes, state: bytes) -> int:
         """Where an open quote or comment ends in `text`, or -1 when it does not."""
@@ -107,6 +123,27 @@ class Cutter:
                 yield mark, size, size
                 return
 
+    def head_end(self, text: bytes) -> int:
+        """Where the list of an INSERT begins, behind the word VALUES; -1 for any other text."""
+        found = self.list_head.match(text) if self.insert.match(text) else None
+        return -1 if found is None else found.end()
+
+    def row_ends(self, text: bytes, at: int, state: bytes) -> tuple[int, list[int], list[int]]:
+        """(levels gained, rows ended, end of the last row) from `at`; the lists by the depth at which the text begins."""
+        level, rows, last = 0, [0] * DEPTHS, [-1] * DEPTHS
+        if state not in (OUTSIDE, COMMENT):
+            at = self.resume(text, state)
+        for found in self.marks.finditer(text, at) if at >= 0 else ():
+            mark = text[found.start()]
+            if mark == 0x28:
+                level += 1
+            elif mark == 0x29:
+                level -= 1
+                if -DEPTHS < level <= 0:
+                    rows[-level] += 1
+                    last[-level] = found.end()
+        return level, rows, last
+
     def as_text(self, sql: bytes) -> tuple[str | None, str | None]:
         """(text, None), with literals of bytes that are no text in hexadecimal; or (None, fault)."""
         try:
@@ -187,8 +224,14 @@ def _lines(spark: SparkSession, path, per: str) -> DataFrame:
 _MAP = columns(
     "key string, place bigint, to array<int>, add array<bigint>, first array<bigint>, last array<bigint>, size bigint"
 )
-_PIECE = columns("dump_id string, stmt_no bigint, place bigint, sql binary")
-_STATEMENT = columns("dump_id string, stmt_no bigint, sql string, fault string")
+_PIECE = columns(
+    "dump_id string, stmt_no bigint, place bigint, part int, blank boolean, head int, levels int, rows array<int>, "
+    "last array<int>, size bigint, sql binary"
+)
+_STATEMENT = columns("dump_id string, stmt_no bigint, sql string, fault string, first_row bigint")
+_CHUNK = columns(
+    "dump_id string, stmt_no bigint, chunk bigint, sql string, fault string, first_row bigint, whole boolean, ended boolean"
+)
 
 
 def _map_blocks(cutter: Cutter):
@@ -257,7 +300,7 @@ class _Rows:
         else:
             text, fault = self.cutter.as_text(sql)
         if text or fault:
-            self.rows.append((dump, number, text, fault))
+            self.rows.append((dump, number, text, fault, 0))
             self.weight += len(sql)
 
     def batch(self) -> pa.RecordBatch:
@@ -314,35 +357,65 @@ def _cut_whole(cutter: Cutter, most: int):
     return run
 
 
-def _cut_shared(cutter: Cutter):
-    """Second pass: what stands in a block before its first and after its last statement end."""
+def _cut_shared(cutter: Cutter, piece_bytes: int):
+    """Second pass: what stands in a block before its first and after its last statement end, in pieces."""
 
     def run(batches):
         schema = to_arrow_schema(_PIECE)
-        done, fresh, state, head, tail = 0, True, OUTSIDE, [], []
+        done, fresh, state, rows, weight = 0, True, OUTSIDE, [], 0
+        parts, size, entered_in, part = [], 0, OUTSIDE, 0
+
+        def close(dump, number, place):
+            nonlocal parts, size, part, weight
+            text = b"".join(parts)
+            if text:
+                head = cutter.head_end(text) if entered_in in (OUTSIDE, COMMENT) else -1
+                levels, ends, last = cutter.row_ends(text, max(head, 0), entered_in)
+                found = (not text.strip(), None if head < 0 else head, levels, ends, last, len(text), text)
+                rows.append((dump, number, place, part, *found))
+                weight += len(text)
+            parts, size, part = [], 0, part + 1
+
+        def batch():
+            nonlocal rows, weight
+            values = list(zip(*rows))
+            rows, weight = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, schema)], schema=schema)
+
         for mark, text, more in _texts(batches, ["dump_id", "place", "state", "base", "ends", "first", "last"]):
             name, place, entered, base, ends, first, last = mark
             if fresh:
-                done, state, head, tail, fresh = 0, STATES[entered], [], [], False
+                done, state, part, fresh = 0, STATES[entered], 0, False
+                entered_in = state
             whole = ends == 0
-            if whole or done <= first:
+            # the first statement of a dump is whole when it ends within the first block
+            if whole or (done <= first and place > 0):
                 piece = text if whole or first >= done + len(text) else text[: first - done]
-                state = _strip(cutter, piece, state, head)
+                before = len(parts)
+                state = _strip(cutter, piece, state, parts)
+                size += sum(map(len, parts[before:]))
+                if size >= piece_bytes or (not whole and first < done + len(text)):
+                    close(name, base, place)
+                    entered_in = state
             if not whole and done + len(text) > last + 1:
                 fresh_tail = done <= last + 1
                 piece = text[last + 1 - done :] if fresh_tail else text
-                state = _strip(cutter, piece, OUTSIDE if fresh_tail else state, tail)
+                if fresh_tail:
+                    state = entered_in = OUTSIDE
+                before = len(parts)
+                state = _strip(cutter, piece, state, parts)
+                size += sum(map(len, parts[before:]))
+                if size >= piece_bytes:
+                    close(name, base + ends, place)
+                    entered_in = state
             done += len(text)
             if not more:
-                rows = []
-                # the first statement of a dump is whole when it ends within the first block
-                if place > 0 or whole:
-                    rows.append((name, base, place, b"".join(head)))
-                if not whole:
-                    rows.append((name, base + ends, place, b"".join(tail)))
-                values = list(zip(*[r for r in rows if r[3]])) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, schema)], schema=schema)
+                close(name, base + ends, place)
                 fresh = True
+            if weight > _EMIT_BYTES:
+                yield batch()
+        if rows:
+            yield batch()
 
     return run
 
@@ -382,6 +455,117 @@ def _stitch(cutter: Cutter, most: int):
     return run
 
 
+def _cut_lists(cutter: Cutter, most: int):
+    """Chunks of lists, whose parts follow each other, as statements of their own.
+
+    Beside each stands whether it is whole rows, or whole rows up to where the list ended.
+    """
+
+    def run(batches):
+        schema = to_arrow_schema(_CHUNK)
+        scanner = Scanner(cutter.dialect)
+        out, weight, mark, first_row, parts, rows = [], 0, None, 0, [], 0
+
+        def close():
+            nonlocal weight
+            dump, number, chunk, head = mark
+            sql = b"".join(parts)
+            if chunk > 0:
+                sql = head + b" " + sql.lstrip(b" \t\n\x0b\f\r").removeprefix(b",")
+            text = None if len(sql) > most else cutter.as_text(sql)[0]
+            whole, ended = False, False
+            found = scanner.head.match(text) if text else None
+            if found is not None and not scanner.is_upsert(text):
+                at, count = found.end(), 0
+                for _, at in scanner.tuples(text, at):
+                    count += 1
+                ended = scanner.rest(text, at) is not None
+                whole = count == rows
+                if count == 0 and not ended and chunk > 0:
+                    text = None
+            out.append((dump, number, chunk, text if whole else None, None, first_row, whole, ended))
+            weight += len(sql)
+
+        def batch():
+            nonlocal out, weight
+            arrays = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
+            out, weight = [], 0
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        for given in sliced(batches):
+            for *now, first, ended_rows, sql in zip(*[c.to_pylist() for c in given.columns]):
+                if now != mark:
+                    if mark is not None:
+                        close()
+                    mark, first_row, parts, rows = now, first, [], 0
+                    if weight > _EMIT_BYTES:
+                        yield batch()
+                parts.append(sql)
+                rows += ended_rows
+        if mark is not None:
+            close()
+            yield batch()
+
+    return run
+
+
+def _in_chunks(cutter: Cutter, pieces: DataFrame, list_bytes: int, most: int, limit: int | None) -> DataFrame | None:
+    """The chunks of the lists among the statements that are longer than `list_bytes`, if of whole rows throughout.
+
+    `limit` is the length beyond which a statement is refused, cut or not.
+    """
+    at, order = ["dump_id", "stmt_no"], ["place", "part"]
+    long = pieces.groupBy(*at).agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") > list_bytes)
+    if limit is not None:
+        long = long.filter(F.col("_bytes") <= limit)
+    long = broadcast_if_small(long.select(*at))
+    if long.isEmpty():
+        return None
+    along = Window.partitionBy(*at).orderBy(*order)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("bigint"))
+    known = (
+        pieces.drop("sql").join(long, at, "left_semi")
+        .withColumn("depth", sums("levels"))
+        .withColumn("begins", ~F.col("blank") & ~F.coalesce(F.max(~F.col("blank")).over(before), F.lit(False)))
+        .withColumn("known", F.col("depth").between(0, DEPTHS - 1))
+        .withColumn("n", F.when(F.col("known"), F.get("rows", F.col("depth").cast("int"))).otherwise(0))
+        .withColumn("end", F.when(F.col("n") > 0, F.get("last", F.col("depth").cast("int"))))
+        .withColumn("chunk", sums((F.col("n") > 0).cast("int")))
+        .withColumn("first_row", sums("n"))
+    )
+    placed = cut_lineage(known.select(*at, *order, "begins", "head", "known", "n", "end", "chunk", "first_row"))
+    lists = placed.groupBy(*at).agg(
+        F.min("known").alias("known"), F.max(F.when(F.col("begins"), F.col("head"))).alias("head")
+    ).filter("known and head is not null").select(*at)
+    lists = broadcast_if_small(lists)
+    heads = pieces.join(placed.filter("begins").select(*at, *order), [*at, *order], "left_semi")
+    heads = heads.select(*at, F.substring("sql", F.lit(1), F.col("head")).alias("head_text"))
+    none = F.lit(0).cast("bigint")
+    slice_ = lambda chunk, row, half, rows, sql: F.struct(
+        chunk.alias("chunk"), row.alias("first_row"), F.lit(half).alias("half"), rows.cast("bigint").alias("rows"), sql.alias("sql")
+    )
+    head_part = F.substring("sql", F.lit(1), F.col("end"))
+    tail_part = F.substring("sql", F.col("end") + 1, F.col("size").cast("int"))
+    halves = F.when(F.col("end").isNotNull(), F.array(
+        slice_(F.col("chunk"), F.col("first_row"), 0, F.col("n"), head_part),
+        slice_(F.col("chunk") + 1, F.col("first_row") + F.col("n"), 1, none, tail_part),
+    )).otherwise(F.array(slice_(F.col("chunk"), F.col("first_row"), 0, none, F.col("sql"))))
+    cut = (
+        pieces.select(*at, *order, "size", "sql")
+        .join(placed.join(lists, at, "left_semi").drop("begins", "head", "known"), [*at, *order])
+        .select(*at, *order, F.inline(halves))
+    )
+    parts = cut.join(broadcast_if_small(heads), at).repartition(*at, "chunk").sortWithinPartitions(*at, "chunk", *order, "half")
+    parts = parts.select(*at, "chunk", "head_text", "first_row", "rows", "sql")
+    made = cut_lineage(parts.mapInArrow(_cut_lists(cutter, most), _CHUNK))
+    # what is no whole row ends a list, so it may stand in the last chunk alone
+    odd = made.groupBy(*at).agg(
+        F.min("whole").alias("whole"), F.min(F.when(F.col("ended"), F.col("chunk"))).alias("ended"), F.max("chunk").alias("chunk")
+    ).filter("not whole or ended < chunk").select(*at)
+    return made.join(broadcast_if_small(odd), at, "left_anti")
+
+
 def _size_of(spark: SparkSession, key: str) -> int:
     number, unit = re.match(r"(\d+)\s*([a-z]?)", spark.conf.get(key).lower()).groups()
     return int(number) * 1024 ** "bkmgtp".index(unit or "b")
@@ -400,27 +584,34 @@ def read_dump(
     path,
     dialect: str = "mysql",
     per: str = "file",
-    max_statement_bytes: int = MAX_STATEMENT_BYTES,
+    max_statement_bytes: int | None = None,
     part_pieces: int = PART_PIECES,
+    list_bytes: int = LIST_BYTES,
 ) -> DataFrame:
-    """(dump_id, stmt_no, sql, fault): every statement of the dumps below `path`.
+    """(dump_id, stmt_no, sql, fault, first_row): every statement of the dumps below `path`.
 
     `per` is "file" for one dump per file, or "folder" for one dump per folder, whose files follow each other by name: a
     statement, quote or comment may begin in one file and end in another. `;` inside quotes does not split; `--`, `#`
     and block comments vanish; the last statement needs no `;`; an open quote or comment runs to the end. Statement
     numbers grow along a dump and may have gaps, since empty statements are dropped. A statement longer than
     `max_statement_bytes`, as after a quote left open, and one whose bytes are no text have a fault and no sql.
+
+    An INSERT that spans blocks and whose list is longer than `list_bytes` has several rows of one `stmt_no`, each a
+    statement with some of the list's rows; `first_row` counts the rows before them and is 0 elsewhere. Without
+    `max_statement_bytes` only what is one value is held to two gigabytes, so such a list may have any length.
     """
     if per not in ("file", "folder"):
         raise ValueError(f"per is {per}; expected file or folder")
     cutter = Cutter(dialect_of(dialect))
+    most = MAX_STATEMENT_BYTES if max_statement_bytes is None else max_statement_bytes
     lines = _lines(spark, path, per)
     if per == "file" and (not _may_split(spark, path) or lines.filter("shared").limit(1).count() == 0):
         none = F.lit(0).cast("bigint")
         alone = lines.select("dump_id", "place", "shared", F.lit(0).alias("state"), none.alias("base"), none.alias("ends"), "value")
         return alone.mapInArrow(
-            _cut_whole(cutter, max_statement_bytes), _STATEMENT
+            _cut_whole(cutter, most), _STATEMENT
         )
+    at, none = ["dump_id", "stmt_no"], F.lit(0).cast("bigint")
     ordered = "line" in lines.columns
     blocks = _in_order(lines) if ordered else lines
     shared = blocks.filter("shared")
@@ -437,7 +628,7 @@ def read_dump(
         entries.filter("ends = 0")
         .groupBy("dump_id", F.col("base").alias("stmt_no"))
         .agg(F.sum("size").alias("_bytes"))
-        .filter(F.col("_bytes") > max_statement_bytes)
+        .filter(F.col("_bytes") > most)
         .drop("_bytes")
     )
     if not ordered and entries.count() > BROADCAST_ROWS:
@@ -453,21 +644,29 @@ def read_dump(
         F.coalesce("ends", F.lit(0)).alias("ends"),
         "value",
     )
-    whole = placed.mapInArrow(_cut_whole(cutter, max_statement_bytes), _STATEMENT)
+    whole = placed.mapInArrow(_cut_whole(cutter, most), _STATEMENT)
     pieces = back(lines.filter("shared").join(entries, ["dump_id", "place"])).select(
         "dump_id", "place", "state", "base", "ends", "first", "last", "value"
     )
+    pieces = pieces.mapInArrow(_cut_shared(cutter, max(1, list_bytes // 8)), _PIECE)
+    if max_statement_bytes is not None:
+        pieces = pieces.join(endless, at, "left_anti")
+    pieces = cut_lineage(pieces)
+    chunks = _in_chunks(cutter, pieces, list_bytes, most, max_statement_bytes)
+    if chunks is not None:
+        in_chunks = broadcast_if_small(chunks.select(*at).distinct())
+        pieces, endless = pieces.join(in_chunks, at, "left_anti"), endless.join(in_chunks, at, "left_anti")
     joined = (
-        pieces.mapInArrow(_cut_shared(cutter), _PIECE)
-        .join(endless, ["dump_id", "stmt_no"], "left_anti")
-        .groupBy("dump_id", "stmt_no")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "sql"))).alias("pieces"))
+        pieces.join(endless, at, "left_anti")
+        .groupBy(*at)
+        .agg(F.array_sort(F.collect_list(F.struct("place", "part", "sql"))).alias("pieces"))
     )
-    stitched = joined.mapInArrow(_stitch(cutter, max_statement_bytes), _STATEMENT)
+    stitched = joined.mapInArrow(_stitch(cutter, most), _STATEMENT)
     refused = endless.select(
-        "dump_id", "stmt_no", F.lit(None).cast("string").alias("sql"), F.lit(_too_long(max_statement_bytes)).alias("fault")
+        *at, F.lit(None).cast("string").alias("sql"), F.lit(_too_long(most)).alias("fault"), none.alias("first_row")
     )
-    return whole.unionByName(stitched).unionByName(refused)
+    found = whole.unionByName(stitched).unionByName(refused)
+    return found if chunks is None else found.unionByName(chunks.filter("sql is not null").select(*_STATEMENT.names))
 
 
 def _in_order(lines: DataFrame) -> DataFrame:

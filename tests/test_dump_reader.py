@@ -226,3 +226,71 @@ def test_batches_are_taken_in_slices_of_bounded_size():
     slices = list(sliced([batch.slice(0, 0), batch]))
     assert [n for s in slices for n in s.column("n").to_pylist()] == list(range(1000))
     assert max(s.num_rows for s in slices) <= 20
+
+
+LONG = ",\n".join(f"({i}, 'it''s); {i}\n ( ', (1 + ({i}\n)), NULL)" for i in range(120))
+LISTS = {
+    "rows.sql": (f"SELECT 1;\nINSERT INTO `a,b` (`x`, `y`) VALUES {LONG};\nSELECT 2", True),
+    "late.sql": ("-- x" * 90 + f";\n\n/* (\n */ REPLACE INTO t VALUES\n\n{LONG} /* ( */\n ;\n", True),
+    "cut.sql": (f"INSERT INTO t VALUES {LONG}, (7, 'left\nopen", True),
+    "after.sql": (f"INSERT INTO t VALUES {LONG}\n AS new", True),
+    "upsert.sql": (f"INSERT INTO t VALUES {LONG}\nON DUPLICATE KEY UPDATE `x` = VALUES(`x`)", False),
+    "gap.sql": (f"INSERT INTO t VALUES {LONG},\n,{LONG}", False),
+    "select.sql": (f"INSERT INTO t SELECT * FROM u WHERE (a) IN ({LONG})", False),
+    "deep.sql": ("INSERT INTO t VALUES " + "(" * 40 + "\n" * 2000 + ")" * 40 + f",\n{LONG}", False),
+    "wide.sql": ("INSERT INTO t VALUES (1, '" + "wide;\n" * 400 + f"'),\n{LONG}", True),
+}
+
+
+def test_a_long_list_is_cut_at_its_rows(spark, tmp_path):
+    """What is read from a list in parts is what is read from it as one value; only what is odd stays one value."""
+    from pyspark.sql import functions as F
+
+    from siteferry.operators import dump_statements
+    from siteferry.operators.dump_convert import convert
+
+    for name, (text, _) in LISTS.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "raw.sql").write_bytes(b"INSERT INTO t VALUES\n" + b",\n".join(b"(%d, '\xff\xfe;')" % i for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1200")
+    try:
+        read = [read_dump(spark, str(tmp_path), "mysql", list_bytes=b) for b in (2500, 10**9)]
+        parts, whole = (dump_statements.classify(df).coalesce(2).localCheckpoint() for df in read)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    inserts = [[r for r in df.collect() if r.kind == "insert"] for df in (parts, whole)]
+    for n, cut in [*((n, cut) for n, (_, cut) in LISTS.items()), ("raw.sql", True)]:
+        mine, wanted = ([r for r in rows if r.dump_id.endswith("/" + n)] for rows in inserts)
+        assert len(wanted) == 1 and (len(mine) > 2) == cut, n
+        if not cut:
+            assert mine == wanted, n
+    assert max(len(r.sql) for r in inserts[0] if r.dump_id.endswith("/rows.sql")) < 3000
+    outs = []
+    for df in (parts, whole):
+        lite = convert(df.drop("kind"), "mysql", "sqlite")
+        tables = (
+            dump_statements.insert_values(df, "mysql"), dump_statements.tail_refusals(df, "mysql"),
+            dump_statements.statement_refusals(df, "mysql"), lite.emitted, lite.refusals, lite.summary,
+        )
+        outs.append([sorted(map(repr, t.collect())) for t in tables])
+    for mine, wanted in zip(*outs):
+        assert mine == wanted
+    assert len(outs[0][0]) > 900 and len(outs[0][1]) >= 3
+    joined = convert(parts.withColumn("sql", F.translate("sql", "`", '"')).drop("kind"), "sqlite", "mysql").emitted
+    numbers = joined.filter(F.col("dump_id").endswith("/rows.sql") & (F.col("kind") == "row")).select("part_no", "tuples")
+    numbers = sorted((r.part_no, r.tuples) for r in numbers.collect())
+    assert len(numbers) > 2 and numbers[-1][0] + numbers[-1][1] == 120
+    assert all(a + n == b for (a, n), (b, _) in zip(numbers, numbers[1:]))
+
+
+def test_a_list_in_parts_may_be_longer_than_one_value_may_be(spark, tmp_path, monkeypatch):
+    (tmp_path / "d.sql").write_text(LISTS["rows.sql"][0] + "\n'" + "x\n" * 4000)
+    monkeypatch.setattr(dump_module, "MAX_STATEMENT_BYTES", 3000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1200")
+    try:
+        rows = read_dump(spark, str(tmp_path), "mysql", list_bytes=2500).collect()
+        held = read_dump(spark, str(tmp_path), "mysql", list_bytes=2500, max_statement_bytes=3000).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted({r.stmt_no for r in rows if r.fault is None}) == [0, 1] and sum(r.fault is not None for r in rows) == 1
+    assert sorted(r.fault is None for r in held) == [False, False, True]
