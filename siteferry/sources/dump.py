@@ -13,7 +13,8 @@ value may be, is a row with a `fault` in place of its text, and the rest of the
 
 A list of rows may fill a dump. Where an INSERT spans blocks, its pieces are small and carry what each depth of
 parentheses they could be entered at leads to; sums over them tell where rows end, and the list is cut there into
-statements of some rows each. A list that holds anything but whole rows before its end is left in one piece.
+statements of some rows each. A long list within one block is cut in the task that reads it.
+A list that holds anything but whole rows before its end is left in one piece.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ STATES = (OUTSIDE, SINGLE, DOUBLE, BACKTICK, COMMENT)
 # One value of a row holds less than two gigabytes.
 MAX_STATEMENT_BYTES = 2_000_000_000
 
-# A list of more bytes, in a statement that spans blocks, is cut at its rows; its pieces are about an eighth of that.
+# A list of more bytes is cut at its rows; its pieces are about an eighth of that.
 LIST_BYTES = 8_000_000
 
 # Depths of parentheses at which a piece of a list that is cut may begin.
@@ -293,6 +294,21 @@ class _Rows:
         self.cutter, self.most = cutter, most
         self.rows, self.weight = [], 0
 
+    def add_in_chunks(self, dump: str, number: int, parts: list[bytes], list_bytes: int) -> Iterator[pa.RecordBatch]:
+        """Adds a statement, a long list as several ones; gives out batches that are full meanwhile."""
+        if list_bytes < sum(map(len, parts)) <= self.most:
+            scanner = Scanner(self.cutter.dialect)
+            chunks, parts = _list_chunks(self.cutter, scanner, parts, max(1, list_bytes // 8), self.most)
+            for i, (first_row, sql) in enumerate(chunks):
+                text = _read_chunk(self.cutter, scanner, chunks[0][1] if i else None, sql, self.most)[0]
+                self.rows.append((dump, number, text, None, first_row))
+                self.weight += len(sql)
+                if self.weight > _EMIT_BYTES:
+                    yield self.batch()
+            if chunks:
+                return
+        self.add(dump, number, parts)
+
     def add(self, dump: str, number: int, parts: list[bytes]) -> None:
         sql = b"".join(parts)
         if len(sql) > self.most:
@@ -310,11 +326,61 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(values, schema)], schema=schema)
 
 
+def _read_chunk(
+    cutter: Cutter, scanner: Scanner, first: bytes | None, sql: bytes, most: int
+) -> tuple[str | None, int, bool]:
+    """(text, whole rows, whether anything follows them) of a chunk, with the head of the list's `first` chunk before it.
+
+    The text is none where the chunk cannot stand alone, as with a clause that goes for the whole list.
+    """
+    if first is not None:
+        sql = first[: cutter.head_end(first)] + b" " + sql.lstrip(b" \t\n\x0b\f\r").removeprefix(b",")
+    text = None if len(sql) > most else cutter.as_text(sql)[0]
+    found = scanner.head.match(text) if text else None
+    if found is None or scanner.is_upsert(text):
+        return None, 0, False
+    at, count = found.end(), 0
+    for _, at in scanner.tuples(text, at):
+        count += 1
+    return text, count, scanner.rest(text, at) is not None
+
+
+def _list_chunks(
+    cutter: Cutter, scanner: Scanner, parts: list[bytes], piece_bytes: int, most: int
+) -> tuple[list[tuple[int, bytes]], list[bytes]]:
+    """(rows before, bytes) of the chunks of a list in one block; none, and its parts, if it is not of whole rows."""
+    todo, chunks, held, rows_before = parts[::-1], [], b"", 0
+    parts.clear()
+    while todo:
+        taken, size, wanted = [held], len(held), max(piece_bytes, 2 * len(held))
+        while todo and size < wanted:
+            taken.append(todo.pop())
+            size += len(taken[-1])
+        held = b"".join(taken)
+        begin = 0 if chunks else cutter.head_end(held)
+        if begin < 0:
+            break
+        _, rows, last = cutter.row_ends(held, begin, OUTSIDE)
+        if rows[0]:
+            sql, held = held[: last[0]], held[last[0] :]
+            first = chunks[0][1] if chunks else None
+            chunks.append((rows_before, sql))
+            if _read_chunk(cutter, scanner, first, sql, most)[1:] != (rows[0], False):
+                break
+            rows_before += rows[0]
+    else:
+        if chunks:
+            text, count, ended = _read_chunk(cutter, scanner, chunks[0][1], held, most)
+            if text is not None and count == 0:
+                return [*chunks, *([(rows_before, held)] if ended else [])], []
+    return [], [*(sql for _, sql in chunks), held, *reversed(todo)]
+
+
 def _too_long(most: int) -> str:
     return f"a statement of more than {most} bytes; a quote or a comment may be left open"
 
 
-def _cut_whole(cutter: Cutter, most: int):
+def _cut_whole(cutter: Cutter, most: int, list_bytes: int = LIST_BYTES):
     """Second pass: the statements that lie within one block."""
 
     def run(batches):
@@ -340,7 +406,7 @@ def _cut_whole(cutter: Cutter, most: int):
                             parts.append(text[start:stop])
                     elif kind == "end":
                         if not beyond:
-                            out.add(dump, number, parts)
+                            yield from out.add_in_chunks(dump, number, parts, list_bytes)
                         parts, opened, number = [], False, number + 1
                         beyond = shared and number == base + ends
                         if out.weight > _EMIT_BYTES:
@@ -349,7 +415,7 @@ def _cut_whole(cutter: Cutter, most: int):
                         state = kind
             if not more:
                 if not shared:
-                    out.add(dump, number, parts)
+                    yield from out.add_in_chunks(dump, number, parts, list_bytes)
                 fresh = True
         if out.rows:
             yield out.batch()
@@ -470,19 +536,10 @@ def _cut_lists(cutter: Cutter, most: int):
             nonlocal weight
             dump, number, chunk, head = mark
             sql = b"".join(parts)
-            if chunk > 0:
-                sql = head + b" " + sql.lstrip(b" \t\n\x0b\f\r").removeprefix(b",")
-            text = None if len(sql) > most else cutter.as_text(sql)[0]
-            whole, ended = False, False
-            found = scanner.head.match(text) if text else None
-            if found is not None and not scanner.is_upsert(text):
-                at, count = found.end(), 0
-                for _, at in scanner.tuples(text, at):
-                    count += 1
-                ended = scanner.rest(text, at) is not None
-                whole = count == rows
-                if count == 0 and not ended and chunk > 0:
-                    text = None
+            text, count, ended = _read_chunk(cutter, scanner, head if chunk > 0 else None, sql, most)
+            whole = text is not None and count == rows
+            if count == 0 and not ended and chunk > 0:
+                text = None
             out.append((dump, number, chunk, text if whole else None, None, first_row, whole, ended))
             weight += len(sql)
 
@@ -596,9 +653,9 @@ def read_dump(
     numbers grow along a dump and may have gaps, since empty statements are dropped. A statement longer than
     `max_statement_bytes`, as after a quote left open, and one whose bytes are no text have a fault and no sql.
 
-    An INSERT that spans blocks and whose list is longer than `list_bytes` has several rows of one `stmt_no`, each a
+    An INSERT whose list is longer than `list_bytes` has several rows of one `stmt_no`, each a
     statement with some of the list's rows; `first_row` counts the rows before them and is 0 elsewhere. Without
-    `max_statement_bytes` only what is one value is held to two gigabytes, so such a list may have any length.
+    `max_statement_bytes` only what is one value is held to two gigabytes, so such a list that spans blocks may have any length.
     """
     if per not in ("file", "folder"):
         raise ValueError(f"per is {per}; expected file or folder")
@@ -609,7 +666,7 @@ def read_dump(
         none = F.lit(0).cast("bigint")
         alone = lines.select("dump_id", "place", "shared", F.lit(0).alias("state"), none.alias("base"), none.alias("ends"), "value")
         return alone.mapInArrow(
-            _cut_whole(cutter, most), _STATEMENT
+            _cut_whole(cutter, most, list_bytes), _STATEMENT
         )
     at, none = ["dump_id", "stmt_no"], F.lit(0).cast("bigint")
     ordered = "line" in lines.columns
@@ -644,7 +701,7 @@ def read_dump(
         F.coalesce("ends", F.lit(0)).alias("ends"),
         "value",
     )
-    whole = placed.mapInArrow(_cut_whole(cutter, most), _STATEMENT)
+    whole = placed.mapInArrow(_cut_whole(cutter, most, list_bytes), _STATEMENT)
     pieces = back(lines.filter("shared").join(entries, ["dump_id", "place"])).select(
         "dump_id", "place", "state", "base", "ends", "first", "last", "value"
     )
