@@ -8,7 +8,7 @@ from siteferry.functions.scale import fill_cores
 from siteferry.operators import dump_catalog, dump_convert, dump_statements
 from siteferry.plans.inputs import derive, folders, plain, table
 from siteferry.session import staging_path
-from siteferry.sources.dump import read_dump
+from siteferry.sources.dump import LIST_BYTES, read_dump
 
 
 def _written(df, name, dialect):
@@ -90,7 +90,7 @@ UNION ALL SELECT DISTINCT source, 1000000000001, 'of rows; */ CREATE INDEX "by_l
 
 def _file_dump(spark, sf_dir):
     path = folders(derive(spark, sf_dir, FILE_LINES), "documents")
-    return read_dump(spark, path, "sqlite", per="folder")
+    return read_dump(spark, path, "sqlite", per="folder", list_bytes=LIST_BYTES)
 
 
 def _dump_files(spark, sf_dir):
