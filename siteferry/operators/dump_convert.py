@@ -83,7 +83,8 @@ def convert(
     the ceiling off. What is not converted becomes a refusal row; `assert_none` makes that strict.
 
     The dump is read, classified and cut once, here: statements, rendered rows and what is left over are written to the
-    shared folder, and every frame of the result reads them there.
+    shared folder, and every frame of the result reads them there. So are the items of the definitions, their columns and
+    their keys, which the frames name many times over.
     """
     from_, to = dialect_of(from_), dialect_of(to)
     if from_ == to:
@@ -107,9 +108,9 @@ def convert(
         "dump_id", "stmt_no", F.col("row_no").alias("part_no"), F.lit("row").alias("kind"), "table",
         F.col("rendered").alias("sql"), "tuples",
     )
-    items_ = catalog.table_items(classified, from_)
-    mapped = catalog.map_types(catalog.schema_catalog(items_), from_, to)
-    keys = catalog.key_catalog(items_, classified, from_)
+    items_ = cut_lineage(catalog.table_items(classified, from_))
+    mapped = cut_lineage(catalog.map_types(catalog.schema_catalog(items_), from_, to))
+    keys = cut_lineage(catalog.key_catalog(items_, classified, from_))
     drops = classified.filter(F.col("kind") == "drop").select(
         "dump_id",
         "stmt_no",

@@ -295,7 +295,7 @@ FROM {part}"""
 
 
 def _lite(spark, sf_dir):
-    made = derive(spark, sf_dir, LITE).withColumn("sql", F.translate("sql", "~|", "'\\"))
+    made = derive(spark, sf_dir, LITE, heavy=True).withColumn("sql", F.translate("sql", "~|", "'\\"))
     return dump_convert.convert(made, "sqlite", "mysql")
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siteferry.functions.sqltext import decode_string, encode_string, rewrite
+from siteferry.functions.sqltext import NAME, decode_string, encode_string, rewrite
 from siteferry.operators import dump_catalog as catalog
 from siteferry.operators import dump_convert, dump_statements
 from siteferry.sources.dump import read_dump
@@ -361,3 +361,14 @@ def test_dumps_of_one_base_name_stay_apart(spark, tmp_path):
     dump_convert.write_dump(emitted, str(tmp_path / "out"))
     folders = sorted(p.name for p in (tmp_path / "out" / "2-rows").iterdir() if p.is_dir())
     assert len(folders) == 2 and all(f.startswith("dump=dump.sql-") for f in folders)
+
+
+def test_definitions_are_taken_apart_once(spark):
+    """The frames of a conversion read items, columns and keys as staged, and none cuts the statements into tokens again."""
+    sql = "CREATE TABLE `a` (`id` int, `name` text, PRIMARY KEY (`id`), UNIQUE KEY (`name`))"
+    dump = spark.createDataFrame([("d", 0, sql)], "dump_id string, stmt_no long, sql string")
+    for from_, to, count in (("mysql", "sqlite", 2), ("sqlite", "mysql", 3)):
+        done = dump_convert.convert(dump if from_ == "mysql" else dump.withColumn("sql", F.translate("sql", "`", '"')), from_, to)
+        for frame in (done.emitted, done.lossy):
+            assert NAME not in frame._jdf.queryExecution().optimizedPlan().toString()
+        assert done.emitted.count() == count
