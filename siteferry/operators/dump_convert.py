@@ -76,6 +76,7 @@ def convert(
     split_rows: bool | None = None,
     limit: int | None = None,
     unit: str = "chars",
+    stage_definitions: bool = True,
 ) -> Conversion:
     """Converts statements (dump_id, stmt_no, sql) between `mysql` and `sqlite`.
 
@@ -84,7 +85,8 @@ def convert(
 
     The dump is read, classified and cut once, here: statements, rendered rows and what is left over are written to the
     shared folder, and every frame of the result reads them there. So are the items of the definitions, their columns and
-    their keys, which the frames name many times over.
+    their keys, which the frames name many times over; with `stage_definitions` off they are worked out wherever a frame
+    needs them, which is right for one who takes the rows alone.
     """
     from_, to = dialect_of(from_), dialect_of(to)
     if from_ == to:
@@ -108,9 +110,10 @@ def convert(
         "dump_id", "stmt_no", F.col("row_no").alias("part_no"), F.lit("row").alias("kind"), "table",
         F.col("rendered").alias("sql"), "tuples",
     )
-    items_ = cut_lineage(catalog.table_items(classified, from_))
-    mapped = cut_lineage(catalog.map_types(catalog.schema_catalog(items_), from_, to))
-    keys = cut_lineage(catalog.key_catalog(items_, classified, from_))
+    stage = cut_lineage if stage_definitions else lambda df: df
+    items_ = stage(catalog.table_items(classified, from_))
+    mapped = stage(catalog.map_types(catalog.schema_catalog(items_), from_, to))
+    keys = stage(catalog.key_catalog(items_, classified, from_))
     drops = classified.filter(F.col("kind") == "drop").select(
         "dump_id",
         "stmt_no",

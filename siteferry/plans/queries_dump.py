@@ -268,8 +268,8 @@ def _key_catalog(spark, sf_dir):
     )
 
 
-def _conversion(spark, sf_dir):
-    return dump_convert.convert(_statements(spark, sf_dir), "mysql", "sqlite")
+def _conversion(spark, sf_dir, **options):
+    return dump_convert.convert(_statements(spark, sf_dir), "mysql", "sqlite", **options)
 
 
 def _render_ddl(spark, sf_dir):
@@ -278,7 +278,7 @@ def _render_ddl(spark, sf_dir):
 
 
 def _render_values(spark, sf_dir):
-    rows = _conversion(spark, sf_dir).emitted.filter(F.col("kind") == "row")
+    rows = _conversion(spark, sf_dir, stage_definitions=False).emitted.filter(F.col("kind") == "row")
     return rows.select("dump_id", "stmt_no", F.col("part_no").cast("bigint").alias("part_no"), "sql")
 
 
@@ -294,9 +294,9 @@ SELECT concat('d', p_size % 5) AS dump_id, p_partkey AS stmt_no, CASE p_partkey
 FROM {part}"""
 
 
-def _lite(spark, sf_dir):
+def _lite(spark, sf_dir, **options):
     made = derive(spark, sf_dir, LITE, heavy=True).withColumn("sql", F.translate("sql", "~|", "'\\"))
-    return dump_convert.convert(made, "sqlite", "mysql")
+    return dump_convert.convert(made, "sqlite", "mysql", **options)
 
 
 def _render_ddl_mysql(spark, sf_dir):
@@ -305,7 +305,7 @@ def _render_ddl_mysql(spark, sf_dir):
 
 
 def _render_values_mysql(spark, sf_dir):
-    rows = _lite(spark, sf_dir).emitted.filter("kind = 'row'")
+    rows = _lite(spark, sf_dir, stage_definitions=False).emitted.filter("kind = 'row'")
     return rows.select("dump_id", "stmt_no", F.col("part_no").cast("bigint").alias("part_no"), "tuples", "sql")
 
 
