@@ -7,7 +7,9 @@ import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -338,52 +340,203 @@ def _scan(
     batches: Iterator[pa.RecordBatch], scanner: Scanner, texts: bool, values: bool, split: bool
 ) -> Iterator[pa.RecordBatch]:
     shape = to_arrow_schema(_SCANNED)
+    for part in sliced(batches):
+        plain = _plain_rows(part, scanner, texts, values, shape) if split else None
+        if plain is None:
+            yield from (found for found, _ in _scan_each(part, scanner, texts, values, split, shape))
+        elif plain[2].all():
+            yield plain[0]
+        else:
+            # both kinds in the order of their statements
+            rows, owners, good = plain
+            left = np.flatnonzero(~good)
+            others = list(_scan_each(part.take(pa.array(left)), scanner, texts, values, split, shape))
+            order = np.argsort(np.concatenate([owners, *(left[o] for _, o in others)]), kind="stable")
+            whole = pa.Table.from_batches([rows, *(found for found, _ in others)]).take(pa.array(order))
+            yield from whole.combine_chunks().to_batches()
+
+
+def _scan_each(
+    part: pa.RecordBatch, scanner: Scanner, texts: bool, values: bool, split: bool, shape: pa.Schema
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of any statements, one by one, and the place in `part` of the statement of each row."""
     rows: list[tuple] = []
+    owners: list[int] = []
     literals = Literals() if values else None
     chars = 0
-    for batch in sliced(batches):
-        for dump, number, kind, sql, fault, first in zip(*[c.to_pylist() for c in batch.columns]):
-            head = scanner.head.match(sql) if kind == "insert" and sql is not None else None
-            if head is None or scanner.is_upsert(sql):
-                rows.append((dump, number, kind, sql, fault, None, None, None, None, None, None, None))
-                if values:
+    for place, (dump, number, kind, sql, fault, first) in enumerate(zip(*[c.to_pylist() for c in part.columns])):
+        head = scanner.head.match(sql) if kind == "insert" and sql is not None else None
+        if head is None or scanner.is_upsert(sql):
+            rows.append((dump, number, kind, sql, fault, None, None, None, None, None, None, None))
+            if values:
+                literals.end(missing=True)
+            chars += 64 + len(sql or "")
+        else:
+            before, table, columns = scanner.read_head(head[0])
+            start = at = head.end()
+            row_no, joined = 0, []
+            for begin, to in scanner.tuples(sql, at):
+                text = sql[begin:to]
+                if split:
+                    shown = text if texts else None
+                    rows.append((dump, number, kind, None, None, table, columns, before, first + row_no, shown, 1, None))
+                    if values:
+                        scanner.values(text, literals)
+                    chars += 64 + to - begin
+                else:
+                    joined.append(text)
+                row_no, at = row_no + 1, to
+                if chars > _BATCH_CHARS:
+                    owners += [place] * (len(rows) - len(owners))
+                    yield _batch(rows, literals, shape), np.array(owners)
+                    rows, owners, literals, chars = [], [], Literals() if values else None, 0
+            if joined:
+                rows.append((dump, number, kind, None, None, table, columns, before, first, ", ".join(joined), len(joined), None))
+                chars += at
+            rest = scanner.rest(sql, at) if at < len(sql) else None
+            if at == start and rest is None:
+                rest = ""
+            if rest is not None:
+                rows.append((dump, number, kind, None, None, table, columns, before, None, None, None, rest))
+                chars += len(rest)
+            if values:
+                for _ in range(bool(joined) + (rest is not None)):
                     literals.end(missing=True)
-                chars += 64 + len(sql or "")
-            else:
-                before, table, columns = scanner.read_head(head[0])
-                start = at = head.end()
-                row_no, joined = 0, []
-                for begin, to in scanner.tuples(sql, at):
-                    text = sql[begin:to]
-                    if split:
-                        shown = text if texts else None
-                        rows.append((dump, number, kind, None, None, table, columns, before, first + row_no, shown, 1, None))
-                        if values:
-                            scanner.values(text, literals)
-                        chars += 64 + to - begin
-                    else:
-                        joined.append(text)
-                    row_no, at = row_no + 1, to
-                    if chars > _BATCH_CHARS:
-                        yield _batch(rows, literals, shape)
-                        rows, literals, chars = [], Literals() if values else None, 0
-                if joined:
-                    rows.append((dump, number, kind, None, None, table, columns, before, first, ", ".join(joined), len(joined), None))
-                    chars += at
-                rest = scanner.rest(sql, at) if at < len(sql) else None
-                if at == start and rest is None:
-                    rest = ""
-                if rest is not None:
-                    rows.append((dump, number, kind, None, None, table, columns, before, None, None, None, rest))
-                    chars += len(rest)
-                if values:
-                    for _ in range(bool(joined) + (rest is not None)):
-                        literals.end(missing=True)
-            if chars > _BATCH_CHARS:
-                yield _batch(rows, literals, shape)
-                rows, literals, chars = [], Literals() if values else None, 0
+        owners += [place] * (len(rows) - len(owners))
+        if chars > _BATCH_CHARS:
+            yield _batch(rows, literals, shape), np.array(owners)
+            rows, owners, literals, chars = [], [], Literals() if values else None, 0
     if rows:
-        yield _batch(rows, literals, shape)
+        yield _batch(rows, literals, shape), np.array(owners)
+
+
+# Statements of a slice are cut together up to this many bytes; a longer one is cut by itself, row by row.
+_TOGETHER_BYTES = 4_000_000
+_SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+_MARKS = np.isin(np.arange(256), list(b"'(),\\\"`"))
+_QUOTE, _OPEN, _CLOSE, _COMMA, _BACKSLASH = b"'(),\\"
+_NUMBERS = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\z"
+
+
+def _shifted(x: np.ndarray, by: int, fill) -> np.ndarray:
+    """The element before (1) or behind (-1) each element."""
+    out = np.full_like(x, fill)
+    out[max(by, 0) : len(x) + min(by, 0)] = x[max(-by, 0) : len(x) - max(by, 0)]
+    return out
+
+
+def _slices_of(text: np.ndarray, starts: np.ndarray, stops: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """The stretches of `text` as strings; null where not `valid`."""
+    lengths = stops - starts if valid is None else np.where(valid, stops - starts, 0)
+    ends = np.cumsum(lengths)
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    bits = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.Array.from_buffers(pa.string(), len(starts), [bits, pa.py_buffer(offsets), pa.py_buffer(text[place])])
+
+
+def _plain_rows(
+    part: pa.RecordBatch, scanner: Scanner, texts: bool, values: bool, shape: pa.Schema
+) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray] | None:
+    """Rows of the plain statements of `part`, the place of each one's statement, and which statements are plain.
+
+    Plain ones share the head of the first INSERT, and their list is whole rows and nothing else. Where values are
+    asked for, these are numbers, NULL and quoted texts without a quote or a backslash inside. All of them are cut at once,
+    by the places of their marks; the others are left to the scanner, which gives the same rows for either.
+    """
+    kinds, sql = part.column("kind"), part.column("sql")
+    inserts = pc.fill_null(pc.and_(pc.equal(kinds, "insert"), pc.is_valid(sql)), False)
+    if sql.nbytes > _TOGETHER_BYTES or not inserts.true_count:
+        return None
+    sql = sql.cast(pa.string())
+    head = scanner.head.match(sql[pc.index(inserts, True).as_py()].as_py())
+    if head is None or "duplicate" in head[0].lower():
+        return None
+    good = pc.and_(inserts, pc.fill_null(pc.starts_with(sql, head[0]), False))
+    if not values:
+        good = pc.and_not(good, pc.fill_null(pc.match_substring(sql, "duplicate", ignore_case=True), False))
+    good = good.to_numpy(zero_copy_only=False).copy()
+
+    # marks of the lists, with whether a quote is open there
+    borders = np.frombuffer(sql.buffers()[1], np.int32)[sql.offset : sql.offset + len(sql) + 1].astype(np.int64)
+    text = np.frombuffer(sql.buffers()[2], np.uint8)[borders[0] : borders[-1]]
+    borders -= borders[0]
+    lists, ends = borders[:-1] + len(head[0].encode()), borders[1:]
+    at = np.flatnonzero(_MARKS[text])
+    owner = np.repeat(np.arange(len(sql)), np.diff(np.searchsorted(at, borders)))
+    kept = good[owner] & (at >= lists[owner])
+    at, owner = at[kept], owner[kept]
+    mark = text[at]
+    quote = mark == _QUOTE
+    quotes = np.concatenate(([0], np.cumsum(quote)))
+    limits = np.searchsorted(owner, np.arange(len(sql) + 1))
+    before = quotes[limits[:-1]]
+    good &= ((quotes[limits[1:]] - before) % 2 == 0) & (limits[1:] > limits[:-1])
+    open_ = (quotes[1:] - before[owner]) % 2 == 1
+    good[owner[(mark == _BACKSLASH) | ~(quote | open_ | (mark == _OPEN) | (mark == _CLOSE) | (mark == _COMMA))]] = False
+    kept = ~quote & ~open_ & good[owner]
+    at, owner, mark, quotes = at[kept], owner[kept], mark[kept], quotes[1:][kept]
+
+    # rows begin and end as they should, with one comma between them
+    opens, closes = mark == _OPEN, mark == _CLOSE
+    depth = np.concatenate(([0], np.cumsum(opens.astype(np.int64) - closes)))
+    depth = depth[1:] - depth[np.searchsorted(owner, owner)]
+    first, last = _shifted(owner, 1, -1) != owner, _shifted(owner, -1, -1) != owner
+    behind = np.where(first, lists[owner], _shifted(at, 1, 0) + 1)
+    near = (at == behind) | ((at == behind + 1) & _SPACES[text[at - 1]])
+    after_row, before_row = ~first & (_shifted(mark, 1, 0) == _CLOSE), ~last & (_shifted(mark, -1, 0) == _OPEN)
+    between = (mark == _COMMA) & (depth == 0)
+    fine = np.where(between, after_row & before_row & (_shifted(at, 1, -9) == at - 1), (depth == opens) | (mark == _COMMA) & (depth == 1))
+    fine &= ~opens | (near & (first | (_shifted(between, 1, False))))
+    fine &= ~closes | np.where(last, at + 1 == ends[owner], _shifted(between, -1, False))
+    fine &= ~last | closes
+    good[owner[~fine]] = False
+    good &= np.bincount(owner, minlength=len(sql)) > 0
+
+    listed = None
+    if values:
+        item = np.flatnonzero((opens | (mark == _COMMA) & (depth == 1)) & good[owner])
+        of, start, stop, inner = owner[item], at[item] + 1, at[item + 1], quotes[item + 1] - quotes[item]
+        for _ in range(2):
+            start = start + ((start < stop) & _SPACES[text[start]])
+            stop = stop - ((start < stop) & _SPACES[text[stop - 1]])
+        string = (inner == 2) & (stop - start >= 2) & (text[start] == _QUOTE) & (text[stop - 1] == _QUOTE)
+        null = (inner == 0) & (stop - start == 4)
+        for i, letter in enumerate(b"null"):
+            null[null] = text[start[null] + i] | 32 == letter
+        literal = _slices_of(text, start + string, stop - string, ~null)
+        other = np.flatnonzero(~string & ~null)
+        number = pc.match_substring_regex(literal.take(pa.array(other)), _NUMBERS).to_numpy(zero_copy_only=False)
+        good[of[other[~(number & (inner[other] == 0))]]] = False
+        taken = good[of]
+        if not taken.all():
+            literal, of, null, string, item = literal.filter(pa.array(taken)), of[taken], null[taken], string[taken], item[taken]
+        named = pa.array(["number", "string", "null"]).take(pa.array(np.where(null, 2, string.astype(np.int64))))
+        fields = [named, literal, pa.nulls(len(literal), pa.binary())]
+        begins = np.append(np.flatnonzero(opens[item]), len(item)).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(begins), pa.StructArray.from_arrays(fields, ["kind", "text", "bytes"]))
+
+    rows = opens & good[owner]
+    owners, starts, stops = owner[rows], at[rows], at[closes & good[owner]] + 1
+    if not len(owners):
+        return None
+    of = pa.array(owners)
+    number = np.arange(len(owners)) - np.searchsorted(owners, owners)
+    firsts = pc.fill_null(part.column("first_row"), 0).to_numpy()[owners]
+    before_list, table, columns = scanner.read_head(head[0])
+    same = lambda value, kind: pa.array([value], kind).take(pa.array(np.zeros(len(owners), np.int64)))
+    given = {
+        **{c: part.column(c).take(of) for c in ("dump_id", "stmt_no", "kind")},
+        "table": same(table, pa.string()),
+        "columns": same(columns, pa.list_(pa.string())),
+        "head": same(before_list, pa.string()),
+        "row_no": pa.array((firsts + number).astype(np.int32)),
+        "tuple": _slices_of(text, starts, stops) if texts else None,
+        "tuples": same(1, pa.int64()),
+        "values": listed,
+    }
+    arrays = [pa.nulls(len(owners), f.type) if given.get(f.name) is None else given[f.name].cast(f.type) for f in shape]
+    return pa.RecordBatch.from_arrays(arrays, names=shape.names), owners, good
 
 
 # The Spark type of a storage class, and of what a MySQL name says beyond it. A number of no declared
@@ -445,6 +598,10 @@ def _typed(value: Column, kind: str) -> tuple[Column, Column]:
     return whole, reason
 
 
+# Columns of a table that are typed in one step.
+_COLUMNS_AT_ONCE = 3
+
+
 @dataclass(frozen=True)
 class Load:
     """A table's rows, and the values among them that are not of their column's type."""
@@ -467,9 +624,14 @@ def load_table(decoded: DataFrame, columns: Sequence[tuple[str, str]], table: st
         named = F.array_position("columns", F.lit(columns[i][0])).cast("int") - 1
         return F.get("values", F.when(whole_row, F.lit(i)).otherwise(named))
 
-    rows = mine.select(
-        "dump_id", "stmt_no", "row_no", *[_typed(value(i), kind)[0].alias(name) for i, (name, kind) in enumerate(columns)]
-    )
+    # values by column, then a few columns a step: a step of many would be code too long for the JVM to compile
+    by_name = F.array(*[F.get("values", F.array_position("columns", F.lit(name)).cast("int") - 1) for name, _ in columns])
+    rows = computed_once(mine.select("dump_id", "stmt_no", "row_no", "columns", "values"), cells=F.when(whole_row, F.col("values")).otherwise(by_name))
+    cell = lambda i: F.get("cells", F.lit(i))
+    for start in range(0, len(columns), _COLUMNS_AT_ONCE):
+        group = range(start, min(start + _COLUMNS_AT_ONCE, len(columns)))
+        rows = computed_once(rows, **{f"typed_{i}": _typed(cell(i), columns[i][1])[0] for i in group})
+    rows = rows.select("dump_id", "stmt_no", "row_no", *[F.col(f"typed_{i}").alias(name) for i, (name, _) in enumerate(columns)])
     raw = lambda v: F.coalesce(v["text"], F.hex(v["bytes"]))
     checks = [
         F.struct(F.lit(name).alias("column"), raw(value(i)).alias("raw"), _typed(value(i), kind)[1].alias("reason"))

@@ -23,7 +23,9 @@ import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,11 +66,19 @@ def dialect_of(name: str) -> str:
 _ESCAPES = {b"0": b"\0", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"Z": b"\x1a"}
 
 
+# Texts up to this many bytes are cut by the places of their marks, all at once; of a longer one these would take much room.
+_TOGETHER_BYTES = 4_000_000
+_MARKS = np.isin(np.arange(256), list(b";#'\"`/-"))
+_QUOTES = np.isin(np.arange(256), list(b"'\"`"))
+_QUOTED_RUN = re.compile(rb"'[^']*+'?+|\"[^\"]*+\"?+|`[^`]*+`?+")
+
+
 class Cutter:
     """Regular expressions that cut bytes of one dialect; small enough to be sent with each task."""
 
     def __init__(self, dialect: str):
         self.dialect = dialect
+        self.marked: tuple = (None, None)
         escaped = dialect == "mysql"
         inner = {
             SINGLE: rb"(?:[^'\\]++|\\.|'')*+" if escaped else rb"(?:[^']++|'')*+",
@@ -97,6 +107,20 @@ class Cutter:
     def walk(self, text: bytes, at: int) -> Iterator[tuple]:
         """From outside at `at`: ('text', from, to), ('end', position, next) and last (state, from, to)."""
         size = len(text)
+        plain = self.plain_ends(text, at)
+        if plain is not None:
+            ends, state, opened = plain
+            for stop in ends:
+                if stop > at:
+                    yield "text", at, stop
+                yield "end", stop, stop + 1
+                at = stop + 1
+            if opened > at:
+                yield "text", at, opened
+            if size > opened:
+                yield "text", opened, size
+            yield state, size, size
+            return
         while True:
             stop = self.stretch.match(text, at).end()
             if stop > at:
@@ -124,6 +148,46 @@ class Cutter:
                 yield mark, size, size
                 return
 
+    def plain_ends(self, text: bytes, at: int) -> tuple[list[int], bytes, int] | None:
+        """(statement ends, state left in, where a quote left open begins or the end) from outside at `at`.
+
+        None for a text with a comment or an escape, and for a long one.
+        """
+        if not 0 < len(text) - at <= _TOGETHER_BYTES or (self.dialect == "mysql" and text.find(b"\\", at) >= 0):
+            return None
+        every = np.frombuffer(text, np.uint8)
+        if self.marked[0] is not text:
+            # kept for the other states that the same text may be entered in
+            self.marked = (text, np.flatnonzero(_MARKS[every]))
+        places = self.marked[1][np.searchsorted(self.marked[1], at) :]
+        marks = every[places]
+        quotes = np.flatnonzero(_QUOTES[marks])
+        kinds = marks[quotes]
+        closed = len(kinds) // 2 * 2
+        if (kinds[:closed:2] == kinds[1:closed:2]).all():
+            firsts, lasts = quotes[::2], quotes[1::2]
+        else:
+            # one kind of quote stands within another
+            runs = _QUOTED_RUN.findall(kinds.tobytes())
+            lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+            beyond = np.cumsum(lengths)
+            firsts = quotes[beyond - lengths]
+            closes_last = lengths[-1] > 1 and runs[-1][-1:] == runs[-1][:1]
+            lasts = quotes[beyond[: len(runs) if closes_last else -1] - 1]
+        state, opened = OUTSIDE, len(text)
+        if len(firsts) > len(lasts):
+            opened = int(places[firsts[-1]])
+            state = text[opened : opened + 1]
+        change = np.zeros(len(places) + 1, np.int64)
+        change[firsts] += 1
+        change[lasts + 1] -= 1
+        outside = np.cumsum(change[:-1]) == 0
+        places, marks = places[outside], marks[outside]
+        following = every[np.minimum(places + 1, len(text) - 1)]
+        odd = (marks == 0x23) | (marks == 0x2D) & (following == 0x2D) | (marks == 0x2F) & (following == 0x2A)
+        odd &= (marks == 0x23) | (places + 1 < len(text))
+        return None if odd.any() else (places[marks == 0x3B].tolist(), state, opened)
+
     def head_end(self, text: bytes) -> int:
         """Where the list of an INSERT begins, behind the word VALUES; -1 for any other text."""
         found = self.list_head.match(text) if self.insert.match(text) else None
@@ -173,16 +237,25 @@ def _texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tupl
     """Runs of lines of one block as (block columns, bytes, whether the block goes on after it)."""
     held = None
     for batch in sliced(batches):
-        values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
-        lines = batch.column(batch.schema.get_field_index("value")).to_pylist()
-        start = 0
-        marks = list(zip(*values))
-        for i in range(1, len(lines) + 1):
-            if i == len(lines) or marks[i] != marks[start]:
-                if held is not None:
-                    yield held[0], held[1], held[0] == marks[start]
-                held = (marks[start], b"\n".join(lines[start:i]) + b"\n")
-                start = i
+        places = [batch.schema.get_field_index(c) for c in names]
+        lines = batch.column(batch.schema.get_field_index("value"))
+        new = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for column in (batch.column(i) for i in places):
+            same = pc.equal(column[1:], column[:-1])
+            missing = pc.and_(pc.is_null(column[1:]), pc.is_null(column[:-1]))
+            new |= ~pc.or_(pc.fill_null(same, False), missing).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(new) + 1).tolist()] if batch.num_rows else []
+        for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+            mark = tuple(batch.column(i)[start].as_py() for i in places)
+            if held is not None:
+                yield held[0], held[1], held[0] == mark
+            run = lines.slice(start, stop - start)
+            if run.nbytes > _TOGETHER_BYTES:
+                held = (mark, b"\n".join(run.to_pylist()) + b"\n")
+            else:
+                ended = pc.binary_join_element_wise(run, b"", b"\n").cast(pa.binary())
+                size = np.frombuffer(ended.buffers()[1], np.int32)[len(ended)]
+                held = (mark, ended.buffers()[2].slice(0, int(size)).to_pybytes())
     if held is not None:
         yield held[0], held[1], False
 
@@ -272,6 +345,9 @@ def _ends_from(cutter: Cutter, text: bytes, at: int, known: tuple[bytes, list[in
 
     Once a walk ends a statement where the known walk also ended one, the two go on alike.
     """
+    plain = cutter.plain_ends(text, at)
+    if plain is not None:
+        return plain[1], plain[0]
     shared = {} if known is None else {p: i for i, p in enumerate(known[1])}
     found: list[int] = []
     for kind, start, _ in cutter.walk(text, at):

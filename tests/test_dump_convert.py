@@ -2,7 +2,9 @@
 
 import dataclasses
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +374,45 @@ def test_definitions_are_taken_apart_once(spark):
         for frame in (done.emitted, done.lossy):
             assert NAME not in frame._jdf.queryExecution().optimizedPlan().toString()
         assert done.emitted.count() == count
+
+
+def test_plain_rows_are_cut_together_and_alike():
+    """Statements of plain rows do not go through the scanner value by value; mixed with others the rows are the scanner's."""
+    plain = ["INSERT INTO `t` VALUES (1, 'a,b', NULL, -2.5e3)", "INSERT INTO `t` VALUES ('(x', ''),\n(  7 ,'é'), ( null, +.5)"]
+    odd = [
+        "INSERT INTO `t` VALUES (0x0F, 'it''s', 'a\\'b', f(1, 2))", "INSERT INTO `t` VALUES (1), (2", "INSERT INTO `t` VALUES",
+        "INSERT INTO `t` VALUES (1) ON DUPLICATE KEY UPDATE a = 1", "INSERT INTO u (`a`) VALUES (1,,2)", "INSERT INTO `t` VALUES (12x)", None,
+    ]
+
+    def scanned(sql, scanner, values=True):
+        n = len(sql)
+        arrays = [["d"] * n, list(range(n)), ["insert"] * n, sql, [None] * n, [5] * n]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        names = ["dump_id", "stmt_no", "kind", "sql", "fault", "first_row"]
+        batch = pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], names=names)
+        return [r for b in dump_statements._scan(iter([batch]), scanner, True, values, True) for r in b.to_pylist()]
+
+    for dialect in ("mysql", "sqlite"):
+        unused = dump_statements.Scanner(dialect)
+        unused.values = unused.tuples = None
+        assert len(scanned(plain, unused)) == 4
+        scanner = dump_statements.Scanner(dialect)
+        for values in (True, False):
+            for some in (plain, plain + odd, odd + plain, [s for pair in zip(odd, plain * 4) for s in pair]):
+                # a statement that begins with a blank is the same to the scanner and is not plain beside these
+                alone = [{**r, "stmt_no": i} for i, s in enumerate(some) for r in scanned([odd[4], s], scanner, values) if r["stmt_no"]]
+                assert scanned(some, scanner, values) == alone
+
+
+def test_steps_of_a_typed_load_are_compiled(spark):
+    """The JVM leaves methods of more than 8,000 bytes of code uncompiled; a table of many columns stays below."""
+    decoded = spark.range(1).selectExpr(
+        "'d' dump_id", "id stmt_no", "'t' table", "cast(null as array<string>) columns", "0 row_no",
+        "transform(sequence(1, 40), i -> struct('number' AS kind, cast(i AS string) AS text, cast(null AS binary) AS bytes)) values",
+    )
+    kinds = ["bigint", "double", "string", "decimal(10,2)", "binary"]
+    rows = dump_statements.dump_table(decoded, [(f"c{i}", kinds[i % 5]) for i in range(40)], "t")
+    plan = rows._jdf.queryExecution().explainString(rows.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    sizes = [int(s) for s in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000
+    assert [rows.first()[f"c{i}"] for i in (0, 1, 2, 39)] == [1, 2.0, "3", b"40"]

@@ -328,3 +328,19 @@ def test_a_long_list_within_one_block_is_cut_as_one_over_many_is():
 
         assert rows(parts) == rows(whole), name
         assert len(parts) > len(whole) + 1, name
+
+
+def test_plain_dump_text_is_cut_by_its_marks_alike():
+    """Marks looked up all at once give the ends and pieces of a walk from mark to mark, which plain text no longer takes."""
+    text = b"INSERT INTO `t` VALUES (1, 'a;b', 'it''s', \"x'y\");\n;SELECT 1 - 2 / 3;\nINSERT INTO `t` VALUES ('open; "
+    for dialect in ("mysql", "sqlite"):
+        for given in (text, text.replace(b"open", b""), text + b"\\", text + b"' -- a; b\n;", b"a /* ; */ b;", b"", b";", b"'"):
+            for at in range(min(len(given), 60)):
+                plain, walked = Cutter(dialect), Cutter(dialect)
+                walked.plain_ends = lambda text, at: None
+                found = [[s for s in cutter.walk(given, at) if s[0] != "text"] for cutter in (plain, walked)]
+                covered = [{i for s in cutter.walk(given, at) if s[0] == "text" for i in range(s[1], s[2])} for cutter in (plain, walked)]
+                assert found[0] == found[1] and covered[0] == covered[1], (dialect, given, at)
+        plain = Cutter(dialect)
+        plain.stretch = None
+        assert [s[1] for s in plain.walk(text, 0) if s[0] == "end"] == [49, 51, 68]
