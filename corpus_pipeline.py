@@ -14,6 +14,9 @@ from siteferry.llm.queries import word_tokenizer
 from siteferry.llm.toxicity import drop_toxic, toxicity_model
 from siteferry.session import staging_path
 
+# Packing comes last, in executors whose heaps the stages before have grown to their limit, so its workers cache little.
+PACK_CACHE_BYTES = 32 << 20
+
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; the model learns from labelled rows of the input."""
@@ -37,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
-    return pack(docs, word_tokenizer())
+    return pack(docs, word_tokenizer(), cache_bytes=PACK_CACHE_BYTES)
 
 
 STAGES = [

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siteferry.functions.batches import giving_back
 from siteferry.functions.scale import BROADCAST_ROWS
 from siteferry.llm.components import connected_components
 from siteferry.session import cut_lineage
@@ -151,7 +152,7 @@ def signatures(source: DataFrame, words: int, coordinates: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "item", "signature"],
             )
 
-    return source.mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, item binary, signature array<int>")
+    return source.mapInArrow(giving_back(sign), f"doc_id {kind}, n_shingles bigint, item binary, signature array<int>")
 
 
 def _meetings(items: DataFrame, matches: int) -> DataFrame:
@@ -245,7 +246,7 @@ def _links(
                 names=["item", "shingles", "marks"],
             )
 
-    sets = texts.mapInArrow(shingles, "item binary, shingles binary, marks binary")
+    sets = texts.mapInArrow(giving_back(shingles), "item binary, shingles binary, marks binary")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
     blocks = F.greatest(F.ceil(F.col("_n") / block_items), F.ceil(F.col("_s") / block_shingles)).cast("int")
     block = F.pmod(F.xxhash64("number"), F.col("_blocks")).cast("int")

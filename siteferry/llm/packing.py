@@ -21,7 +21,8 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteferry.llm.tokens import END_ID, token_ids
+from siteferry.functions.batches import giving_back
+from siteferry.llm.tokens import CACHE_BYTES, END_ID, token_ids
 from siteferry.session import cut_lineage
 
 CAPACITY = 2048
@@ -85,12 +86,14 @@ def pack(
     node_bins: int = NODE_BINS,
     block_bytes: int = BLOCK_BYTES,
     with_ids: bool = False,
+    cache_bytes: int = CACHE_BYTES,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with `with_ids` the ids.
 
     A document is its token ids and the end id; a null or empty text is the end id alone. Only a document longer than
     `capacity` is cut, into pieces of `capacity`; the last may be shorter. Repeated rows are packed each for
-    itself; null identifiers stay null. An empty table gives no rows. Other columns are not read.
+    itself; null identifiers stay null. An empty table gives no rows. Other columns are not read. A worker's cache of
+    token ids holds `cache_bytes`: with less the same rows take longer.
     """
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
@@ -120,7 +123,7 @@ def pack(
             )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_ids(tokenizer)
+        encode = token_ids(tokenizer, cache_bytes)
         end = np.array([END_ID], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
@@ -143,7 +146,7 @@ def pack(
             encode.forget()
 
     # Written once: the tree is built from it and its rows are the result.
-    local = cut_lineage(source.mapInArrow(cut, _PIECES.format(id=kind)))
+    local = cut_lineage(source.mapInArrow(giving_back(cut), _PIECES.format(id=kind)))
     full = F.col("bin_fill") >= capacity - slack
     bins = local.filter(~full & (F.col("bin_offset") == 0)).select(
         "bin", F.col("bin").alias("head"), F.lit(0).cast("bigint").alias("base"), F.col("bin_fill").alias("fill")

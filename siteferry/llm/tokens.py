@@ -47,6 +47,7 @@ class _Parts(dict):
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.room = CACHE_BYTES
         self.forget()
 
     def __missing__(self, part: str) -> bytes:
@@ -56,7 +57,7 @@ class _Parts(dict):
         # a very long part would take the room of many
         if len(part) < 100:
             self.held += _ENTRY_BYTES + len(part) + len(found)
-            if self.held > CACHE_BYTES // 2:
+            if self.held > self.room // 2:
                 self.older = dict(self)
                 self.clear()
                 self.held = 0
@@ -131,11 +132,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def token_ids(path: str) -> TokenIds:
-    """The encoder of this worker for the file, loaded once."""
+def token_ids(path: str, cache_bytes: int = CACHE_BYTES) -> TokenIds:
+    """The encoder of this worker for the file, loaded once; its cache of parts holds `cache_bytes` from now on."""
     held = _held()
     if ("tokens", path) not in held:
         held["tokens", path] = TokenIds(path)
+    held["tokens", path].parts.room = cache_bytes
     return held["tokens", path]
 
 

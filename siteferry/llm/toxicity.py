@@ -24,6 +24,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteferry.functions.batches import giving_back
 from siteferry.llm.labelled import class_counts, held_out, labelled_sample
 
 MAX_ROWS = 3_000  # labelled rows of each class
@@ -187,7 +188,7 @@ def score_toxicity(
                 [batch.column("doc_id"), pa.array(scores, type=pa.float64())], names=["doc_id", "score"]
             )
 
-    scored = source.mapInArrow(score, f"doc_id {kind}, score double")
+    scored = source.mapInArrow(giving_back(score), f"doc_id {kind}, score double")
     predicted = (F.col("score") >= threshold).cast("int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
@@ -202,7 +203,7 @@ def drop_toxic(documents: DataFrame, model: Model, text_col: str = "text", thres
             kept = [scorer(text.as_py() or "") < threshold for text in batch.column(place)]
             yield batch.filter(pa.array(kept, type=pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(giving_back(keep), documents.schema)
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:

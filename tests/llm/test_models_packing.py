@@ -294,3 +294,24 @@ def test_top_k_with_repeated_identifiers(spark):
 
 def test_word_pattern_is_one_word():
     assert toxicity.windows("Don't go, Ünï_co 12ab") == re.findall("[a-zäöüï]+", "don t go ünï co ab")
+
+
+def test_workers_give_back_and_cache_little(spark, monkeypatch):
+    """A small cache of parts changes no row and holds no more than it may; a task that ends gives its memory back."""
+    from siteferry.functions import batches
+    from siteferry.llm.queries import word_tokenizer
+    from siteferry.llm.tokens import TokenIds, token_ids
+
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + j % 26)}x{chr(97 + (i * j) % 26)}y" for j in range(200))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    small, usual = (sorted(map(tuple, pack(docs, word_tokenizer(), **o).select(*columns).collect())) for o in ({"cache_bytes": 4000}, {}))
+    assert small == usual and len(small) >= 60
+    encode, whole = token_ids(word_tokenizer(), 4000), TokenIds(word_tokenizer())
+    assert [encode(text) for _, text in rows] == [whole(text) for _, text in rows]
+    assert encode.parts.held <= 2000 + 400 < whole.parts.held
+    token_ids(word_tokenizer()).forget()
+
+    given = []
+    monkeypatch.setattr(batches, "give_back", lambda: given.append(1))
+    assert list(batches.giving_back(lambda found: (x + 1 for x in found))(iter([1, 2]))) == [2, 3] and given == [1]
